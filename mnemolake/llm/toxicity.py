@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are confirmed toxic texts; everything else that may be learned from counts as unlabelled. At most POSITIVES
+Positives are confirmed toxic texts; the unlabelled texts are drawn from all that may be learned from, so they follow
+the corpus as the risk estimator asks. At most POSITIVES
 and UNLABELLED texts are sampled (smallest hash of id and text; the documented bound), reduced to hashed features on
 the executors, and a linear model is trained in numpy on the driver. Features are the presence of words and of their
 prefixes, kept where their share of the positives exceeds that of the rest RATIO times and by Z
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import documents, flat_batches, map_batches, part, texts, tune, words
 
-POSITIVES, UNLABELLED, BUCKETS, PREFIXES = 6000, 12000, 1 << 18, (4, 5, 6)
-STEPS, BATCH, RATE, L2, Z, RATIO, THRESHOLD, CACHE = 1500, 2000, 0.05, 1e-4, 5.0, 3.0, 0.3, 400_000
+POSITIVES, UNLABELLED, PREFIXES = 6000, 12000, (4, 5, 6)
+STEPS, BATCH, RATE, L2, LEAST, Z, RATIO, THRESHOLD, CACHE = 1500, 2000, 0.05, 1e-4, 5, 6.0, 4.0, 0.3, 400_000
 
 
 def word_features(w: bytes) -> list[int]:
-    """Buckets of a word and of its prefixes (in characters)."""
+    """32-bit hashes of a word and of its prefixes (in characters)."""
     s = w.decode(errors="replace").lower()
-    return [zlib.crc32(f"{n}:{s[:n]}".encode()) % BUCKETS for n in PREFIXES if len(s) > n] + [zlib.crc32(f"w:{s}".encode()) % BUCKETS]
+    return [zlib.crc32(f"{n}:{s[:n]}".encode()) for n in PREFIXES if len(s) > n] + [zlib.crc32(f"w:{s}".encode())]
 
 
 class Features:
@@ -55,55 +56,49 @@ class Features:
 
 
 class Linear:
-    """Weights by bucket; buckets that were not chosen weigh nothing."""
+    """Weights of the chosen features; all others weigh nothing."""
 
-    def __init__(self, weight: np.ndarray, bias: float, empty: bool = False):
+    def __init__(self, weight: dict[int, float], bias: float, empty: bool = False):
         self.weight, self.bias, self.empty = weight, bias, empty
 
-    def score(self, buckets: list[int]) -> float:
-        return 0.0 if self.empty else float(1 / (1 + np.exp(-(self.bias + sum(map(self.weight.__getitem__, buckets))))))
-
-
-def _rows(flat: np.ndarray, ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of these rows and the row of each."""
-    size = ptr[rows + 1] - ptr[rows]
-    at = np.repeat(ptr[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    return flat[at], np.repeat(np.arange(len(rows)), size)
+    def score(self, features) -> float:
+        """features: chosen ones, in ascending order."""
+        return 0.0 if self.empty else float(1 / (1 + np.exp(-(self.bias + sum(map(self.weight.__getitem__, features))))))
 
 
 def train(features: list[np.ndarray], positive: np.ndarray, prior: float, *, steps: int = STEPS, seed: int = 7) -> Linear:
-    """features: the buckets of each text; positive: which are confirmed. Adam on the non-negative risk."""
-    if not positive.any() or prior <= 0:
-        return Linear(np.zeros(BUCKETS), 0.0, True)
-    flat = np.concatenate(features).astype(np.int64) if features else np.zeros(0, np.int64)
-    ptr = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(np.int64)
+    """features: the hashes of each text; positive: whether it is of the positive sample or the unlabelled one. Adam on the non-negative risk."""
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
-    in_p = np.bincount(_rows(flat, ptr, p)[0], minlength=BUCKETS)
-    in_u = np.bincount(_rows(flat, ptr, u)[0], minlength=BUCKETS)
-    rate_p, rate_u, rate = in_p / len(p), in_u / max(len(u), 1), (in_p + in_u + 1) / (len(features) + 2)
-    z = (rate_p - rate_u) / np.sqrt(rate * (1 - rate) * (1 / len(p) + 1 / max(len(u), 1)))
-    chosen = np.flatnonzero((in_p >= 3) & (z > Z) & (rate_p > RATIO * rate_u))
-    place = np.full(BUCKETS, -1, np.int64)
+    if not len(p) or not len(u) or prior <= 0:
+        return Linear({}, 0.0, True)
+    size = np.array([len(f) for f in features])
+    names, flat = np.unique(np.concatenate(features), return_inverse=True)
+    row = np.repeat(np.arange(len(features)), size)
+    in_p, in_u = np.bincount(flat[positive[row]], minlength=len(names)), np.bincount(flat[~positive[row]], minlength=len(names))
+    rate_p, rate_u, rate = in_p / len(p), in_u / len(u), (in_p + in_u + 1) / (len(features) + 2)
+    z = (rate_p - rate_u) / np.sqrt(rate * (1 - rate) * (1 / len(p) + 1 / len(u)))
+    chosen = np.flatnonzero((in_p >= LEAST) & (z > Z) & (rate_p > RATIO * rate_u))
+    place = np.full(len(names), -1, np.int64)
     place[chosen] = np.arange(len(chosen))
-    w, b = np.zeros(len(chosen) + 1), 0.0  # the last weight is the bias
+    flat = place[flat]
+    row, flat = row[flat >= 0], flat[flat >= 0]
+    ptr = np.searchsorted(row, np.arange(len(features) + 1))
+    w = np.zeros(len(chosen) + 1)  # the last weight is the bias
     m, v, t, rng = np.zeros_like(w), np.zeros_like(w), 0, np.random.default_rng(seed)
-    batches = max(1, (len(p) + len(u)) // BATCH)
+    batches = max(1, len(features) // BATCH)
     for _ in range(-(-steps // batches)):
         for pb, ub in zip(np.array_split(rng.permutation(p), batches), np.array_split(rng.permutation(u), batches), strict=True):
             if not len(pb) or not len(ub):
                 continue
-            rows = np.concatenate([pb, ub])
-            f, r = _rows(flat, ptr, rows)
-            f = place[f]
-            f, r = f[f >= 0], r[f >= 0]
-            z = w[-1] + np.bincount(r, w[f], len(rows))
-            s = 1 / (1 + np.exp(-z))
-            k = len(pb)
-            plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)
-            bracket = minus[k:].mean() - prior * minus[:k].mean()
+            rows, k = np.concatenate([pb, ub]), len(pb)
+            n = ptr[rows + 1] - ptr[rows]
+            f = flat[np.repeat(ptr[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            r = np.repeat(np.arange(len(rows)), n)
+            s = 1 / (1 + np.exp(-(w[-1] + np.bincount(r, w[f], len(rows)))))
+            minus = -np.log(np.maximum(1 - s, 1e-300))
             g = np.zeros(len(rows))
             g[k:], g[:k] = s[k:] / len(ub), -prior * s[:k] / k
-            if bracket < 0:
+            if minus[k:].mean() < prior * minus[:k].mean():
                 g = -g
             else:
                 g[:k] += prior * (s[:k] - 1) / k
@@ -111,10 +106,8 @@ def train(features: list[np.ndarray], positive: np.ndarray, prior: float, *, ste
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            del plus
-    weight = np.zeros(BUCKETS)
-    weight[chosen] = w[:-1]
-    return Linear(weight, float(w[-1]))
+            w[:-1] = np.maximum(w[:-1], 0)  # chosen features speak for toxicity or not at all, however long the text
+    return Linear(dict(zip(names[chosen].tolist(), w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
@@ -124,28 +117,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.join(flags, "_k", "left").select("_y", "text", F.xxhash64(F.col("_k").cast("string"), "text").alias("_h"))
     prior = rows.where("_y IS NOT NULL").agg(F.avg("_y")).first()[0] or 0.0
-    sample = rows.where("_y = 1").orderBy("_h").limit(positives).union(rows.where("_y IS NULL OR _y <> 1").orderBy("_h").limit(unlabelled))
+    sample = rows.where("_y = 1").orderBy("_h").limit(positives).union(rows.select(F.lit(0), "text", F.xxhash64(F.lit(1), "_h").alias("_h")).orderBy("_h").limit(unlabelled))
 
     def make():
         features = Features()
 
         def run(batch):
-            yield [batch.column(0).to_pylist(), [np.array(features.of(t), "<i4").tobytes() for t in texts(batch)]]
+            yield [batch.column(0).to_pylist(), [np.array(features.of(t), "<u4").tobytes() for t in texts(batch)]]
 
         return run
 
     got = flat_batches(sample.select("_y", "text"), make, [("y", "int"), ("f", "binary")]).toArrow()
-    return train([np.frombuffer(f, "<i4") for f in got.column("f").to_pylist()], np.array([y == 1 for y in got.column("y").to_pylist()], bool), float(prior))
+    return train([np.frombuffer(f, "<u4") for f in got.column("f").to_pylist()], np.array([y == 1 for y in got.column("y").to_pylist()], bool), float(prior))
 
 
 def score(docs: DataFrame, model: Linear, *, text: str = "text", keep: list[str] = (), threshold: float = THRESHOLD) -> DataFrame:
     """Per row: kept columns, score, predicted."""
     spark = tune(docs.sparkSession)
-    bc = spark.sparkContext.broadcast(model)  # BUCKETS doubles
+    bc = spark.sparkContext.broadcast(model)  # the chosen features, fewer than the samples hold
 
     def make():
         linear = bc.value
-        heavy = set(np.flatnonzero(linear.weight).tolist())
+        heavy = linear.weight.keys()
         known: dict[bytes, tuple[int, ...]] = {}
 
         def run(batch):
