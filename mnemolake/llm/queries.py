@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, token_file, toxicity
+from . import decontaminate, language, licenses, near_dups, suffix_dedup, token_file, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_token_file": token_file.op3_token_file,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_near_duplicates": near_dups.op8_near_duplicates,
         "op10_language": language.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op5_license_scan": licenses.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_near_duplicates": near_dups.ORACLE}
