@@ -11,7 +11,7 @@ Rows with a null doc_id pass all stages on their own merits; empty tables give e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake.llm import common, decontaminate, language, near_dups, pieces, suffix_dedup
@@ -30,8 +30,11 @@ def stage_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the smallest doc_id of each component, once; rows that repeat a kept doc_id go only if their text is the same."""
     found = near_dups.near_duplicates(docs, shingle=5)
     kept = found.where("kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    # one shuffle by doc_id: the window that finds repeated rows sorts what the join has dealt out
+    before = F.lag(F.struct("text")).over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_llm_before", before)
+    named = named.where(F.col("_llm_before").isNull() | ~F.col("_llm_before")["text"].eqNullSafe(F.col("text")))
+    return named.select(*docs.columns).union(docs.where("doc_id IS NULL").select(*docs.columns))
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

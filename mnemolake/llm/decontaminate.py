@@ -51,14 +51,26 @@ def _window_min(g: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def _stretches(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows in a row have one minimum: starts and ends."""
+    first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    return first, np.append(first[1:], len(m))
+
+
 def fingerprints(ids: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the minimum of each window, once for each run of windows that agree."""
+    """(hash, position) of the k-grams that are the minimum of a window; equal minima of a stretch all count."""
     if len(ids) < k + w - 1:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     g = _grams(ids, k)
     m = _window_min(g, w)
-    first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-    return m[first], first + np.argmax(np.lib.stride_tricks.sliding_window_view(g, w)[first] == m[first, None], axis=1)
+    h, p = [], []
+    for a, z in zip(*_stretches(m), strict=True):
+        at = a + np.flatnonzero(g[a : z + w - 1] == m[a])
+        h.append(np.full(len(at), m[a]))
+        p.append(at)
+    h, p = np.concatenate(h), np.concatenate(p)
+    p, once = np.unique(p, return_index=True)
+    return h[once], p
 
 
 class Block:
@@ -99,32 +111,33 @@ class Block:
                 continue
             g = _grams(ids, k)
             m = _window_min(g, w)
-            first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            first, last = _stretches(m)
             lo = np.searchsorted(hashes, m[first])
             ok = lo < len(hashes)
             ok[ok] = hashes[lo[ok]] == m[first[ok]]
             done: dict[tuple[int, int], int] = {}
-            for f, a in zip(first[ok].tolist(), lo[ok].tolist(), strict=True):
-                h = m[f]
-                at = f + int(np.argmax(g[f : f + w] == h))
-                doc = int(np.searchsorted(ends, at, side="right"))
-                while a < len(hashes) and hashes[a] == h:
-                    q = int(places[a])
-                    a += 1
-                    if done.get((doc, q - at), -1) >= at:
-                        continue
-                    item = int(np.searchsorted(self.start, q, side="right")) - 1
-                    if min(int(self.end[item] - self.start[item]), self.span) != need:
-                        continue
-                    s, e = self._extend(ids, at, q, item)
-                    done[doc, q - at] = e
-                    if e - s >= need:
-                        base = int(ends[doc] - sizes[doc])
-                        spans, items = found.setdefault(doc, ([], set()))
-                        spans.append((s - base, e - base))
-                        items.add(item)
+            for f, z, i in zip(first[ok].tolist(), last[ok].tolist(), lo[ok].tolist(), strict=True):
+                for at in (f + np.flatnonzero(g[f : z + w - 1] == m[f])).tolist():
+                    self._hits(ids, at, i, m[f], hashes, places, need, ends, sizes, done, found)
         return found
 
+    def _hits(self, ids, at, a, h, hashes, places, need, ends, sizes, done, found) -> None:
+        """Extend document place `at` at all places of the benchmark with hash h, which begin at a."""
+        doc = int(np.searchsorted(ends, at, side="right"))
+        while a < len(hashes) and hashes[a] == h:
+            q = int(places[a])
+            a += 1
+            item = int(np.searchsorted(self.start, q, side="right")) - 1
+            if done.get((doc, q - at), -1) >= at or min(int(self.end[item] - self.start[item]), self.span) != need:
+                continue
+            s, e = self._extend(ids, at, q, item)
+            done[doc, q - at] = e
+            if e - s >= need:
+                base = int(ends[doc] - sizes[doc])
+                spans, items = found.setdefault(doc, ([], set()))
+                spans.append((s - base, e - base))
+                items.add(item)
+
     def _extend(self, ids: np.ndarray, at: int, q: int, item: int) -> tuple[int, int]:
         """The longest run of equal words through document place `at` and item place q; a separator equals nothing."""
         left, right = min(at, q - int(self.start[item])), min(len(ids) - at, int(self.end[item]) - q)
