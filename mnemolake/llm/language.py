@@ -1,7 +1,7 @@
 """Language identification of mixed text: script ranges, then Viterbi over words.
 
-Training takes at most ROWS_PER_LANG labelled texts of each language (those with the smallest hash of id and text, the
-documented bound) and counts character n-grams of their words. A word's score for a language is its mean n-gram log
+Training takes about ROWS_PER_LANG labelled texts of each language (those whose hash lies under a limit that follows
+from the language's count; the documented bound) and counts character n-grams of their words. A word's score for a language is its mean n-gram log
 probability times a weight that grows with its length. The scripts of a word's letters narrow its candidates to the
 languages that were seen with that script; a script that no language was seen with rules out none. Viterbi over the
 words, with SWITCH paid for every change of language, labels spans. The text's language is the one whose spans hold
@@ -17,11 +17,12 @@ letters is `und` too; ties go to the language first in sorted order; repeated ro
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, part, texts, tune, words
@@ -63,7 +64,7 @@ class Model:
     """langs, log probabilities (buckets x languages), the languages seen with each script."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+        self.langs, self.name = sorted(samples), uuid.uuid4().hex
         counts = np.full((BUCKETS, len(self.langs)), 0.2)
         seen: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
         for k, lang in enumerate(self.langs):
@@ -173,13 +174,31 @@ class Labeller:
         return langs[best], min(1.0, float(share[best] / letters.sum()) * sure), [{"start": a, "end": b, "lang": langs[path[a]]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+_labellers: dict[str, Labeller] = {}
+
+
+def labeller_of(model: Model, switch: float) -> Labeller:
+    """One for all tasks of a worker process that use this model."""
+    key = f"{model.name} {switch}"
+    if key not in _labellers:
+        _labellers.clear()
+        _labellers[key] = Labeller(model, switch)
+    return _labellers[key]
+
+
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG) -> Model:
-    """The model of a bounded sample: rank within the language by hash; Spark limits each group before it shuffles."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= rows_per_lang).select("l", "t")
-    samples: dict[str, list[str]] = defaultdict(list)
-    for r in rows.toLocalIterator():
-        samples[r["l"]].append(r["t"])
+    """The model of a bounded sample: the rows of a language whose hash lies under the share that rows_per_lang is of all its rows.
+
+    The count of rows by language comes first and reads no text; the sample itself is a filter, so no text is shuffled.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.octet_length(F.col(text))), F.lit(1 << 40))
+    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    samples: dict[str, list[str]] = {x: [] for x in counts}
+    if counts:
+        under = F.create_map(*chain.from_iterable((F.lit(x), F.lit(max(1, rows_per_lang * (1 << 40) // n))) for x, n in counts.items()))
+        for r in rows.where(place < under[F.col(lang).cast("string")]).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).toLocalIterator():
+            samples[r["l"]].append(r["t"])
     return Model(samples)
 
 
@@ -189,7 +208,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     bc = spark.sparkContext.broadcast(model)  # languages x BUCKETS doubles
 
     def make():
-        labeller = Labeller(bc.value, switch)
+        labeller = labeller_of(bc.value, switch)
 
         def run(batch):
             rows = labeller.batch(texts(batch, text))

@@ -25,6 +25,8 @@ sets link (the id is the node), and every row of that id gets its component; tie
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +74,12 @@ class Shingler:
         return np.unique(h)
 
 
+@functools.lru_cache(maxsize=2)
+def shingler_of(size: int) -> Shingler:
+    """One for all tasks of a worker process."""
+    return Shingler(size)
+
+
 def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     """Circulant MinHash: coordinate k is min over x of pi(sigma(x) + k * step), both bijections of the 32-bit universe."""
     x = (shingles ^ shingles >> np.uint64(32)).astype(np.uint32)
@@ -182,7 +190,7 @@ def sets_of(docs: DataFrame, *, doc_id: str, text: str, shingle: int, bands: int
     def make():
         import xxhash
 
-        shingler = Shingler(shingle)
+        shingler = shingler_of(shingle)
 
         def run(batch):
             n, key, bucket = [], [], []
@@ -210,7 +218,7 @@ def _verify_stars(pairs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        shingler, at, hub = Shingler(shingle), None, None
+        shingler, at, hub = shingler_of(shingle), None, None
         for b in batches:
             src, dst = [], []
             for key, salt, is_member, ident, set_key, t in zip(b.column("hub").to_pylist(), b.column("salt").to_pylist(), b.column("is_member").to_pylist(), b.column("id").to_pylist(), b.column("set_key").to_pylist(), texts(b), strict=True):
@@ -233,7 +241,7 @@ def _verify_rest(blocks: DataFrame, shingle: int, threshold: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        shingler, group, rows = Shingler(shingle), None, {}
+        shingler, group, rows = shingler_of(shingle), None, {}
 
         def links():
             items = list(rows.values())

@@ -18,6 +18,7 @@ for characters of the mark itself, which come back as spaces; repeated rows are
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -151,12 +152,18 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One for all tasks of a worker process."""
+    return Codec(Pieces(path))
+
+
 def encode(docs: DataFrame, model: str, *, text: str = "text", keep: list[str] = (), prefix: str = "") -> DataFrame:
     """Per row: kept columns, ids."""
     tune(docs.sparkSession)
 
     def make():
-        codec = Codec(Pieces(model))
+        codec = codec_of(model)
 
         def run(batch):
             return [[codec.encode(t.decode(errors="replace")).astype(np.int32) for t in texts(batch, text)]]
@@ -171,7 +178,7 @@ def decode(docs: DataFrame, model: str, *, ids: str = "ids", keep: list[str] = (
     tune(docs.sparkSession)
 
     def make():
-        codec = Codec(Pieces(model))
+        codec = codec_of(model)
 
         def run(batch):
             return [[codec.decode(x or []) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]]
@@ -188,7 +195,7 @@ def round_trip(docs: DataFrame, model: str, *, text: str = "text", keep: list[st
     tune(docs.sparkSession)
 
     def make():
-        codec = Codec(Pieces(model))
+        codec = codec_of(model)
 
         def run(batch):
             out = []
