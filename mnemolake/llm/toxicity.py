@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are confirmed toxic texts; the unlabelled texts are drawn from all that may be learned from, so they follow
-the corpus as the risk estimator asks. At most POSITIVES
-and UNLABELLED texts are sampled (smallest hash of id and text; the documented bound), reduced to hashed features on
+the corpus as the risk estimator asks. About POSITIVES
+and UNLABELLED texts are sampled (hash of the id under a limit; the documented bound), reduced to hashed features on
 the executors, and a linear model is trained in numpy on the driver. Features are the presence of words and of their
 prefixes, kept where their share of the positives exceeds that of the rest RATIO times and by Z
 standard errors. The risk is
@@ -111,13 +111,24 @@ def train(features: list[np.ndarray], positive: np.ndarray, prior: float, *, ste
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
-    """docs: what may be learned from. Labels of other documents are never read into the model."""
+    """docs: what may be learned from. Labels of other documents are never read into the model.
+
+    The samples are filters by hash under limits that follow from counts, so no text is shuffled; the ids of the positive
+    sample (about `positives`, whatever the corpus) are broadcast.
+    """
     tune(docs.sparkSession)
-    flags = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_k")).agg(F.max(F.col(toxic).cast("int")).alias("_y"))
+    flags = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_k")).agg(F.max(F.col(toxic).cast("int")).alias("_y"))
+    prior, n_p = flags.agg(F.avg("_y"), F.sum("_y")).first()
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(flags, "_k", "left").select("_y", "text", F.xxhash64(F.col("_k").cast("string"), "text").alias("_h"))
-    prior = rows.where("_y IS NOT NULL").agg(F.avg("_y")).first()[0] or 0.0
-    sample = rows.where("_y = 1").orderBy("_h").limit(positives).union(rows.select(F.lit(0), "text", F.xxhash64(F.lit(1), "_h").alias("_h")).orderBy("_h").limit(unlabelled))
+    n_u = rows.count()
+    if not n_p or not n_u:
+        return Linear({}, 0.0, True)
+
+    def under(bound: int, n: int, seed: int):
+        return F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit(seed)), F.lit(1 << 40)) < bound * (1 << 40) // n
+
+    confirmed = flags.where((F.col("_y") == 1) & under(positives, n_p, 1)).select("_k")
+    sample = rows.join(F.broadcast(confirmed), "_k").select(F.lit(1).alias("_y"), "text").union(rows.where(under(unlabelled, n_u, 2)).select(F.lit(0), "text"))
 
     def make():
         features = Features()
