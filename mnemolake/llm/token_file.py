@@ -1,7 +1,7 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
 Texts are dealt out by ranges of the id and sorted, tokenised, and written by each task as segments of at most
-`segment` ids (a longer text has a segment of its own). Ids are encoded once for each run of non-white-space and task:
+`segment` ids (a longer text has a segment of its own). Ids are encoded once for each run of non-white-space and worker process:
 the tokenizer drops white space and no token spans it.
 
 A segment: magic, counts, the documents' lengths, the start of each block, then the blocks. A block holds BLOCK ids: its
@@ -17,6 +17,7 @@ doc_id stand in the order of their texts; an empty table writes no segment.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -28,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, flat_batches, map_batches, scratch, texts, tune
+from .common import documents, flat_batches, scratch, texts, tune
 
-MAGIC, BLOCK, PERCENTILE, SEGMENT, END_ID, CACHE = b"PFORIDS1", 256, 90, 1 << 21, 2, 400_000
+MAGIC, BLOCK, PERCENTILE, SEGMENT, END_ID, CACHE = b"PFORIDS1", 256, 90, 1 << 21, 2, 600_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -107,7 +108,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 
 
 class Encoder:
-    """A text's ids, each run of non-white-space encoded once per task.
+    """A text's ids, each run of non-white-space encoded once.
 
     The tokenizer lower-cases, and a run of marks after a letter or digit is a token of its own, so `Word`, `word.` and
     `word,` share the library's answer for `word`. Texts with `<|` keep their case, which special tokens depend on.
@@ -135,14 +136,20 @@ class Encoder:
 
     def batch(self, raw: list[bytes]) -> list[np.ndarray]:
         split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if new:
-            if len(self.known) > CACHE:
-                self.known.clear()
-                new = set(chain.from_iterable(split))
-            self.learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)) + self.end, "<u4") for ws in split]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        found = [list(map(self.known.get, ws)) for ws in split]
+        open_ = [i for i, got in enumerate(found) if None in got]
+        self.learn({w for i in open_ for w, e in zip(split[i], found[i], strict=True) if e is None})
+        for i in open_:
+            found[i] = map(self.known.__getitem__, split[i])
+        return [np.frombuffer(b"".join(got) + self.end, "<u4") for got in found]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path, end_id)
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -162,7 +169,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str =
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        enc, part, seg = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        enc, part, seg = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         names, sizes, held, total = [], [], [], 0
 
         def flush():
@@ -186,9 +193,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str =
     return spark.createDataFrame(rows, "part long, seg long, n_docs long, n_ids long, n_bytes long")
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    """part, seg, content of each file."""
+    name = r"part-(\d+)-(\d+)\.pfor$"
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select(F.regexp_extract("path", name, 1).cast("long").alias("part"), F.regexp_extract("path", name, 2).cast("long").alias("seg"), "content")
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of all segments: part, seg, at (ids before it in its segment), doc_id, ids."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select(F.regexp_extract("path", r"part-(\d+)-(\d+)\.pfor$", 1).cast("long").alias("part"), F.regexp_extract("path", r"part-(\d+)-(\d+)\.pfor$", 2).cast("long").alias("seg"), "content")
 
     def make():
         def run(batch):
@@ -204,24 +216,24 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
         return run
 
-    return flat_batches(raw, make, [("part", "long"), ("seg", "long"), ("at", "long"), ("doc_id", "long"), ("ids", "array<int>")])
+    return flat_batches(_segments(spark, folder), make, [("part", "long"), ("seg", "long"), ("at", "long"), ("doc_id", "long"), ("ids", "array<int>")])
 
 
 def digest(spark: SparkSession, folder: str) -> DataFrame:
-    """Read the files back: doc_id, start, n_tokens, ids_crc32."""
-    ids = read_tokens(spark, folder)
+    """Of the documents of all segments: part, seg, at, doc_id, n_tokens, ids_crc32."""
 
     def make():
         def run(batch):
-            col = batch.column(3)
-            flat, off = np.asarray(col.flatten()).astype("<u4"), np.asarray(col.offsets)
-            off = off - off[0]
-            return [np.diff(off), [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]]
+            for part, seg, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                names, sizes, ids = unpack_segment(data)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                flat = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(flat[4 * a : 4 * z]) for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                yield [[part] * len(names), [seg] * len(names), ends - sizes, names, sizes.astype(np.int64), crc]
 
         return run
 
-    rows = map_batches(ids.select("part", "seg", "at", "ids", "doc_id"), make, [("n_tokens", "long"), ("ids_crc32", "long")], ["part", "seg", "at", "doc_id"])
-    return rows
+    return flat_batches(_segments(spark, folder), make, [("part", "long"), ("seg", "long"), ("at", "long"), ("doc_id", "long"), ("n_tokens", "long"), ("ids_crc32", "long")])
 
 
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
