@@ -92,7 +92,7 @@ def agg_token_rarity(t):
 
 @query("agg_ngram_counts", """WITH w AS (SELECT character, turn, list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), x -> length(x) > 1), x -> lower(x)) AS tk FROM responses),
  g AS (SELECT character, turn, array_to_string(tk[i : i + 4], ' ') AS ngram FROM w, unnest(range(1, len(tk) - 3)) AS u(i) WHERE len(tk) >= 5), c AS (SELECT character, turn, ngram, count(*) AS f FROM g GROUP BY ALL)
- SELECT character, ngram, round(sum(least(1.0, 0.1 * f)), 6) AS weight, CAST(count(*) - 1 AS BIGINT) AS hit_count FROM c GROUP BY character, ngram""")
+ SELECT character, ngram, CAST(round(sum(least(1.0, 0.1 * f)), 6) AS DOUBLE) AS weight, CAST(count(*) - 1 AS BIGINT) AS hit_count FROM c GROUP BY character, ngram""")
 def agg_ngram_counts(t):
     """5-grams of each response: weight min(0.1 f, 1) a response; the first sighting counts no hit."""
     g = t["responses"].select("character", "turn", F.explode(ngrams(repeat_tokens(F.col("text")), 5)).alias("ngram")).groupBy("character", "turn", "ngram").agg(F.count(F.lit(1)).alias("f"))

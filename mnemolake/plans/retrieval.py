@@ -1 +1,207 @@
+"""Retrieval queries: full text, vectors, fusion, fallbacks and scopes."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.text import first_of, like, query_tokens
+from ..operators import search
+from ..schema import INTENT_BOOST, INTENT_CUES, NOW, TYPE_BOOST, TYPE_DECAY, sql_case
+from .catalog import query
+from .predicates import _any
+from .text import EI_SQL
+
+_TOKENS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+BM25 = f"""dt AS (SELECT id, f, {_TOKENS.format("x")} AS ts FROM (SELECT id, unnest([content, type, tags]) AS x, unnest([0, 1, 2]) AS f FROM memory)),
+ dz AS (SELECT id, sum(len(ts)) AS d FROM dt GROUP BY id), st AS (SELECT count(*) AS total, avg(d) AS mean FROM dz),
+ qw AS (SELECT query_id, unnest(regexp_split_to_array(q, '\\s+')) AS w FROM queries_fts), qp AS (SELECT query_id, {_TOKENS.format("w")} AS p FROM qw), qt AS (SELECT query_id, p, count(*) AS times FROM qp WHERE len(p) > 0 GROUP BY ALL),
+ ps AS (SELECT DISTINCT p FROM qt), po AS (SELECT id, f, i, ts, ts[i] AS token FROM dt, unnest(range(1, len(ts) + 1)) AS u(i)),
+ fr AS (SELECT p, id, count(*) AS f FROM po JOIN ps ON po.token = ps.p[1] WHERE ts[i : i + len(p) - 1] = p GROUP BY p, id), df AS (SELECT p, count(*) AS df FROM fr GROUP BY p),
+ bm AS (SELECT query_id, id, -sum(times * CASE WHEN ln((total - df + 0.5) / (df + 0.5)) > 0 THEN ln((total - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))) AS bm25
+  FROM fr JOIN df USING (p) JOIN dz USING (id) JOIN qt USING (p), st GROUP BY query_id, id),
+ ft AS (SELECT * FROM (SELECT query_id, bm.id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), bm.id) AS rank FROM bm JOIN memory m ON m.id = bm.id WHERE NOT archived) WHERE rank <= 10)"""
+
+
+def _dot(a, b):
+    return f"list_sum(list_transform(list_zip({a}, {b}), x -> CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
+
+
+KNN = f"""qv AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+ cs AS (SELECT query_id, v.id, v.type, v.weight, least(1.0, greatest(0.0, {_dot("embedding", "qv")} / (sqrt({_dot("embedding", "embedding")}) * sqrt({_dot("qv", "qv")})))) AS score FROM vectors v, qv),
+ kn AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM cs) WHERE rank <= 10)"""
+TIME = """tr AS (SELECT query_id, 1735689600.0 - 86400 * 3 AS lo, 1735689600.0 AS hi FROM queries_fts WHERE query_id % 4 = 0),
+ tm AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, last_accessed DESC, id) AS rank FROM memory JOIN tr ON created BETWEEN lo AND hi) WHERE rank <= 10)"""
+_PER_DAY, _FLOOR = sql_case({k: v[0] for k, v in TYPE_DECAY.items()}, "type", 0.05), sql_case({k: v[1] for k, v in TYPE_DECAY.items()}, "type", 0.2)
+_WANTED = "CASE intent " + " ".join(f"WHEN '{i}' THEN {sql_case(v, 'type', 1.0)}" for i, v in INTENT_BOOST.items()) + " ELSE 1.0 END"
+_INTENT = "CASE " + " ".join(f"WHEN {_any('lower(q)', w)} THEN '{i}'" for i, w in INTENT_CUES.items()) + " ELSE 'GENERAL' END"
+FUSED = f"""{BM25}, {KNN}, {TIME},
+ pa AS (SELECT query_id, id, 0 AS no, rank, CAST(0.3 / rank AS DOUBLE) AS raw FROM ft UNION ALL SELECT query_id, id, 1, rank, 0.7 * score FROM kn UNION ALL SELECT query_id, id, 2, rank, 1.0 FROM tm),
+ mg AS (SELECT query_id, id, min(no * 100 + rank) AS arrival, sum(raw) AS raw, sum(CASE WHEN no = 0 THEN raw ELSE 0 END) AS raw_fts, sum(CASE WHEN no = 1 THEN raw ELSE 0 END) AS raw_vector, sum(CASE WHEN no = 2 THEN raw ELSE 0 END) AS raw_time FROM pa GROUP BY query_id, id),
+ att AS (SELECT mg.*, arrival // 100 AS no, type, weight, content, valid_to, CASE WHEN arrival // 100 = 1 THEN 0 ELSE created END AS created, CASE WHEN arrival // 100 = 1 THEN 0 ELSE access_count END AS access_count, CASE WHEN arrival // 100 = 1 THEN 0 ELSE reinforcement END AS reinforcement,
+  CASE WHEN arrival // 100 = 1 THEN 0 ELSE last_accessed END AS last_accessed, CASE WHEN arrival // 100 = 1 THEN false ELSE long_term END AS long_term, {_INTENT} AS intent FROM mg JOIN memory USING (id) JOIN queries_fts USING (query_id)),
+ sg AS (SELECT *, 0.5 + 0.5 * weight AS s_weight, CASE WHEN no <> 2 AND created <> 0 AND (1735689600 - created) / 86400 > 0 THEN greatest({_FLOOR}, 1 - {_PER_DAY} * (1735689600 - created) / 86400) ELSE 1.0 END AS s_decay, {sql_case(TYPE_BOOST, "type", 1.0)} * {_WANTED} AS s_type,
+  CASE WHEN access_count > 0 THEN least(0.25, length(bin(access_count + 1)) * 0.05) ELSE 0 END + CASE WHEN reinforcement > 0 THEN least(0.15, reinforcement * 0.10) ELSE 0 END + CASE WHEN last_accessed > 0 AND 1735689600 - last_accessed < 604800 THEN 0.08 ELSE 0 END + CASE WHEN long_term THEN 0.05 ELSE 0 END AS s_use,
+  CASE WHEN created <> 0 AND (CAST(floor(created / 3600) AS BIGINT) % 24 <= 1 OR CAST(floor(created / 3600) AS BIGINT) % 24 >= 23) THEN 0.05 ELSE 0 END AS s_situation, {EI_SQL} AS s_ei FROM att),
+ sc AS (SELECT *, raw * s_weight * s_decay * s_type * (1 + s_use) * (1 + s_situation) AS score FROM sg),
+ rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arrival, id) AS place FROM sc WHERE score >= 0.3) WHERE place <= 5)"""
+
+
+def _found(t):
+    qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    times = t["queries_fts"].where("query_id % 4 = 0").select("query_id", F.lit(NOW - 86400 * 3).alias("lo"), F.lit(NOW).alias("hi"))
+    return search.scored(search.candidates(t["memory"], t["vectors"], t["queries_fts"], qv, times), t["queries_fts"], NOW)
+
+
+@query("fts_bm25", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM ft")
+def fts_bm25(t):
+    return search.fts(t["memory"], t["queries_fts"], 10).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query("bm25_all", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25 FROM bm")
+def bm25_all(t):
+    return search.bm25(t["memory"], t["queries_fts"]).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("knn_cosine", f"WITH {KNN} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM kn")
+def knn_cosine(t):
+    qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return search.knn(t["vectors"], qv, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("mean_pool", "SELECT CAST(label AS BIGINT) AS label, CAST(pos AS BIGINT) AS pos, round(avg(x), 5) AS mean FROM (SELECT label, unnest(range(0, 64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, pos")
+def mean_pool(t):
+    e = t["embeddings"].select("label", F.posexplode("embedding").alias("pos", "x"))
+    return e.groupBy(F.col("label").cast("long").alias("label"), F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+
+
+_SIGNALS = "round(raw_fts, 4) AS fts, round(raw_vector, 4) AS vector, round(raw_time, 4) AS time, round(s_weight, 4) AS base_weight, round(s_decay, 4) AS type_decay, round(s_type, 4) AS type_boost, round(s_use, 4) AS frequency, round(s_situation, 4) AS situational, round(s_ei, 4) AS ei"
+_DOUBLE = ", ".join(f"CAST({x.split(' AS ')[0]} AS DOUBLE) AS {x.split(' AS ')[1]}" for x in _SIGNALS.replace(", 4)", "| 4)").split(", ")).replace("| 4)", ", 4)")
+
+
+def _signals(df):
+    names = {"raw_fts": "fts", "raw_vector": "vector", "raw_time": "time", "s_weight": "base_weight", "s_decay": "type_decay", "s_type": "type_boost", "s_use": "frequency", "s_situation": "situational", "s_ei": "ei"}
+    return df.select("query_id", "id", *(F.round(c, 4).alias(n) for c, n in names.items()))
+
+
+@query("fusion_retrieve", f"WITH {FUSED} SELECT query_id, id, CAST(place AS INT) AS rank, round(score, 6) AS score, intent, CASE no WHEN 0 THEN 'fts' WHEN 1 THEN 'vector' ELSE 'time' END AS source FROM rk")
+def fusion_retrieve(t):
+    return search.retrieve(_found(t)).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "intent", "source")
+
+
+@query("fusion_signals", f"WITH {FUSED} SELECT query_id, id, {_DOUBLE} FROM sc")
+def fusion_signals(t):
+    return _signals(_found(t))
+
+
+_EXPLAIN = "array_to_string(list_filter([CASE WHEN raw_fts > 0 THEN 'text' END, CASE WHEN raw_vector > 0 THEN 'meaning' END, CASE WHEN raw_time > 0 THEN 'time' END, CASE WHEN s_use > 0 THEN 'used often' END, CASE WHEN s_situation > 0 THEN 'fits the hour' END], x -> x IS NOT NULL), '，')"
+
+
+@query("explain", f"WITH {FUSED} SELECT query_id, id, {_EXPLAIN} AS why FROM rk")
+def explain(t):
+    parts = [("raw_fts", "text"), ("raw_vector", "meaning"), ("raw_time", "time"), ("s_use", "used often"), ("s_situation", "fits the hour")]
+    return search.retrieve(_found(t)).select("query_id", "id", F.array_join(F.array_compact(F.array(*(F.when(F.col(c) > 0, F.lit(n)) for c, n in parts))), "，").alias("why"))
+
+
+@query("fusion_exclude", f"WITH {FUSED} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arrival, id) AS p2 FROM sc WHERE score >= 0.3 AND NOT contains(content, 'stupid')) WHERE p2 <= 5")
+def fusion_exclude(t):
+    """Rows that hold an excluded text score -1 before the cut."""
+    found = _found(t)
+    return search.retrieve(found.withColumn("score", F.when(F.col("content").contains("stupid"), -1.0).otherwise(F.col("score")))).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("topk_score", f"WITH {FUSED} SELECT query_id, CAST(count(*) AS BIGINT) AS n, round(max(score), 6) AS best FROM rk GROUP BY query_id")
+def topk_score(t):
+    return search.retrieve(_found(t)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query("rank_recip", f"WITH {BM25} SELECT query_id, id, CAST(round(0.3 / rank, 6) AS DOUBLE) AS contribution FROM ft")
+def rank_recip(t):
+    return search.fts(t["memory"], t["queries_fts"], 10).select("query_id", "id", F.round(0.3 / F.col("rank"), 6).alias("contribution"))
+
+
+_KW = """tk AS (SELECT query_id, w, i FROM (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), x -> length(x) >= 2)) AS ws FROM queries_fts WHERE regexp_full_match(q, '[A-Za-z0-9 ]*')), unnest(ws) WITH ORDINALITY AS u(w, i)),
+ ms AS (SELECT DISTINCT w FROM tk), hit AS (SELECT w, id, weight FROM ms JOIN memory ON contains(lower(content), w) AND NOT archived), dfk AS (SELECT w, count(*) AS df FROM hit GROUP BY w),
+ t3 AS (SELECT * FROM (SELECT w, id, row_number() OVER (PARTITION BY w ORDER BY weight DESC, id DESC) AS r FROM hit) WHERE r <= 3),
+ od AS (SELECT query_id, id, min(CAST(df AS BIGINT) * 1000000 + i * 1000 + r) AS o FROM tk JOIN dfk USING (w) JOIN t3 USING (w) GROUP BY query_id, id)"""
+
+
+@query("kw_fallback", f"WITH {_KW} SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(0.45 AS DOUBLE) AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS rank FROM od) WHERE rank <= 5")
+def kw_fallback(t):
+    """Rarest query words first, three rows of each, until the query has its rows: one ranked join instead of a loop."""
+    q = t["queries_fts"].where(F.col("q").rlike("^[A-Za-z0-9 ]*$"))
+    words = q.select("query_id", F.posexplode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("q"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 2))).alias("i", "w"))
+    hit = t["memory"].where("NOT archived").join(F.broadcast(words.select("w").distinct()), like(F.col("content"), F.col("w"))).select("w", "id", "weight")
+    df = hit.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    best = search.ranked(hit, [F.desc("weight"), F.desc("id")], 3, "w")
+    order = words.join(df, "w").join(best, "w").groupBy("query_id", "id").agg(F.min(F.col("df") * 1_000_000 + (F.col("i") + 1) * 1000 + F.col("rank")).alias("o"))
+    return search.ranked(order, [F.col("o"), F.col("id")], 5).select("query_id", "id", "rank", F.lit(0.45).alias("score"))
+
+
+@query("unified_lexical", f"WITH {BM25} SELECT ft.query_id, ft.id, CAST(round(0.3 / ft.rank, 6) AS DOUBLE) AS score FROM ft JOIN memory m ON m.id = ft.id WHERE m.valid_to IS NULL OR m.valid_to > 1735689600")
+def unified_lexical(t):
+    live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
+    return search.fts(t["memory"], t["queries_fts"], 10).join(live, "id", "left_semi").select("query_id", "id", F.round(0.3 / F.col("rank"), 6).alias("score"))
+
+
+@query("unified_temporal", f"WITH {FUSED}, r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arrival, id) AS p2 FROM sc WHERE score >= 0.3) WHERE p2 <= 10), lv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p2) AS p3 FROM r2 WHERE valid_to IS NULL OR valid_to > 1735689600) SELECT query_id, id, CAST(p3 AS INT) AS rank, round(score, 6) AS score FROM lv WHERE p3 <= 5")
+def unified_temporal(t):
+    """Twice the rows, then those that are still valid: the filter stands after the cut, as it changes the result."""
+    live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
+    return search.ranked(search.retrieve(_found(t), k=10).withColumnRenamed("rank", "p2").join(live, "id", "left_semi"), [F.col("p2")], 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+_SEM = "se AS (SELECT query_id, id, score FROM rk), cn AS (SELECT query_id, count(*) AS n FROM se GROUP BY query_id)"
+_GRAPH = "gr AS (SELECT query_id, id, CAST(weight AS DOUBLE) AS score FROM (SELECT q.query_id, e.target AS id, e.weight, row_number() OVER (PARTITION BY q.query_id ORDER BY e.weight DESC, e.target) AS r FROM queries_fts q JOIN project_edges e ON e.source % 20 = q.query_id) WHERE r <= 5 AND weight >= 0.2)"
+
+
+@query("unified_auto", f"""WITH {FUSED}, {_SEM}, {_GRAPH}, need AS (SELECT q.query_id FROM queries_fts q LEFT JOIN cn USING (query_id) WHERE coalesce(n, 0) < 3 OR {_INTENT} = 'ENTITY'),
+ u AS (SELECT query_id, id, score FROM se UNION ALL SELECT query_id, id, score FROM gr WHERE query_id IN (SELECT query_id FROM need)), b AS (SELECT query_id, id, max(score) AS score FROM u GROUP BY query_id, id),
+ v AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, b.id) AS rank FROM b JOIN memory m ON m.id = b.id WHERE score > 0 AND (m.valid_to IS NULL OR m.valid_to > 1735689600)) SELECT query_id, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM v WHERE rank <= 5""")
+def unified_auto(t):
+    """Semantic rows; queries with fewer than three of them, or about an entity, also take graph rows. No driver round trip."""
+    se = search.retrieve(_found(t)).select("query_id", "id", "score")
+    q = t["queries_fts"]
+    need = q.join(se.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < 3) | (first_of(F.lower("q"), INTENT_CUES, "GENERAL") == "ENTITY")).select("query_id")
+    e = t["project_edges"].withColumn("query_id", F.col("source") % 20).join(F.broadcast(q.select("query_id")), "query_id", "left_semi").select("query_id", F.col("target").alias("id"), F.col("weight").alias("score"))
+    gr = search.ranked(e, [F.desc("score"), F.col("id")], 5).where("score >= 0.2").join(need, "query_id", "left_semi").select("query_id", "id", "score")
+    best = se.union(gr).groupBy("query_id", "id").agg(F.max("score").alias("score")).where("score > 0")
+    live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
+    return search.ranked(best.join(live, "id", "left_semi"), [F.desc(F.round("score", 9)), F.col("id")], 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("join_merge_paths", f"WITH {FUSED} SELECT query_id, id, round(raw, 6) AS raw, CAST(no AS INT) AS first_path FROM sc")
+def join_merge_paths(t):
+    return _found(t).select("query_id", "id", F.round("raw", 6).alias("raw"), F.col("arrival.no").alias("first_path"))
+
+
+@query("search_skills", """WITH q AS (SELECT * FROM (VALUES (1, 'brand-12'), (2, 'steel'), (3, 'size 7 copper')) v(query_id, q)), tk AS (SELECT query_id, q, list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+(?:-[a-z0-9]+)*'), x -> length(x) >= 2)) AS ws FROM q),
+ s AS (SELECT query_id, id, CAST(len(ws) AS INT) AS n, CASE WHEN contains(name, q) THEN 6 ELSE 0 END + CAST(list_sum(list_transform(ws, x -> CASE WHEN contains(name, x) THEN 3 ELSE 0 END + CASE WHEN contains(lower(description), x) THEN 2 ELSE 0 END + CASE WHEN contains(lower(body), x) THEN 1 ELSE 0 END)) AS INT) AS s FROM skills, tk)
+ SELECT query_id, id, CAST(least(6 + 2 * n + 3, s) AS INT) AS score FROM s WHERE s > 0""")
+def search_skills(t):
+    """Name over description over body, capped."""
+    q = t["skills"].sparkSession.createDataFrame([(1, "brand-12"), (2, "steel"), (3, "size 7 copper")], "query_id int, q string").withColumn("ws", query_tokens(F.col("q")))
+    s = t["skills"].join(F.broadcast(q))
+    point = lambda x: F.when(F.col("name").contains(x), 3).otherwise(0) + F.when(F.lower("description").contains(x), 2).otherwise(0) + F.when(F.lower("body").contains(x), 1).otherwise(0)
+    total = F.when(F.col("name").contains(F.col("q")), 6).otherwise(0) + F.aggregate(F.transform("ws", point), F.lit(0), lambda a, b: a + b)
+    return s.select("query_id", "id", total.alias("s"), F.size("ws").alias("n")).where("s > 0").select("query_id", "id", F.least(6 + 2 * F.col("n") + 3, F.col("s")).cast("int").alias("score"))
+
+
+@query("anti_repeat_check", """WITH w AS (SELECT character, turn, list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), x -> length(x) > 1), x -> lower(x)) AS tk FROM responses),
+ g AS (SELECT character, turn, array_to_string(tk[i : i + 4], ' ') AS ngram FROM w, unnest(range(1, len(tk) - 3)) AS u(i) WHERE len(tk) >= 5), mx AS (SELECT character, max(turn) AS last FROM g GROUP BY character),
+ o AS (SELECT character, turn, ngram, count(*) AS f FROM g JOIN mx USING (character) WHERE turn < last GROUP BY ALL), c0 AS (SELECT character, ngram, sum(least(1.0, 0.1 * f)) AS w, count(*) - 1 AS h FROM o GROUP BY ALL),
+ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY character ORDER BY w DESC, ngram) AS r FROM c0) WHERE r <= 500), st AS (SELECT character, count(*) AS n, sum(h) / count(*) AS a FROM c GROUP BY character),
+ x AS (SELECT g.character, g.ngram, c.w, c.h, st.n, st.a FROM g JOIN mx ON mx.character = g.character AND g.turn = mx.last JOIN st ON st.character = g.character LEFT JOIN c ON c.character = g.character AND c.ngram = g.ngram)
+ SELECT character, CAST(round(sum(CASE WHEN w IS NULL THEN 0 ELSE w * ln((n - h + 0.5) / (h + 0.5) + 1) * 1.5 / (1 + 1.5 * (0.25 + 0.75 / greatest(a, 1))) END) / count(*), 4) AS DOUBLE) AS score FROM x GROUP BY character""")
+def anti_repeat_check(t):
+    """The last response of each character against the 500 heaviest 5-grams of those before."""
+    from ..functions.text import ngrams, repeat_tokens
+
+    g = t["responses"].select("character", "turn", F.explode(ngrams(repeat_tokens(F.col("text")), 5)).alias("ngram"))
+    g = g.withColumn("last", F.max("turn").over(Window.partitionBy("character")))
+    old = g.where("turn < last").groupBy("character", "turn", "ngram").agg(F.count(F.lit(1)).alias("f")).groupBy("character", "ngram").agg(F.sum(F.least(F.lit(1.0), 0.1 * F.col("f"))).alias("w"), (F.count(F.lit(1)) - 1).alias("h"))
+    c = search.ranked(old, [F.desc("w"), F.col("ngram")], 500, "character")
+    st = c.groupBy("character").agg(F.count(F.lit(1)).alias("n"), (F.sum("h") / F.count(F.lit(1))).alias("a"))
+    x = g.where("turn = last").join(st, "character").join(c.select("character", "ngram", "w", "h"), ["character", "ngram"], "left")
+    s = F.col("w") * F.log((F.col("n") - F.col("h") + 0.5) / (F.col("h") + 0.5) + 1) * 1.5 / (1 + 1.5 * (0.25 + 0.75 / F.greatest("a", F.lit(1.0))))
+    return x.groupBy("character").agg(F.round(F.sum(F.coalesce(s, F.lit(0.0))) / F.count(F.lit(1)), 4).alias("score"))
