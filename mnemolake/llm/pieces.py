@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_batches, texts, tune
 
-MARK, WORST, UNKNOWN, CACHE, LONG = "▁", -1e8, 10.0, 400_000, 64
+MARK, WORST, UNKNOWN, CACHE, LONG = "▁", -1e8, 10.0, 600_000, 64
 
 
 class Pieces:
@@ -101,15 +101,22 @@ class Pieces:
         return out
 
 
-class Codec:
-    """Encodes and decodes; keeps the ids of words it has seen."""
+class Codec(dict):
+    """Encodes and decodes; holds the ids, as bytes, of the words that its worker has met."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
+        super().__init__()
+        self.pieces = pieces
 
     def word(self, w: str) -> bytes:
         return np.array([i for part in self.pieces.stream(w) for i in part], "<u4").tobytes()
 
+    def __missing__(self, w: str) -> bytes:
+        ids = self.word(w)
+        if len(w) <= LONG:
+            self[w] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
@@ -120,18 +127,9 @@ class Codec:
             ws = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)
         else:
             ws = [MARK + w for w in marked[1:].split(MARK)]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        out = []
-        for w in ws:
-            b = known.get(w)
-            if b is None:
-                b = self.word(w)
-                if len(w) <= LONG:
-                    known[w] = b
-            out.append(b)
-        return np.frombuffer(b"".join(out), "<u4")
+        if len(self) > CACHE:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, ws)), "<u4")
 
     def decode(self, ids) -> str:
         out, p = [], self.pieces
