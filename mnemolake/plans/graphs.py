@@ -1 +1,173 @@
+"""Graph queries: ranking, communities, candidates, project edges, export."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import graph
+from ..operators.search import ranked
+from ..schema import KIND_RULES, lookup
+from .catalog import query
+
+SEEDS = 5
+
+
+def _ppr_sql(steps: int = graph.ITERATIONS) -> str:
+    out = [
+        f"sd AS MATERIALIZED (SELECT DISTINCT src AS id FROM eg_edges WHERE src <= {SEEDS}), sh AS (SELECT 1.0 / count(*) AS share FROM sd), ee AS MATERIALIZED (SELECT src, dst, greatest(0.0, weight) AS w FROM eg_edges), tt AS (SELECT src, sum(w) AS total FROM ee GROUP BY src)",
+        "nn AS MATERIALIZED (SELECT src, dst, CASE WHEN total > 0 THEN w / total ELSE w END AS w FROM ee JOIN tt USING (src)), p0 AS MATERIALIZED (SELECT id, CAST(share AS DOUBLE) AS p FROM sd, sh)",
+    ]
+    for i in range(steps):
+        out.append(f"p{i + 1} AS MATERIALIZED (SELECT id, sum(p) AS p FROM (SELECT dst AS id, 0.85 * p * w AS p FROM p{i} JOIN nn ON nn.src = p{i}.id UNION ALL SELECT sd.id, share * (0.15 + 0.85 * coalesce((SELECT sum(p) FROM p{i} WHERE id NOT IN (SELECT src FROM nn)), 0)) FROM sd, sh) GROUP BY id)")
+    return ", ".join(out)
+
+
+def _seeds(t):
+    return t["eg_edges"].where(f"src <= {SEEDS}").select(F.col("src").alias("id")).distinct()
+
+
+@query("ppr", f"WITH {_ppr_sql()} SELECT id AS entity_id, round(p, 6) AS score FROM p20 WHERE p > 1e-9")
+def ppr(t):
+    return graph.personalized_pagerank(t["eg_edges"], _seeds(t)).where("p > 1e-9").select(F.col("id").alias("entity_id"), F.round("p", 6).alias("score"))
+
+
+@query("spread_activation", f"""WITH {_ppr_sql()}, ac AS (SELECT id, greatest(CASE WHEN id IN (SELECT id FROM sd) THEN 1.0 ELSE 0 END, least(1.0, p)) AS a FROM p20 WHERE p > 1e-9), cc AS (SELECT memory_id, count(DISTINCT entity_id) AS n FROM eg_episodic_entities GROUP BY memory_id),
+ rw AS (SELECT memory_id, sum(a * link_weight) AS g FROM eg_episodic_entities l JOIN ac ON ac.id = l.entity_id GROUP BY memory_id), fs AS (SELECT memory_id AS id, g, g + 0.15 * importance + 0.1 * greatest(0, n - 1) AS f, n FROM rw JOIN cc USING (memory_id) JOIN eg_episodic e ON e.id = memory_id)
+ SELECT id, round(g, 5) AS graph_score, round(f, 5) AS final_score, CAST(n AS BIGINT) AS entity_count FROM fs""")
+def spread_activation(t):
+    seeds = _seeds(t).withColumn("seed", F.lit(1.0))
+    p = graph.personalized_pagerank(t["eg_edges"], seeds).where("p > 1e-9")
+    act = p.join(seeds, "id", "left").select("id", F.greatest(F.coalesce("seed", F.lit(0.0)), F.least(F.lit(1.0), "p")).alias("activation"))
+    return graph.spread(act, t["eg_episodic_entities"], t["eg_episodic"]).select("id", F.round("graph_score", 5).alias("graph_score"), F.round("final_score", 5).alias("final_score"), "entity_count")
+
+
+def _lpa_sql(rounds: int = 5) -> str:
+    out = ["bo AS MATERIALIZED (SELECT src AS id, dst AS other FROM eg_edges UNION SELECT dst, src FROM eg_edges UNION SELECT src, src FROM eg_edges UNION SELECT dst, dst FROM eg_edges), l0 AS MATERIALIZED (SELECT DISTINCT id, id AS label FROM bo)"]
+    for i in range(rounds):
+        out.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT bo.id, label, row_number() OVER (PARTITION BY bo.id ORDER BY count(*) DESC, label) AS r FROM bo JOIN l{i} ON l{i}.id = bo.other GROUP BY bo.id, label) WHERE r = 1)")
+    return ", ".join(out)
+
+
+@query("label_prop", f"WITH {_lpa_sql()} SELECT id, label FROM l5")
+def label_prop(t):
+    return graph.label_propagation(t["eg_edges"])
+
+
+@query("episodic_consolidation", "SELECT src, dst, round(weight, 6) AS weight FROM eg_edges WHERE co_occurrence_count > 1")
+def episodic_consolidation(t):
+    """Co-occurrence edges of the entities of one memory, 0.1 x importance each, capped at 1."""
+    e = t["eg_episodic_entities"]
+    pair = e.alias("a").join(e.alias("b"), (F.col("a.memory_id") == F.col("b.memory_id")) & (F.col("a.entity_id") < F.col("b.entity_id")))
+    pair = pair.select(F.col("a.memory_id").alias("id"), F.col("a.entity_id").alias("src"), F.col("b.entity_id").alias("dst")).join(t["eg_episodic"], "id")
+    out = pair.groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum(0.1 * F.col("importance"))).alias("weight"), F.count(F.lit(1)).alias("n"))
+    return out.where("n > 1").select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query("join_entity_alias", "WITH a AS (SELECT entity_id, count(*) AS n FROM eg_aliases GROUP BY entity_id) SELECT DISTINCT e.id, e.name, CAST(coalesce(a.n, 0) AS BIGINT) AS aliases FROM eg_entities e LEFT JOIN eg_aliases l ON l.entity_id = e.id LEFT JOIN a ON a.entity_id = e.id WHERE e.name = 'Brand#12 30' OR l.alias = 'alias 30'")
+def join_entity_alias(t):
+    n = t["eg_aliases"].groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    e = t["eg_entities"].join(t["eg_aliases"].withColumnRenamed("entity_id", "id"), "id", "left").where("name = 'Brand#12 30' OR alias = 'alias 30'").select("id", "name").distinct()
+    return e.join(n, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("aliases"))
+
+
+@query("join_alias_entity", "SELECT a.entity_id, a.alias, e.name FROM eg_aliases a JOIN eg_entities e ON e.id = a.entity_id")
+def join_alias_entity(t):
+    return t["eg_aliases"].join(t["eg_entities"], F.col("entity_id") == F.col("id")).select("entity_id", "alias", "name")
+
+
+@query("join_episodic", "SELECT e.id, l.entity_id, round(l.link_weight, 6) AS link_weight FROM eg_episodic e JOIN eg_episodic_entities l ON l.memory_id = e.id WHERE l.entity_id IN (SELECT p_partkey FROM part WHERE p_partkey % 40 = 0)")
+def join_episodic(t):
+    active = t["part"].where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("entity_id"))
+    links = t["eg_episodic_entities"].join(active, "entity_id", "left_semi")
+    return t["eg_episodic"].select("id").join(links, F.col("id") == F.col("memory_id")).select("id", "entity_id", F.round("link_weight", 6).alias("link_weight"))
+
+
+_SURFACE = [(1, "brand#12"), (2, "Brand#34 17"), (3, "the Brand#22 1 of old")]
+
+
+@query("join_contains", "WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in _SURFACE) + """) v(query_id, surface)), c AS (SELECT query_id, id, least(length(name), length(surface)) / greatest(length(name), length(surface)) AS sim FROM s JOIN eg_entities ON contains(lower(name), lower(surface)) OR contains(lower(surface), lower(name)))
+ SELECT query_id, id, CAST(round(sim, 6) AS DOUBLE) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM c) WHERE r <= 5""")
+def join_contains(t):
+    """A stated set of surfaces against all names: containment either way, score by length, five each."""
+    s = t["part"].sparkSession.createDataFrame(_SURFACE, "query_id int, surface string")
+    a, b = F.lower("name"), F.lower("surface")
+    c = t["eg_entities"].join(F.broadcast(s), a.contains(b) | b.contains(a))
+    c = c.select("query_id", "id", (F.least(F.length("name"), F.length("surface")) / F.greatest(F.length("name"), F.length("surface"))).alias("sim"))
+    return ranked(c, [F.desc("sim"), F.col("id")], 5).select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
+@query("entity_candidates", "WITH s AS (SELECT * FROM (VALUES (1, 'alias 30'), (2, 'nobody')) v(query_id, surface)) SELECT DISTINCT query_id, e.id, CAST(1 AS DOUBLE) AS sim FROM s JOIN eg_entities e ON true LEFT JOIN eg_aliases l ON l.entity_id = e.id WHERE e.name = surface OR l.alias = surface")
+def entity_candidates(t):
+    """Exact name or alias as two equi-joins."""
+    s = t["part"].sparkSession.createDataFrame([(1, "alias 30"), (2, "nobody")], "query_id int, surface string")
+    names = t["eg_entities"].select("id", F.col("name").alias("surface")).union(t["eg_aliases"].select("entity_id", "alias"))
+    return names.join(F.broadcast(s), "surface").select("query_id", "id", F.lit(1.0).alias("sim")).distinct()
+
+
+@query("project_auto_link", """WITH m AS (SELECT id, content, weight, regexp_extract(tags, 'v5_project:([^,]*)', 1) AS project, regexp_extract(tags, 'v5_kind:([^,]*)', 1) AS kind, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), x -> length(x) >= 2)) AS tk FROM memory WHERE NOT archived),
+ n AS (SELECT * FROM m WHERE id % 100 = 1), o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY weight DESC, id DESC) AS r FROM m),
+ c AS (SELECT n.id AS source, o.id AS target, n.kind, o.kind AS other, o.weight AS w, CAST(len(list_intersect(n.tk, o.tk)) AS INT) AS overlap FROM n JOIN o ON o.project = n.project AND o.id <> n.id AND o.kind <> n.kind WHERE o.r <= 200),
+ k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, target DESC) AS rn FROM c WHERE overlap >= 2)
+ SELECT source, target, CASE WHEN kind IN ('decision', 'idea') AND other = 'pitfall' THEN 'SOLVES' WHEN kind = 'convention' AND other = 'pitfall' THEN 'PREVENTS' WHEN kind = 'pitfall' AND other = 'decision' THEN 'CAUSED_BY' ELSE 'RELATES_TO' END AS relation, CAST(round(least(0.9, 0.4 + 0.1 * overlap), 6) AS DOUBLE) AS weight FROM k WHERE rn <= 5""")
+def project_auto_link(t):
+    """New notes against the 200 heaviest of their project, other kinds, two shared tokens at least, first five."""
+    tokens = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 2))
+    m = t["memory"].where("NOT archived").select("id", "weight", F.regexp_extract("tags", "v5_project:([^,]*)", 1).alias("project"), F.regexp_extract("tags", "v5_kind:([^,]*)", 1).alias("kind"), tokens.alias("tk"))
+    new = m.where("id % 100 = 1").select(F.col("id").alias("source"), "project", F.col("kind").alias("k1"), F.col("tk").alias("t1"))
+    old = ranked(m, [F.desc("weight"), F.desc("id")], 200, "project")
+    c = new.join(old, "project").where("id <> source AND kind <> k1").withColumn("overlap", F.size(F.array_intersect("t1", "tk"))).where("overlap >= 2").drop("rank")
+    relation = lookup({"|".join(k): v for k, v in KIND_RULES.items()}, F.concat_ws("|", "k1", "kind"), "RELATES_TO")
+    return ranked(c, [F.desc("weight"), F.desc("id")], 5, "source").select("source", F.col("id").alias("target"), relation.alias("relation"), F.round(F.least(F.lit(0.9), 0.4 + 0.1 * F.col("overlap")), 6).alias("weight"))
+
+
+@query("project_traverse", "SELECT e.source AS id, e.target AS other, 'out' AS direction, e.relation, substr(m.content, 1, 200) AS content FROM project_edges e JOIN memory m ON m.id = e.target UNION ALL SELECT e.target, e.source, 'in', e.relation, substr(m.content, 1, 200) FROM project_edges e JOIN memory m ON m.id = e.source")
+def project_traverse(t):
+    e, m = t["project_edges"], t["memory"].select(F.col("id").alias("other"), F.substring("content", 1, 200).alias("content"))
+    both = e.select(F.col("source").alias("id"), F.col("target").alias("other"), F.lit("out").alias("direction"), "relation").union(e.select("target", "source", F.lit("in"), "relation"))
+    return both.join(m, "other").select("id", "other", "direction", "relation", "content")
+
+
+@query("project_graph_search", """WITH h AS (SELECT id, CAST(0.8 AS DOUBLE) AS score FROM memory WHERE contains(tags, 'v5_project:src3') AND contains(lower(content), 'er')), n AS (SELECT target AS id, CAST(0.5 AS DOUBLE) AS score FROM project_edges JOIN h ON h.id = source UNION SELECT source, 0.5 FROM project_edges JOIN h ON h.id = target)
+ SELECT id, max(score) AS score FROM (SELECT * FROM h UNION ALL SELECT * FROM n) GROUP BY id""")
+def project_graph_search(t):
+    h = t["memory"].where(F.col("tags").contains("v5_project:src3") & F.lower("content").contains("er")).select("id", F.lit(0.8).alias("score"))
+    e = t["project_edges"]
+    ends = e.select(F.col("source").alias("id"), "target").union(e.select("target", "source"))
+    near = ends.join(h.select("id"), "id", "left_semi").select(F.col("target").alias("id"), F.lit(0.5).alias("score"))
+    return h.union(near).groupBy("id").agg(F.max("score").alias("score"))
+
+
+@query("graph_export", """WITH tg AS (SELECT id, unnest(list_filter([concat('v5_customer:', CAST(id // 12 AS VARCHAR)), regexp_extract(tags, '(v5_project:[^,]*)', 1)], x -> x <> '')) AS tag FROM memory), g AS (SELECT tag, count(*) AS n FROM tg GROUP BY tag),
+ p AS (SELECT a.tag, a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.tag ORDER BY a.id, b.id) AS r FROM tg a JOIN tg b ON a.tag = b.tag AND a.id < b.id JOIN g ON g.tag = a.tag WHERE n BETWEEN 2 AND 20)
+ SELECT concat('mem_', CAST(i AS VARCHAR)) AS source, concat('mem_', CAST(j AS VARCHAR)) AS target, 'SAME_TAG' AS relation FROM p WHERE r <= 50
+ UNION ALL SELECT concat('proj_', substr(tag, 12)), concat('mem_', CAST(id AS VARCHAR)), 'BELONGS_TO' FROM tg WHERE starts_with(tag, 'v5_project:')
+ UNION ALL SELECT concat('mem_', CAST(m.id AS VARCHAR)), concat('mem_', CAST(source_memory_id AS VARCHAR)), 'REFLECTED' FROM memory m WHERE source_memory_id IN (SELECT id FROM memory)""")
+def graph_export(t):
+    """Links of the node-link export. Tag groups of more than 20 make no pairs, so the self-join is bounded by 20 a group."""
+    tags = F.filter(F.array(F.concat(F.lit("v5_customer:"), F.floor(F.col("id") / 12).cast("string")), F.regexp_extract("tags", "(v5_project:[^,]*)", 1)), lambda x: x != "")
+    tg = t["memory"].select("id", F.explode(tags).alias("tag"))
+    small = tg.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 20").select("tag")
+    s = tg.join(small, "tag", "left_semi")
+    pairs = s.alias("a").join(s.alias("b"), (F.col("a.tag") == F.col("b.tag")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.tag").alias("tag"), F.col("a.id").alias("i"), F.col("b.id").alias("j"))
+    pairs = ranked(pairs, [F.col("i"), F.col("j")], 50, "tag")
+    mem = lambda c: F.concat(F.lit("mem_"), F.col(c).cast("string"))
+    same = pairs.select(mem("i").alias("source"), mem("j").alias("target"), F.lit("SAME_TAG").alias("relation"))
+    belong = tg.where(F.startswith("tag", F.lit("v5_project:"))).select(F.concat(F.lit("proj_"), F.substring("tag", 12, 100)), mem("id"), F.lit("BELONGS_TO"))
+    ids = t["memory"].select(F.col("id").alias("source_memory_id"))
+    reflected = t["memory"].where("source_memory_id IS NOT NULL").join(ids, "source_memory_id", "left_semi").select(mem("id"), mem("source_memory_id"), F.lit("REFLECTED"))
+    return same.union(belong).union(reflected)
+
+
+@query("anti_vector_missing", "SELECT id FROM memory WHERE id NOT IN (SELECT vec_id FROM embeddings)")
+def anti_vector_missing(t):
+    return t["memory"].select("id").join(t["embeddings"].select(F.col("vec_id").alias("id")), "id", "left_anti")
+
+
+@query("asof_join", "WITH k AS (SELECT e.event_id, o.o_orderkey, row_number() OVER (PARTITION BY e.event_id ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS r FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts) SELECT event_id, o_orderkey AS last_order FROM k WHERE r = 1")
+def asof_join(t):
+    """The last order before each event, as one sorted pass by key over both tables instead of a range join."""
+    o = t["orders"].select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts"), F.lit(0).alias("side"), F.col("o_orderkey").alias("key"), F.lit(None).cast("long").alias("event_id"))
+    e = t["events"].select(F.col("user_id").alias("k"), "ts", F.lit(1).alias("side"), F.lit(None).cast("long").alias("key"), "event_id")
+    w = Window.partitionBy("k").orderBy("ts", "side", "key").rowsBetween(Window.unboundedPreceding, 0)
+    return o.union(e).withColumn("last_order", F.last("key", ignorenulls=True).over(w)).where("side = 1 AND last_order IS NOT NULL").select("event_id", "last_order")
