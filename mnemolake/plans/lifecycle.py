@@ -1 +1,132 @@
+"""Lifecycle and maintenance: one pass over a snapshot each."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.text import importance
+from ..schema import DAY, NOW, SOUL_TYPES
+from .catalog import query
+from .text import EI_SQL
+
+_DEMOTE = "long_term AND access_count = 0 AND last_accessed <> 0 AND (1735689600 - last_accessed) / 86400 > 90"
+_PROMOTE = f"short_term AND (access_count >= 2 OR weight >= 0.55 OR reinforcement >= 1 OR (1735689600 - created) / 86400 > 30 OR {EI_SQL} >= 0.6)"
+_ARCHIVE = "type NOT IN ('identity', 'axiom', 'rule') AND (type = 'conversation' AND (1735689600 - created) / 86400 > 7 OR type = 'decision' AND (1735689600 - created) / 86400 > 30 OR weight < 0.45)"
+
+
+def retention(memory, now: float):
+    """action and the new flags; demotion before promotion before archiving."""
+    days = (F.lit(now) - F.col("created")) / DAY
+    cold = (F.lit(now) - F.col("last_accessed")) / DAY
+    ei = importance(F.col("weight"), F.col("access_count"), F.col("last_accessed"), now, F.col("reinforcement"))
+    demote = F.col("long_term") & (F.col("access_count") == 0) & (F.col("last_accessed") != 0) & (cold > 90)
+    promote = F.col("short_term") & ((F.col("access_count") >= 2) | (F.col("weight") >= 0.55) | (F.col("reinforcement") >= 1) | (days > 30) | (ei >= 0.6))
+    archive = ~F.col("type").isin(SOUL_TYPES) & (((F.col("type") == "conversation") & (days > 7)) | ((F.col("type") == "decision") & (days > 30)) | (F.col("weight") < 0.45))
+    action = F.when(F.col("archived"), "skip").when(demote, "demote").when(promote, "promote").when(archive, "archive").otherwise("keep")
+    return memory.withColumn("action", action).withColumn("long_term", F.when(F.col("action") == "promote", True).when(F.col("action") == "demote", False).otherwise(F.col("long_term"))).withColumn(
+        "short_term", F.when(F.col("action") == "promote", False).when(F.col("action") == "demote", True).otherwise(F.col("short_term"))
+    ).withColumn("archived", F.col("archived") | (F.col("action") == "archive"))
+
+
+@query("life_retention", f"""WITH a AS (SELECT *, CASE WHEN archived THEN 'skip' WHEN {_DEMOTE} THEN 'demote' WHEN {_PROMOTE} THEN 'promote' WHEN {_ARCHIVE} THEN 'archive' ELSE 'keep' END AS action FROM memory)
+ SELECT id, action, CASE action WHEN 'promote' THEN true WHEN 'demote' THEN false ELSE long_term END AS long_term, CASE action WHEN 'promote' THEN false WHEN 'demote' THEN true ELSE short_term END AS short_term, archived OR action = 'archive' AS archived FROM a""")
+def life_retention(t):
+    return retention(t["memory"], NOW).select("id", "action", "long_term", "short_term", "archived")
+
+
+@query("life_promote", "SELECT id, CASE WHEN short_term AND NOT archived AND (weight >= 0.55 OR access_count >= 2) THEN true ELSE long_term END AS long_term FROM memory")
+def life_promote(t):
+    up = F.col("short_term") & ~F.col("archived") & ((F.col("weight") >= 0.55) | (F.col("access_count") >= 2))
+    return t["memory"].select("id", F.when(up, True).otherwise(F.col("long_term")).alias("long_term"))
+
+
+@query("life_cleanup", f"SELECT id, archived OR {_ARCHIVE} AS archived FROM memory")
+def life_cleanup(t):
+    return t["memory"].select("id", F.expr(f"archived OR ({_ARCHIVE})").alias("archived"))
+
+
+@query("life_mem_promote", "SELECT id, CASE WHEN NOT d AND (access_count >= 3 OR reinforcement >= 1 OR created > 0 AND 1735689600 - created > 2592000) AND NOT long_term THEN true WHEN d THEN access_count >= 3 OR reinforcement >= 1 OR created > 0 AND 1735689600 - created > 2592000 ELSE long_term END AS long_term FROM (SELECT *, long_term AND access_count = 0 AND last_accessed > 0 AND 1735689600 - last_accessed > 7776000 AS d FROM memory)")
+def life_mem_promote(t):
+    """Demote first, then promote what is not long-term by then."""
+    cold = F.col("long_term") & (F.col("access_count") == 0) & (F.col("last_accessed") > 0) & (F.lit(NOW) - F.col("last_accessed") > 90 * DAY)
+    up = (F.col("access_count") >= 3) | (F.col("reinforcement") >= 1) | ((F.col("created") > 0) & (F.lit(NOW) - F.col("created") > 30 * DAY))
+    return t["memory"].select("id", ((F.col("long_term") & ~cold) | up).alias("long_term"))
+
+
+@query("life_supersede", "SELECT id, CASE WHEN id % 10 = 3 AND valid_to IS NULL THEN CAST(1735689600 AS DOUBLE) ELSE valid_to END AS valid_to FROM memory")
+def life_supersede(t):
+    """A row is closed once; a second call keeps the first time."""
+    return t["memory"].select("id", F.when((F.col("id") % 10 == 3) & F.col("valid_to").isNull(), F.lit(NOW)).otherwise(F.col("valid_to")).alias("valid_to"))
+
+
+@query("life_scd", "SELECT event_id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM interactions")
+def life_scd(t):
+    return t["interactions"].select("event_id", "user_id", "event_type", F.col("ts").alias("valid_from"), F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("valid_to"))
+
+
+_DECAYED = "CASE WHEN (1735689600 - created_at) / 86400 > 0 THEN (reinforcement - disputation) * pow(0.5, (1735689600 - created_at) / 86400 / 14) ELSE reinforcement - disputation END * importance * 10"
+
+
+@query("life_reflection", f"""SELECT id, CASE status WHEN 'PENDING' THEN CASE WHEN d >= 50 THEN 'PROMOTED' WHEN d >= 10 THEN 'CONFIRMED' ELSE status END WHEN 'CONFIRMED' THEN CASE WHEN d >= 50 THEN 'PROMOTED' WHEN d < 5 THEN 'ARCHIVED' ELSE status END WHEN 'PROMOTED' THEN CASE WHEN d < 10 THEN 'ARCHIVED' ELSE status END ELSE status END AS status, round(d, 5) AS evidence FROM (SELECT *, {_DECAYED} AS d FROM reflections)""")
+def life_reflection(t):
+    """Status after one check of decayed evidence."""
+    days = (F.lit(NOW) - F.col("created_at")) / DAY
+    net = F.col("reinforcement") - F.col("disputation")
+    d = F.when(days > 0, net * F.pow(F.lit(0.5), days / 14)).otherwise(net) * F.col("importance") * 10
+    s = F.col("status")
+    new = F.when((s == "PENDING") & (d >= 50) | (s == "CONFIRMED") & (d >= 50), "PROMOTED").when((s == "PENDING") & (d >= 10), "CONFIRMED").when((s == "CONFIRMED") & (d < 5) | (s == "PROMOTED") & (d < 10), "ARCHIVED").otherwise(s)
+    return t["reflections"].select("id", new.alias("status"), F.round(d, 5).alias("evidence"))
+
+
+@query("life_reflection_block", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY character, status ORDER BY importance DESC, created_at DESC, id) AS r FROM reflections WHERE status IN ('CONFIRMED', 'PROMOTED')), b AS (SELECT *, row_number() OVER (PARTITION BY character ORDER BY importance * (reinforcement - disputation) DESC, id) AS p FROM c WHERE r <= 5)
+ SELECT character, id, CAST(p AS INT) AS place, CASE status WHEN 'CONFIRMED' THEN '✓' ELSE '★' END AS mark FROM b WHERE p <= 5""")
+def life_reflection_block(t):
+    r = F.row_number().over(Window.partitionBy("character", "status").orderBy(F.desc("importance"), F.desc("created_at"), "id"))
+    c = t["reflections"].where("status IN ('CONFIRMED', 'PROMOTED')").withColumn("r", r).where("r <= 5")
+    p = F.row_number().over(Window.partitionBy("character").orderBy(F.desc(F.expr("importance * (reinforcement - disputation)")), "id"))
+    return c.withColumn("place", p).where("place <= 5").select("character", "id", "place", F.when(F.col("status") == "CONFIRMED", "✓").otherwise("★").alias("mark"))
+
+
+#: Maintenance operations and their intervals in seconds.
+INTERVALS = {"profile_sync": 21600, "dedup": 21600, "retention": 3600, "vector_sync": 300, "reflection_promote": 10800, "expire_directives": 3600, "temporal_extract": 86400}
+
+
+@query("life_scheduler", "SELECT op, last, CAST(last + every AS BIGINT) AS next_run, 1735689600 - last >= every AS due FROM (SELECT op, every, 1735689600 - n * 1800 AS last FROM (VALUES " + ", ".join(f"('{k}', {v}, {i + 1})" for i, (k, v) in enumerate(INTERVALS.items())) + ") v(op, every, n))")
+def life_scheduler(t):
+    ops = t["memory"].sparkSession.createDataFrame([(k, v, int(NOW) - (i + 1) * 1800) for i, (k, v) in enumerate(INTERVALS.items())], "op string, every long, last long")
+    return ops.select("op", "last", (F.col("last") + F.col("every")).alias("next_run"), (F.lit(int(NOW)) - F.col("last") >= F.col("every")).alias("due"))
+
+
+@query("life_vector_sync", "SELECT m.id, e.vec_id IS NULL AS missing FROM memory m LEFT JOIN embeddings e ON e.vec_id = m.id")
+def life_vector_sync(t):
+    e = t["embeddings"].select(F.col("vec_id").alias("id"), F.lit(True).alias("there"))
+    return t["memory"].select("id").join(e, "id", "left").select("id", F.col("there").isNull().alias("missing"))
+
+
+@query("life_consolidate", """WITH n AS (SELECT id, weight, row_number() OVER (ORDER BY created DESC, id DESC) AS r FROM memory WHERE type = 'conversation' AND NOT archived), k AS (SELECT id, weight, row_number() OVER (ORDER BY weight DESC, id) AS r, count(*) OVER () AS n FROM n WHERE r <= 10) SELECT id, weight FROM k WHERE r <= greatest(1, n // 2)""")
+def life_consolidate(t):
+    """The rule path: of the newest ten conversations the heavier half."""
+    newest = t["memory"].where("type = 'conversation' AND NOT archived").orderBy(F.desc("created"), F.desc("id")).limit(10).select("id", "weight")
+    w = Window.orderBy(F.desc("weight"), "id")  # ten rows
+    return newest.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).where("r <= greatest(1, n div 2)").select("id", "weight")
+
+
+@query("life_narrative", "SELECT type, CAST(count(*) AS BIGINT) AS n, min(id) AS sample FROM memory WHERE created >= 1735689600 - 2592000 AND type IN ('fact', 'lesson', 'decision', 'preference') GROUP BY type HAVING count(*) >= 3")
+def life_narrative(t):
+    return t["memory"].where("created >= 1735689600 - 2592000 AND type IN ('fact', 'lesson', 'decision', 'preference')").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("sample")).where("n >= 3")
+
+
+@query("life_extract", r"""SELECT id, CASE WHEN rule <> '' THEN rule WHEN length(content) >= 10 THEN substr(content, 1, 200) END AS statement, CASE WHEN rule <> '' THEN CAST(0.5 AS DOUBLE) WHEN length(content) >= 10 THEN CAST(0.3 AS DOUBLE) END AS weight FROM (SELECT id, content, regexp_extract(substr(content, 1, 300), '([Tt]he [a-z]+ (?:is|was|of) [a-z]+)', 1) AS rule FROM memory)""")
+def life_extract(t):
+    """Rules first, then the safe head, then nothing."""
+    rule = F.nullif(F.regexp_extract(F.substring("content", 1, 300), "([Tt]he [a-z]+ (?:is|was|of) [a-z]+)", 1), F.lit(""))
+    long = F.length("content") >= 10
+    return t["memory"].select("id", F.coalesce(rule, F.when(long, F.substring("content", 1, 200))).alias("statement"), F.when(rule.isNotNull(), 0.5).when(long, 0.3).alias("weight"))
+
+
+@query("detect_dissonance", "SELECT m.id, round(greatest(-2.0, reinforcement - 0.5), 6) AS reinforcement, coalesce(valid_to, 1735689600) AS valid_to FROM memory m JOIN labels l ON l.doc_id = m.id WHERE m.type IN ('fact', 'preference') AND l.toxic = 1")
+def detect_dissonance(t):
+    """The verdict is a column of the caller's; here a label stands for it."""
+    verdict = t["labels"].where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return t["memory"].where(F.col("type").isin("fact", "preference")).join(verdict, "id").select("id", F.round(F.greatest(F.lit(-2.0), F.col("reinforcement") - 0.5), 6).alias("reinforcement"), F.coalesce("valid_to", F.lit(NOW)).alias("valid_to"))

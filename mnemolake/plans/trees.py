@@ -1 +1,194 @@
+"""Conversation trees: recursion over parents, levels bounded by the depth."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .catalog import query
+
+#: (node, ancestor, distance) of every node, itself included; the same text runs in both engines.
+_ANC = """anc(node_id, ancestor_id, dist) AS (SELECT node_id, node_id, 0 FROM {turns} UNION ALL SELECT a.node_id, t.parent_id, a.dist + 1 FROM anc a JOIN {turns} t ON t.node_id = a.ancestor_id WHERE t.parent_id IS NOT NULL)"""
+_DUCK_ANC = _ANC.replace("{turns}", "turns")
+
+
+def ancestors(t):
+    spark = t["turns"].sparkSession
+    return spark.sql(f"WITH RECURSIVE {_ANC} SELECT * FROM anc", turns=t["turns"].select("node_id", "parent_id"))
+
+
+def trunk(t):
+    """Nodes on the path to the last node of each conversation without a branch label on it."""
+    end = t["turns"].groupBy("conv_id").agg(F.max_by("node_id", F.struct((F.col("turn") % 3 != 2).cast("int"), "turn")).alias("node_id"))
+    return ancestors(t).join(end.select("node_id"), "node_id", "left_semi").select(F.col("ancestor_id").alias("node_id"))
+
+
+_TRUNK = "te AS (SELECT node_id FROM (SELECT node_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 <> 2 THEN 1 ELSE 0 END DESC, turn DESC) AS r FROM turns) WHERE r = 1), tp AS (SELECT ancestor_id AS node_id FROM anc WHERE node_id IN (SELECT node_id FROM te))"
+_HEADS = "kd AS (SELECT parent_id, count(*) AS n FROM turns WHERE parent_id IS NOT NULL GROUP BY parent_id), hd AS (SELECT t.node_id FROM turns t LEFT JOIN kd ON kd.parent_id = t.parent_id WHERE t.parent_id IS NULL OR (n >= 2 AND t.node_id NOT IN (SELECT node_id FROM tp)))"
+
+
+@query("tree_path", f"WITH RECURSIVE {_DUCK_ANC} SELECT node_id, ancestor_id, CAST(dist AS INT) AS dist FROM anc")
+def tree_path(t):
+    return ancestors(t)
+
+
+@query("tree_context", f"WITH RECURSIVE {_DUCK_ANC} SELECT a.node_id, string_agg(concat(t.role, ': ', substr(t.text, 1, 40)), chr(10) ORDER BY a.dist DESC) AS context FROM anc a JOIN turns t ON t.node_id = a.ancestor_id GROUP BY a.node_id")
+def tree_context(t):
+    """Root-to-node messages; a path bounds the group."""
+    line = F.concat("role", F.lit(": "), F.substring("text", 1, 40))
+    c = ancestors(t).join(t["turns"].select(F.col("node_id").alias("ancestor_id"), line.alias("line")), "ancestor_id")
+    return c.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "line"))), lambda s: s["line"]), "\n").alias("context"))
+
+
+@query("tree_context_v2", f"""WITH RECURSIVE {_DUCK_ANC}, x AS (SELECT a.node_id, a.dist, t.text, row_number() OVER (PARTITION BY a.node_id ORDER BY a.dist) AS r FROM anc a JOIN turns t ON t.node_id = a.ancestor_id)
+ SELECT node_id, CAST(count(*) FILTER (r <= 3) AS BIGINT) AS recent, CAST(sum(CASE WHEN r <= 3 THEN length(text) ELSE least(60, length(text)) END) AS BIGINT) AS chars FROM x GROUP BY node_id""")
+def tree_context_v2(t):
+    """The last messages whole, older ones as summaries of 60 characters."""
+    x = ancestors(t).join(t["turns"].select(F.col("node_id").alias("ancestor_id"), "text"), "ancestor_id").withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("dist")))
+    return x.groupBy("node_id").agg(F.count_if(F.col("r") <= 3).alias("recent"), F.sum(F.when(F.col("r") <= 3, F.length("text")).otherwise(F.least(F.lit(60), F.length("text")))).alias("chars"))
+
+
+@query("tree_compress", f"""WITH RECURSIVE {_DUCK_ANC}, x AS (SELECT node_id, ancestor_id, row_number() OVER (PARTITION BY node_id ORDER BY dist DESC) AS r, count(*) OVER (PARTITION BY node_id) AS n FROM anc) SELECT node_id, ancestor_id, CASE WHEN r <= 2 OR r > n - 3 THEN 'whole' ELSE 'summary' END AS kept FROM x""")
+def tree_compress(t):
+    """Two at the head and three at the tail stay whole."""
+    w = Window.partitionBy("node_id")
+    x = ancestors(t).withColumn("r", F.row_number().over(w.orderBy(F.desc("dist")))).withColumn("n", F.count(F.lit(1)).over(w))
+    return x.select("node_id", "ancestor_id", F.when((F.col("r") <= 2) | (F.col("r") > F.col("n") - 3), "whole").otherwise("summary").alias("kept"))
+
+
+@query("tree_subtree", f"WITH RECURSIVE {_DUCK_ANC} SELECT ancestor_id AS node_id, CAST(count(*) AS BIGINT) AS size, CAST(max(dist) AS INT) AS height FROM anc GROUP BY ancestor_id")
+def tree_subtree(t):
+    return ancestors(t).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("size"), F.max("dist").alias("height"))
+
+
+@query("tree_siblings", "SELECT a.node_id, b.node_id AS sibling FROM turns a JOIN turns b ON a.parent_id = b.parent_id AND a.node_id <> b.node_id")
+def tree_siblings(t):
+    b = t["turns"].select("parent_id", F.col("node_id").alias("sibling"))
+    return t["turns"].join(b, "parent_id").where("node_id <> sibling").select("node_id", "sibling")
+
+
+@query("tree_add", "SELECT node_id, CASE WHEN branch_label IS NOT NULL THEN 'branch' WHEN parent_id IS NULL THEN 'root' WHEN row_number() OVER (PARTITION BY parent_id ORDER BY node_id) = 1 THEN 'trunk' ELSE 'branch' END AS node_type FROM turns")
+def tree_add(t):
+    """A forced label makes a branch; else the first child goes on with its parent."""
+    first = F.row_number().over(Window.partitionBy("parent_id").orderBy("node_id")) == 1
+    return t["turns"].select("node_id", F.when(F.col("branch_label").isNotNull(), "branch").when(F.col("parent_id").isNull(), "root").when(first, "trunk").otherwise("branch").alias("node_type"))
+
+
+@query("tree_conclude", f"WITH RECURSIVE {_DUCK_ANC} SELECT DISTINCT a.node_id, a.ancestor_id AS abandoned FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn = 2")
+def tree_conclude(t):
+    """Abandoning a node makes its whole subtree invalid."""
+    gone = t["turns"].where("turn = 2").select(F.col("node_id").alias("ancestor_id"))
+    return ancestors(t).join(gone, "ancestor_id", "left_semi").select("node_id", F.col("ancestor_id").alias("abandoned")).distinct()
+
+
+@query("tree_merge", "SELECT node_id, CAST(round(0.8 * 0.9, 6) AS DOUBLE) AS confidence, concat('[merged] ', substr(text, 1, 60)) AS conclusion FROM turns WHERE branch_label IS NOT NULL")
+def tree_merge(t):
+    return t["turns"].where("branch_label IS NOT NULL").select("node_id", F.round(F.lit(0.8) * 0.9, 6).alias("confidence"), F.concat(F.lit("[merged] "), F.substring("text", 1, 60)).alias("conclusion"))
+
+
+@query("tree_valid", f"WITH RECURSIVE {_DUCK_ANC}, {_TRUNK}, bad AS (SELECT DISTINCT a.node_id FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn = 5) SELECT node_id, node_id NOT IN (SELECT node_id FROM bad) AND node_id IN (SELECT a.node_id FROM anc a JOIN tp ON tp.node_id = a.ancestor_id) AS valid FROM turns")
+def tree_valid(t):
+    """Reaches the trunk and no ancestor is abandoned."""
+    a = ancestors(t)
+    bad = a.join(t["turns"].where("turn = 5").select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("node_id", F.lit(True).alias("bad")).distinct()
+    reach = a.join(trunk(t).select(F.col("node_id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").select("node_id", F.lit(True).alias("reach")).distinct()
+    return t["turns"].select("node_id").join(bad, "node_id", "left").join(reach, "node_id", "left").select("node_id", (F.col("bad").isNull() & F.col("reach").isNotNull()).alias("valid"))
+
+
+@query("tree_trunk", f"WITH RECURSIVE {_DUCK_ANC}, {_TRUNK} SELECT DISTINCT node_id FROM tp")
+def tree_trunk(t):
+    return trunk(t).distinct()
+
+
+@query("tree_prune", f"WITH RECURSIVE {_DUCK_ANC} SELECT node_id FROM turns WHERE node_id NOT IN (SELECT a.node_id FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn = 3)")
+def tree_prune(t):
+    gone = ancestors(t).join(t["turns"].where("turn = 3").select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("node_id")
+    return t["turns"].select("node_id").join(gone, "node_id", "left_anti")
+
+
+@query("tree_delete_node", f"WITH RECURSIVE {_DUCK_ANC}, g AS (SELECT node_id, parent_id FROM turns WHERE turn = 1), n AS (SELECT t.node_id, coalesce(g.parent_id, t.parent_id) AS parent_id FROM turns t LEFT JOIN g ON g.node_id = t.parent_id WHERE t.turn <> 1), d AS (SELECT a.node_id, count(*) - 1 AS depth FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn <> 1 GROUP BY a.node_id) SELECT n.node_id, n.parent_id, CAST(depth AS BIGINT) AS depth FROM n JOIN d USING (node_id)")
+def tree_delete_node(t):
+    """Children move to the grandparent; depth is the new path's length."""
+    x = t["turns"]
+    gone = x.where("turn = 1").select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("up"))
+    moved = x.where("turn <> 1").join(gone, "parent_id", "left").select("node_id", F.coalesce("up", "parent_id").alias("parent_id"))
+    depth = ancestors(t).join(x.where("turn <> 1").select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").groupBy("node_id").agg((F.count(F.lit(1)) - 1).alias("depth"))
+    return moved.join(depth, "node_id")
+
+
+@query("tree_search", f"WITH RECURSIVE {_DUCK_ANC} SELECT t.node_id FROM turns t WHERE contains(lower(t.text), 'the') AND t.node_id IN (SELECT node_id FROM anc WHERE ancestor_id % 100 = 1)")
+def tree_search(t):
+    inside = ancestors(t).where("ancestor_id % 100 = 1").select("node_id").distinct()
+    return t["turns"].where(F.lower("text").contains("the")).select("node_id").join(inside, "node_id", "left_semi")
+
+
+def heads(t):
+    x = t["turns"]
+    kids = x.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+    on = trunk(t).distinct().withColumn("on_trunk", F.lit(True))
+    return x.join(kids, "parent_id", "left").join(on, "node_id", "left").where("parent_id IS NULL OR (n >= 2 AND on_trunk IS NULL)").select("node_id")
+
+
+_CARDS = f"{_DUCK_ANC}, {_TRUNK}, {_HEADS}, cd AS (SELECT a.node_id, min_by(a.ancestor_id, a.dist) AS head FROM anc a JOIN hd ON hd.node_id = a.ancestor_id GROUP BY a.node_id)"
+
+
+def cards(t):
+    """The nearest head above each node."""
+    h = heads(t).select(F.col("node_id").alias("ancestor_id"))
+    return ancestors(t).join(h, "ancestor_id", "left_semi").groupBy("node_id").agg(F.min_by("ancestor_id", "dist").alias("head"))
+
+
+@query("tree_cards", f"WITH RECURSIVE {_CARDS} SELECT head, CAST(count(*) AS BIGINT) AS nodes, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS node_ids FROM cd GROUP BY head")
+def tree_cards(t):
+    return cards(t).groupBy("head").agg(F.count(F.lit(1)).alias("nodes"), F.array_join(F.transform(F.array_sort(F.collect_list("node_id")), lambda x: x.cast("string")), ",").alias("node_ids"))
+
+
+@query("tree_links", f"WITH RECURSIVE {_CARDS} SELECT DISTINCT p.head AS source, c.head AS target FROM turns t JOIN cd c ON c.node_id = t.node_id JOIN cd p ON p.node_id = t.parent_id WHERE p.head <> c.head")
+def tree_links(t):
+    """Links between cards from the edges that cross them: no self link, each once."""
+    c = cards(t)
+    up = c.select(F.col("node_id").alias("parent_id"), F.col("head").alias("source"))
+    return t["turns"].select("node_id", "parent_id").join(c, "node_id").join(up, "parent_id").where("source <> head").select("source", F.col("head").alias("target")).distinct()
+
+
+@query("tree_branch_chain", f"WITH RECURSIVE {_DUCK_ANC} SELECT a.node_id, string_agg(coalesce(t.branch_label, 'main'), '/' ORDER BY a.dist DESC) AS chain FROM anc a JOIN turns t ON t.node_id = a.ancestor_id GROUP BY a.node_id")
+def tree_branch_chain(t):
+    c = ancestors(t).join(t["turns"].select(F.col("node_id").alias("ancestor_id"), F.coalesce("branch_label", F.lit("main")).alias("b")), "ancestor_id")
+    return c.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "b"))), lambda s: s["b"]), "/").alias("chain"))
+
+
+@query("tree_card_ops", f"WITH RECURSIVE {_DUCK_ANC} SELECT t.node_id, t.node_id + 1 AS new_parent, EXISTS (SELECT 1 FROM anc a WHERE a.node_id = t.node_id + 1 AND a.ancestor_id = t.node_id) AS cycle FROM turns t WHERE t.node_id + 1 IN (SELECT node_id FROM turns)")
+def tree_card_ops(t):
+    """Whether a new parent would close a cycle: it lies below the node itself."""
+    x = t["turns"].select("node_id")
+    ask = x.join(x.select((F.col("node_id") - 1).alias("node_id")), "node_id", "left_semi").withColumn("new_parent", F.col("node_id") + 1)
+    below = ancestors(t).select(F.col("node_id").alias("new_parent"), F.col("ancestor_id").alias("node_id"), F.lit(True).alias("c"))
+    return ask.join(below, ["node_id", "new_parent"], "left").select("node_id", "new_parent", F.col("c").isNotNull().alias("cycle"))
+
+
+@query("tree_misc", f"WITH RECURSIVE {_DUCK_ANC} SELECT node_id, max_by(CASE ancestor_id % 100 WHEN 0 THEN 'root agent' WHEN 2 THEN 'branch agent' END, -dist) FILTER (ancestor_id % 100 IN (0, 2)) AS agent FROM anc GROUP BY node_id")
+def tree_misc(t):
+    """An agent set on a node holds for its subtree until a nearer one."""
+    name = F.when(F.col("ancestor_id") % 100 == 0, "root agent").when(F.col("ancestor_id") % 100 == 2, "branch agent")
+    return ancestors(t).groupBy("node_id").agg(F.max_by(name, F.when(name.isNotNull(), -F.col("dist"))).alias("agent"))
+
+
+@query("tree_scoped", f"WITH RECURSIVE {_DUCK_ANC}, p AS (SELECT ancestor_id AS node_id FROM anc WHERE node_id = 105) SELECT t.node_id, CAST(round(0.3 + CASE WHEN t.node_id IN (SELECT node_id FROM p) THEN 0.4 WHEN t.branch_label = 'b5' THEN 0.2 ELSE 0 END, 4) AS DOUBLE) AS tree_score FROM turns t WHERE conv_id < 30")
+def tree_scoped(t):
+    """A base score raised on the active path or else on its branch."""
+    p = ancestors(t).where("node_id = 105").select(F.col("ancestor_id").alias("node_id"), F.lit(True).alias("on_path"))
+    x = t["turns"].where("conv_id < 30").join(p, "node_id", "left")
+    return x.select("node_id", F.round(0.3 + F.when(F.col("on_path"), 0.4).when(F.col("branch_label") == "b5", 0.2).otherwise(0.0), 4).alias("tree_score"))
+
+
+@query("memory_retriever", f"WITH RECURSIVE {_DUCK_ANC}, p AS (SELECT node_id, ancestor_id, row_number() OVER (PARTITION BY node_id ORDER BY dist) AS r FROM anc) SELECT node_id, ancestor_id AS fact, CAST(1 AS DOUBLE) AS relevance FROM p WHERE r <= 6")
+def memory_retriever(t):
+    from ..operators.search import ranked
+
+    return ranked(ancestors(t), [F.col("dist")], 6, "node_id").select("node_id", F.col("ancestor_id").alias("fact"), F.lit(1.0).alias("relevance"))
+
+
+@query("join_session_filter", "SELECT node_id FROM turns WHERE list_contains(string_split(concat('node:', CAST(node_id AS VARCHAR), ' session:', CAST(conv_id % 7 AS VARCHAR)), ' '), 'session:3')")
+def join_session_filter(t):
+    tags = F.split(F.concat(F.lit("node:"), "node_id", F.lit(" session:"), (F.col("conv_id") % 7).cast("string")), " ")
+    return t["turns"].where(F.array_contains(tags, "session:3")).select("node_id")
