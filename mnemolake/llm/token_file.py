@@ -21,8 +21,6 @@ import functools
 import os
 import struct
 import zlib
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, flat_batches, scratch, texts, tune
 
-MAGIC, BLOCK, PERCENTILE, SEGMENT, END_ID, CACHE = b"PFORIDS1", 256, 90, 1 << 21, 2, 600_000
+MAGIC, BLOCK, PERCENTILE, SEGMENT, END_ID, CACHE = b"PFORIDS1", 256, 90, 1 << 21, 2, 900_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -107,8 +105,8 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [None if z else d for d, z in zip(ids, null, strict=True)], np.frombuffer(data, "<u4", k, 12 + 9 * k), decode_ids(data[12 + 13 * k :])
 
 
-class Encoder:
-    """A text's ids, each run of non-white-space encoded once.
+class Encoder(dict):
+    """Ids, as bytes, of each run of non-white-space that its worker has met; a new run is encoded when it is first asked for.
 
     The tokenizer lower-cases, and a run of marks after a letter or digit is a token of its own, so `Word`, `word.` and
     `word,` share the library's answer for `word`. Texts with `<|` keep their case, which special tokens depend on.
@@ -118,32 +116,23 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes(), {}
-
-    def learn(self, new: set[bytes]) -> None:
-        cut = {}
-        for w in new:
-            base = w.rstrip(b".,;:!?")
-            if len(base) < len(w) and base and base.decode()[-1].isalnum():
-                cut[w] = base, w[len(base) :]
-        plain = list((new - cut.keys() | {x for pair in cut.values() for x in pair}).difference(self.known))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (base, marks) in cut.items():
-            self.known[w] = self.known[base] + self.known[marks]
+        super().__init__()
+        self.encode, self.end = Tokenizer.from_file(path).encode, np.array([end_id], "<u4").tobytes()
+
+    def __missing__(self, w: bytes) -> bytes:
+        base = w.rstrip(b".,;:!?")
+        if len(base) < len(w) and base and base.decode()[-1].isalnum():
+            ids = self[base] + self[w[len(base) :]]
+        else:
+            ids = np.array(self.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[w] = ids
+        return ids
 
     def batch(self, raw: list[bytes]) -> list[np.ndarray]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        found = [list(map(self.known.get, ws)) for ws in split]
-        open_ = [i for i, got in enumerate(found) if None in got]
-        self.learn({w for i in open_ for w, e in zip(split[i], found[i], strict=True) if e is None})
-        for i in open_:
-            found[i] = map(self.known.__getitem__, split[i])
-        return [np.frombuffer(b"".join(got) + self.end, "<u4") for got in found]
+        if len(self) > CACHE:
+            self.clear()
+        get = self.__getitem__
+        return [np.frombuffer(b"".join(map(get, (t if b"<|" in t else t.lower()).split())) + self.end, "<u4") for t in raw]
 
 
 @functools.lru_cache(maxsize=1)
