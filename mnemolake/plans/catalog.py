@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import tables, with_tables
 
-MODULES = ["scans", "sinks", "predicates", "text", "aggregates", "retrieval", "graphs", "similar", "lifecycle", "trees", "folds"]
+MODULES = ["scans", "sinks", "predicates", "text", "aggregates", "retrieval", "graphs", "similar", "lifecycle", "trees", "folds", "extras"]
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
