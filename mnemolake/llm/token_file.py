@@ -21,6 +21,9 @@ import functools
 import os
 import struct
 import zlib
+from array import array
+from unicodedata import is_normalized
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -108,7 +111,8 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 class Encoder(dict):
     """Ids, as bytes, of each run of non-white-space that its worker has met; a new run is encoded when it is first asked for.
 
-    The tokenizer lower-cases, and a run of marks after a letter or digit is a token of its own, so `Word`, `word.` and
+    For tokenizers that normalise to lower-case NFC, drop white space, and take a run of letters as one byte-level piece.
+    A run of marks after a letter or digit is a token of its own, so `Word`, `word.` and
     `word,` share the library's answer for `word`. Texts with `<|` keep their case, which special tokens depend on.
     """
 
@@ -117,14 +121,24 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.end = Tokenizer.from_file(path).encode, np.array([end_id], "<u4").tobytes()
+        self.tokenizer, self.end = Tokenizer.from_file(path), array("I", [end_id]).tobytes()
+        self.model = self.tokenizer.model
+        # bytes as characters, the way byte-level tokenizers write them: printable ones stand for themselves
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.table = {b: b if b in own else next(other) for b in range(256)}
 
     def __missing__(self, w: bytes) -> bytes:
         base = w.rstrip(b".,;:!?")
         if len(base) < len(w) and base and base.decode()[-1].isalnum():
             ids = self[base] + self[w[len(base) :]]
         else:
-            ids = np.array(self.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            s = w.decode()
+            if s.isalpha() and max(s) < "\u0250" and s == s.lower() and is_normalized("NFC", s):
+                # a lower-case run of Latin letters is one piece for the library's model, whatever stands before it
+                ids = array("I", [t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.table))]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
         self[w] = ids
         return ids
 
