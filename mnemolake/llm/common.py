@@ -27,6 +27,8 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (set_before := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = set_before.get()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
         spark.conf.set("spark.checkpoint.dir", base)

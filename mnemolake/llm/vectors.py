@@ -9,8 +9,8 @@ PROBES is set for vectors without any cluster structure, where recall follows th
 parts give about 0.95. Clustered vectors reach that with few probes.
 
 Parts of the table are not of equal size (one vector may hold a third of all rows): a part is dealt out in slices of
-at most SLICE rows, counted before the shuffle, and each query meets every slice of its parts. A slice returns its best
-k per query; no pair leaves a task otherwise. Scores near the k-th are computed again from the original vectors, row by
+at most SLICE rows, counted before the shuffle, and each query meets every slice of its parts. A task holds one slice and lets
+the queries stream past it; it returns the slice's best k per query, no other pair leaves it. Scores near the k-th are computed again from the original vectors, row by
 row in one fixed order, so equal vectors have equal scores and ties go to the smaller id.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
@@ -147,31 +147,26 @@ def _best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: i
 
 
 def _search_slices(rows: DataFrame, dim: int, k: int) -> DataFrame:
-    """rows (part, slice, is_row, id, v) sorted by part, slice, is_row: queries first, then the slice's rows."""
+    """rows (part, slice, is_query, id, v) sorted by part, slice, is_query: a slice is held, then queries stream past it."""
 
     def run(batches):
-        group, queries, held = None, ([], []), ([], [])
-
-        def out():
-            if not queries[0] or not held[0]:
-                return None
-            found = list(_best(np.concatenate(queries[1]), np.concatenate(queries[0]), np.concatenate(held[1]), np.concatenate(held[0]), k))
-            return pa.RecordBatch.from_pydict({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
-
+        group, held, x, x_id = None, [], None, None
         for b in batches:
             part, sl, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             ids, v = b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), "<f8").reshape(-1, dim)
             cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (sl[1:] != sl[:-1]) | (kind[1:] != kind[:-1])]))
+            found: list = []
             for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
                 if (part[a], sl[a]) != group:
-                    if (r := out()) is not None:
-                        yield r
-                    group, queries, held = (part[a], sl[a]), ([], []), ([], [])
-                to = held if kind[a] else queries
-                to[0].append(ids[a:z])
-                to[1].append(v[a:z])
-        if (r := out()) is not None:
-            yield r
+                    group, held, x = (part[a], sl[a]), [], None
+                if not kind[a]:
+                    held.append((ids[a:z].copy(), v[a:z].copy()))
+                elif held:
+                    if x is None:
+                        x_id, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    found += _best(v[a:z], ids[a:z], x, x_id, k)
+            if found:
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
 
     return rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -206,14 +201,14 @@ def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", em
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     slices = F.create_map(*chain.from_iterable((F.lit(p), F.lit(n)) for p, n in sizes.items()))
-    dealt = rows.select("part", F.pmod(F.xxhash64("id"), slices[F.col("part")]).cast("int").alias("slice"), F.lit(1).alias("is_row"), "id", "v")
+    dealt = rows.select("part", F.pmod(F.xxhash64("id"), slices[F.col("part")]).cast("int").alias("slice"), F.lit(0).alias("is_query"), "id", "v")
     asked = written(placed(queries, router.w.shape[1]), "asked")
 
     def ask(df: DataFrame, n: int) -> DataFrame:
         sent = df.select("id", "v", F.explode(F.slice("parts", 1, n)).alias("part"))
         sent = sent.withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(slices[F.col("part")], F.lit(1)) - 1)))
-        both = sent.select("part", "slice", F.lit(0).alias("is_row"), "id", "v").union(dealt)
-        return _search_slices(both.repartition("part", "slice").sortWithinPartitions("part", "slice", "is_row", "id"), dim, k)
+        both = sent.select("part", "slice", F.lit(1).alias("is_query"), "id", "v").union(dealt)
+        return _search_slices(both.repartition("part", "slice").sortWithinPartitions("part", "slice", "is_query", "id"), dim, k)
 
     top = written(_top(ask(asked, probes), k), "nearest")
     few = asked.select(F.col("id").alias("query_id")).distinct().join(top.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < k).select("query_id")
