@@ -1,13 +1,14 @@
 """Language identification of mixed text: script ranges, then Viterbi over words.
 
 Training takes about ROWS_PER_LANG labelled texts of each language (those whose hash lies under a limit that follows
-from the language's count; the documented bound) and counts character n-grams of their words. A word's score for a language is its mean n-gram log
-probability times a weight that grows with its length. The scripts of a word's letters narrow its candidates to the
-languages that were seen with that script; a script that no language was seen with rules out none. Viterbi over the
-words, with SWITCH paid for every change of language, labels spans. The text's language is the one whose spans hold
-most letters; the score is that share of letters, times the model's mean confidence in the spans.
-
-Two facts make it fast and keep it exact. A word's scores are computed once per task. And when, for every language,
+from the language's count) and about ROWS in all, the documented bounds, and counts character n-grams of their words. A
+word's score for a language is its mean n-gram log probability times a weight that grows with its length. The scripts of
+a word's letters narrow its candidates to the languages that were seen with that script; a script that no language was
+seen with rules out none. Viterbi over the words, with SWITCH paid for every change of language, labels spans. The
+text's language is the one whose spans hold most letters; the score is that share of letters, times the model's mean
+confidence in the spans.
+
+Two facts make it fast and keep it exact. A word's scores are computed once per worker. And when, for every language,
 no run of words gains more than SWITCH over the best single language, no path with a change can beat the single one,
 so the dynamic program runs only for the texts in which a change may pay.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_batches, part, texts, tune, words
 
-ROWS_PER_LANG, GRAMS, BUCKETS, SWITCH, SHARE, CACHE, MIN_SCORE = 1500, (1, 2, 3, 4), 1 << 16, 12.0, 0.001, 400_000, 0.2
+ROWS_PER_LANG, ROWS, GRAMS, BUCKETS, SWITCH, SHARE, CACHE, MIN_SCORE = 1500, 30_000, (1, 2, 3, 4), 1 << 16, 12.0, 0.001, 400_000, 0.2
 
 #: Unicode ranges of scripts (first, last, name).
 SCRIPTS = [
@@ -186,7 +187,7 @@ def labeller_of(model: Model, switch: float) -> Labeller:
     return _labellers[key]
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG) -> Model:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG, rows_in_all: int = ROWS) -> Model:
     """The model of a bounded sample: the rows of a language whose hash lies under the share that rows_per_lang is of all its rows.
 
     The count of rows by language comes first and reads no text; the sample itself is a filter, so no text is shuffled.
@@ -195,6 +196,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     place = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.octet_length(F.col(text))), F.lit(1 << 40))
     counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     samples: dict[str, list[str]] = {x: [] for x in counts}
+    rows_per_lang = min(rows_per_lang, rows_in_all // max(1, len(counts)))
     if counts:
         under = F.create_map(*chain.from_iterable((F.lit(x), F.lit(max(1, rows_per_lang * (1 << 40) // n))) for x, n in counts.items()))
         for r in rows.where(place < under[F.col(lang).cast("string")]).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).toLocalIterator():
