@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_batches, texts, tune
 
-MARK, WORST, UNKNOWN, CACHE, LONG = "▁", -1e8, 10.0, 600_000, 64
+INF = float("inf")
+MARK, WORST, UNKNOWN, CACHE, LONG = "▁", -1e8, 10.0, 900_000, 64
 
 
 class Pieces:
@@ -52,31 +54,53 @@ class Pieces:
         self.longest = max(map(len, self.id))
         self.unknown = min((s for s in self.score.values() if s > WORST), default=0.0) - UNKNOWN
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.id)
+        # every end of a piece, with its score if it is a piece itself: no longer piece ends with what is not in here
+        self.tail = {p[i:]: -INF for p in self.id for i in range(len(p))} | self.score
+        # what an id adds to the text: bytes under 128 are characters of their own; None: a byte of a longer character
+        self.shown = [("" if i in self.control else chr(self.number[i]) if self.number.get(i, 128) < 128 else None if i in self.number else t) for i, t in enumerate(self.text)]
+        self.parts = np.array([x is None for x in self.shown])
+
+    def _extend(self, held: str, first: int, best: list[float], back: list[int]) -> None:
+        """The best way to each place of the window from `first` on; the places before are known."""
+        get, single, unknown, longest = self.tail.get, self.score.get, self.unknown, self.longest
+        for n in range(first, len(held) + 1):
+            start = n - 1
+            top = best[start] + single(held[start], unknown)
+            for k in range(n - 2, max(n - longest, 0) - 1, -1):
+                s = get(held[k:n], INF)
+                if s == INF:
+                    break
+                s += best[k]
+                if s > top:
+                    top, start = s, k
+            best.append(top)
+            back.append(start)
 
     def stream(self, text: Iterator[str] | str) -> Iterator[list[int]]:
         """Lists of final ids, as soon as they are final."""
-        longest, score, unknown = self.longest, self.score, self.unknown
-        base, held = 0, ""  # held: characters from place `base`, where all paths meet
-        best, back = [0.0], [0]  # of the places base, base + 1, ...
+        longest, held = self.longest, ""  # held: the characters from the last place where all paths meet
+        best, back = [0.0], [0]
         for ch in text:
             held += ch
             n = len(held)
-            top, start = best[n - 1] + score.get(ch, unknown), n - 1
-            for k in range(2, min(n, longest) + 1):
-                s = score.get(held[n - k :])
-                if s is not None and best[n - k] + s > top:
-                    top, start = best[n - k] + s, n - k
-            best.append(top)
-            back.append(start)
+            self._extend(held, n, best, back)
             if n >= 2 * longest:
                 at = self._meet(back, max(0, n - longest + 1), n)
                 if at:
                     yield self._ids(held, back, at)
-                    base, held = base + at, held[at:]
+                    held = held[at:]
                     best, back = [b - best[at] for b in best[at:]], [max(0, b - at) for b in back[at:]]
         if held:
             yield self._ids(held, back, len(held))
 
+    def whole(self, text: str) -> list[int]:
+        """The ids of a text that fits the window: no boundary has to be looked for on the way."""
+        if len(text) >= 2 * self.longest:
+            return [i for part in self.stream(text) for i in part]
+        best, back = [0.0], [0]
+        self._extend(text, 1, best, back)
+        return self._ids(text, back, len(text))
+
     @staticmethod
     def _meet(back: list[int], first: int, last: int) -> int:
         """The last boundary that the paths of all places first .. last run through; 0: none yet."""
@@ -109,7 +133,7 @@ class Codec(dict):
         self.pieces = pieces
 
     def word(self, w: str) -> bytes:
-        return np.array([i for part in self.pieces.stream(w) for i in part], "<u4").tobytes()
+        return array("I", self.pieces.whole(w)).tobytes()
 
     def __missing__(self, w: str) -> bytes:
         ids = self.word(w)
@@ -132,21 +156,24 @@ class Codec(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, ws)), "<u4")
 
     def decode(self, ids) -> str:
-        out, p = [], self.pieces
-        raw = bytearray()
-        for i in ids:
-            if i in p.number:
-                raw.append(p.number[i])
-                continue
-            if i in p.control:
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw = bytearray()
-            out.append(p.text[i])
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
+        p = self.pieces
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return ""
+        if not p.parts[ids].any():
+            text = "".join(map(p.shown.__getitem__, ids.tolist()))
+        else:
+            out, raw = [], bytearray()
+            for i in ids.tolist():
+                if i in p.number:
+                    raw.append(p.number[i])
+                    continue
+                if raw:
+                    out.append(raw.decode(errors="replace"))
+                    raw = bytearray()
+                out.append(p.shown[i])
+            text = "".join(out) + raw.decode(errors="replace")
+        text = text.replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -200,7 +227,7 @@ def round_trip(docs: DataFrame, model: str, *, text: str = "text", keep: list[st
             for raw in texts(batch, text):
                 t = raw.decode(errors="replace")
                 ids = codec.encode(t)
-                back = codec.decode(ids.tolist())
+                back = codec.decode(ids)
                 out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == t))
             return list(map(list, zip(*out, strict=True))) if out else None
 
