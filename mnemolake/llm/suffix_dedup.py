@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import documents, drop, flat_batches, map_batches, remove, scratch, tune, written
 from .decontaminate import _window_min
 
-SPAN, GRAM, LIMIT, STRINGS = 400, 64, 20_000, 8192
+SPAN, GRAM, LIMIT, STRINGS, BUCKET_BYTES = 400, 64, 20_000, 8192, 128 << 20
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -291,6 +291,12 @@ def _by_text(cand: DataFrame, spans: DataFrame, unique: DataFrame) -> DataFrame:
     return flat_batches(rows, make, [("text_key", "binary"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("spans", "array<struct<start:int,end:int>>"), ("kept_text", "string")])
 
 
+def _buckets(docs: DataFrame, least: int) -> int:
+    """As many buckets as there are shuffle partitions, more where the plan's estimate gives a bucket over BUCKET_BYTES."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 60 else min(100_000, max(least, -(-size // BUCKET_BYTES)))  # plans without files have no estimate
+
+
 def text_key(text: str = "text"):
     return F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)
 
@@ -298,10 +304,15 @@ def text_key(text: str = "text"):
 def repeated_spans(docs: DataFrame, *, text: str = "text", span: int = SPAN, gram: int = GRAM, limit: int = LIMIT, batch_strings: int = STRINGS) -> DataFrame:
     """By distinct text that loses bytes: text_key, n_removed, n_spans, kept_sha256, spans, kept_text (a written table)."""
     spark = tune(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(docs, shuffles)
     name, path = f"unique_{uuid.uuid4().hex}", scratch(spark, "unique")
     long = docs.where(F.octet_length(F.col(text)) >= span).select(text_key(text).alias("text_key"), F.col(text).alias("text"))
-    long.groupBy("text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("mult")).write.bucketBy(buckets, "text_key").option("path", path).saveAsTable(name)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(buckets))  # so that each task of the sum writes whole buckets
+        long.groupBy("text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("mult")).write.bucketBy(buckets, "text_key").option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
     unique, tables = spark.table(name), []
     try:
         runs = written(_runs(unique, span, gram), "runs")
