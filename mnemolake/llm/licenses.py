@@ -1,7 +1,9 @@
 """License scan: an exact containment join between text blocks and license templates, beside literal phrases.
 
-A block is at most BLOCK words of one line, every STRIDE words, so a template of up to STRIDE words that stands in one
-line lies whole in some block. A block matches a template when it holds at least THETA of the template's distinct words.
+A block is at most BLOCK words, every STRIDE words, of the whole text and of each of its lines. Stride and overlap are
+never under the longest template, so a template lies whole in some block wherever it stands, across line breaks too. A
+block matches a template when it holds at least THETA of the template's distinct words. (The SQL below has the blocks of
+lines only: what it finds is found here too; a template broken over lines is found here alone.)
 
 Template words are ordered by their frequency over the whole corpus, rarest first (one counting pass, summed by Spark;
 only template words are counted, so the table is bounded by the templates). A matching block must hold one of a
@@ -41,17 +43,25 @@ TEMPLATES = [
 THETA, BLOCK, STRIDE = 0.9, 64, 32
 
 
-def line_blocks(text: bytes, block: int, stride: int):
-    """The words of each block of each line."""
-    for line in text.split(b"\n"):
-        ws = words(line)
-        for at in range(0, max(len(ws) - (block - stride), 1) if ws else 0, stride):
-            yield ws[at : at + block]
+def word_blocks(ws: list[bytes], block: int, stride: int):
+    """Overlapping blocks of a sequence of words; every run of block - stride words lies whole in one of them."""
+    for at in range(0, max(len(ws) - (block - stride), 1) if ws else 0, stride):
+        yield ws[at : at + block]
+
+
+def text_blocks(text: bytes, ws: list[bytes], block: int, stride: int):
+    """The blocks of the whole text, then those of each of its lines."""
+    yield from word_blocks(ws, block, stride)
+    lines = [line for line in map(words, text.split(b"\n")) if line]
+    for line in lines if len(lines) > 1 else ():
+        yield from word_blocks(line, block, stride)
 
 
 class Matcher:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], theta: float, block: int, stride: int):
-        self.block, self.stride, self.index = block, stride, {}
+        longest = max((len(text.split()) for text, _ in templates), default=0)
+        self.stride, self.index = max(stride, longest), {}
+        self.block = max(block, self.stride + longest)
         for text, label in templates:
             ordered = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
             need = max(1, ceil(theta * len(ordered) - 1e-9))
@@ -63,7 +73,7 @@ class Matcher:
         if self.index.keys().isdisjoint(ws):
             return set(), 0.0
         labels, best = set(), 0.0
-        for b in line_blocks(text, self.block, self.stride):
+        for b in text_blocks(text, ws, self.block, self.stride):
             have = set(b)
             for w in self.index.keys() & have:
                 for i, (label, ordered, whole, need) in self.index[w]:

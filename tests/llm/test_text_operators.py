@@ -48,6 +48,29 @@ def test_licenses(spark, docs, no_docs):
     assert licenses.scan(no_docs, keep=["doc_id"]).count() == 0
 
 
+def test_licenses_across_lines(spark):
+    """A template stands whole in the text, wherever lines break; also one longer than the usual block."""
+    import textwrap
+
+    long = (" ".join(f"w{i}" for i in range(150)), "long")
+    templates = [*licenses.TEMPLATES, long]
+    rows, want = [], {}
+    for i, (template, label) in enumerate(templates):
+        for width in (20, 72):
+            for before in (0, 7, 40, 75):
+                wrapped = "\n * ".join(textwrap.wrap("x " * before + template + " y" * 90, width))
+                rows.append((len(rows), wrapped))
+                want[len(rows) - 1] = label
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs, keep=["doc_id"], templates=templates).collect()
+    assert len(got) == len(rows)
+    assert [r["doc_id"] for r in got if want[r["doc_id"]] not in r["labels"] or r["score"] != 1.0] == []
+    # nothing that a line alone gives is lost: its words are scattered over the line's first block
+    scattered = " ".join(f"{w} q q" for w in "released under the mit license".split())
+    split = spark.createDataFrame([("z " * 60 + "\n" + scattered,)], "text string")
+    assert licenses.scan(split).first()["labels"] == ["mit"]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=2000))
 @settings(max_examples=30, deadline=None)
 def test_blocks_round_trip(ids):
