@@ -40,6 +40,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def normal(c: Column) -> Column:
+    """Words joined by single spaces, split at all that Python's split() takes for white space; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
+
+
 def fts_tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, without marks."""
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED.lower(), PLAIN.lower()), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))

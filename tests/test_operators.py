@@ -110,6 +110,95 @@ def test_greedy_dedup_against_brute_force(spark):
     assert got == want
 
 
+def _memories():
+    """Rows of long texts that share openings or endings, with archived, core and keyed rows among them."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["th", "er", "an", "tion", "Qu", "ze"]) for _ in range(rng.randint(1, 3)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    base = [prose(n) for n in (90, 90, 120, 150, 30, 4, 60)]
+    texts = [*base, base[0][:200] + " " + prose(70), "Another start. " + base[1], base[2].replace(" ", "\n\t ", 9), base[3].replace("Qu", "qu", 3), base[3] + " tail", base[4] + " x", base[5], "ok", "ok then", "not ok", "", None]
+    texts += ["  ".join([base[6][:70], *(prose(1) for _ in range(k))]) for k in range(8)]
+    texts += [base[0], base[2], base[6] + " more of it"]
+    kinds = ["fact", "fact", "lesson", "conversation", "identity"]
+    rows = []
+    for i in range(3 * len(texts)):
+        t = texts[i % len(texts)]
+        rows.append((i, t, kinds[i % 5], "v5_key:a" if i % 13 == 5 else None if i % 7 == 0 else "k", rng.randrange(5) / 4, float(rng.randrange(4)), i % 11 == 3))
+    return rows
+
+
+def _norm(t):
+    return " ".join((t or "").split())
+
+
+def test_whole_texts_dedup_against_brute_force(spark):
+    from mnemolake.plans.similar import dedup
+
+    rows = _memories()
+    m = spark.createDataFrame(rows, "id long, content string, type string, tags string, weight double, created double, archived boolean")
+    got = {r["id"]: r["duplicate"] for r in dedup({"memory": m}).collect()}
+    kept, want = {}, {}
+    for i, t, kind, tags, _, _, archived in sorted(rows, key=lambda r: (r[2], -r[4], -r[5], r[0])):
+        if archived or kind in ("conversation", "identity") or "v5_key:" in (tags or ""):
+            continue
+        new = _norm(t)
+        want[i] = any(SequenceMatcher(None, k, new).ratio() >= 0.92 or (len(k) >= 8 and k in new) or (len(new) >= 8 and new in k) for k in kept.get(kind, []))
+        if not want[i]:
+            kept.setdefault(kind, []).append(new)
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+@pytest.mark.parametrize("cell", [250, 3])
+def test_long_duplicates_against_brute_force(spark, monkeypatch, cell):
+    import random
+
+    monkeypatch.setattr(similar, "CELL", cell)
+    rng = random.Random(6)
+    base = ["".join(rng.choice("eeeeaaatttnnnooosss  rhilQzxq") for _ in range(rng.choice([199, 200, 260, 900]))) for _ in range(10)]
+    rows = [(i, "g", t) for i, t in enumerate(base)]
+    for i in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([1, 5, len(t) // 20, len(t) // 10])):
+            t[rng.randrange(len(t))] = rng.choice(["", "e", "Z", "zz"])
+        rows.append((100 + i, "g", "".join(t)))
+    got = {(r["old"], r["id"]) for r in similar.close_pairs(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "id long, g string, x string, n int"), 0.92).collect()}
+    want = {(a[0], b[0]) for k, b in enumerate(rows) for a in rows[:k] if SequenceMatcher(None, a[2], b[2]).ratio() >= 0.92}
+    assert got == want and want
+
+
+def test_whole_texts_upsert_against_brute_force(spark):
+    from mnemolake.plans.similar import join_similar, sink_upsert
+
+    rows = _memories()
+    t = {"memory": spark.createDataFrame(rows, "id long, content string, type string, tags string, weight double, created double, archived boolean")}
+    got = {r["id"]: (r["old_id"], r["ratio"]) for r in join_similar(t).collect()}
+    lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+    want = {}
+    for i, text, kind, *_ in rows:
+        new = _norm(text)
+        probe = next((new[:at] for at in map(new.find, "，。；;！？") if 6 <= at <= 24), new[:14])
+        cands = sorted((r for r in rows if probe and r[0] < i and not r[6] and lower(probe) in lower(r[1] or "")), key=lambda r: (-r[4], -r[0]))[:10]
+        best, top, old = None, 0.0, ""
+        for r in cands:
+            if r[2] == kind and (x := SequenceMatcher(None, _norm(r[1]), new).ratio()) > top:
+                best, top, old = r[0], x, _norm(r[1])
+        if best is not None and (top >= 0.75 or (len(old) >= 8 and old in new) or (len(new) >= 8 and new in old)):
+            want[i] = (best, round(top, 6))
+    assert got == want and want
+    keyed = {r[0] for r in rows if "v5_key:" in (r[3] or "")}
+    assert {r["id"]: r["into"] for r in sink_upsert(t).collect()} == {r[0]: want[r[0]][0] if r[0] in want and r[0] not in keyed else None for r in rows}
+
+
+def test_ratio_of_whole_turns(spark):
+    from mnemolake.plans.similar import str_ratio
+
+    a, b = "same start " * 30 + "and one end", "same  start " * 30 + "then quite another close of it"
+    t = {"conversations": spark.createDataFrame([(1, 0, a), (1, 1, b), (2, 0, b)], "conv_id long, turn long, text string")}
+    assert [tuple(r) for r in str_ratio(t).collect()] == [(1, 1, round(SequenceMatcher(None, _norm(a), _norm(b)).ratio(), 6))]
+
+
 def test_ratio_order_matters():
     assert similar.ratio_of("tide", "diet") == SequenceMatcher(None, "tide", "diet").ratio() != similar.ratio_of("diet", "tide")
 
