@@ -57,10 +57,21 @@ def join_cross_memory_node(t):
 
 @query("range_join", "SELECT e.event_id, m.id FROM events e JOIN memory m ON e.value BETWEEN 100 * m.weight - 0.01 AND 100 * m.weight + 0.01 WHERE m.id < 300")
 def range_join(t):
+    """The SQL's share of range_join_whole."""
+    return near_values(t["events"], t["memory"].where("id < 300"))
+
+
+@query("range_join_whole")
+def range_join_whole(t):
+    """Every event with every memory of that value; without SQL, as the engine there compares all pairs."""
+    return near_values(t["events"], t["memory"])
+
+
+def near_values(events, memory):
     """Intervals dealt into unit buckets, so the join is an equi-join with a filter."""
-    m = t["memory"].where("id < 300").select("id", (100 * F.col("weight") - 0.01).alias("lo"), (100 * F.col("weight") + 0.01).alias("hi"))
+    m = memory.select("id", (100 * F.col("weight") - 0.01).alias("lo"), (100 * F.col("weight") + 0.01).alias("hi"))
     m = m.withColumn("b", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))))
-    return t["events"].select("event_id", "value", F.floor("value").alias("b")).join(m, "b").where(F.col("value").between(F.col("lo"), F.col("hi"))).select("event_id", "id")
+    return events.select("event_id", "value", F.floor("value").alias("b")).join(m, "b").where(F.col("value").between(F.col("lo"), F.col("hi"))).select("event_id", "id")
 
 
 @query("agg_sets", "SELECT type, character, CAST(count(*) AS BIGINT) AS n FROM memory GROUP BY CUBE (type, character)")

@@ -248,3 +248,14 @@ def test_guard_and_recall(spark):
     assert [errors[i] for i in range(6)] == [["narration"], ["fence"], ["json"], ["length"], [], []]
     recall = {r["turn"]: r["recall"] for r in predicates.should_recall(t).collect()}
     assert [recall[i] for i in (6, 7, 8)] == [False, False, True]
+
+
+def test_range_join_is_whole(spark):
+    from mnemolake.plans.extras import range_join_whole
+
+    events = [(i, i / 7) for i in range(300)] + [(900, 50.01), (901, 50.0), (902, 50.011), (903, -0.005), (904, None)]
+    memory = [(i, i % 101 / 100) for i in range(0, 900, 3)]
+    t = {"events": spark.createDataFrame(events, "event_id long, value double"), "memory": spark.createDataFrame(memory, "id long, weight double")}
+    got = sorted(tuple(r) for r in range_join_whole(t).collect())
+    assert got == sorted((e, m) for e, v in events if v is not None for m, w in memory if 100 * w - 0.01 <= v <= 100 * w + 0.01)
+    assert any(m >= 300 for _, m in got)
