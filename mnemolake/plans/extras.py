@@ -14,9 +14,20 @@ from .trees import _DUCK_ANC, ancestors
 
 @query("sink_episodic", "SELECT id, summary, round(importance, 6) AS importance FROM eg_episodic UNION ALL SELECT o_orderkey, concat('order ', CAST(o_orderkey AS VARCHAR)), round(least(1.0, o_totalprice / 500000), 6) FROM orders WHERE o_orderkey % 20 = 1 AND o_orderkey < 500")
 def sink_episodic(t):
+    """The SQL's share of sink_episodic_whole."""
+    return inserted(t["eg_episodic"], t["orders"].where("o_orderkey % 20 IN (0, 1) AND o_orderkey < 500"))
+
+
+@query("sink_episodic_whole")
+def sink_episodic_whole(t):
+    """Every order is offered."""
+    return inserted(t["eg_episodic"], t["orders"])
+
+
+def inserted(episodic, orders):
     """INSERT OR IGNORE: new ids only."""
-    new = t["orders"].where("o_orderkey % 20 IN (0, 1) AND o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("summary"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 500000), 6).alias("importance"))
-    old = t["eg_episodic"].select("id", "summary", F.round("importance", 6).alias("importance"))
+    new = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("summary"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 500000), 6).alias("importance"))
+    old = episodic.select("id", "summary", F.round("importance", 6).alias("importance"))
     return old.union(new.join(old, "id", "left_anti"))
 
 

@@ -11,11 +11,27 @@ from .catalog import query
 @query("sink_store", """WITH m AS (SELECT max(id) AS top FROM memory), n AS (SELECT event_id, concat('event ', event_type) AS content, least(1.0, greatest(0.0, value / 100)) AS weight, row_number() OVER (ORDER BY event_id) AS rn FROM events WHERE event_id < 50)
  SELECT CAST(top + rn AS BIGINT) AS id, content, round(weight, 6) AS weight FROM n, m UNION ALL SELECT id, content, round(weight, 6) FROM memory WHERE id % 50 = 0""")
 def sink_store(t):
-    """Insert with clamped weights; ids follow the largest one in a stated order."""
-    top = t["memory"].agg(F.max("id").alias("top"))
-    new = t["events"].where("event_id < 50").select(F.concat(F.lit("event "), "event_type").alias("content"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100)).alias("weight"), F.row_number().over(Window.orderBy("event_id")).alias("rn"))
-    new = new.join(F.broadcast(top)).select((F.col("top") + F.col("rn")).alias("id"), "content", F.round("weight", 6).alias("weight"))
-    return new.unionByName(t["memory"].where("id % 50 = 0").select("id", "content", F.round("weight", 6).alias("weight")))
+    """The SQL's share of sink_store_whole: a few events, and every 50th of the rows that were there."""
+    return stored(t["memory"], t["events"].where("event_id < 50"), t["memory"].where("id % 50 = 0"))
+
+
+@query("sink_store_whole")
+def sink_store_whole(t):
+    """The new snapshot: all rows that were there and a row for every event."""
+    return stored(t["memory"], t["events"], t["memory"])
+
+
+def stored(memory, events, shown):
+    """Insert with clamped weights; ids follow the largest one in a stated order, numbered without bringing all rows to one task."""
+    content, weight = F.concat(F.lit("event "), "event_type").alias("content"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))
+    top = memory.agg(F.max("id").alias("top"))
+    # blocks of consecutive ids: a row's number is that of the rows in the blocks before and of those before it in its own
+    rows = events.select("event_id", content, F.round(weight, 6).alias("weight"), F.floor(F.col("event_id") / 10_000).alias("block"))
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy("event_id"))).join(F.broadcast(before), "block")
+    new = rows.join(F.broadcast(top)).select((F.col("top") + F.col("before") + F.col("rn")).alias("id"), "content", "weight")
+    return new.unionByName(shown.select("id", "content", F.round("weight", 6).alias("weight")))
 
 
 @query("merge_into", """SELECT a.id, CASE WHEN length(b.content) > length(a.content) THEN b.content ELSE a.content END AS content, greatest(a.weight, b.weight) AS weight, CAST(a.access_count + 1 AS INT) AS access_count,
@@ -57,11 +73,21 @@ def sink_delete(t):
  r AS (SELECT *, row_number() OVER (PARTITION BY source, target, relation ORDER BY seq DESC, weight DESC) AS rn FROM n WHERE source <> target)
  SELECT source, target, relation, weight FROM r WHERE rn = 1""")
 def sink_edge(t):
+    """The SQL's share of sink_edge_whole."""
+    return last_edges(t["lineitem"].where("l_orderkey < 3000"))
+
+
+@query("sink_edge_whole")
+def sink_edge_whole(t):
+    """The edges after every write."""
+    return last_edges(t["lineitem"])
+
+
+def last_edges(lineitem):
     """The last write of each (source, target, relation) wins; self edges and nulls are rejected."""
     rel = F.upper(F.when(F.col("l_linenumber") % 2 == 0, "solves").otherwise("relates_to"))
-    n = t["lineitem"].where("l_orderkey < 3000").select((F.col("l_orderkey") % 200).alias("source"), (F.col("l_partkey") % 200).alias("target"), rel.alias("relation"), F.round("l_discount", 4).alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    last = n.where("source <> target").groupBy("source", "target", "relation").agg(F.max_by("weight", F.struct("seq", "weight")).alias("weight"))
-    return last
+    n = lineitem.select((F.col("l_orderkey") % 200).alias("source"), (F.col("l_partkey") % 200).alias("target"), rel.alias("relation"), F.round("l_discount", 4).alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return n.where("source <> target").groupBy("source", "target", "relation").agg(F.max_by("weight", F.struct("seq", "weight")).alias("weight"))
 
 
 @query("sink_entity", "SELECT id, min(name) AS name FROM (SELECT p_partkey % 100 AS id, concat(p_brand, ' ', p_type) AS name, p_partkey FROM part) GROUP BY id")
@@ -122,8 +148,18 @@ def sink_skill(t):
  e AS (SELECT conv_id, node_id, concat('n', CAST(parent_id AS VARCHAR), ' --> n', CAST(node_id AS VARCHAR)) AS line FROM turns WHERE conv_id < 20 AND parent_id IS NOT NULL)
  SELECT conv_id, concat('graph TD', chr(10), string_agg(line, chr(10) ORDER BY kind, node_id)) AS mermaid FROM (SELECT conv_id, node_id, line, 0 AS kind FROM n UNION ALL SELECT conv_id, node_id, line, 1 FROM e) GROUP BY conv_id""")
 def sink_mermaid(t):
+    """The SQL's share of sink_mermaid_whole."""
+    return drawn(t["turns"].where("conv_id < 20"))
+
+
+@query("sink_mermaid_whole")
+def sink_mermaid_whole(t):
+    """The graph of every conversation."""
+    return drawn(t["turns"])
+
+
+def drawn(x):
     """Node lines, then edge lines; one conversation bounds a group."""
-    x = t["turns"].where("conv_id < 20")
     label = F.replace(F.replace(F.substring(F.regexp_replace("text", r'[\s"]+', " "), 1, 28), F.lit("["), F.lit("(")), F.lit("]"), F.lit(")"))
     nodes = x.select("conv_id", F.lit(0).alias("kind"), "node_id", F.concat(F.lit("n"), "node_id", F.lit('["'), label, F.lit('"]')).alias("line"))
     edges = x.where("parent_id IS NOT NULL").select("conv_id", F.lit(1).alias("kind"), "node_id", F.concat(F.lit("n"), "parent_id", F.lit(" --> n"), "node_id").alias("line"))

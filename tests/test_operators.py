@@ -259,3 +259,31 @@ def test_range_join_is_whole(spark):
     got = sorted(tuple(r) for r in range_join_whole(t).collect())
     assert got == sorted((e, m) for e, v in events if v is not None for m, w in memory if 100 * w - 0.01 <= v <= 100 * w + 0.01)
     assert any(m >= 300 for _, m in got)
+
+
+def test_sinks_are_whole(spark, sf):
+    """The SQL of each bounded sink without its bounds gives the rows of the whole one."""
+    import oracle
+
+    from mnemolake.plans import catalog
+
+    q, sql, con = catalog.queries(), catalog.oracle_sql(), oracle.duck(sf)
+    cuts = {
+        "sink_edge": [" WHERE l_orderkey < 3000"], "sink_mermaid": [" WHERE conv_id < 20)", "conv_id < 20 AND "],
+        "sink_store": [" WHERE event_id < 50", " WHERE id % 50 = 0"], "sink_episodic": ["o_orderkey < 500", "o_orderkey % 20 = 1 AND "],
+    }
+    for name, bounds in cuts.items():
+        s = sql[name]
+        for b in bounds:
+            assert b in s
+            s = s.replace(b, "o_orderkey NOT IN (SELECT id FROM eg_episodic)" if b == "o_orderkey < 500" else ")" if b.endswith(")") else "")
+        assert oracle.compare(q[f"{name}_whole"](spark, sf), con, s) == "", name
+
+
+def test_sink_store_numbers_every_block(spark):
+    from mnemolake.plans.sinks import sink_store_whole
+
+    events = [(i, "view", float(i % 300)) for i in [5, 9_999, 10_000, 25_000, 3, 70_001]]
+    t = {"events": spark.createDataFrame(events, "event_id long, event_type string, value double"), "memory": spark.createDataFrame([(7, "old", 0.5), (50, "older", 0.25)], "id long, content string, weight double")}
+    got = sorted((r["id"], r["weight"]) for r in sink_store_whole(t).collect())
+    assert got == [(7, 0.5), (50, 0.25), *((51 + k, min(1.0, v / 100)) for k, (_, _, v) in enumerate(sorted(events)))]
