@@ -47,10 +47,10 @@ FUSED = f"""{BM25}, {KNN}, {TIME},
  rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arrival, id) AS place FROM sc WHERE score >= 0.3) WHERE place <= 5)"""
 
 
-def _found(t):
+def _found(t, k=search.TOP_K):
     qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     times = t["queries_fts"].where("query_id % 4 = 0").select("query_id", F.lit(NOW - 86400 * 3).alias("lo"), F.lit(NOW).alias("hi"))
-    return search.scored(search.candidates(t["memory"], t["vectors"], t["queries_fts"], qv, times), t["queries_fts"], NOW)
+    return search.scored(search.candidates(t["memory"], t["vectors"], t["queries_fts"], qv, times, k), t["queries_fts"], NOW)
 
 
 @query("fts_bm25", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM ft")

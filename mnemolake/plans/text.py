@@ -230,10 +230,21 @@ def math_mood_tags(t):
 
 @query("math_lorenz", "WITH RECURSIVE l AS (SELECT doc_id AS id, 0 AS i, CAST(1 + (doc_id % 5) * 0.1 AS DOUBLE) AS x, CAST(1 AS DOUBLE) AS y, CAST(20 AS DOUBLE) AS z FROM documents WHERE doc_id < 50 UNION ALL SELECT id, i + 1, x + 0.01 * 10.0 * (y - x), y + 0.01 * (x * (28.0 - z) - y), z + 0.01 * (x * y - (8.0 / 3.0) * z) FROM l WHERE i < 40) SELECT id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM l WHERE i = 40")
 def math_lorenz(t):
+    """The SQL's share of math_lorenz_whole."""
+    return lorenz(t["documents"].where("doc_id < 50"))
+
+
+@query("math_lorenz_whole")
+def math_lorenz_whole(t):
+    """The system of every document."""
+    return lorenz(t["documents"])
+
+
+def lorenz(documents):
     """Euler steps of the Lorenz system as a fold over a sequence."""
     start = F.struct((1 + (F.col("doc_id") % 5) * F.lit(0.1)).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(20.0).alias("z"))
     step = lambda s, _: F.struct((s["x"] + 0.01 * 10.0 * (s["y"] - s["x"])).alias("x"), (s["y"] + 0.01 * (s["x"] * (28.0 - s["z"]) - s["y"])).alias("y"), (s["z"] + 0.01 * (s["x"] * s["y"] - (8.0 / 3.0) * s["z"])).alias("z"))
-    out = t["documents"].where("doc_id < 50").select(F.col("doc_id").alias("id"), F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step).alias("s"))
+    out = documents.select(F.col("doc_id").alias("id"), F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step).alias("s"))
     return out.select("id", *(F.round(f"s.{c}", 4).alias(c) for c in "xyz"))
 
 
@@ -244,7 +255,7 @@ def math_eca(t):
     seed = F.transform(ring, lambda i: ((F.xxhash64(F.col("doc_id"), i) % 2) != 0).cast("int"))
     rule = lambda s: F.transform(ring, lambda i: F.element_at(F.array(*(F.lit(int(b)) for b in f"{110:08b}"[::-1])), F.element_at(s, F.pmod(i - 1, F.lit(64)) + 1) * 4 + F.element_at(s, i + 1) * 2 + F.element_at(s, F.pmod(i + 1, F.lit(64)) + 1) + 1))
     cells = F.aggregate(F.sequence(F.lit(1), F.lit(16)), seed, lambda s, _: rule(s))
-    return t["documents"].where("doc_id < 50").select(F.col("doc_id").alias("id"), (F.aggregate(cells, F.lit(0), lambda a, b: a + b) / 64).alias("live"))
+    return t["documents"].select(F.col("doc_id").alias("id"), (F.aggregate(cells, F.lit(0), lambda a, b: a + b) / 64).alias("live"))
 
 
 @query("math_ais", """WITH d AS (SELECT vec_id AS det, embedding AS v FROM embeddings WHERE vec_id < 10) SELECT e.vec_id AS id, round(least(1.0, greatest(0.0, min((sqrt(list_sum(list_transform(list_zip(e.embedding, d.v), x -> (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))) - 0.5) / 1.5))), 4) AS novelty FROM embeddings e, d GROUP BY e.vec_id""")

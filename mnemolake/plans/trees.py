@@ -181,6 +181,37 @@ def tree_scoped(t):
     return x.select("node_id", F.round(0.3 + F.when(F.col("on_path"), 0.4).when(F.col("branch_label") == "b5", 0.2).otherwise(0.0), 4).alias("tree_score"))
 
 
+def scoped(found, turns, anc, asks, k: int):
+    """Retrieved rows (query_id, id, score, arrival) as seen from a node of a tree, asks (query_id, node_id): the first k of each query.
+
+    A row that is a turn of another conversation is left out; one that is no turn stays. A turn on the path from the root
+    to the node gains 0.4, another one on a branch of that path 0.2.
+    """
+    from ..operators.search import ranked
+
+    node = turns.select(F.col("node_id").alias("id"), "conv_id", "branch_label")
+    path = asks.join(anc, "node_id").select("query_id", F.col("ancestor_id").alias("id"))
+    labels = path.join(node, "id").groupBy("query_id").agg(F.collect_set("branch_label").alias("labels"))
+    here = asks.join(turns.select("node_id", F.col("conv_id").alias("session")), "node_id").select("query_id", "session")
+    x = found.join(here, "query_id").join(labels, "query_id").join(node, "id", "left").where("conv_id IS NULL OR conv_id = session")
+    x = x.join(path.withColumn("on_path", F.lit(True)), ["query_id", "id"], "left")
+    scope = F.when(F.col("on_path"), "path").when(F.array_contains("labels", F.col("branch_label")), "branch").otherwise("global")
+    x = x.withColumn("tree_scope", scope).withColumn("s", F.col("score") + F.when(F.col("tree_scope") == "path", 0.4).when(F.col("tree_scope") == "branch", 0.2).otherwise(0.0))
+    return ranked(x, [F.desc(F.round("s", 9)), F.desc(F.round("score", 9)), F.col("arrival"), F.col("id")], k).select("query_id", "id", "tree_scope", F.round("s", 4).alias("tree_score"))
+
+
+@query("tree_scoped_whole")
+def tree_scoped_whole(t):
+    """The fused retrieval of each query, 15 rows deep, from the last turn of the conversation of its number; five stay."""
+    from ..operators import search
+    from .extras import _LIVE
+    from .retrieval import _found
+
+    asks = t["turns"].groupBy("conv_id").agg(F.max_by("node_id", "turn").alias("node_id")).join(t["queries_fts"].select(F.col("query_id").alias("conv_id")), "conv_id").select(F.col("conv_id").alias("query_id"), "node_id")
+    live = t["memory"].where(_LIVE).select("id")
+    return scoped(search.retrieve(_found(t, 15), 15).join(live, "id", "left_semi"), t["turns"], ancestors(t), asks, 5)
+
+
 @query("memory_retriever", f"WITH RECURSIVE {_DUCK_ANC}, p AS (SELECT node_id, ancestor_id, row_number() OVER (PARTITION BY node_id ORDER BY dist) AS r FROM anc) SELECT node_id, ancestor_id AS fact, CAST(1 AS DOUBLE) AS relevance FROM p WHERE r <= 6")
 def memory_retriever(t):
     from ..operators.search import ranked

@@ -287,3 +287,42 @@ def test_sink_store_numbers_every_block(spark):
     t = {"events": spark.createDataFrame(events, "event_id long, event_type string, value double"), "memory": spark.createDataFrame([(7, "old", 0.5), (50, "older", 0.25)], "id long, content string, weight double")}
     got = sorted((r["id"], r["weight"]) for r in sink_store_whole(t).collect())
     assert got == [(7, 0.5), (50, 0.25), *((51 + k, min(1.0, v / 100)) for k, (_, _, v) in enumerate(sorted(events)))]
+
+
+def test_tree_scope_against_brute_force(spark):
+    from pyspark.sql import Row
+
+    from mnemolake.plans import trees
+
+    # two conversations of eight turns; every third turn hangs on the one before the last, on a branch of its own
+    nodes = {c * 100 + k: (c, None if k == 0 else c * 100 + k - (2 if k % 3 == 2 else 1), "b" if k % 3 == 2 else None) for c in (1, 40) for k in range(8)}
+    turns = spark.createDataFrame([Row(node_id=n, conv_id=c, parent_id=p, branch_label=b) for n, (c, p, b) in nodes.items()], "node_id long, conv_id long, parent_id long, branch_label string")
+    asks = {1: 104, 2: 4004, 3: 107}
+    found = [(q, i, round(0.3 + (i * 7 + q) % 10 / 20, 4), k) for q in asks for k, i in enumerate([*nodes, 9_000, 9_001])]
+    got = trees.scoped(spark.createDataFrame(found, "query_id long, id long, score double, arrival int"), turns, trees.ancestors({"turns": turns}), spark.createDataFrame(list(asks.items()), "query_id long, node_id long"), 6)
+    want = set()
+    for q, n in asks.items():
+        path, at = [], n
+        while at is not None:
+            path.append(at)
+            at = nodes[at][1]
+        labels = {nodes[p][2] for p in path} - {None}
+        rows = []
+        for _, i, score, k in (f for f in found if f[0] == q):
+            if i in nodes and nodes[i][0] != nodes[n][0]:
+                continue
+            scope = "path" if i in path else "branch" if i in nodes and nodes[i][2] in labels else "global"
+            rows.append((-round(score + {"path": 0.4, "branch": 0.2, "global": 0.0}[scope], 9), -score, k, i, scope))
+        want |= {(q, i, scope, round(-s, 4)) for s, _, _, i, scope in sorted(rows)[:6]}
+    assert {tuple(r) for r in got.collect()} == want and {w[2] for w in want} >= {"path", "branch"}
+
+
+def test_maths_take_every_document(spark, sf):
+    import oracle
+
+    from mnemolake.plans import catalog
+
+    q, n = catalog.queries(), spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert q["math_eca"](spark, sf).count() == q["math_lorenz_whole"](spark, sf).count() == n > 50
+    s = catalog.oracle_sql()["math_lorenz"]
+    assert " WHERE doc_id < 50" in s and oracle.compare(q["math_lorenz_whole"](spark, sf), oracle.duck(sf), s.replace(" WHERE doc_id < 50", "")) == ""
