@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import folds, search, similar
 from .plans import lifecycle
+from .plans.aggregates import agg_profile
+from .plans.graphs import project_links
+from .plans.similar import dedup, similar_to
 from .plans.text import EMOTIONS
-from .schema import NOW
+from .schema import NOW, lookup
+from .sources.scratch import cut
+
+#: The memory type of each kind of project note.
+NOTE_TYPES = {"decision": "decision", "pitfall": "lesson", "convention": "fact", "idea": "thought"}
 
 
 class Engine:
@@ -49,10 +56,32 @@ class Engine:
 
     # memory
     def memory_store(self, rows: DataFrame, order: Column) -> DataFrame:
-        """Insert rows (content, type, tags, weight ...) with clamped weights and ids after the largest, in a stated order."""
-        top = self.t["memory"].agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-        new = rows.withColumn("_n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).drop("_top", "_n")
-        return self._append("memory", new.withColumn("weight", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "weight"))).withColumn("created", F.lit(self.now)).withColumn("archived", F.lit(False)))
+        """Merge rows (content, type, tags, weight ...) into the memories that they repeat, insert the others; gives the rows as stored.
+
+        Weights are clamped; ids of inserted rows follow the largest one in a stated order. Rows with a v5_key tag are always
+        inserted. Rows of one call are compared with the snapshot before it, not with each other.
+        """
+        memory = self.t["memory"]
+        top = memory.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
+        new = rows.withColumn("_n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n"))
+        new = cut(new.withColumn("weight", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "weight"))))
+        free = new.where(F.col("tags").isNull() | ~F.col("tags").contains("v5_key:"))
+        into = cut(similar_to(free, memory).select("id", F.col("old_id").alias("_into")))
+        fresh = new.join(into, "id", "left_anti").withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy("_n"))).drop("_top", "_n")
+        fresh = fresh.withColumn("created", F.lit(self.now)).withColumn("archived", F.lit(False))
+        gain = F.greatest(F.lit(0.0), F.coalesce("reinforcement", F.lit(0.0))) if "reinforcement" in new.columns else F.lit(0.0)
+        one = F.struct("_n", "content", F.split(F.coalesce("tags", F.lit("")), r"[,\s]+").alias("tags"))
+        said = new.join(into, "id").groupBy(F.col("_into").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("_new"), F.max("weight").alias("_w"), F.count(F.lit(1)).alias("_times"), F.sum(gain + 0.05).alias("_gain"))
+        hit = F.col("_new").isNotNull()
+        longest = F.aggregate("_new", F.coalesce("content", F.lit("")), lambda old, x: F.when(F.length(x["content"]) > F.length(old), x["content"]).otherwise(old))
+        tags = F.array_join(F.filter(F.array_distinct(F.concat(F.split(F.coalesce("tags", F.lit("")), r"[,\s]+"), F.flatten(F.transform("_new", lambda x: x["tags"])))), lambda x: x != ""), " ")
+        changes = {"content": longest, "tags": tags, "weight": F.greatest("weight", "_w"), "access_count": F.col("access_count") + F.col("_times").cast("int"), "last_accessed": F.lit(self.now), "reinforcement": F.least(F.lit(1.0), F.coalesce("reinforcement", F.lit(0.0)) + F.col("_gain"))}
+        x = memory.join(said, "id", "left")
+        x = x.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items() if c in memory.columns})
+        merged = x.where(hit).select(memory.columns)
+        self._replace("memory", x.select(memory.columns))
+        self._append("memory", fresh)
+        return merged.unionByName(fresh, allowMissingColumns=True)
 
     def memory_search(self, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = 5) -> DataFrame:
         return search.retrieve(search.scored(search.candidates(self.t["memory"], self.t["vectors"], queries, query_vectors, times, k), queries, self.now), k)
@@ -165,9 +194,16 @@ class Engine:
         return st_emotion_event(self.t)
 
     def reflect_run_op(self, op: str) -> DataFrame:
-        ops = {"retention": lambda: lifecycle.retention(self.t["memory"], self.now).drop("action"), "cleanup": lambda: lifecycle.life_cleanup(self.t), "vector_sync": lambda: lifecycle.life_vector_sync(self.t), "reflection_promote": lambda: lifecycle.life_reflection(self.t)}
-        out = ops[op]()
-        return self._replace("memory", out) if op == "retention" else out
+        """An operation of the default scheduler; those that change a table put the next snapshot in place."""
+        if op == "retention":
+            return self._replace("memory", lifecycle.retention(self.t["memory"], self.now).drop("action"))
+        if op == "dedup":
+            dup = dedup(self.t).where("duplicate").select("id", F.lit(True).alias("_dup"))
+            return self._replace("memory", cut(self.t["memory"].join(dup, "id", "left").withColumn("archived", F.col("archived") | F.coalesce("_dup", F.lit(False))).drop("_dup")))
+        if op == "expire_directives":
+            return self._replace("directives", self.t["directives"].withColumn("is_active", F.col("is_active") & ((F.col("expires_at") == 0) | (F.col("expires_at") > self.now))))
+        ops = {"cleanup": lifecycle.life_cleanup, "vector_sync": lifecycle.life_vector_sync, "reflection_promote": lifecycle.life_reflection, "profile_sync": agg_profile, "temporal_extract": lifecycle.life_extract}
+        return ops[op](self.t)
 
     def narrative_generate(self) -> DataFrame:
         return lifecycle.life_narrative(self.t)
@@ -226,7 +262,15 @@ class Engine:
         return self._drop("skills", ids)
 
     def project_note(self, rows: DataFrame, order: Column) -> DataFrame:
-        return self.memory_store(rows, order)
+        """Store notes (content, kind, project, tags, weight) under their project and link them to notes of other kinds; unknown kinds are refused."""
+        kind = F.lower(F.trim(F.coalesce("kind", F.lit("decision"))))
+        rows = rows.withColumn("kind", kind).where(F.col("kind").isin(list(NOTE_TYPES)))
+        own = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+        tags = F.concat(own, F.array(F.concat(F.lit("v5_project:"), "project"), F.concat(F.lit("v5_kind:"), "kind"), F.lit("v5_domain:project")))
+        notes = rows.withColumn("tags", F.array_join(F.array_distinct(tags), ",")).withColumn("type", lookup(NOTE_TYPES, F.col("kind"), "decision")).drop("kind", "project")
+        stored = cut(self.memory_store(notes, order))
+        self._append("project_edges", cut(project_links(self.t["memory"].withColumn("tags", F.regexp_replace("tags", r"\s+", ",")), stored.select("id"))))
+        return stored
 
     def project_retrieve(self, project: str, needle: str, k: int = 20) -> DataFrame:
         m = self.t["memory"].where(F.array_contains(F.split("tags", r"[,\s]+"), f"v5_project:{project}") & X.like(F.col("content"), F.lit(needle)))

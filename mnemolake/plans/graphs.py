@@ -111,10 +111,14 @@ def entity_candidates(t):
  k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, target DESC) AS rn FROM c WHERE overlap >= 2)
  SELECT source, target, CASE WHEN kind IN ('decision', 'idea') AND other = 'pitfall' THEN 'SOLVES' WHEN kind = 'convention' AND other = 'pitfall' THEN 'PREVENTS' WHEN kind = 'pitfall' AND other = 'decision' THEN 'CAUSED_BY' ELSE 'RELATES_TO' END AS relation, CAST(round(least(0.9, 0.4 + 0.1 * overlap), 6) AS DOUBLE) AS weight FROM k WHERE rn <= 5""")
 def project_auto_link(t):
+    return project_links(t["memory"], t["memory"].where("id % 100 = 1").select("id"))
+
+
+def project_links(memory, ids):
     """New notes against the 200 heaviest of their project, other kinds, two shared tokens at least, first five."""
     tokens = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 2))
-    m = t["memory"].where("NOT archived").select("id", "weight", F.regexp_extract("tags", "v5_project:([^,]*)", 1).alias("project"), F.regexp_extract("tags", "v5_kind:([^,]*)", 1).alias("kind"), tokens.alias("tk"))
-    new = m.where("id % 100 = 1").select(F.col("id").alias("source"), "project", F.col("kind").alias("k1"), F.col("tk").alias("t1"))
+    m = memory.where("NOT archived").select("id", "weight", F.regexp_extract("tags", "v5_project:([^,]*)", 1).alias("project"), F.regexp_extract("tags", "v5_kind:([^,]*)", 1).alias("kind"), tokens.alias("tk"))
+    new = m.join(ids, "id", "left_semi").select(F.col("id").alias("source"), "project", F.col("kind").alias("k1"), F.col("tk").alias("t1"))
     old = ranked(m, [F.desc("weight"), F.desc("id")], 200, "project")
     c = new.join(old, "project").where("id <> source AND kind <> k1").withColumn("overlap", F.size(F.array_intersect("t1", "tk"))).where("overlap >= 2").drop("rank")
     relation = lookup({"|".join(k): v for k, v in KIND_RULES.items()}, F.concat_ws("|", "k1", "kind"), "RELATES_TO")

@@ -30,3 +30,41 @@ def test_snapshots(spark, sf):
     e.reflect_run_op("retention")
     for name in ("memory_stats", "directive_stats", "reflection_stats", "emotion_label", "self_discover", "latest_thought", "proactive_check", "activity_status", "project_stats", "care_status", "vitality", "relationship", "curiosity_check", "subconscious", "narrative_generate", "context_compression_stats", "skill_list", "self_model", "anti_repeat_stats"):
         assert getattr(e, name)().limit(1).count() >= 0
+
+
+def test_store_merges_what_repeats(spark):
+    schema = "id long, content string, type string, tags string, weight double, access_count int, last_accessed double, created double, reinforcement double, archived boolean"
+    text = "the release goes out on friday evening"
+    old = [(5, text, "fact", "a,b", 0.5, 2, 0.0, 1.0, 0.2, False), (6, text, "lesson", "c", 0.9, 0, 0.0, 1.0, 0.0, False), (7, text + "!", "fact", "", 0.4, 0, 0.0, 1.0, 0.0, True)]
+    e = Engine({"memory": spark.createDataFrame(old, schema)})
+    new = [(text + ", not before", "fact", "b,d", 0.7), (text, "fact", "v5_key:x", 0.1), ("the release goes out on mondays", "preference", "", 2.0)]
+    e.memory_store(spark.createDataFrame(new, "content string, type string, tags string, weight double"), F.col("weight"))
+    got = {r["id"]: r for r in e.t["memory"].collect()}
+    assert sorted(got) == [5, 6, 7, 8, 9] and (got[8]["tags"], got[9]["weight"]) == ("v5_key:x", 1.0)
+    r = got[5]
+    assert (r["content"], r["tags"], r["weight"], r["access_count"], round(r["reinforcement"], 6), r["last_accessed"]) == (text + ", not before", "a b d", 0.7, 3, 0.25, e.now)
+    assert got[6]["access_count"] == got[7]["access_count"] == 0
+    e.reflect_run_op("dedup")  # a keyed row and those of other types stay
+    assert {r["id"] for r in e.t["memory"].where("archived").collect()} == {7}
+    more = [(20, text, "lesson", "c", 0.1, 0, 0.0, 1.0, 0.0, False)]
+    e.t["memory"] = e.t["memory"].unionByName(spark.createDataFrame(more, schema))
+    e.reflect_run_op("dedup")
+    assert {r["id"] for r in e.t["memory"].where("archived").collect()} == {7, 20}
+
+
+def test_project_notes_are_tagged_and_linked(spark, sf):
+    schema = "id long, content string, type string, tags string, weight double, access_count int, last_accessed double, created double, reinforcement double, archived boolean"
+    old = [(1, "sqlite locks under load", "lesson", "v5_project:p,v5_kind:pitfall", 0.5, 0, 0.0, 1.0, 0.0, False), (2, "sqlite locks under load", "lesson", "v5_project:other,v5_kind:pitfall", 0.5, 0, 0.0, 1.0, 0.0, False)]
+    e = Engine({"memory": spark.createDataFrame(old, schema), "project_edges": spark.createDataFrame([], "source long, target long, relation string, weight double")})
+    notes = [("we retry when sqlite locks", "Decision", "p", "x", 0.7), ("nobody knows this kind", "rumour", "p", "", 0.7)]
+    stored = e.project_note(spark.createDataFrame(notes, "content string, kind string, project string, tags string, weight double"), F.col("content"))
+    assert [(r["id"], r["type"], r["tags"]) for r in stored.collect()] == [(3, "decision", "x,v5_project:p,v5_kind:decision,v5_domain:project")]
+    assert [tuple(r) for r in e.t["project_edges"].collect()] == [(3, 1, "SOLVES", 0.6)]
+
+
+def test_every_scheduled_op_runs(spark, sf):
+    from mnemolake.plans.lifecycle import INTERVALS
+
+    t = tables(spark, sf)
+    for op in INTERVALS:
+        assert Engine({n: t[n] for n in ("memory", "directives", "reflections", "embeddings", "vectors")}).reflect_run_op(op).count() > 0, op
