@@ -8,9 +8,10 @@ seen with rules out none. Viterbi over the words, with SWITCH paid for every cha
 text's language is the one whose spans hold most letters; the score is that share of letters, times the model's mean
 confidence in the spans.
 
-Two facts make it fast and keep it exact. A word's scores are computed once per worker. And when, for every language,
-no run of words gains more than SWITCH over the best single language, no path with a change can beat the single one,
-so the dynamic program runs only for the texts in which a change may pay.
+Two facts make it fast and keep it exact. A word's scores are computed once per worker. And no path with a change can
+beat the best single language when no run of words gains more than SWITCH over it in any language, and when the best
+gains of a first and of a last run are together within SWITCH: a path of n runs pays n - 1 changes, one for each run
+between the first and the last, and one for those two. So the dynamic program runs only where a change may pay.
 
 Defined cases: null, empty or letterless text is `und`, score 0, without spans; without training rows everything with
 letters is `und` too; ties go to the language first in sorted order; repeated rows are labelled each for itself.
@@ -112,7 +113,7 @@ def viterbi(s: np.ndarray, switch: float) -> np.ndarray:
     total = s.sum(axis=0)
     best = int(np.argmax(total))
     c = np.concatenate([np.zeros((1, k)), np.cumsum(s - s[:, best : best + 1], axis=0)])
-    if (c - np.minimum.accumulate(c, axis=0)).max() <= switch:
+    if (c - np.minimum.accumulate(c, axis=0)).max() <= switch and c.max() + (c[-1] - c.min(axis=0)).max() <= switch:
         return np.full(n, best)
     back, row = np.empty((n, k), np.int64), s[0].tolist()
     for i, x in enumerate(s[1:].tolist(), 1):

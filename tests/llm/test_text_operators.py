@@ -173,6 +173,13 @@ def test_viterbi_is_exact():
         assert abs(value(language.viterbi(s, 2.0).tolist()) - best) < 1e-9
 
 
+def test_viterbi_of_two_languages_over_a_third():
+    """One switch between two languages beats the third, though neither gains a switch over it alone."""
+    assert language.viterbi(np.array([[0.0, -20.0, -8.0], [-20.0, 0.0, -8.0]]), 12.0).tolist() == [0, 1]
+    assert language.viterbi(np.array([[0.0, -10.0, -5.0], [-10.0, 0.0, -5.0]]), 12.0).tolist() in ([0, 0], [1, 1], [2, 2])
+    assert language.viterbi(np.array([[0.0, -20.0, -8.0], [-9.0, -9.0, 0.0], [-20.0, 0.0, -8.0]]), 7.0).tolist() == [0, 2, 1]
+
+
 def test_language(spark, docs, no_docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.op10_language(spark, "/root/testdata/sf0.01").join(d, "doc_id")
