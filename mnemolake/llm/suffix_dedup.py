@@ -2,8 +2,8 @@
 
 The suffix structure is built column by column over many short documents at once: each round inserts one symbol per
 document in front of its suffix, which updates the collection's Burrows-Wheeler column, the order of the suffixes and
-their common prefixes. The rounds read the symbols backwards from a temporary file laid out by column; memory holds the
-order and the prefixes alone.
+their common prefixes. Symbols lie in a file by column; order and prefixes go from one round to the next through files
+that are read and written from front to back, in blocks of whole groups (BLOCK suffixes, or one larger group).
 
 A round over a whole corpus cannot be dealt out, so the corpus is first cut such that equal strings meet:
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import documents, drop, flat_batches, map_batches, remove, scratch, tune, written
 from .decontaminate import _window_min
 
-SPAN, GRAM, LIMIT, STRINGS, BUCKET_BYTES = 400, 64, 20_000, 8192, 128 << 20
+SPAN, GRAM, LIMIT, STRINGS, BLOCK, BUCKET_BYTES = 400, 64, 20_000, 8192, 1 << 16, 128 << 20
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -107,40 +107,68 @@ def pieces_of(text: bytes, h: int, start: int, anchor: int, size: int, width: in
         yield group, hashlib.blake2b(text[a:z], digest_size=16).digest(), far, z - a, a
 
 
-def repeats(strings: list[bytes], anchors: list[int], copies: list[int], groups: list[int], span: int) -> np.ndarray:
-    """strings x window starts: whether that window also starts elsewhere in its group. Strings of a group are adjacent."""
+#: What a round leaves in its file for each suffix, in their order: the document and the prefix shared with the suffix before.
+_STATE = np.dtype([("doc", "<u4"), ("lcp", "<u2")])
+
+
+def _insert(state: np.ndarray, symbols: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """One round for whole groups: put a symbol in front of each document's suffix. state: in order, documents from 0."""
+    perm, lcp = state["doc"], state["lcp"]
+    bwt = symbols[perm]  # the symbols in front of the suffixes, in their order
+    same = np.concatenate([[False], group[1:] == group[:-1]])
+    mixed = np.zeros(int(group[-1]) + 1, bool)
+    mixed[group[same & np.concatenate([[False], bwt[1:] != bwt[:-1]])]] = True
+    out = np.empty(len(state), _STATE)
+    out["doc"], out["lcp"] = perm, np.where(same & (bwt > 0), lcp + 1, 0)
+    sub = np.flatnonzero(mixed[group])
+    if len(sub):
+        key = group[sub] * 512 + bwt[sub]
+        order = np.argsort(key, kind="stable")
+        joined = np.concatenate([[False], key[order][1:] == key[order][:-1]]) & (bwt[sub][order] > 0)
+        out["lcp"][sub] = np.where(joined, _between(lcp[sub], order) + 1, 0)
+        out["doc"][sub] = perm[sub][order]
+    return out
+
+
+def repeats(strings: list[bytes], anchors: list[int], copies: list[int], groups: list[int], span: int, block: int = BLOCK) -> np.ndarray:
+    """strings x window starts: whether that window also starts elsewhere in its group. Strings of a group are adjacent.
+
+    Each round reads the order and the common prefixes that the round before wrote, and its column of symbols, from
+    front to back in blocks of whole groups, and writes its own the same way. The files are this task's scratch, as its
+    sort's spill is: no other task reads them, and a task that is run again makes its own.
+    """
     index = np.repeat(np.arange(len(strings)), copies)
     anchor, size = np.array(anchors)[index], np.array([len(s) for s in strings])[index]
-    group = np.concatenate([[0], np.cumsum(np.diff(np.array(groups)[index]) != 0)]).astype(np.int64)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(np.array(groups)[index])) + 1, [len(index)]])
+    group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    cuts = [0]
+    for z in edge[1:].tolist():
+        if z == len(index) or z - cuts[-1] >= block:
+            cuts.append(z)
+    blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
     m, before, after = len(index), int(anchor.max()), int((size - anchor).max())
     found = np.zeros((len(strings), int(size.max()) - span + 1), bool)
-    same = np.concatenate([[False], group[1:] == group[:-1]])
-    with tempfile.TemporaryFile() as file:
+    with tempfile.TemporaryFile() as file, tempfile.TemporaryFile() as old, tempfile.TemporaryFile() as new:
         column = np.memmap(file, np.uint16, "w+", shape=(before + after, m))
         for i, s in enumerate(index.tolist()):
             column[before - anchor[i] : before - anchor[i] + size[i], i] = np.frombuffer(strings[s], np.uint8)
             column[before - anchor[i] : before - anchor[i] + size[i], i] += 1
-        perm, lcp = np.arange(m), np.zeros(m, np.uint16)
+        for a, z in blocks:
+            state = np.zeros(z - a, _STATE)
+            state["doc"] = np.arange(z - a)
+            state.tofile(old)
         for x in range(before + after - 1, -1, -1):
-            bwt = column[x][perm]  # the symbols in front of the suffixes, in their order
-            alike = np.concatenate([[True], bwt[1:] == bwt[:-1]])
-            mixed = np.zeros(int(group[-1]) + 1, bool)
-            mixed[group[same & ~alike]] = True
-            new = np.where(same & (bwt > 0), lcp + 1, 0).astype(np.uint16)
-            sub = np.flatnonzero(mixed[group])
-            if len(sub):
-                key = group[sub] * 512 + bwt[sub]
-                order = np.argsort(key, kind="stable")
-                low = _between(lcp[sub], order)
-                joined = np.concatenate([[False], key[order][1:] == key[order][:-1]]) & (bwt[sub][order] > 0)
-                new[sub] = np.where(joined, low + 1, 0)
-                perm[sub] = perm[sub][order]
-            lcp = new
-            hit = lcp >= span
-            if hit.any():
-                hit[:-1] |= hit[1:].copy()
-                who = perm[hit]
-                found[index[who], x - before + anchor[who]] = True
+            old.seek(0)
+            new.seek(0)
+            for a, z in blocks:
+                state = _insert(np.fromfile(old, _STATE, z - a), column[x, a:z], group[a:z] - group[a])
+                state.tofile(new)
+                hit = state["lcp"] >= span
+                if hit.any():
+                    hit[:-1] |= hit[1:].copy()
+                    who = a + state["doc"][hit].astype(np.int64)
+                    found[index[who], x - before + anchor[who]] = True
+            old, new = new, old
         del column
     return found
 
@@ -260,7 +288,7 @@ def _whole(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def _by_text(cand: DataFrame, spans: DataFrame, unique: DataFrame) -> DataFrame:
+def _by_text(cand: DataFrame, spans: DataFrame, unique: DataFrame, min_words: int, or_bytes: int) -> DataFrame:
     """text_key, n_removed, n_spans, kept_sha256, spans, kept_text of the texts that lose bytes."""
     found = cand.join(spans, ["h", "content"]).groupBy("text_key").agg(F.collect_list(F.struct("starts", "spans")).alias("found"))
 
@@ -277,13 +305,21 @@ def _by_text(cand: DataFrame, spans: DataFrame, unique: DataFrame) -> DataFrame:
                 gone = np.cumsum(delta[:-1]) > 0
                 edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
                 runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+                if min_words:
+                    runs = [(s, e) for s, e in runs if e - s >= or_bytes or len(text[s:e].split()) >= min_words]
+                    if not runs:
+                        continue
+                    gone[:] = False
+                    for s, e in runs:
+                        gone[s:e] = True
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 whole, last = [], 0
                 for s, e in (_whole(text, *r) for r in runs):
                     whole.append(text[last:s])
                     last = e
                 out.append((key, int(gone.sum()), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in runs], (b"".join(whole) + text[last:]).decode(errors="replace")))
-            yield list(map(list, zip(*out, strict=True)))
+            if out:
+                yield list(map(list, zip(*out, strict=True)))
 
         return run
 
@@ -301,8 +337,12 @@ def text_key(text: str = "text"):
     return F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)
 
 
-def repeated_spans(docs: DataFrame, *, text: str = "text", span: int = SPAN, gram: int = GRAM, limit: int = LIMIT, batch_strings: int = STRINGS) -> DataFrame:
-    """By distinct text that loses bytes: text_key, n_removed, n_spans, kept_sha256, spans, kept_text (a written table)."""
+def repeated_spans(docs: DataFrame, *, text: str = "text", span: int = SPAN, gram: int = GRAM, limit: int = LIMIT, batch_strings: int = STRINGS, min_words: int = 0, or_bytes: int = SPAN) -> DataFrame:
+    """By distinct text that loses bytes: text_key, n_removed, n_spans, kept_sha256, spans, kept_text (a written table).
+
+    With min_words, maximal runs of fewer words (between blanks; a word cut by the border counts) stay in the text,
+    unless they have or_bytes bytes.
+    """
     spark = tune(docs.sparkSession)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = _buckets(docs, shuffles)
@@ -333,7 +373,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", span: int = SPAN, gra
         for s in settled[1:]:
             every = every.union(s)
         spans = written(_construct(_strings(every, unique, span), span, batch_strings), "spans")
-        out = written(_by_text(every, spans, unique), "removed")
+        out = written(_by_text(every, spans, unique, min_words, or_bytes), "removed")
         drop(spans, *tables)
         return out
     finally:

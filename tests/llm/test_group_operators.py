@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -116,6 +117,33 @@ def test_suffix_dedup(docs, no_docs, rows, limit, batch):
     assert suffix_dedup.repeated_spans(no_docs).count() == 0
 
 
+def test_passages_of_51_words_go(spark):
+    """Passages of 51 to 60 words, many under 400 bytes, planted in several documents each; clean documents stay as they are."""
+    from conftest import prose  # the fixtures beside this file
+
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for n in range(51, 61):
+        passage = prose(rng, n)
+        for _ in range(rng.randint(2, 4)):
+            rows.append((len(rows), f"{prose(rng, rng.randint(0, 90))}\n{passage} {prose(rng, rng.randint(0, 90))}"))
+            planted[len(rows) - 1] = passage
+    shared = prose(rng, 30)  # a passage of 30 words is no reason to cut
+    rows += [(len(rows) + i, f"{prose(rng, 70)} {shared} {prose(rng, 20)}") for i in range(5)]
+    assert sum(len(p.encode()) < 400 for p in planted.values()) > 10
+    docs = spark.createDataFrame([(d, t, len(t), "mine", "mine", 0) for d, t in rows], "doc_id long, text string, n_chars int, text_key string, kept_text string, spans int")
+    out = corpus_pipeline.stage_suffix_dedup(spark, docs, "")
+    assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(rows) and {(r["text_key"], r["kept_text"]) for r in got.values()} == {("mine", "mine")}
+    for d, t in rows:
+        assert got[d]["n_chars"] == len(got[d]["text"])
+        if d in planted:
+            assert planted[d] not in got[d]["text"] and len(t) - len(got[d]["text"]) <= len(planted[d]) + 12
+        else:
+            assert got[d]["text"] == t
+
+
 def test_suffix_query(spark, sf):
     d = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = [(i, len(t.encode()), n, s, hashlib.sha256(k).hexdigest()) for (i, t), (n, s, k, _) in zip(d, brute_repeats([t for _, t in d]), strict=True)]
@@ -138,16 +166,37 @@ def test_vectors(spark, sf):
 
     want = [r for q in ids[ids % 50 == 0].tolist() for r in exact(q)]
     ask = both.where("vec_id % 50 = 0")
-    full = sorted(tuple(r) for r in vectors.search(both, ask, probes=vectors.PARTS, slice_rows=100).collect())
-    assert full == want
+    full = sorted(tuple(r) for r in vectors.search(both, ask, probes=vectors.MOST_PARTS, slice_rows=100).collect())
+    assert full == want == sorted(tuple(r) for r in vectors.search(both.selectExpr("*", "1 AS part", "2 AS id", "3 AS rank", "4 AS score"), ask, exact=True).collect())
     some = {tuple(r)[::2] for r in vectors.search(both, ask).collect()}
     assert len(some & {r[::2] for r in want}) >= 0.9 * len(want)
+    near = vectors.fit(both, vec_id="vec_id", embedding="embedding")
+    assert near.recall >= vectors.RECALL and near.probes <= near.w.shape[1]
     few = vectors.search(both.limit(3), both.limit(3)).collect()
     assert len(few) == 6
     assert vectors.search(both.where("false"), ask).count() == 0
     assert vectors.search(both, ask.where("false")).count() == 0
 
 
+def test_vectors_recall(spark):
+    """Every query of a larger table against brute force; and parts that vectors with clusters do not have to read."""
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(e["embedding"]).astype(float), e["vec_id"].to_numpy()
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    asked = np.flatnonzero(ids % 50 == 0)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -9
+    want = {(int(ids[q]), int(ids[i])) for q, row in zip(asked, np.argsort(-s, axis=1, kind="stable")[:, :5], strict=True) for i in row}
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.op6_nearest(spark, sf).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(40, 16))
+    rows = [(i, (centre[i % 40] + 0.1 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    router = vectors.fit(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vec_id="vec_id", embedding="embedding")
+    assert router.recall >= vectors.RECALL and router.probes <= router.w.shape[1] // 4
+
+
 def test_pipeline(spark, docs, no_docs, rows, tmp_path, sf):
     from mnemolake.llm import language, pieces
 
@@ -172,9 +221,11 @@ def test_pipeline(spark, docs, no_docs, rows, tmp_path, sf):
             kept.append(x)
             seen.add(x)
     cut = []
-    for (i, t), (_, _, _, spans) in zip(kept, brute_repeats([t for _, t in kept]), strict=True):
+    for (i, t), (_, _, _, spans) in zip(kept, brute_repeats([t for _, t in kept], corpus_pipeline.PASSAGE_BYTES), strict=True):
         raw, out, last = (t or "").encode(), b"", 0
         for s, e in spans:
+            if e - s < 400 and len(raw[s:e].split()) <= 50:
+                continue
             while s < e and raw[s] & 0xC0 == 0x80:
                 s += 1
             while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
