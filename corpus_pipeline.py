@@ -2,11 +2,13 @@
 
 1. language: texts without a letter, or without a language that the model is sure of, go; others keep their columns.
 2. near_dups: of each group of near-duplicate documents (5-word shingles, similarity 0.8) the smallest doc_id stays.
-3. suffix_dedup: passages of 400 bytes and more that also start elsewhere are cut from the texts, whole characters only.
+3. suffix_dedup: passages of over 50 words, or of 400 bytes and more, that also occur elsewhere are cut from the texts,
+   every occurrence, whole characters only. A repeat is found from PASSAGE_BYTES bytes on: 50 words of three letters.
 4. decontaminate: documents that hold benchmark passages on 5 % of their words or more go.
 5. sentencepiece: each text is encoded, and decoded again as a check.
 
-Rows with a null doc_id pass all stages on their own merits; empty tables give empty tables.
+Rows with a null doc_id pass all stages on their own merits; empty tables give empty tables. Stages return the columns
+they are given; names that a stage needs for itself begin with `_llm_`.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm import common, decontaminate, language, near_dups, pieces, suffix_dedup
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 200, 32
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +41,12 @@ def stage_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages; n_chars follows the text."""
-    gone = suffix_dedup.repeated_spans(docs).select("text_key", "kept_text")
-    rows = docs.withColumn("text_key", suffix_dedup.text_key()).join(gone, "text_key", "left")
-    changed = F.col("kept_text").isNotNull()
-    rows = rows.withColumn("text", F.coalesce("kept_text", "text")).withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    gone = suffix_dedup.repeated_spans(docs, span=PASSAGE_BYTES, gram=PASSAGE_GRAM, min_words=PASSAGE_WORDS)
+    gone = gone.select(F.col("text_key").alias("_llm_key"), F.col("kept_text").alias("_llm_kept"))
+    rows = docs.withColumn("_llm_key", suffix_dedup.text_key()).join(gone, "_llm_key", "left")
+    text = F.coalesce("_llm_kept", "text")
+    size = F.when(F.col("_llm_kept").isNotNull(), F.char_length("_llm_kept")).otherwise(F.col("n_chars"))
+    return rows.select(*((text if c == "text" else size.cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
