@@ -3,10 +3,12 @@
 The index is learned on a bounded sample (FIT rows with the smallest hash of id; the documented bound): its exact
 neighbour graph is cut into parts of equal capacity, so that neighbours share a part, and a small softmax classifier in
 numpy learns the part of a vector. Every row of the table is then put into its most probable part. A query goes to its
-PROBES most probable parts and is compared there with every row, in double precision, in blocks.
+most probable parts and is compared there with every row, in double precision, in blocks.
 
-PROBES is set for vectors without any cluster structure, where recall follows the share of rows that is read: 24 of 32
-parts give about 0.95. Clustered vectors reach that with few probes.
+Parts grow with the table, one for PART_ROWS rows, between LEAST_PARTS and MOST_PARTS. How many a query probes is measured:
+an eighth of the sample takes no part in the training, and the probes are the fewest that hold RECALL of its exact
+neighbours in the sample. Clustered vectors need few; vectors without any structure need most of the parts, and then the
+index saves little: `exact=True` compares with all rows and skips the learning.
 
 Parts of the table are not of equal size (one vector may hold a third of all rows): a part is dealt out in slices of
 at most SLICE rows, counted before the shuffle, and each query meets every slice of its parts. A task holds one slice and lets
@@ -15,7 +17,8 @@ row in one fixed order, so equal vectors have equal scores and ties go to the sm
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than most of the sample, nor null ids; with fewer than k candidates in the probed parts the query is
-compared with all rows; repeated ids are rows of their own, and a row is no candidate of its own id's queries.
+compared with all rows; repeated ids are rows of their own, and a row is no candidate of its own id's queries; only the id
+and the vector are read, so other columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, drop, map_batches, tune, written
 
-FIT, PARTS, PROBES, SLICE, K, DEGREE, NEAR = 8192, 32, 24, 8192, 5, 10, 1e-9
+FIT, PART_ROWS, LEAST_PARTS, MOST_PARTS, RECALL, SLICE, K, DEGREE, NEAR = 8192, 16_384, 32, 512, 0.95, 8192, 5, 10, 1e-9
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -89,7 +92,9 @@ class Router:
 
     def __init__(self, x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, steps: int = 300):
         x1 = np.hstack([x, np.ones((len(x), 1))])
-        self.dim, self.w = x.shape[1], np.zeros((x1.shape[1], parts))
+        self.dim, self.w, self.probes, self.recall = x.shape[1], np.zeros((x1.shape[1], parts)), parts, 1.0
+        if parts == 1:
+            return
         m, v, goal = np.zeros_like(self.w), np.zeros_like(self.w), np.eye(parts)[part]
         if graph.shape[1]:
             goal = goal / 2 + np.eye(parts)[part[graph]].mean(axis=1) / 2
@@ -100,6 +105,16 @@ class Router:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             self.w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
+    def measure(self, asked: np.ndarray, rows: np.ndarray, k: int, goal: float) -> None:
+        """Set the fewest probes with which unit vectors that were not trained on find this share of their k nearest rows."""
+        s = asked @ rows.T
+        near = np.argpartition(-s, min(k, len(rows)) - 1, axis=1)[:, :k]
+        order = self.order(asked, self.w.shape[1])
+        place = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], self.order(rows, 1)[near, 0]]
+        share = np.bincount(place.ravel(), minlength=order.shape[1]).cumsum() / place.size
+        self.probes = int(np.argmax(share >= goal - 1e-12)) + 1
+        self.recall = float(share[self.probes - 1])
+
     def order(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The most probable parts of unit vectors, the first first."""
         return np.argsort(-(x @ self.w[:-1] + self.w[-1]), axis=1, kind="stable")[:, :probes]
@@ -117,7 +132,8 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def fit(vectors: DataFrame, *, vec_id: str, embedding: str, fit_rows: int = FIT, parts: int = PARTS) -> Router | None:
+def fit(vectors: DataFrame, *, vec_id: str, embedding: str, fit_rows: int = FIT, parts: int | None = None, k: int = K, recall: float = RECALL) -> Router | None:
+    """parts: as many as the table's rows ask for, unless given; 1 learns nothing and sends every query to every row."""
     sample = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(embedding, F.xxhash64(vec_id).alias("h"), vec_id).orderBy("h", vec_id).limit(fit_rows).select(embedding).toArrow().column(0).combine_chunks()
     sizes = [len(r) for r in sample.to_pylist()]
     if not sizes:
@@ -126,9 +142,17 @@ def fit(vectors: DataFrame, *, vec_id: str, embedding: str, fit_rows: int = FIT,
     if not ok.any():
         return None
     x = np.unique(unit(x[ok]), axis=0)
-    parts = max(1, min(parts, len(x) // 8))
-    graph = neighbours(x, DEGREE)
-    return Router(x, balanced_parts(x, graph, parts), graph, parts)
+    if parts is None:
+        parts = min(max(LEAST_PARTS, vectors.count() // PART_ROWS), MOST_PARTS)
+    parts = max(1, min(parts, len(x) // 10))
+    if parts == 1:
+        return Router(x, np.zeros(len(x), np.int64), np.zeros((len(x), 0), np.int64), 1)
+    apart = np.random.default_rng(5).permutation(len(x)) < len(x) // 8
+    held, rest = x[apart], x[~apart]
+    graph = neighbours(rest, DEGREE)
+    router = Router(rest, balanced_parts(rest, graph, parts), graph, parts)
+    router.measure(held, rest, k, recall)
+    return router
 
 
 def _best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int):
@@ -176,10 +200,13 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, probes: int = PROBES, parts: int = PARTS, fit_rows: int = FIT, slice_rows: int = SLICE) -> DataFrame:
-    """Per query: query_id, rank, vec_id, score of its k nearest found. queries has the columns of vectors."""
+def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, exact: bool = False, probes: int | None = None, parts: int | None = None, fit_rows: int = FIT, slice_rows: int = SLICE, recall: float = RECALL) -> DataFrame:
+    """Per query: query_id, rank, vec_id, score of its k nearest found. queries has the columns of vectors.
+
+    probes and parts are measured unless given; exact compares every query with every row.
+    """
     spark = tune(vectors.sparkSession)
-    router = fit(vectors, vec_id=vec_id, embedding=embedding, fit_rows=fit_rows, parts=parts)
+    router = fit(vectors, vec_id=vec_id, embedding=embedding, fit_rows=fit_rows, parts=1 if exact else parts, k=k, recall=recall)
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     bc, dim = spark.sparkContext.broadcast(router), router.dim  # (dimension + 1) x parts doubles
@@ -210,7 +237,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", em
         both = sent.select("part", "slice", F.lit(1).alias("is_query"), "id", "v").union(dealt)
         return _search_slices(both.repartition("part", "slice").sortWithinPartitions("part", "slice", "is_query", "id"), dim, k)
 
-    top = written(_top(ask(asked, probes), k), "nearest")
+    top = written(_top(ask(asked, probes or router.probes), k), "nearest")
     few = asked.select(F.col("id").alias("query_id")).distinct().join(top.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < k).select("query_id")
     few = written(few, "few")
     if not few.isEmpty():

@@ -117,6 +117,28 @@ def test_suffix_dedup(docs, no_docs, rows, limit, batch):
     assert suffix_dedup.repeated_spans(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("limit,batch", [(suffix_dedup.LIMIT, suffix_dedup.STRINGS), (1, 3)])
+def test_suffix_dedup_keeps_the_first(docs, rows, limit, batch):
+    texts = {hashlib.sha256(t.encode()).digest()[:16]: t.encode() for _, t in rows if t}
+    first, count = {}, Counter()
+    for k in sorted(texts):
+        for i in range(len(texts[k]) - 399):
+            w = texts[k][i : i + 400]
+            first.setdefault(w, (k, i))
+            count[w] += 1
+    want = {}
+    for k, b in texts.items():
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 399):
+            if first[b[i : i + 400]] != (k, i):
+                gone[i : i + 400] = True
+        if gone.any():
+            want[k] = int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+    got = suffix_dedup.repeated_spans(docs, limit=limit, batch_strings=batch, keep_first=True).collect()
+    assert {bytes(r["text_key"]): (r["n_removed"], r["kept_sha256"]) for r in got} == want and len(want) > 3
+    assert any(c > 1 for c in count.values())
+
+
 def test_passages_of_51_words_go(spark):
     """Passages of 51 to 60 words, many under 400 bytes, planted in several documents each; clean documents stay as they are."""
     from conftest import prose  # the fixtures beside this file
