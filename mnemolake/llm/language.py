@@ -1,8 +1,9 @@
 """Language identification of mixed text: script ranges, then Viterbi over words.
 
 Training takes about ROWS_PER_LANG labelled texts of each language (those whose hash lies under a limit that follows
-from the language's count) and about ROWS in all, the documented bounds, and counts character n-grams of their words. A
-word's score for a language is its mean n-gram log probability times a weight that grows with its length. The scripts of
+from the language's count) and about ROWS in all, the documented bounds. Executors count the character n-grams and the
+letters by script of their words; the driver receives the sums, at most BUCKETS numbers and the scripts for a language,
+however long the texts are. A word's score for a language is its mean n-gram log probability times a weight that grows with its length. The scripts of
 a word's letters narrow its candidates to the languages that were seen with that script; a script that no language was
 seen with rules out none. Viterbi over the words, with SWITCH paid for every change of language, labels spans. The
 text's language is the one whose spans hold most letters; the score is that share of letters, times the model's mean
@@ -14,7 +15,8 @@ gains of a first and of a last run are together within SWITCH: a path of n runs
 between the first and the last, and one for those two. So the dynamic program runs only where a change may pay.
 
 Defined cases: null, empty or letterless text is `und`, score 0, without spans; without training rows everything with
-letters is `und` too; ties go to the language first in sorted order; repeated rows are labelled each for itself.
+letters is `und` too; ties go to the language first in sorted order; repeated rows are labelled each for itself; kept columns
+whose names the new ones take are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, part, texts, tune, words
+from .common import documents, flat_batches, map_batches, part, texts, tune, words
 
 ROWS_PER_LANG, ROWS, GRAMS, BUCKETS, SWITCH, SHARE, CACHE, MIN_SCORE = 1500, 30_000, (1, 2, 3, 4), 1 << 16, 12.0, 0.001, 400_000, 0.2
 
@@ -62,26 +64,33 @@ def _grams(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).astype(np.int64), np.concatenate(of)
 
 
+def tally(new: list[bytes], times: list[int]) -> tuple[np.ndarray, dict[str, int]]:
+    """How often each bucket of n-grams and the letters of each script occur in words that occur so many times."""
+    strings, n = [w.decode(errors="replace").lower() for w in new], np.array(times, np.int64)
+    counts = np.zeros(BUCKETS, np.int64)
+    if strings:
+        bucket, word = _grams(strings)
+        counts += np.bincount(bucket, n[word], BUCKETS).astype(np.int64)
+    seen: Counter = Counter()
+    for s, m in zip(strings, times, strict=True):
+        for ch in s:
+            if ch.isalpha():
+                seen[script(ch)] += m
+    return counts, dict(seen)
+
+
 class Model:
     """langs, log probabilities (buckets x languages), the languages seen with each script."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs, self.name = sorted(samples), uuid.uuid4().hex
+    def __init__(self, counted: dict[str, tuple[np.ndarray, dict[str, int]]]):
+        """counted: the tally of each language."""
+        self.langs, self.name = sorted(counted), uuid.uuid4().hex
         counts = np.full((BUCKETS, len(self.langs)), 0.2)
-        seen: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        seen: dict[str, dict[int, int]] = defaultdict(dict)
         for k, lang in enumerate(self.langs):
-            n_of = Counter(w for t in samples[lang] for w in words((t or "").encode()))
-            strings, n = [w.decode(errors="replace").lower() for w in n_of], np.fromiter(n_of.values(), np.float64, len(n_of))
-            if strings:
-                bucket, word = _grams(strings)
-                counts[:, k] += np.bincount(bucket, n[word], BUCKETS)
-            chars: Counter = Counter()
-            for s, m in zip(strings, n.astype(int).tolist(), strict=True):
-                for ch in s:
-                    chars[ch] += m
-            for ch, m in chars.items():
-                if ch.isalpha():
-                    seen[script(ch)][k] += m
+            counts[:, k] += counted[lang][0]
+            for s, m in counted[lang][1].items():
+                seen[s][k] = m
         self.logp = np.log(counts / counts.sum(axis=0)) if self.langs else counts
         total: dict[int, int] = defaultdict(int)
         for by in seen.values():
@@ -196,13 +205,32 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     place = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.octet_length(F.col(text))), F.lit(1 << 40))
     counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    samples: dict[str, list[str]] = {x: [] for x in counts}
-    rows_per_lang = min(rows_per_lang, rows_in_all // max(1, len(counts)))
-    if counts:
-        under = F.create_map(*chain.from_iterable((F.lit(x), F.lit(max(1, rows_per_lang * (1 << 40) // n))) for x, n in counts.items()))
-        for r in rows.where(place < under[F.col(lang).cast("string")]).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).toLocalIterator():
-            samples[r["l"]].append(r["t"])
-    return Model(samples)
+    if not counts:
+        return Model({})
+    rows_per_lang = min(rows_per_lang, rows_in_all // len(counts))
+    under = F.create_map(*chain.from_iterable((F.lit(x), F.lit(max(1, rows_per_lang * (1 << 40) // n))) for x, n in counts.items()))
+    sample = rows.where(place < under[F.col(lang).cast("string")]).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("text"))
+
+    def make():
+        def run(batch):
+            by: dict[str, Counter] = defaultdict(Counter)
+            for x, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                by[x].update(words(t))
+            for x, n in by.items():
+                grams, scripts = tally(list(n), list(n.values()))
+                at = np.flatnonzero(grams)
+                yield [[x] * (len(at) + len(scripts)), at.tolist() + [None] * len(scripts), [None] * len(at) + list(scripts), grams[at].tolist() + list(scripts.values())]
+
+        return run
+
+    found = flat_batches(sample, make, [("l", "string"), ("bucket", "int"), ("script", "string"), ("n", "long")]).groupBy("l", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()  # languages x (BUCKETS + scripts) rows
+    counted: dict[str, tuple[np.ndarray, dict[str, int]]] = {x: (np.zeros(BUCKETS, np.int64), {}) for x in counts}
+    for x, bucket, name, n in zip(*(found.column(c).to_pylist() for c in ("l", "bucket", "script", "n")), strict=True):
+        if name is None:
+            counted[x][0][bucket] = n
+        else:
+            counted[x][1][name] = n
+    return Model(counted)
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] = (), switch: float = SWITCH, prefix: str = "", spans: bool = True) -> DataFrame:
@@ -224,10 +252,6 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     return map_batches(docs.select(*dict.fromkeys([*keep, text])), make, fields if spans else fields[:2], list(keep))
 
 
-def has_letter(text: str = "text") -> Column:
-    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-
-
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", part("doc_id", 3, 1))
     model = fit(docs.where(~F.col("held_out")))
