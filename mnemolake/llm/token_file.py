@@ -12,7 +12,8 @@ A task writes under a name of its attempt and then renames, so a task that runs
 Reading goes through Spark's binaryFile source, a task decoding one segment at a time.
 
 Defined cases: a null or empty text is one document with only the end id; a null doc_id comes first; rows with equal
-doc_id stand in the order of their texts; an empty table writes no segment.
+doc_id stand in the order of a hash of their texts; an empty table writes no segment; only the id and the text are read, so
+other columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, flat_batches, scratch, texts, tune
+from .common import documents, flat_batches, scratch, texts, tune, written
 
 MAGIC, BLOCK, PERCENTILE, SEGMENT, END_ID, CACHE = b"PFORIDS1", 256, 90, 1 << 21, 2, 900_000
 
@@ -167,9 +168,15 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = SEGMENT) -> DataFrame:
-    """Write the segments, in ascending order of the id; returns a row per segment: part, seg, n_docs, n_ids, n_bytes."""
+    """Write the segments, in ascending order of the id; returns the index, a written table with a row per segment: part, seg, n_docs, n_ids, n_bytes.
+
+    Ranges are cut by id, then by the text's hash, then by place in the input, so that rows of one id, or without one, are
+    no single range; within an id rows are in the order of that hash.
+    """
     spark = tune(docs.sparkSession)
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    ordered = named.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         enc, part, seg = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
@@ -192,8 +199,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str =
         if names:
             yield flush()
 
-    rows = ordered.mapInArrow(run, "part long, seg long, n_docs long, n_ids long, n_bytes long").collect()  # one row per segment
-    return spark.createDataFrame(rows, "part long, seg long, n_docs long, n_ids long, n_bytes long")
+    return written(ordered.mapInArrow(run, "part long, seg long, n_docs long, n_ids long, n_bytes long"), "segments")
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,7 +250,7 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch(spark, "tokens")
     segments = write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
-    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per range, as many as shuffle partitions
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     starts = segments.join(parts, "part").select("part", "seg", (F.col("before_part") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_ids")).alias("before"))
     if segments.isEmpty():
