@@ -18,17 +18,19 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session, whatever the length of its texts."""
+    """Bound the Arrow batches of this session, whatever the length of its texts. Results are lazy, so the settings stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine makes its own; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and (set_before := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         base = set_before.get()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -130,8 +130,11 @@ def _insert(state: np.ndarray, symbols: np.ndarray, group: np.ndarray) -> np.nda
     return out
 
 
-def repeats(strings: list[bytes], anchors: list[int], copies: list[int], groups: list[int], span: int, block: int = BLOCK) -> np.ndarray:
-    """strings x window starts: whether that window also starts elsewhere in its group. Strings of a group are adjacent.
+def repeats(strings: list[bytes], anchors: list[int], copies: list[int], groups: list[int], span: int, block: int = BLOCK, firsts: list | None = None) -> np.ndarray:
+    """strings x window starts: 1 where that window also starts elsewhere in its group, else 0. Strings of a group are adjacent.
+
+    firsts: by string, its first occurrence (text key, start); then 2 marks the string that holds the first of all
+    occurrences of a repeated window.
 
     Each round reads the order and the common prefixes that the round before wrote, and its column of symbols, from
     front to back in blocks of whole groups, and writes its own the same way. The files are this task's scratch, as its
@@ -147,7 +150,10 @@ def repeats(strings: list[bytes], anchors: list[int], copies: list[int], groups:
             cuts.append(z)
     blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
     m, before, after = len(index), int(anchor.max()), int((size - anchor).max())
-    found = np.zeros((len(strings), int(size.max()) - span + 1), bool)
+    found = np.zeros((len(strings), int(size.max()) - span + 1), np.uint8)
+    rank = np.zeros(len(strings), np.int64)
+    if firsts is not None:  # windows in one column stand at start + anchor and a distance common to all
+        rank[sorted(range(len(strings)), key=lambda i: (firsts[i][0], firsts[i][1] + anchors[i]))] = np.arange(len(strings))
     with tempfile.TemporaryFile() as file, tempfile.TemporaryFile() as old, tempfile.TemporaryFile() as new:
         column = np.memmap(file, np.uint16, "w+", shape=(before + after, m))
         for i, s in enumerate(index.tolist()):
@@ -163,11 +169,17 @@ def repeats(strings: list[bytes], anchors: list[int], copies: list[int], groups:
             for a, z in blocks:
                 state = _insert(np.fromfile(old, _STATE, z - a), column[x, a:z], group[a:z] - group[a])
                 state.tofile(new)
-                hit = state["lcp"] >= span
-                if hit.any():
-                    hit[:-1] |= hit[1:].copy()
+                alike = state["lcp"] >= span  # with the suffix before
+                if alike.any():
+                    hit = alike.copy()
+                    hit[:-1] |= alike[1:]
                     who = a + state["doc"][hit].astype(np.int64)
-                    found[index[who], x - before + anchor[who]] = True
+                    kind = 1
+                    if firsts is not None:
+                        same = np.cumsum(~alike[hit])
+                        least = np.minimum.reduceat(rank[index[who]], np.flatnonzero(~alike[hit]))
+                        kind = 1 + (rank[index[who]] == least[same - 1])
+                    found[index[who], x - before + anchor[who]] = kind
             old, new = new, old
         del column
     return found
@@ -239,36 +251,40 @@ def _repeated(runs: DataFrame) -> DataFrame:
 
 
 def _strings(cand: DataFrame, unique: DataFrame, span: int) -> DataFrame:
-    """Each different run once, with its bytes and one or two copies: h, content, anchor, copies, body."""
+    """Each different run once, with its bytes, one or two copies and its first occurrence: h, content, anchor, copies, first_key, first_start, body."""
     one = cand.groupBy("h", "content").agg(F.min(F.struct("text_key", F.element_at("starts", 1).alias("start"), "anchor", "size")).alias("r"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("copies"))
     by_text = one.groupBy(F.col("r.text_key").alias("text_key")).agg(F.collect_list(F.struct("h", "content", "r.start", "r.anchor", "r.size", "copies")).alias("runs"))
 
     def make():
         def run(batch):
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield [[r[c] for r in runs] for c in ("h", "content", "anchor", "copies")] + [[text[r["start"] : r["start"] + r["size"]] for r in runs]]
+            for key, text, runs in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                yield [[r[c] for r in runs] for c in ("h", "content", "anchor", "copies")] + [[key] * len(runs), [r["start"] for r in runs], [text[r["start"] : r["start"] + r["size"]] for r in runs]]
 
         return run
 
-    return flat_batches(unique.join(by_text, "text_key").select(F.col("text").cast("binary").alias("body"), "runs"), make, [("h", "long"), ("content", "binary"), ("anchor", "int"), ("copies", "int"), ("body", "binary")])
+    return flat_batches(unique.join(by_text, "text_key").select("text_key", F.col("text").cast("binary").alias("body"), "runs"), make, [("h", "long"), ("content", "binary"), ("anchor", "int"), ("copies", "int"), ("first_key", "binary"), ("first_start", "int"), ("body", "binary")])
+
 
+def _construct(strings: DataFrame, span: int, batch_strings: int, keep_first: bool) -> DataFrame:
+    """Column-wise construction over whole groups; several small groups share the rounds.
 
-def _construct(strings: DataFrame, span: int, batch_strings: int) -> DataFrame:
-    """Column-wise construction over whole groups; several small groups share the rounds."""
+    spans: where windows are repeats; rest: those of them that go at the run's first occurrence too.
+    """
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = pa.schema([("h", pa.int64()), ("content", pa.binary()), ("first_key", pa.binary()), ("first_start", pa.int32()), ("spans", kind), ("rest", kind)])
 
     def run(batches):
         held: list[tuple] = []
 
         def out():
-            h, content, anchor, copies, body = zip(*held, strict=True)
-            found = repeats(list(body), list(anchor), list(copies), list(h), span)
-            spans = [_to_spans(f, span) for f in found]
-            keep = [i for i, s in enumerate(spans) if s]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            return pa.RecordBatch.from_pydict({"h": pa.array([h[i] for i in keep], pa.int64()), "content": pa.array([content[i] for i in keep], pa.binary()), "spans": pa.array([spans[i] for i in keep], kind)})
+            h, content, anchor, copies, key, start, body = zip(*held, strict=True)
+            found = repeats(list(body), list(anchor), list(copies), list(h), span, firsts=list(zip(key, start, strict=True)) if keep_first else None)
+            keep = np.flatnonzero(found.any(axis=1)).tolist()
+            spans, rest = ([_to_spans(f, span) for f in x[keep]] for x in (found > 0, found == 1))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*([c[i] for i in keep] for c in (h, content, key, start)), spans, rest], schema, strict=True)], schema=schema)
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "content", "anchor", "copies", "body")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("h", "content", "anchor", "copies", "first_key", "first_start", "body")), strict=True):
                 if len(held) >= batch_strings and row[0] != held[-1][0]:
                     yield out()
                     held = []
@@ -276,7 +292,8 @@ def _construct(strings: DataFrame, span: int, batch_strings: int) -> DataFrame:
         if held:
             yield out()
 
-    return strings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, content binary, spans array<struct<start:int,end:int>>")
+    pairs = "array<struct<start:int,end:int>>"
+    return strings.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"h long, content binary, first_key binary, first_start int, spans {pairs}, rest {pairs}")
 
 
 def _whole(text: bytes, start: int, end: int) -> tuple[int, int]:
@@ -290,7 +307,8 @@ def _whole(text: bytes, start: int, end: int) -> tuple[int, int]:
 
 def _by_text(cand: DataFrame, spans: DataFrame, unique: DataFrame, min_words: int, or_bytes: int) -> DataFrame:
     """text_key, n_removed, n_spans, kept_sha256, spans, kept_text of the texts that lose bytes."""
-    found = cand.join(spans, ["h", "content"]).groupBy("text_key").agg(F.collect_list(F.struct("starts", "spans")).alias("found"))
+    first = F.when(F.col("first_key") == F.col("text_key"), F.col("first_start")).alias("first")  # null: the run's first occurrence is in another text
+    found = cand.join(spans, ["h", "content"]).groupBy("text_key").agg(F.collect_list(F.struct("starts", "spans", "rest", first)).alias("found"))
 
     def make():
         def run(batch):
@@ -299,13 +317,14 @@ def _by_text(cand: DataFrame, spans: DataFrame, unique: DataFrame, min_words: in
                 delta = np.zeros(len(text) + 1, np.int32)
                 for r in rows:
                     at = np.array(r["starts"])
-                    for s in r["spans"]:
-                        np.add.at(delta, at + s["start"], 1)
-                        np.add.at(delta, at + s["end"], -1)
+                    for at, runs in ((at[at != r["first"]], r["spans"]), (at[at == r["first"]], r["rest"])):
+                        for s in runs if len(at) else ():
+                            np.add.at(delta, at + s["start"], 1)
+                            np.add.at(delta, at + s["end"], -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
                 runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-                if min_words:
+                if min_words or not runs:
                     runs = [(s, e) for s, e in runs if e - s >= or_bytes or len(text[s:e].split()) >= min_words]
                     if not runs:
                         continue
@@ -337,11 +356,12 @@ def text_key(text: str = "text"):
     return F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)
 
 
-def repeated_spans(docs: DataFrame, *, text: str = "text", span: int = SPAN, gram: int = GRAM, limit: int = LIMIT, batch_strings: int = STRINGS, min_words: int = 0, or_bytes: int = SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, text: str = "text", span: int = SPAN, gram: int = GRAM, limit: int = LIMIT, batch_strings: int = STRINGS, min_words: int = 0, or_bytes: int = SPAN, keep_first: bool = False) -> DataFrame:
     """By distinct text that loses bytes: text_key, n_removed, n_spans, kept_sha256, spans, kept_text (a written table).
 
     With min_words, maximal runs of fewer words (between blanks; a word cut by the border counts) stay in the text,
-    unless they have or_bytes bytes.
+    unless they have or_bytes bytes. With keep_first, the first occurrence of every repeated string stays, in the order of
+    text key and place; rows with one text are alike, so they keep it together.
     """
     spark = tune(docs.sparkSession)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -372,7 +392,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", span: int = SPAN, gra
         every = settled[0]
         for s in settled[1:]:
             every = every.union(s)
-        spans = written(_construct(_strings(every, unique, span), span, batch_strings), "spans")
+        spans = written(_construct(_strings(every, unique, span), span, batch_strings, keep_first), "spans")
         out = written(_by_text(every, spans, unique, min_words, or_bytes), "removed")
         drop(spans, *tables)
         return out
