@@ -1,15 +1,12 @@
-"""The queries of this subpackage and their DuckDB SQL."""
+"""The queries of this subpackage and their DuckDB SQL. (The entry module registers the pipeline, a script beside the package.)"""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, language, licenses, near_dups, pieces, suffix_dedup, token_counts, token_file, toxicity, vectors
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_token_file": token_file.op3_token_file,
