@@ -5,29 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import search, tree_edits
 from ..schema import NOW
+from .aggregates import PROFILE, agg_profile
 from .catalog import query
 from .retrieval import BM25, FUSED, _found
-from .trees import _DUCK_ANC, ancestors
+from .trees import _DUCK_ANC, _MERGED, _SN, _insights, _merged, ancestors
 
 
-@query("sink_episodic", "SELECT id, summary, round(importance, 6) AS importance FROM eg_episodic UNION ALL SELECT o_orderkey, concat('order ', CAST(o_orderkey AS VARCHAR)), round(least(1.0, o_totalprice / 500000), 6) FROM orders WHERE o_orderkey % 20 = 1 AND o_orderkey < 500")
+@query("sink_episodic", "SELECT id, summary, round(importance, 9) AS importance FROM eg_episodic WHERE id % 3 <> 0 UNION ALL SELECT o_orderkey, concat('order ', CAST(o_orderkey AS VARCHAR)), round(least(1.0, o_totalprice / 500000), 9) FROM orders WHERE o_orderkey NOT IN (SELECT id FROM eg_episodic WHERE id % 3 <> 0)")
 def sink_episodic(t):
-    """The SQL's share of sink_episodic_whole."""
-    return inserted(t["eg_episodic"], t["orders"].where("o_orderkey % 20 IN (0, 1) AND o_orderkey < 500"))
-
-
-@query("sink_episodic_whole")
-def sink_episodic_whole(t):
-    """Every order is offered."""
-    return inserted(t["eg_episodic"], t["orders"])
+    """Every order is offered to a store that lacks a third of them."""
+    return inserted(t["eg_episodic"].where("id % 3 <> 0"), t["orders"])
 
 
 def inserted(episodic, orders):
     """INSERT OR IGNORE: new ids only."""
-    new = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("summary"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 500000), 6).alias("importance"))
-    old = episodic.select("id", "summary", F.round("importance", 6).alias("importance"))
+    new = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("summary"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 500000), 9).alias("importance"))
+    old = episodic.select("id", "summary", F.round("importance", 9).alias("importance"))
     return old.union(new.join(old, "id", "left_anti"))
 
 
@@ -46,9 +41,12 @@ def sink_graph_json(t):
     return nodes.union(t["project_edges"].select(F.to_json(F.struct(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), "relation"))))
 
 
-@query("sink_profile", "SELECT type, CAST(count(*) AS BIGINT) AS traits, round(max(weight), 6) AS strongest FROM memory WHERE type IN ('user_trait', 'preference') AND NOT archived GROUP BY type")
+@query("sink_profile", PROFILE + """ SELECT string_agg(concat('{"category":"', category, '","id":', CAST(id AS VARCHAR), ',"observations":', CAST(observations AS VARCHAR), '}'), ',' ORDER BY category, rn) AS profile, CAST(count(*) AS BIGINT) AS traits FROM pf""")
 def sink_profile(t):
-    return t["memory"].where("type IN ('user_trait', 'preference') AND NOT archived").groupBy("type").agg(F.count(F.lit(1)).alias("traits"), F.round(F.max("weight"), 6).alias("strongest"))
+    """The profile as one JSON row: a few traits of each category, so one row is enough."""
+    line = F.to_json(F.struct("category", "id", "observations"))
+    rows = agg_profile(t).groupBy().agg(F.array_sort(F.collect_list(F.struct("category", "rn", line.alias("j")))).alias("r"))
+    return rows.select(F.array_join(F.transform("r", lambda x: x["j"]), ",").alias("profile"), F.size("r").cast("long").alias("traits"))
 
 
 @query("sink_summary", "SELECT conv_id, CAST(max(turn) AS BIGINT) AS up_to, substr(max_by(text, turn), 1, 80) AS summary FROM conversations GROUP BY conv_id")
@@ -66,15 +64,9 @@ def join_cross_memory_node(t):
     return t["turns"].join(t["memory"].select("id"), F.col("node_id") == F.col("id")).select("node_id", F.col("id").alias("memory_id"))
 
 
-@query("range_join", "SELECT e.event_id, m.id FROM events e JOIN memory m ON e.value BETWEEN 100 * m.weight - 0.01 AND 100 * m.weight + 0.01 WHERE m.id < 300")
+@query("range_join", "SELECT e.event_id, m.id FROM events e JOIN memory m ON e.value BETWEEN 100 * m.weight - 0.01 AND 100 * m.weight + 0.01")
 def range_join(t):
-    """The SQL's share of range_join_whole."""
-    return near_values(t["events"], t["memory"].where("id < 300"))
-
-
-@query("range_join_whole")
-def range_join_whole(t):
-    """Every event with every memory of that value; without SQL, as the engine there compares all pairs."""
+    """Every event with every memory of that value."""
     return near_values(t["events"], t["memory"])
 
 
@@ -96,33 +88,56 @@ def array_map(t):
     return t["memory"].select("id", F.array_join(F.array_sort(F.array_distinct(tags)), "|").alias("tags"), F.size(tags).alias("n"))
 
 
-#: Rules of extraction, by type of memory.
-RULES = {"fact": r"([A-Z][a-z]+ (?:is|was) [a-z]+)", "preference": r"([Tt]he [a-z]+ of [a-z]+)", "lesson": r"(for the [a-z]+)", "decision": r"(to the [a-z]+)", "user_trait": r"(with [a-z]+)"}
+#: Patterns of rule extraction and the kind of fact each one finds, in the first 300 characters.
+RULES = [
+    (r"(?:我(?:是|叫|来自|住在|在.{0,20}工作))", "identity"),
+    (r"(?:我的(?:名字|职业|身份|家乡)是)", "identity"),
+    (r"(?:我(?:喜欢|偏好|习惯|通常|总是))", "preference"),
+    (r"(?:我(?:不吃|不喜欢|讨厌|从不))", "avoidance"),
+    (r"(?:哥哥(?:是|的|说|叫))", "relation"),
+]
+#: Words of the given prose and what stands for them in the test of the rules, the same in both engines.
+_SAYS = {" the ": "我喜欢", " and ": "我是", " of ": "哥哥说", " in ": "我从不", " to ": "我的名字是"}
+
+
+def rule_matches(text):
+    """All matches of all rules, in the order of the rules: array of (type, statement)."""
+    named = lambda kind: lambda m: F.struct(F.lit(kind).alias("type"), m.alias("statement"))
+    return F.flatten(F.array(*(F.transform(F.regexp_extract_all(F.substring(text, 1, 300), F.lit(p), F.lit(0)), named(kind)) for p, kind in RULES)))
+
+
+def _said(sql: str) -> str:
+    for word, says in _SAYS.items():
+        sql = f"replace({sql}, '{word}', '{says}')"
+    return sql
 
 
-@query("str_rule_extract", "SELECT id, type, statement FROM (" + " UNION ALL ".join(f"SELECT id, '{k}' AS type, regexp_extract(substr(content, 1, 300), '{p}', 1) AS statement FROM memory" for k, p in RULES.items()) + ") WHERE statement <> ''")
+@query("str_rule_extract", "SELECT id, type, statement, CAST(0.5 AS DOUBLE) AS weight FROM (" + " UNION ALL ".join(f"SELECT id, '{k}' AS type, unnest(regexp_extract_all(substr({_said('content')}, 1, 300), '{p}')) AS statement FROM memory" for p, k in RULES) + ")")
 def str_rule_extract(t):
-    """All rules in one pass: an array of matches, exploded."""
-    head = F.substring("content", 1, 300)
-    found = F.array(*(F.struct(F.lit(k).alias("type"), F.regexp_extract(head, p, 1).alias("statement")) for k, p in RULES.items()))
-    return t["memory"].select("id", F.explode(F.filter(found, lambda x: x["statement"] != "")).alias("x")).select("id", "x.type", "x.statement")
+    """Every match of every rule in one pass."""
+    said = F.expr(_said("content"))
+    return t["memory"].select("id", F.explode(rule_matches(said)).alias("x")).select("id", "x.type", "x.statement", F.lit(0.5).alias("weight"))
 
 
-@query("tree_fork", "SELECT node_id, concat('fork of ', CAST(parent_id AS VARCHAR)) AS label FROM turns WHERE branch_label IS NOT NULL")
+@query("tree_fork", f"""WITH RECURSIVE {_DUCK_ANC}, {_SN}, dp AS (SELECT node_id, max(dist) AS depth FROM anc GROUP BY node_id)
+ SELECT sn.node_id, parent_id, branch_label, node_type, CAST(depth AS INT) AS depth FROM sn JOIN dp USING (node_id) UNION ALL SELECT 10000000 + sn.node_id, sn.node_id, 'fork', 'branch', CAST(depth + 1 AS INT) FROM sn JOIN dp USING (node_id) WHERE turn = 1""")
 def tree_fork(t):
-    return t["turns"].where("branch_label IS NOT NULL").select("node_id", F.concat(F.lit("fork of "), F.col("parent_id").cast("string")).alias("label"))
+    """The next snapshot: a branch forked from the second turn of every conversation."""
+    asked = t["turns"].where("turn = 1").select((F.col("node_id") + 10_000_000).alias("node_id"), F.col("node_id").alias("at"), F.lit("fork").alias("label"))
+    return tree_edits.fork(tree_edits.snapshot(t["turns"]), asked).select("node_id", "parent_id", "branch_label", "node_type", "depth")
 
 
-@query("tree_unmerge", "SELECT node_id, CAST(0.8 AS DOUBLE) AS confidence, regexp_replace(concat('[merged] ', substr(text, 1, 60)), '^\\[merged\\] ', '') AS conclusion FROM turns WHERE branch_label IS NOT NULL")
+@query("tree_unmerge", f"WITH {_MERGED} SELECT * FROM i0 UNION ALL SELECT target, concat('[merged from ', branch_label, '] ', text), CAST(0.72 AS DOUBLE), concat(sources, ',', CAST(mg.node_id AS VARCHAR)) FROM mg JOIN i0 ON i0.node_id = mg.node_id WHERE mg.node_id % 2 = 1")
 def tree_unmerge(t):
-    merged = F.concat(F.lit("[merged] "), F.substring("text", 1, 60))
-    return t["turns"].where("branch_label IS NOT NULL").select("node_id", F.lit(0.8).alias("confidence"), F.regexp_replace(merged, r"^\[merged\] ", "").alias("conclusion"))
+    """The conclusions after the merges of even nodes are taken back."""
+    nodes, insights = _merged(t)
+    return _insights(tree_edits.unmerge(nodes, insights, t["turns"].where("node_id % 2 = 0").select("node_id"))[1])
 
 
 @query("tree_abandon", f"WITH RECURSIVE {_DUCK_ANC} SELECT t.node_id, t.node_id NOT IN (SELECT a.node_id FROM anc a WHERE a.ancestor_id % 100 = 2) AS is_valid FROM turns t")
 def tree_abandon(t):
-    below = ancestors(t).where("ancestor_id % 100 = 2").select("node_id", F.lit(True).alias("gone")).distinct()
-    return t["turns"].select("node_id").join(below, "node_id", "left").select("node_id", F.col("gone").isNull().alias("is_valid"))
+    """The next snapshot after the third turn of every conversation is abandoned."""
+    return tree_edits.abandon(tree_edits.snapshot(t["turns"]), t["turns"].where("turn = 2").select("node_id")).select("node_id", "is_valid")
 
 
 _LIVE = "(valid_to IS NULL OR valid_to > 1735689600)"

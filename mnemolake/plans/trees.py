@@ -1,26 +1,34 @@
-"""Conversation trees: recursion over parents, levels bounded by the depth."""
+"""Conversation trees: paths and inheritance by pointer jumping over written tables (operators/forest.py)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import forest, search, tree_edits
+from ..operators.search import ranked
+from ..sources.scratch import cut
 from .catalog import query
+from .retrieval import FUSED, _found, deeper
 
-#: (node, ancestor, distance) of every node, itself included; the same text runs in both engines.
+#: (node, ancestor, distance) of every node, itself included, as the oracle has it.
 _ANC = """anc(node_id, ancestor_id, dist) AS (SELECT node_id, node_id, 0 FROM {turns} UNION ALL SELECT a.node_id, t.parent_id, a.dist + 1 FROM anc a JOIN {turns} t ON t.node_id = a.ancestor_id WHERE t.parent_id IS NOT NULL)"""
 _DUCK_ANC = _ANC.replace("{turns}", "turns")
 
 
-def ancestors(t):
-    spark = t["turns"].sparkSession
-    return spark.sql(f"WITH RECURSIVE {_ANC} SELECT * FROM anc", turns=t["turns"].select("node_id", "parent_id"))
+def ancestors(t, of=None, within=None):
+    return forest.ancestors(t["turns"].select("node_id", "parent_id"), of, within)
+
+
+def below(t, marked):
+    """(node_id, ancestor_id, dist): the nearest marked node on each node's path, where there is one."""
+    return forest.nearest(t["turns"].select("node_id", "parent_id"), marked)
 
 
 def trunk(t):
     """Nodes on the path to the last node of each conversation without a branch label on it."""
     end = t["turns"].groupBy("conv_id").agg(F.max_by("node_id", F.struct((F.col("turn") % 3 != 2).cast("int"), "turn")).alias("node_id"))
-    return ancestors(t).join(end.select("node_id"), "node_id", "left_semi").select(F.col("ancestor_id").alias("node_id"))
+    return ancestors(t, end).select(F.col("ancestor_id").alias("node_id"))
 
 
 _TRUNK = "te AS (SELECT node_id FROM (SELECT node_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 <> 2 THEN 1 ELSE 0 END DESC, turn DESC) AS r FROM turns) WHERE r = 1), tp AS (SELECT ancestor_id AS node_id FROM anc WHERE node_id IN (SELECT node_id FROM te))"
@@ -74,24 +82,61 @@ def tree_add(t):
     return t["turns"].select("node_id", F.when(F.col("branch_label").isNotNull(), "branch").when(F.col("parent_id").isNull(), "root").when(first, "trunk").otherwise("branch").alias("node_type"))
 
 
-@query("tree_conclude", f"WITH RECURSIVE {_DUCK_ANC} SELECT DISTINCT a.node_id, a.ancestor_id AS abandoned FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn = 2")
+#: The tree of each conversation as nodes with their kind, as the oracle has it.
+_SN = "sn AS (SELECT t.node_id, t.parent_id, t.conv_id, t.turn, t.text, t.branch_label, CASE WHEN t.parent_id IS NULL THEN 'root' WHEN t.branch_label IS NOT NULL THEN 'branch' ELSE 'trunk' END AS node_type FROM turns t)"
+_ENDS = "en AS (SELECT conv_id, node_id FROM (SELECT conv_id, node_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 <> 2 THEN 1 ELSE 0 END DESC, turn DESC) AS r FROM turns) WHERE r = 1)"
+
+
+def _no_insights(t):
+    return t["turns"].sparkSession.createDataFrame([], "node_id long, text string, confidence double, source_ids array<bigint>")
+
+
+def _concluded(t, nodes):
+    """Every branch node concludes with the front of its own text."""
+    asked = t["turns"].where("branch_label IS NOT NULL").select("node_id", F.substring("text", 1, 60).alias("text"))
+    return tree_edits.conclude(nodes, _no_insights(t), asked)
+
+
+def _merged(t):
+    """Every concluded branch is merged into its parent where that is trunk."""
+    nodes, insights = _concluded(t, cut(tree_edits.snapshot(t["turns"])))
+    asked = t["turns"].where("branch_label IS NOT NULL AND parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("target"))
+    return tree_edits.merge(nodes, insights, asked)
+
+
+def _insights(insights):
+    return insights.select("node_id", "text", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@query("tree_conclude", f"""WITH RECURSIVE {_DUCK_ANC}, {_SN}, {_ENDS}, cq AS (SELECT node_id FROM turns WHERE turn IN (3, 4)),
+ tk AS (SELECT en.conv_id, CASE WHEN en.node_id IN (SELECT node_id FROM cq) THEN (SELECT min_by(a.ancestor_id, a.dist) FROM anc a JOIN sn ON sn.node_id = a.ancestor_id WHERE a.node_id = en.node_id AND sn.node_type = 'trunk' AND a.ancestor_id NOT IN (SELECT node_id FROM cq)) ELSE en.node_id END AS trunk_id FROM en)
+ SELECT sn.node_id, CASE WHEN cq.node_id IS NOT NULL THEN 'conclusion' ELSE node_type END AS node_type, CASE WHEN cq.node_id IS NOT NULL THEN substr(text, 1, 40) END AS conclusion, tk.trunk_id IS NOT NULL AND tk.trunk_id = sn.node_id AS trunk_end FROM sn LEFT JOIN cq ON cq.node_id = sn.node_id LEFT JOIN tk ON tk.conv_id = sn.conv_id""")
 def tree_conclude(t):
-    """Abandoning a node makes its whole subtree invalid."""
-    gone = t["turns"].where("turn = 2").select(F.col("node_id").alias("ancestor_id"))
-    return ancestors(t).join(gone, "ancestor_id", "left_semi").select("node_id", F.col("ancestor_id").alias("abandoned")).distinct()
+    """The next snapshot after the fourth and fifth turns are concluded, with the end that each conversation's trunk then has."""
+    asked = t["turns"].where("turn IN (3, 4)").select("node_id", F.substring("text", 1, 40).alias("text"))
+    nodes, insights = tree_edits.conclude(tree_edits.snapshot(t["turns"]), _no_insights(t), asked)
+    nodes = cut(nodes)
+    ends = t["turns"].groupBy("conv_id").agg(F.max_by("node_id", F.struct((F.col("turn") % 3 != 2).cast("int"), "turn")).alias("node_id"))
+    end = tree_edits.trunk_ends(nodes, ends).where("trunk_id IS NOT NULL").select(F.col("trunk_id").alias("node_id"), F.lit(True).alias("e"))
+    out = nodes.join(insights.select("node_id", F.col("text").alias("conclusion")), "node_id", "left").join(end, "node_id", "left")
+    return out.select("node_id", "node_type", "conclusion", F.coalesce("e", F.lit(False)).alias("trunk_end"))
+
 
+_MERGED = f"""{_SN}, i0 AS (SELECT node_id, substr(text, 1, 60) AS text, CAST(0.8 AS DOUBLE) AS confidence, CAST(node_id AS VARCHAR) AS sources FROM sn WHERE branch_label IS NOT NULL),
+ mg AS (SELECT b.node_id, b.parent_id AS target, b.branch_label FROM sn b JOIN sn p ON p.node_id = b.parent_id WHERE b.branch_label IS NOT NULL AND p.node_type = 'trunk')"""
 
-@query("tree_merge", "SELECT node_id, CAST(round(0.8 * 0.9, 6) AS DOUBLE) AS confidence, concat('[merged] ', substr(text, 1, 60)) AS conclusion FROM turns WHERE branch_label IS NOT NULL")
+
+@query("tree_merge", f"WITH {_MERGED} SELECT * FROM i0 UNION ALL SELECT target, concat('[merged from ', branch_label, '] ', text), CAST(0.72 AS DOUBLE), concat(sources, ',', CAST(mg.node_id AS VARCHAR)) FROM mg JOIN i0 ON i0.node_id = mg.node_id")
 def tree_merge(t):
-    return t["turns"].where("branch_label IS NOT NULL").select("node_id", F.round(F.lit(0.8) * 0.9, 6).alias("confidence"), F.concat(F.lit("[merged] "), F.substring("text", 1, 60)).alias("conclusion"))
+    """The conclusions of all nodes after the merges."""
+    return _insights(_merged(t)[1])
 
 
 @query("tree_valid", f"WITH RECURSIVE {_DUCK_ANC}, {_TRUNK}, bad AS (SELECT DISTINCT a.node_id FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn = 5) SELECT node_id, node_id NOT IN (SELECT node_id FROM bad) AND node_id IN (SELECT a.node_id FROM anc a JOIN tp ON tp.node_id = a.ancestor_id) AS valid FROM turns")
 def tree_valid(t):
     """Reaches the trunk and no ancestor is abandoned."""
-    a = ancestors(t)
-    bad = a.join(t["turns"].where("turn = 5").select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("node_id", F.lit(True).alias("bad")).distinct()
-    reach = a.join(trunk(t).select(F.col("node_id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").select("node_id", F.lit(True).alias("reach")).distinct()
+    bad = below(t, t["turns"].where("turn = 5")).select("node_id", F.lit(True).alias("bad"))
+    reach = below(t, trunk(t)).select("node_id", F.lit(True).alias("reach"))
     return t["turns"].select("node_id").join(bad, "node_id", "left").join(reach, "node_id", "left").select("node_id", (F.col("bad").isNull() & F.col("reach").isNotNull()).alias("valid"))
 
 
@@ -102,8 +147,7 @@ def tree_trunk(t):
 
 @query("tree_prune", f"WITH RECURSIVE {_DUCK_ANC} SELECT node_id FROM turns WHERE node_id NOT IN (SELECT a.node_id FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn = 3)")
 def tree_prune(t):
-    gone = ancestors(t).join(t["turns"].where("turn = 3").select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("node_id")
-    return t["turns"].select("node_id").join(gone, "node_id", "left_anti")
+    return t["turns"].select("node_id").join(below(t, t["turns"].where("turn = 3")), "node_id", "left_anti")
 
 
 @query("tree_delete_node", f"WITH RECURSIVE {_DUCK_ANC}, g AS (SELECT node_id, parent_id FROM turns WHERE turn = 1), n AS (SELECT t.node_id, coalesce(g.parent_id, t.parent_id) AS parent_id FROM turns t LEFT JOIN g ON g.node_id = t.parent_id WHERE t.turn <> 1), d AS (SELECT a.node_id, count(*) - 1 AS depth FROM anc a JOIN turns t ON t.node_id = a.ancestor_id WHERE t.turn <> 1 GROUP BY a.node_id) SELECT n.node_id, n.parent_id, CAST(depth AS BIGINT) AS depth FROM n JOIN d USING (node_id)")
@@ -118,7 +162,7 @@ def tree_delete_node(t):
 
 @query("tree_search", f"WITH RECURSIVE {_DUCK_ANC} SELECT t.node_id FROM turns t WHERE contains(lower(t.text), 'the') AND t.node_id IN (SELECT node_id FROM anc WHERE ancestor_id % 100 = 1)")
 def tree_search(t):
-    inside = ancestors(t).where("ancestor_id % 100 = 1").select("node_id").distinct()
+    inside = below(t, t["turns"].where("node_id % 100 = 1"))
     return t["turns"].where(F.lower("text").contains("the")).select("node_id").join(inside, "node_id", "left_semi")
 
 
@@ -134,8 +178,7 @@ _CARDS = f"{_DUCK_ANC}, {_TRUNK}, {_HEADS}, cd AS (SELECT a.node_id, min_by(a.an
 
 def cards(t):
     """The nearest head above each node."""
-    h = heads(t).select(F.col("node_id").alias("ancestor_id"))
-    return ancestors(t).join(h, "ancestor_id", "left_semi").groupBy("node_id").agg(F.min_by("ancestor_id", "dist").alias("head"))
+    return below(t, heads(t)).select("node_id", F.col("ancestor_id").alias("head"))
 
 
 @query("tree_cards", f"WITH RECURSIVE {_CARDS} SELECT head, CAST(count(*) AS BIGINT) AS nodes, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS node_ids FROM cd GROUP BY head")
@@ -162,23 +205,16 @@ def tree_card_ops(t):
     """Whether a new parent would close a cycle: it lies below the node itself."""
     x = t["turns"].select("node_id")
     ask = x.join(x.select((F.col("node_id") - 1).alias("node_id")), "node_id", "left_semi").withColumn("new_parent", F.col("node_id") + 1)
-    below = ancestors(t).select(F.col("node_id").alias("new_parent"), F.col("ancestor_id").alias("node_id"), F.lit(True).alias("c"))
-    return ask.join(below, ["node_id", "new_parent"], "left").select("node_id", "new_parent", F.col("c").isNotNull().alias("cycle"))
+    up = ancestors(t, ask.select(F.col("new_parent").alias("node_id")).distinct()).select(F.col("node_id").alias("new_parent"), F.col("ancestor_id").alias("node_id"), F.lit(True).alias("c"))
+    return ask.join(up, ["node_id", "new_parent"], "left").select("node_id", "new_parent", F.col("c").isNotNull().alias("cycle"))
 
 
 @query("tree_misc", f"WITH RECURSIVE {_DUCK_ANC} SELECT node_id, max_by(CASE ancestor_id % 100 WHEN 0 THEN 'root agent' WHEN 2 THEN 'branch agent' END, -dist) FILTER (ancestor_id % 100 IN (0, 2)) AS agent FROM anc GROUP BY node_id")
 def tree_misc(t):
     """An agent set on a node holds for its subtree until a nearer one."""
     name = F.when(F.col("ancestor_id") % 100 == 0, "root agent").when(F.col("ancestor_id") % 100 == 2, "branch agent")
-    return ancestors(t).groupBy("node_id").agg(F.max_by(name, F.when(name.isNotNull(), -F.col("dist"))).alias("agent"))
-
-
-@query("tree_scoped", f"WITH RECURSIVE {_DUCK_ANC}, p AS (SELECT ancestor_id AS node_id FROM anc WHERE node_id = 105) SELECT t.node_id, CAST(round(0.3 + CASE WHEN t.node_id IN (SELECT node_id FROM p) THEN 0.4 WHEN t.branch_label = 'b5' THEN 0.2 ELSE 0 END, 4) AS DOUBLE) AS tree_score FROM turns t WHERE conv_id < 30")
-def tree_scoped(t):
-    """A base score raised on the active path or else on its branch."""
-    p = ancestors(t).where("node_id = 105").select(F.col("ancestor_id").alias("node_id"), F.lit(True).alias("on_path"))
-    x = t["turns"].where("conv_id < 30").join(p, "node_id", "left")
-    return x.select("node_id", F.round(0.3 + F.when(F.col("on_path"), 0.4).when(F.col("branch_label") == "b5", 0.2).otherwise(0.0), 4).alias("tree_score"))
+    found = below(t, t["turns"].where("node_id % 100 IN (0, 2)")).select("node_id", name.alias("agent"))
+    return t["turns"].select("node_id").join(found, "node_id", "left")
 
 
 def scoped(found, turns, anc, asks, k: int):
@@ -187,8 +223,6 @@ def scoped(found, turns, anc, asks, k: int):
     A row that is a turn of another conversation is left out; one that is no turn stays. A turn on the path from the root
     to the node gains 0.4, another one on a branch of that path 0.2.
     """
-    from ..operators.search import ranked
-
     node = turns.select(F.col("node_id").alias("id"), "conv_id", "branch_label")
     path = asks.join(anc, "node_id").select("query_id", F.col("ancestor_id").alias("id"))
     labels = path.join(node, "id").groupBy("query_id").agg(F.collect_set("branch_label").alias("labels"))
@@ -200,23 +234,51 @@ def scoped(found, turns, anc, asks, k: int):
     return ranked(x, [F.desc(F.round("s", 9)), F.desc(F.round("score", 9)), F.col("arrival"), F.col("id")], k).select("query_id", "id", "tree_scope", F.round("s", 4).alias("tree_score"))
 
 
-@query("tree_scoped_whole")
-def tree_scoped_whole(t):
+_ASKS = "ak AS (SELECT conv_id AS query_id, max_by(node_id, turn) AS node_id FROM turns WHERE conv_id IN (SELECT query_id FROM queries_fts) GROUP BY conv_id), pt AS (SELECT ak.query_id, a.ancestor_id AS id, a.dist FROM ak JOIN anc a USING (node_id)), lb AS (SELECT DISTINCT query_id, branch_label FROM pt JOIN turns ON turns.node_id = pt.id WHERE branch_label IS NOT NULL)"
+
+
+def _asks(t):
+    """The last turn of the conversation of each query's number: (query_id, node_id)."""
+    last = t["turns"].groupBy("conv_id").agg(F.max_by("node_id", "turn").alias("node_id"))
+    return last.join(t["queries_fts"].select(F.col("query_id").alias("conv_id")), "conv_id").select(F.col("conv_id").alias("query_id"), "node_id")
+
+
+@query("tree_scoped", f"""WITH RECURSIVE {_DUCK_ANC}, {deeper(FUSED, 15)}, {_ASKS},
+ sx AS (SELECT rk.query_id, rk.id, rk.score, rk.arrival, CASE WHEN pt.id IS NOT NULL THEN 'path' WHEN lb.branch_label IS NOT NULL THEN 'branch' ELSE 'global' END AS tree_scope FROM rk JOIN ak ON ak.query_id = rk.query_id LEFT JOIN turns t ON t.node_id = rk.id
+  LEFT JOIN pt ON pt.query_id = rk.query_id AND pt.id = rk.id LEFT JOIN lb ON lb.query_id = rk.query_id AND lb.branch_label = t.branch_label WHERE (valid_to IS NULL OR valid_to > 1735689600) AND (t.conv_id IS NULL OR t.conv_id = rk.query_id)),
+ sy AS (SELECT *, score + CASE tree_scope WHEN 'path' THEN 0.4 WHEN 'branch' THEN 0.2 ELSE 0 END AS s FROM sx)
+ SELECT query_id, id, tree_scope, CAST(round(s, 4) AS DOUBLE) AS tree_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, round(score, 9) DESC, arrival, id) AS r FROM sy) WHERE r <= 5""")
+def tree_scoped(t):
     """The fused retrieval of each query, 15 rows deep, from the last turn of the conversation of its number; five stay."""
-    from ..operators import search
-    from .extras import _LIVE
-    from .retrieval import _found
+    asks = _asks(t)
+    live = t["memory"].where("valid_to IS NULL OR valid_to > 1735689600").select("id")
+    return scoped(search.retrieve(_found(t, 15), 15).join(live, "id", "left_semi"), t["turns"], ancestors(t, asks.select("node_id")), asks, 5)
+
 
-    asks = t["turns"].groupBy("conv_id").agg(F.max_by("node_id", "turn").alias("node_id")).join(t["queries_fts"].select(F.col("query_id").alias("conv_id")), "conv_id").select(F.col("conv_id").alias("query_id"), "node_id")
-    live = t["memory"].where(_LIVE).select("id")
-    return scoped(search.retrieve(_found(t, 15), 15).join(live, "id", "left_semi"), t["turns"], ancestors(t), asks, 5)
+_FRONT = r"regexp_extract(t.text, '^[^ ]* [^ ]* [^ ]*', 0)"
+_PATHS = f"""WITH RECURSIVE {_DUCK_ANC}, ak AS (SELECT conv_id AS query_id, max_by(node_id, turn) AS node_id FROM turns WHERE conv_id IN (SELECT item_id FROM benchmark WHERE item_id < 20) GROUP BY conv_id), pt AS (SELECT ak.query_id, a.ancestor_id AS id, a.dist FROM ak JOIN anc a USING (node_id)),
+ lb AS (SELECT DISTINCT query_id, branch_label FROM pt JOIN turns ON turns.node_id = pt.id WHERE branch_label IS NOT NULL), queries_path AS (SELECT query_id, string_agg({_FRONT}, ' ' ORDER BY dist DESC) AS q FROM pt JOIN turns t ON t.node_id = pt.id GROUP BY query_id)"""
 
 
-@query("memory_retriever", f"WITH RECURSIVE {_DUCK_ANC}, p AS (SELECT node_id, ancestor_id, row_number() OVER (PARTITION BY node_id ORDER BY dist) AS r FROM anc) SELECT node_id, ancestor_id AS fact, CAST(1 AS DOUBLE) AS relevance FROM p WHERE r <= 6")
+@query("memory_retriever", f"""{_PATHS}, {deeper(FUSED, 12).replace("queries_fts", "queries_path")},
+ cr AS (SELECT rk.query_id, rk.id, rk.score + CASE WHEN lb.branch_label IS NOT NULL THEN 0.3 ELSE 0 END AS s, rk.arrival FROM rk JOIN turns t ON t.node_id = rk.id LEFT JOIN pt ON pt.query_id = rk.query_id AND pt.id = rk.id LEFT JOIN lb ON lb.query_id = rk.query_id AND lb.branch_label = t.branch_label WHERE pt.id IS NULL),
+ pa2 AS (SELECT query_id, id, 'path' AS source, CAST(1 AS DOUBLE) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist) AS r FROM pt) WHERE r <= 6)
+ SELECT * FROM pa2 UNION ALL SELECT query_id, id, 'cross', round(s, 6) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, arrival, id) AS r FROM cr WHERE s >= 0.15) WHERE r <= 6""")
 def memory_retriever(t):
-    from ..operators.search import ranked
+    """Of each asked node: what the turns on its path hold, and what the fused search finds for the path's text on other branches.
 
-    return ranked(ancestors(t), [F.col("dist")], 6, "node_id").select("node_id", F.col("ancestor_id").alias("fact"), F.lit(1.0).alias("relevance"))
+    A turn holds the memory of its number. Those found off the path gain 0.3 on a branch of the path; six of each side.
+    """
+    asks = _asks(t)
+    path = cut(ancestors(t, asks.select("node_id")).join(asks, "node_id").select("query_id", F.col("ancestor_id").alias("id"), "dist"))
+    node = t["turns"].select(F.col("node_id").alias("id"), "branch_label", F.regexp_extract("text", "^[^ ]* [^ ]* [^ ]*", 0).alias("front"))
+    said = path.join(node, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "front"))).alias("x"))
+    queries = cut(said.select("query_id", F.array_join(F.transform("x", lambda s: s["front"]), " ").alias("q")))
+    labels = path.join(node.where("branch_label IS NOT NULL"), "id").select("query_id", "branch_label", F.lit(0.3).alias("more")).distinct()
+    cross = search.retrieve(_found(t, 12, queries), 12).select("query_id", "id", "score", "arrival").join(path.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    cross = cross.join(node.drop("front"), "id").join(labels, ["query_id", "branch_label"], "left").withColumn("s", F.col("score") + F.coalesce("more", F.lit(0.0))).where("s >= 0.15")
+    cross = ranked(cross, [F.desc(F.round("s", 9)), F.col("arrival"), F.col("id")], 6).select("query_id", "id", F.lit("cross").alias("source"), F.round("s", 6).alias("relevance"))
+    return ranked(path, [F.col("dist")], 6).select("query_id", "id", F.lit("path").alias("source"), F.lit(1.0).alias("relevance")).union(cross)
 
 
 @query("join_session_filter", "SELECT node_id FROM turns WHERE list_contains(string_split(concat('node:', CAST(node_id AS VARCHAR), ' session:', CAST(conv_id % 7 AS VARCHAR)), ' '), 'session:3')")

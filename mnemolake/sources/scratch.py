@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names. Where none is named, a session on one machine makes its own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is named, a session on one machine makes its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (named := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = named.get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="mnemolake-"))
-    return df.checkpoint()
+        base = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(_remove, spark, base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: no lineage, and sizes that the planner knows instead of estimates of estimates."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/mnemolake/cut-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session has ended; the cluster cleans its own folder
+        return
