@@ -55,7 +55,14 @@ def st_curiosity(t):
     return _rounded(fold(t["interactions"], "curiosity"), "curiosity")
 
 
-@query("st_care")
+_KINDS = {"coding": ("click", 5400), "gaming": ("view", 7200), "focused": ("purchase", 7200)}
+_MOVE = ", ".join(f"CASE WHEN e.event_type = '{kind}' THEN s.{name} + e.intensity * 3600 WHEN e.event_type IN ('click', 'view', 'purchase') THEN 0 ELSE greatest(0, s.{name} - e.intensity * 1800) END AS {name}" for name, (kind, _) in _KINDS.items())
+_DUE = "ts - reminded >= 3600 AND ((CAST(floor(ts / 3600) AS BIGINT) % 24 IN (23, 0, 1, 2, 3, 4) AND coding >= 3600) OR coding >= 5400 OR gaming >= 7200 OR focused >= 7200)"
+
+
+@query("st_care", f"""WITH RECURSIVE {_E}, s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS coding, CAST(0 AS DOUBLE) AS gaming, CAST(0 AS DOUBLE) AS focused, CAST(0 AS DOUBLE) AS reminded, CAST(0 AS BIGINT) AS reminders FROM c
+ UNION ALL SELECT user_id, n, coding, gaming, focused, CASE WHEN {_DUE} THEN ts ELSE reminded END, reminders + CASE WHEN {_DUE} THEN 1 ELSE 0 END FROM (SELECT e.user_id, e.n, e.ts, s.reminded, s.reminders, {_MOVE} FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+ SELECT s.user_id, round(coding, 3) AS coding, round(gaming, 3) AS gaming, round(focused, 3) AS focused, reminders FROM s JOIN c ON c.user_id = s.user_id AND c.last = s.n""")
 def st_care(t):
     """Counters on end by activity and the reminders so far."""
     return fold(t["interactions"], "care").select("user_id", *(F.round(c, 3).alias(c) for c in ("coding", "gaming", "focused")), "reminders")
@@ -81,10 +88,14 @@ def st_emotion_diff(t):
     return x.where("d >= 0.3 AND mood <> was").select("id", "was", "mood")
 
 
-@query("st_summary", "SELECT conv_id, CAST(n AS BIGINT) AS turns, CASE WHEN n < 3 THEN 'reuse' WHEN n >= 6 THEN 'drop' ELSE 'keep' END AS action FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+@query("st_summary", f"""WITH RECURSIVE {_E}, s AS (SELECT user_id, event_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS last_round, 'none' AS action FROM e WHERE n = 1
+ UNION ALL SELECT user_id, event_id, n, CASE WHEN asks AND action = 'make' THEN n // 2 WHEN asks AND cached >= 0 AND n // 2 - cached > 30 THEN -1 ELSE cached END, CASE WHEN asks THEN action ELSE 'none' END
+  FROM (SELECT e.user_id, e.event_id, e.n, s.last_round AS cached, e.event_type IN ('purchase', 'signup', 'error') AS asks,
+   CASE WHEN s.last_round >= 0 AND e.n // 2 - s.last_round < 10 THEN 'reuse' WHEN e.n >= 20 AND e.intensity > 0.1 THEN 'make' WHEN s.last_round >= 0 AND e.n // 2 - s.last_round <= 30 THEN 'keep' ELSE 'none' END AS action FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+ SELECT user_id, event_id, n AS turns, last_round, action FROM s WHERE n > 0""")
 def st_summary(t):
-    n = F.col("turns")
-    return t["conversations"].groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")).select("conv_id", "turns", F.when(n < 3, "reuse").when(n >= 6, "drop").otherwise("keep").alias("action"))
+    """What is done at each turn: a summary is reused for 10 rounds, made from 20 turns on, dropped after 30 rounds."""
+    return fold(t["interactions"], "summary", last_only=False).select("user_id", "event_id", "turns", "last_round", "action")
 
 
 @query("st_exec_state", "WITH e AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) SELECT event_id, user_id, was, event_type AS now FROM e WHERE was IS NULL OR was <> event_type")
