@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
+from .maintenance import Maintenance
 from .operators import folds, search, similar
+from .operators.numbering import numbered
+from .operators.upsert import merged_into
 from .plans import lifecycle
 from .plans.aggregates import agg_profile
 from .plans.graphs import project_links
+from .plans.retrieval import completed, repeat_score
 from .plans.similar import dedup, similar_to
 from .plans.text import EMOTIONS
+from .rules import Rules
 from .schema import NOW, lookup
 from .sources.scratch import cut
 
@@ -25,6 +30,7 @@ NOTE_TYPES = {"decision": "decision", "pitfall": "lesson", "convention": "fact",
 
 
 class Engine:
+    #: The names of the tools by group, as callers know them.
     GROUPS = {
         "memory": ["memory_store", "memory_search", "memory_get", "memory_delete", "memory_stats", "dissonance_check", "context_compression_stats", "directive_add", "directive_list", "directive_deactivate", "directive_stats", "anti_repeat_record", "anti_repeat_check", "anti_repeat_penalty", "anti_repeat_clear", "anti_repeat_stats", "reflection_synthesize", "reflection_read", "reflection_apply_evidence", "reflection_promote", "reflection_stats"],
         "self": ["analyze_emotion", "emotion_status", "emotion_label", "self_model", "self_reflect", "self_discover", "latest_thought", "curiosity_check", "subconscious", "reflect_run_op", "narrative_generate", "proactive_check", "activity_status"],
@@ -37,6 +43,10 @@ class Engine:
 
     def __init__(self, tables: dict[str, DataFrame], now: float = NOW):
         self.t, self.now = tables, now
+        self.rules = {"input": Rules(), "memory": Rules(), "query": Rules(), "entity": Rules()}
+        self.maintenance = Maintenance()
+        for op, every in lifecycle.INTERVALS.items():
+            self.maintenance.register(op, lambda op=op: self.reflect_run_op(op), every)
 
     def tools(self, groups: list[str] | None = None) -> list[str]:
         """Names of the tools of these groups; unknown groups alone give all."""
@@ -58,33 +68,29 @@ class Engine:
     def memory_store(self, rows: DataFrame, order: Column) -> DataFrame:
         """Merge rows (content, type, tags, weight ...) into the memories that they repeat, insert the others; gives the rows as stored.
 
-        Weights are clamped; ids of inserted rows follow the largest one in a stated order. Rows with a v5_key tag are always
+        Weights are clamped; rows that fail a rule of severity error are refused; ids of inserted rows follow the largest one in a stated order. Rows with a v5_key tag are always
         inserted. Rows of one call are compared with the snapshot before it, not with each other.
         """
         memory = self.t["memory"]
+        rows = rows.withColumn("weight", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "weight")))
+        rows = self.rules["memory"].accepted(rows)
         top = memory.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-        new = rows.withColumn("_n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n"))
-        new = cut(new.withColumn("weight", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "weight"))))
+        new = cut(numbered(rows, [order], "_n").join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")))
         free = new.where(F.col("tags").isNull() | ~F.col("tags").contains("v5_key:"))
         into = cut(similar_to(free, memory).select("id", F.col("old_id").alias("_into")))
-        fresh = new.join(into, "id", "left_anti").withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy("_n"))).drop("_top", "_n")
+        fresh = numbered(new.join(into, "id", "left_anti"), [F.col("_n")], "_m").withColumn("id", F.col("_top") + F.col("_m")).drop("_top", "_n", "_m")
         fresh = fresh.withColumn("created", F.lit(self.now)).withColumn("archived", F.lit(False))
-        gain = F.greatest(F.lit(0.0), F.coalesce("reinforcement", F.lit(0.0))) if "reinforcement" in new.columns else F.lit(0.0)
-        one = F.struct("_n", "content", F.split(F.coalesce("tags", F.lit("")), r"[,\s]+").alias("tags"))
-        said = new.join(into, "id").groupBy(F.col("_into").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("_new"), F.max("weight").alias("_w"), F.count(F.lit(1)).alias("_times"), F.sum(gain + 0.05).alias("_gain"))
-        hit = F.col("_new").isNotNull()
-        longest = F.aggregate("_new", F.coalesce("content", F.lit("")), lambda old, x: F.when(F.length(x["content"]) > F.length(old), x["content"]).otherwise(old))
-        tags = F.array_join(F.filter(F.array_distinct(F.concat(F.split(F.coalesce("tags", F.lit("")), r"[,\s]+"), F.flatten(F.transform("_new", lambda x: x["tags"])))), lambda x: x != ""), " ")
-        changes = {"content": longest, "tags": tags, "weight": F.greatest("weight", "_w"), "access_count": F.col("access_count") + F.col("_times").cast("int"), "last_accessed": F.lit(self.now), "reinforcement": F.least(F.lit(1.0), F.coalesce("reinforcement", F.lit(0.0)) + F.col("_gain"))}
-        x = memory.join(said, "id", "left")
-        x = x.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items() if c in memory.columns})
-        merged = x.where(hit).select(memory.columns)
-        self._replace("memory", x.select(memory.columns))
+        x = merged_into(memory, new, into, self.now)
+        merged = x.where("_hit").drop("_hit")
+        self._replace("memory", x.drop("_hit"))
         self._append("memory", fresh)
         return merged.unionByName(fresh, allowMissingColumns=True)
 
     def memory_search(self, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = 5) -> DataFrame:
-        return search.retrieve(search.scored(search.candidates(self.t["memory"], self.t["vectors"], queries, query_vectors, times, k), queries, self.now), k)
+        """The fused search; queries left short are filled up by their words, then by notes (`notes`: note_id, title, body)."""
+        found = search.retrieve(search.scored(search.candidates(self.t["memory"], self.t["vectors"], queries, query_vectors, times, k), queries, self.now), k)
+        notes = self.t["notes"] if "notes" in self.t else queries.sparkSession.createDataFrame([], "note_id long, title string, body string")
+        return completed(found, self.t["memory"], queries, notes, k)
 
     def memory_get(self, ids: DataFrame) -> DataFrame:
         return self.t["memory"].join(ids, "id", "left_semi")
@@ -125,15 +131,15 @@ class Engine:
         return self._append("responses", responses)
 
     def _ngrams(self) -> DataFrame:
-        g = self.t["responses"].select("character", "turn", F.explode(X.ngrams(X.repeat_tokens(F.col("text")), 5)).alias("ngram"))
+        g = self.t["responses"].select("character", "turn", F.explode(X.repeat_grams(F.col("text"), 5)).alias("ngram"))
         return g.groupBy("character", "ngram").agg(F.count(F.lit(1)).alias("n"))
 
     def anti_repeat_check(self, candidates: DataFrame) -> DataFrame:
-        """Share of a candidate's 5-grams (character, text) that its character has used."""
-        c = candidates.select("character", "text", F.explode(X.ngrams(X.repeat_tokens(F.col("text")), 5)).alias("ngram")).join(self._ngrams(), ["character", "ngram"], "left")
-        return c.groupBy("character", "text").agg((F.count("n") / F.count(F.lit(1))).alias("score"))
+        """The weighted score of candidates (character, text) against the 500 heaviest 5-grams that their character has used."""
+        return repeat_score(self.t["responses"], candidates).drop("known")
 
     def anti_repeat_penalty(self, candidates: DataFrame, over: float = 0.5) -> DataFrame:
+        """Candidates whose score is over the limit."""
         return self.anti_repeat_check(candidates).where(F.col("score") > over)
 
     def anti_repeat_clear(self, character) -> DataFrame:

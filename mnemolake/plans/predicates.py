@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_of, ascii_lower, first_of, like
 from ..schema import INTENT_CUES
+from ..rules import Rules
 from .catalog import query
 
 #: Words that ask for a recall; openings of trivial talk.
@@ -96,9 +97,18 @@ def guard(t):
 @query("validate_memory", f"""SELECT id, list_filter([CASE WHEN length(trim(content)) = 0 THEN 'empty' END, CASE WHEN length(content) > 10000 THEN 'too_long' END, CASE WHEN NOT list_contains({_list(TYPES)}, type) THEN 'type' END,
  CASE WHEN weight < 0 OR weight > 1 THEN 'weight' END, CASE WHEN greatest(abs(pad_p), abs(pad_a), abs(pad_d)) > 0.99 THEN 'pad' END], x -> x IS NOT NULL) AS errors FROM memory""")
 def validate_memory(t):
-    """One code for each rule that fails; a switched-off rule is left out of the list of rules."""
-    rules = {"empty": F.length(F.trim("content")) == 0, "too_long": F.length("content") > 10000, "type": ~F.col("type").isin(TYPES), "weight": (F.col("weight") < 0) | (F.col("weight") > 1), "pad": F.greatest(F.abs("pad_p"), F.abs("pad_a"), F.abs("pad_d")) > 0.99}
-    return t["memory"].select("id", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items()))).alias("errors"))
+    """One code for each rule that a row fails."""
+    return memory_rules().check(t["memory"]).select("id", "errors")
+
+
+def memory_rules() -> Rules:
+    """The rules that a memory is held against."""
+    return Rules(
+        {
+            "empty": (lambda: F.length(F.trim("content")) == 0, "error"), "too_long": (lambda: F.length("content") > 10000, "warning"), "type": (lambda: ~F.col("type").isin(TYPES), "warning"),
+            "weight": (lambda: (F.col("weight") < 0) | (F.col("weight") > 1), "warning"), "pad": (lambda: F.greatest(F.abs("pad_p"), F.abs("pad_a"), F.abs("pad_d")) > 0.99, "info"),
+        }
+    )
 
 
 @query("validate_query", "SELECT query_id, CASE WHEN length(trim(q)) < 2 THEN 'short' WHEN length(q) > 500 THEN 'long' ELSE '' END AS error FROM queries_fts")

@@ -5,33 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .catalog import query
 
 
-@query("sink_store", """WITH m AS (SELECT max(id) AS top FROM memory), n AS (SELECT event_id, concat('event ', event_type) AS content, least(1.0, greatest(0.0, value / 100)) AS weight, row_number() OVER (ORDER BY event_id) AS rn FROM events WHERE event_id < 50)
- SELECT CAST(top + rn AS BIGINT) AS id, content, round(weight, 6) AS weight FROM n, m UNION ALL SELECT id, content, round(weight, 6) FROM memory WHERE id % 50 = 0""")
+@query("sink_store", """WITH m AS (SELECT max(id) AS top FROM memory), n AS (SELECT event_id, concat('event ', event_type) AS content, least(1.0, greatest(0.0, value / 100)) AS weight, row_number() OVER (ORDER BY event_id) AS rn FROM events)
+ SELECT CAST(top + rn AS BIGINT) AS id, content, round(weight, 6) AS weight FROM n, m UNION ALL SELECT id, content, round(weight, 6) FROM memory""")
 def sink_store(t):
-    """The SQL's share of sink_store_whole: a few events, and every 50th of the rows that were there."""
-    return stored(t["memory"], t["events"].where("event_id < 50"), t["memory"].where("id % 50 = 0"))
-
-
-@query("sink_store_whole")
-def sink_store_whole(t):
-    """The new snapshot: all rows that were there and a row for every event."""
-    return stored(t["memory"], t["events"], t["memory"])
-
-
-def stored(memory, events, shown):
-    """Insert with clamped weights; ids follow the largest one in a stated order, numbered without bringing all rows to one task."""
-    content, weight = F.concat(F.lit("event "), "event_type").alias("content"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))
-    top = memory.agg(F.max("id").alias("top"))
-    # blocks of consecutive ids: a row's number is that of the rows in the blocks before and of those before it in its own
-    rows = events.select("event_id", content, F.round(weight, 6).alias("weight"), F.floor(F.col("event_id") / 10_000).alias("block"))
-    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy("event_id"))).join(F.broadcast(before), "block")
-    new = rows.join(F.broadcast(top)).select((F.col("top") + F.col("before") + F.col("rn")).alias("id"), "content", "weight")
-    return new.unionByName(shown.select("id", "content", F.round("weight", 6).alias("weight")))
+    """The new snapshot: all rows that were there and one for every event, weights clamped, ids after the largest in order of the event."""
+    weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))
+    new = numbered(t["events"].select("event_id", F.concat(F.lit("event "), "event_type").alias("content"), F.round(weight, 6).alias("weight")), [F.col("event_id")], "n")
+    new = new.join(F.broadcast(t["memory"].agg(F.max("id").alias("top")))).select((F.col("top") + F.col("n")).alias("id"), "content", "weight")
+    return new.unionByName(t["memory"].select("id", "content", F.round("weight", 6).alias("weight")))
 
 
 @query("merge_into", """SELECT a.id, CASE WHEN length(b.content) > length(a.content) THEN b.content ELSE a.content END AS content, greatest(a.weight, b.weight) AS weight, CAST(a.access_count + 1 AS INT) AS access_count,
@@ -69,48 +54,48 @@ def sink_delete(t):
     return t["memory"].select("id").join(gone, "id", "left_anti")
 
 
-@query("sink_edge", """WITH n AS (SELECT l_orderkey % 200 AS source, l_partkey % 200 AS target, upper(CASE l_linenumber % 2 WHEN 0 THEN 'solves' ELSE 'relates_to' END) AS relation, round(l_discount, 4) AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey < 3000),
+@query("sink_edge", """WITH n AS (SELECT l_orderkey % 200 AS source, l_partkey % 200 AS target, upper(CASE l_linenumber % 2 WHEN 0 THEN 'solves' ELSE 'relates_to' END) AS relation, round(l_discount, 4) AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
  r AS (SELECT *, row_number() OVER (PARTITION BY source, target, relation ORDER BY seq DESC, weight DESC) AS rn FROM n WHERE source <> target)
  SELECT source, target, relation, weight FROM r WHERE rn = 1""")
 def sink_edge(t):
-    """The SQL's share of sink_edge_whole."""
-    return last_edges(t["lineitem"].where("l_orderkey < 3000"))
-
-
-@query("sink_edge_whole")
-def sink_edge_whole(t):
-    """The edges after every write."""
-    return last_edges(t["lineitem"])
-
-
-def last_edges(lineitem):
     """The last write of each (source, target, relation) wins; self edges and nulls are rejected."""
     rel = F.upper(F.when(F.col("l_linenumber") % 2 == 0, "solves").otherwise("relates_to"))
-    n = lineitem.select((F.col("l_orderkey") % 200).alias("source"), (F.col("l_partkey") % 200).alias("target"), rel.alias("relation"), F.round("l_discount", 4).alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    n = t["lineitem"].select((F.col("l_orderkey") % 200).alias("source"), (F.col("l_partkey") % 200).alias("target"), rel.alias("relation"), F.round("l_discount", 4).alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return n.where("source <> target").groupBy("source", "target", "relation").agg(F.max_by("weight", F.struct("seq", "weight")).alias("weight"))
 
 
-@query("sink_entity", "SELECT id, min(name) AS name FROM (SELECT p_partkey % 100 AS id, concat(p_brand, ' ', p_type) AS name, p_partkey FROM part) GROUP BY id")
+@query("sink_entity", "SELECT id, arg_min(name, p_partkey) AS name FROM (SELECT p_partkey % 100 AS id, concat(p_brand, ' ', p_type) AS name, p_partkey FROM part) GROUP BY id")
 def sink_entity(t):
-    """INSERT OR IGNORE with the order stated: the first name of an id stays."""
-    return t["part"].groupBy((F.col("p_partkey") % 100).alias("id")).agg(F.min(F.concat("p_brand", F.lit(" "), "p_type")).alias("name"))
+    """INSERT OR IGNORE: the first write of an id stays."""
+    return t["part"].groupBy((F.col("p_partkey") % 100).alias("id")).agg(F.min_by(F.concat("p_brand", F.lit(" "), "p_type"), "p_partkey").alias("name"))
 
 
-@query("sink_alias", "SELECT entity_id, alias FROM eg_aliases UNION SELECT p_partkey, concat('alias ', CAST(p_size AS VARCHAR)) FROM part WHERE p_partkey < 40")
+@query("sink_alias", "SELECT entity_id, alias FROM eg_aliases UNION SELECT p_partkey, concat('alias ', CAST(p_size AS VARCHAR)) FROM part")
 def sink_alias(t):
-    new = t["part"].where("p_partkey < 40").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("alias "), F.col("p_size").cast("string")).alias("alias"))
+    """INSERT OR IGNORE on the pair: pairs that are there, and every pair that is new."""
+    new = t["part"].select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("alias "), F.col("p_size").cast("string")).alias("alias"))
     return t["eg_aliases"].union(new).distinct()
 
 
-@query("sink_link", "SELECT memory_id, entity_id, round(link_weight, 6) AS link_weight FROM eg_episodic_entities")
+@query("sink_link", """WITH n AS (SELECT l_orderkey AS memory_id, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_partkey % 50 + 1 END AS entity_id, round(l_discount, 9) AS link_weight, l_linenumber AS seq FROM lineitem),
+ o AS (SELECT memory_id, entity_id, round(link_weight, 9) AS link_weight, 0 AS seq FROM eg_episodic_entities)
+ SELECT memory_id, entity_id, arg_min(link_weight, seq * 100 + link_weight) AS link_weight FROM (SELECT * FROM o UNION ALL SELECT * FROM n) GROUP BY memory_id, entity_id""")
 def sink_link(t):
-    return t["eg_episodic_entities"].select("memory_id", "entity_id", F.round("link_weight", 6).alias("link_weight"))
+    """INSERT OR IGNORE on (memory, entity): the link that is there stays, of new ones the first."""
+    entity = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).otherwise(F.col("l_partkey") % 50 + 1)
+    new = t["lineitem"].select(F.col("l_orderkey").alias("memory_id"), entity.alias("entity_id"), F.round("l_discount", 9).alias("link_weight"), F.col("l_linenumber").cast("long").alias("seq"))
+    old = t["eg_episodic_entities"].select("memory_id", "entity_id", F.round("link_weight", 9).alias("link_weight"), F.lit(0).cast("long").alias("seq"))
+    return old.unionByName(new).groupBy("memory_id", "entity_id").agg(F.min_by("link_weight", F.struct("seq", "link_weight")).alias("link_weight"))
 
 
-@query("sink_eg_edge", "SELECT src, dst, round(weight, 6) AS weight, CAST(co_occurrence_count AS BIGINT) AS n FROM eg_edges")
+@query("sink_eg_edge", """WITH d AS (SELECT l_partkey % 300 + 1 AS src, l_suppkey % 40 + 400 AS dst, l_discount AS delta FROM lineitem UNION ALL SELECT src, dst, 0.25 FROM eg_edges WHERE co_occurrence_count > 1),
+ a AS (SELECT src, dst, weight, co_occurrence_count AS n FROM eg_edges UNION ALL SELECT src, dst, delta, 1 FROM d) SELECT src, dst, round(least(1.0, sum(weight)), 9) AS weight, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY src, dst""")
 def sink_eg_edge(t):
-    """Co-occurrence deltas summed and capped at 1: the same as upserts one by one, as deltas are not negative."""
-    return t["eg_edges"].select("src", "dst", F.round("weight", 6).alias("weight"), F.col("co_occurrence_count").alias("n"))
+    """Upsert of deltas into the edges: weights add up and are capped at 1, counts go up by one a delta. As deltas are not negative, their order does not matter."""
+    deltas = t["lineitem"].select((F.col("l_partkey") % 300 + 1).alias("src"), (F.col("l_suppkey") % 40 + 400).alias("dst"), F.col("l_discount").cast("double").alias("weight"))
+    deltas = deltas.union(t["eg_edges"].where("co_occurrence_count > 1").select("src", "dst", F.lit(0.25)))
+    rows = t["eg_edges"].select("src", "dst", "weight", F.col("co_occurrence_count").alias("n")).union(deltas.withColumn("n", F.lit(1).cast("long")))
+    return rows.groupBy("src", "dst").agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 9).alias("weight"), F.sum("n").alias("n"))
 
 
 @query("sink_activation", """SELECT user_id % 50 AS memory_id, round(max_by(value, event_id), 6) AS score, CAST(max(event_id) * 60 + 1200 AS BIGINT) AS expires_at FROM events GROUP BY 1""")
@@ -139,21 +124,21 @@ def sink_event(t):
     return t["events"].where(F.col("event_type").isin("purchase", "signup", "error", "click")).select("event_id", "event_type", F.substring("props", 1, 100).alias("preview"))
 
 
-@query("sink_skill", r"SELECT id, name, regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)*$') AS accepted FROM skills")
+@query("sink_skill", r"""WITH w AS (SELECT p_partkey AS seq, CASE WHEN p_size % 2 = 0 THEN concat('size-', CAST(p_size AS VARCHAR)) ELSE concat('Size ', CAST(p_size AS VARCHAR)) END AS name, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END AS description FROM part),
+ n AS (SELECT name, arg_max(description, seq) AS description FROM w WHERE regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') AND description <> '' GROUP BY name) SELECT name, description FROM n UNION ALL SELECT name, min(description) FROM skills WHERE name NOT IN (SELECT name FROM n) GROUP BY name""")
 def sink_skill(t):
-    return t["skills"].select("id", "name", F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$").alias("accepted"))
+    """The next snapshot: writes with a kebab-case name and a description replace the skill of that name, the last one wins; others are refused."""
+    even = F.col("p_size") % 2 == 0
+    name = F.when(even, F.concat(F.lit("size-"), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("Size "), F.col("p_size").cast("string")))
+    writes = t["part"].select("p_partkey", name.alias("name"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_type")).alias("description"))
+    new = writes.where(F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$") & (F.col("description") != "")).groupBy("name").agg(F.max_by("description", "p_partkey").alias("description"))
+    return new.union(t["skills"].join(new, "name", "left_anti").groupBy("name").agg(F.min("description").alias("description")))
 
 
-@query("sink_mermaid", """WITH n AS (SELECT conv_id, node_id, concat('n', CAST(node_id AS VARCHAR), '["', replace(replace(substr(regexp_replace(text, '[\\s"]+', ' ', 'g'), 1, 28), '[', '('), ']', ')'), '"]') AS line FROM turns WHERE conv_id < 20),
- e AS (SELECT conv_id, node_id, concat('n', CAST(parent_id AS VARCHAR), ' --> n', CAST(node_id AS VARCHAR)) AS line FROM turns WHERE conv_id < 20 AND parent_id IS NOT NULL)
+@query("sink_mermaid", """WITH n AS (SELECT conv_id, node_id, concat('n', CAST(node_id AS VARCHAR), '["', replace(replace(substr(regexp_replace(text, '[\\s"]+', ' ', 'g'), 1, 28), '[', '('), ']', ')'), '"]') AS line FROM turns),
+ e AS (SELECT conv_id, node_id, concat('n', CAST(parent_id AS VARCHAR), ' --> n', CAST(node_id AS VARCHAR)) AS line FROM turns WHERE parent_id IS NOT NULL)
  SELECT conv_id, concat('graph TD', chr(10), string_agg(line, chr(10) ORDER BY kind, node_id)) AS mermaid FROM (SELECT conv_id, node_id, line, 0 AS kind FROM n UNION ALL SELECT conv_id, node_id, line, 1 FROM e) GROUP BY conv_id""")
 def sink_mermaid(t):
-    """The SQL's share of sink_mermaid_whole."""
-    return drawn(t["turns"].where("conv_id < 20"))
-
-
-@query("sink_mermaid_whole")
-def sink_mermaid_whole(t):
     """The graph of every conversation."""
     return drawn(t["turns"])
 
