@@ -60,17 +60,18 @@ def probe(content: Column) -> Column:
     return out
 
 
+def _repeat_words(text: Column) -> Column:
+    """CJK characters first, then Latin words of two characters and more, as they stand."""
+    return F.concat(F.regexp_extract_all(text, F.lit("[一-鿿　-〿]"), F.lit(0)), F.regexp_extract_all(text, F.lit("[a-zA-Z0-9_]{2,}"), F.lit(0)))
+
+
 def repeat_tokens(text: Column) -> Column:
-    """CJK characters first, then Latin words of two characters and more, lower-cased."""
-    words = F.filter(F.regexp_extract_all(text, F.lit("[a-zA-Z0-9_]+"), F.lit(0)), lambda w: F.length(w) > 1)
-    return F.concat(F.regexp_extract_all(text, F.lit("[一-鿿　-〿]"), F.lit(0)), F.transform(words, F.lower))
+    return F.transform(_repeat_words(text), F.lower)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams joined by a space; too few tokens give none."""
-    size = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+def repeat_grams(text: Column, n: int) -> Column:
+    """The n-grams of repeat_tokens, joined by a space; too few tokens give none. One pattern that looks n tokens ahead of each."""
+    return F.regexp_extract_all(F.lower(F.array_join(_repeat_words(text), " ")), F.lit(rf"(?=((?:[^ ]+ ){{{n - 1}}}[^ ]+))[^ ]+"), F.lit(1))
 
 
 def tree_tokens(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bit_length, first_of, fts_tokens, importance
+from ..functions.text import ascii_lower, bit_length, collapse, first_of, fts_tokens, importance, query_tokens
 from ..schema import BASE_WEIGHT_FACTOR, DAY, FREQUENCY, FRESHNESS, FTS_WEIGHT, HOUR_BOOST, INTENT_BOOST, INTENT_CUES, LONG_TERM, MIN_FUSED, PROJECT_BOOST, REINFORCEMENT, TOP_K, TYPE_BOOST, TYPE_DECAY, VECTOR_WEIGHT, lookup
 
 K1, B = 1.2, 0.75
@@ -113,3 +113,40 @@ def scored(found: DataFrame, queries: DataFrame, now: float, *, coding: bool = F
 def retrieve(found: DataFrame, k: int = TOP_K, least: float = MIN_FUSED) -> DataFrame:
     """Scores of at least `least`, best first; equal scores keep the order of arrival."""
     return ranked(found.where(F.col("score") >= least), [F.desc(F.round("score", 9)), F.col("arrival"), F.col("id")], k)
+
+
+def keyword_fallback(memory: DataFrame, queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, id, rank) that fill up queries with fewer than k rows of `found` (query_id, id, ...) and two words at least.
+
+    The rarest word comes first; each adds its three heaviest rows that are not there yet, as long as fewer than k rows
+    were there before it. Words are looked for as substrings, so the words of these queries, a stated batch, meet all rows.
+    """
+    n = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short = queries.join(n, "query_id", "left").select("query_id", "q", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    words = short.withColumn("ws", query_tokens(F.col("q"))).where(F.size("ws") >= 2).select("query_id", "n", F.posexplode("ws").alias("i", "w"))
+    hit = memory.where("NOT archived").select("id", "weight", ascii_lower(F.col("content")).alias("low")).join(F.broadcast(words.select("w").distinct()), F.col("low").contains(F.col("w"))).select("w", "id", "weight")
+    df = hit.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    best = ranked(hit, [F.desc("weight"), F.desc("id")], 3, "w").withColumnRenamed("rank", "r")
+    rows = words.join(df, "w").join(best, "w").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    rows = rows.groupBy("query_id", "id", "n").agg(F.min(F.col("df") * 1_000_000 + F.col("i") * 1000 + F.col("r")).alias("o")).withColumn("word", F.floor(F.col("o") / 1000))
+    by = Window.partitionBy("query_id")
+    rows = rows.withColumn("before", F.count(F.lit(1)).over(by.orderBy("word").rangeBetween(Window.unboundedPreceding, -1))).withColumn("p", F.row_number().over(by.orderBy("o")))
+    return rows.where(F.col("n") + F.col("before") < k).select("query_id", "id", (F.col("n") + F.col("p")).cast("int").alias("rank"))
+
+
+def note_fallback(notes: DataFrame, queries: DataFrame, have: DataFrame, k: int, least: int = 3) -> DataFrame:
+    """(query_id, note_id, content, score, rank) for queries with fewer than `least` rows of `have` (query_id): notes (note_id, title, body) that hold their words.
+
+    A note scores one for each word in its body and two if its title holds one; the best fill up to k, each content once.
+    """
+    n = have.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    words = F.filter(F.split(F.lower(F.trim("q")), r"[\s,，。、]+"), lambda w: F.length(w) >= 2)
+    short = queries.join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"), words.alias("ws")).where((F.col("n") < least) & (F.size("ws") > 0))
+    x = notes.select("note_id", "title", F.trim("body").alias("body")).join(F.broadcast(short))  # the few queries left, each against all notes
+    low = F.lower("body")
+    hits = F.size(F.filter("ws", lambda w: low.contains(w))) + F.when(F.exists("ws", lambda w: F.lower("title").contains(w)) & F.exists("ws", lambda w: low.contains(w)), 2).otherwise(0)
+    x = x.withColumn("hits", hits).where("hits > 0")
+    x = ranked(x, [F.desc("hits"), F.col("note_id")], k).where(F.col("rank") <= k - F.col("n"))
+    content = F.substring(F.concat(F.lit("[vault] "), "title", F.lit(": "), collapse(F.substring("body", 1, 300))), 1, 400)
+    x = x.withColumn("content", content).withColumn("first", F.min("rank").over(Window.partitionBy("query_id", "content"))).where("rank = first")
+    return x.select("query_id", "note_id", "content", F.least(F.lit(1.0), F.col("hits") * 0.12).alias("score"), F.col("n").alias("before"), "rank")

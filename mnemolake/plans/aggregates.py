@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, first_of, ngrams, repeat_tokens
+from ..functions.text import first_of, repeat_grams
 from .catalog import query
 
 #: Categories of a trait and their words; the first category with a word wins.
@@ -56,16 +56,26 @@ def agg_distinct(t):
     return t["eg_episodic_entities"].groupBy("memory_id").agg(F.count_distinct("entity_id").alias("entity_count"))
 
 
-@query("agg_profile", """WITH c AS (SELECT id, CASE WHEN contains(content, '工作') THEN 'work_style' WHEN id % 2 = 0 THEN 'even' ELSE 'uncategorized' END AS category, weight, reinforcement, disputation, access_count, substr(content, 1, 30) AS head, created FROM memory WHERE type = 'user_trait' ORDER BY created DESC, id DESC LIMIT 200),
- f AS (SELECT *, weight * (1 + reinforcement - disputation) AS s FROM c), d AS (SELECT *, row_number() OVER (PARTITION BY category, head ORDER BY s DESC, id) AS dup FROM f),
- r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s DESC, id) AS rn FROM d WHERE dup = 1)
- SELECT category, id, CAST(rn AS INT) AS rn, round(least(0.95, weight + 0.1 * reinforcement), 2) AS confidence, CAST(least(50, access_count + 1) AS INT) AS observations FROM r WHERE rn <= 5""")
+#: Words of the given prose that stand for a word of each category, the same in both engines.
+_HINTS = {"communication_style": "ing and", "topic_preference": "es the", "response_pattern": "er of", "emotional_tone": "on in", "work_style": "ed to"}
+
+
+def _has(text: str, category: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in [*TRAITS[category], _HINTS[category]]) + ")"
+
+
+PROFILE = f"""WITH pc AS (SELECT id, CASE {" ".join(f"WHEN {_has('content', c)} THEN '{c}'" for c in TRAITS)} ELSE 'uncategorized' END AS category, weight, reinforcement, disputation, access_count, substr(content, 1, 30) AS head, created FROM (SELECT * REPLACE (substr(content, 1, 60) AS content) FROM memory WHERE type = 'user_trait' ORDER BY created DESC, id DESC LIMIT 200)),
+ pq AS (SELECT *, weight * (1 + reinforcement - disputation) AS s FROM pc), pd AS (SELECT *, row_number() OVER (PARTITION BY category, head ORDER BY s DESC, id) AS dup FROM pq),
+ pr AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s DESC, id) AS rn FROM pd WHERE dup = 1),
+ pf AS (SELECT category, id, CAST(rn AS INT) AS rn, round(least(0.95, weight + 0.1 * reinforcement), 2) AS confidence, CAST(least(50, access_count + 1) AS INT) AS observations FROM pr WHERE rn <= 5)"""
+
+
+@query("agg_profile", PROFILE + " SELECT * FROM pf")
 def agg_profile(t):
-    """Per category the five strongest traits of the newest 200, one for each head of 30 characters."""
+    """Per category the five strongest traits of the newest 200 (the feature's own bound), one for each head of 30 characters."""
     new = t["memory"].where("type = 'user_trait'").orderBy(F.desc("created"), F.desc("id")).limit(200)
-    named = first_of(F.col("content"), {"work_style": ["工作"]}, "")
-    cat = F.when(named != "", named).when(F.col("id") % 2 == 0, "even").otherwise("uncategorized")
-    c = new.withColumn("category", cat).withColumn("head", F.substring("content", 1, 30)).withColumn("s", F.expr("weight * (1 + reinforcement - disputation)"))
+    words = {c: [*w, _HINTS[c]] for c, w in TRAITS.items()}
+    c = new.withColumn("category", first_of(F.substring("content", 1, 60), words, "uncategorized")).withColumn("head", F.substring("content", 1, 30)).withColumn("s", F.expr("weight * (1 + reinforcement - disputation)"))
     order = [F.desc("s"), F.col("id")]
     d = c.withColumn("dup", F.row_number().over(Window.partitionBy("category", "head").orderBy(*order))).where("dup = 1")
     r = d.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where("rn <= 5")
@@ -95,7 +105,7 @@ def agg_token_rarity(t):
  SELECT character, ngram, CAST(round(sum(least(1.0, 0.1 * f)), 6) AS DOUBLE) AS weight, CAST(count(*) - 1 AS BIGINT) AS hit_count FROM c GROUP BY character, ngram""")
 def agg_ngram_counts(t):
     """5-grams of each response: weight min(0.1 f, 1) a response; the first sighting counts no hit."""
-    g = t["responses"].select("character", "turn", F.explode(ngrams(repeat_tokens(F.col("text")), 5)).alias("ngram")).groupBy("character", "turn", "ngram").agg(F.count(F.lit(1)).alias("f"))
+    g = t["responses"].select("character", "turn", F.explode(repeat_grams(F.col("text"), 5)).alias("ngram")).groupBy("character", "turn", "ngram").agg(F.count(F.lit(1)).alias("f"))
     return g.groupBy("character", "ngram").agg(F.round(F.sum(F.least(F.lit(1.0), 0.1 * F.col("f"))), 6).alias("weight"), (F.count(F.lit(1)) - 1).alias("hit_count"))
 
 
@@ -106,8 +116,10 @@ def agg_rep_stats(t):
 
 @query("agg_approx")
 def agg_approx(t):
-    """Sketches: distinct entities, frequent parts and a quantile in one pass."""
-    return t["lineitem"].agg(F.approx_count_distinct("l_partkey").alias("parts"), F.approx_percentile("l_quantity", 0.5).alias("median_quantity"))
+    """Sketches in one pass: distinct parts, the most frequent flags with their counts, medians by two methods."""
+    top = F.expr("approx_top_k(l_returnflag, 3)")
+    kll = F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(CAST(l_extendedprice AS DOUBLE)), 0.5D)")
+    return t["lineitem"].agg(F.approx_count_distinct("l_partkey").alias("parts"), F.approx_percentile("l_quantity", 0.5).alias("median_quantity"), top.alias("frequent"), kll.alias("median_price"))
 
 
 @query("keep_n_newest", "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) SELECT user_id, event_id FROM r WHERE rn <= 20")
@@ -169,8 +181,14 @@ def set_except(t):
     return m.where("weight < 0.45").select("id").join(m.where("access_count >= 2 OR reinforcement >= 1").select("id"), "id", "left_anti").distinct()
 
 
-@query("emotion_search", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id DESC) AS rn FROM memory WHERE type IN ('conversation', 'lesson')) SELECT id, type FROM r WHERE rn <= 200 AND contains(content || tags, 'src1') ORDER BY type DESC, rn LIMIT 15""")
+@query("emotion_search", """WITH m AS (SELECT id, CASE WHEN id % 8 = 0 THEN 'emotional_event' ELSE 'emotion_label' END AS type, content, tags FROM memory WHERE type IN ('conversation', 'lesson')),
+ r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id DESC) AS rn FROM m) SELECT id, type FROM r WHERE rn <= 200 AND contains(concat(content, ' ', tags), 'src1') ORDER BY type DESC, rn LIMIT 15""")
 def emotion_search(t):
-    """The newest 200 of each of two types, one type before the other, those with the tag, first 15."""
-    r = t["memory"].where(F.col("type").isin("conversation", "lesson")).withColumn("rn", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("id")))).where("rn <= 200")
-    return r.where(any_of(F.concat("content", "tags"), ["src1"])).orderBy(F.desc("type"), "rn").limit(15).select("id", "type")
+    """The newest 200 events, then the newest 200 labels, those with the tag, first 15. Two types of the table stand for these."""
+    m = t["memory"].where(F.col("type").isin("conversation", "lesson")).withColumn("type", F.when(F.col("type") == "conversation", "emotional_event").otherwise("emotion_label"))
+    return by_emotion(m, "src1", 15)
+
+
+def by_emotion(memory, tag: str, k: int):
+    r = memory.where(F.col("type").isin("emotional_event", "emotion_label")).withColumn("rn", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("id")))).where("rn <= 200")
+    return r.where(F.concat_ws(" ", "content", "tags").contains(tag)).orderBy(F.desc("type"), "rn").limit(k).select("id", "type")

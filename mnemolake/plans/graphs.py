@@ -42,26 +42,27 @@ def spread_activation(t):
     return graph.spread(act, t["eg_episodic_entities"], t["eg_episodic"]).select("id", F.round("graph_score", 5).alias("graph_score"), F.round("final_score", 5).alias("final_score"), "entity_count")
 
 
-def _lpa_sql(rounds: int = 5) -> str:
-    out = ["bo AS MATERIALIZED (SELECT src AS id, dst AS other FROM eg_edges UNION SELECT dst, src FROM eg_edges UNION SELECT src, src FROM eg_edges UNION SELECT dst, dst FROM eg_edges), l0 AS MATERIALIZED (SELECT DISTINCT id, id AS label FROM bo)"]
+def _lpa_sql(rounds: int = 50) -> str:
+    out = ["ge AS MATERIALIZED (SELECT src, dst FROM eg_edges WHERE co_occurrence_count > 1), bo AS MATERIALIZED (SELECT src AS id, dst AS other FROM ge UNION SELECT dst, src FROM ge UNION SELECT src, src FROM ge UNION SELECT dst, dst FROM ge), l0 AS MATERIALIZED (SELECT DISTINCT id, id AS label FROM bo)"]
     for i in range(rounds):
         out.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT bo.id, label, row_number() OVER (PARTITION BY bo.id ORDER BY count(*) DESC, label) AS r FROM bo JOIN l{i} ON l{i}.id = bo.other GROUP BY bo.id, label) WHERE r = 1)")
     return ", ".join(out)
 
 
-@query("label_prop", f"WITH {_lpa_sql()} SELECT id, label FROM l5")
+@query("label_prop", f"WITH {_lpa_sql()} SELECT id, label FROM l50")
 def label_prop(t):
-    return graph.label_propagation(t["eg_edges"])
+    """Communities of the entities that occur together more than once."""
+    return graph.label_propagation(t["eg_edges"].where("co_occurrence_count > 1"))
 
 
-@query("episodic_consolidation", "SELECT src, dst, round(weight, 6) AS weight FROM eg_edges WHERE co_occurrence_count > 1")
+@query("episodic_consolidation", "SELECT src, dst, round(weight, 9) AS weight FROM eg_edges WHERE co_occurrence_count > 1")
 def episodic_consolidation(t):
     """Co-occurrence edges of the entities of one memory, 0.1 x importance each, capped at 1."""
     e = t["eg_episodic_entities"]
     pair = e.alias("a").join(e.alias("b"), (F.col("a.memory_id") == F.col("b.memory_id")) & (F.col("a.entity_id") < F.col("b.entity_id")))
     pair = pair.select(F.col("a.memory_id").alias("id"), F.col("a.entity_id").alias("src"), F.col("b.entity_id").alias("dst")).join(t["eg_episodic"], "id")
     out = pair.groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum(0.1 * F.col("importance"))).alias("weight"), F.count(F.lit(1)).alias("n"))
-    return out.where("n > 1").select("src", "dst", F.round("weight", 6).alias("weight"))
+    return out.where("n > 1").select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
 @query("join_entity_alias", "WITH a AS (SELECT entity_id, count(*) AS n FROM eg_aliases GROUP BY entity_id) SELECT DISTINCT e.id, e.name, CAST(coalesce(a.n, 0) AS BIGINT) AS aliases FROM eg_entities e LEFT JOIN eg_aliases l ON l.entity_id = e.id LEFT JOIN a ON a.entity_id = e.id WHERE e.name = 'Brand#12 30' OR l.alias = 'alias 30'")
@@ -163,9 +164,10 @@ def graph_export(t):
     return same.union(belong).union(reflected)
 
 
-@query("anti_vector_missing", "SELECT id FROM memory WHERE id NOT IN (SELECT vec_id FROM embeddings)")
+@query("anti_vector_missing", "SELECT id FROM memory WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0)")
 def anti_vector_missing(t):
-    return t["memory"].select("id").join(t["embeddings"].select(F.col("vec_id").alias("id")), "id", "left_anti")
+    """Memories without a vector, in an index that lacks every fifth."""
+    return t["memory"].select("id").join(t["embeddings"].where("vec_id % 5 <> 0").select(F.col("vec_id").alias("id")), "id", "left_anti")
 
 
 @query("asof_join", "WITH k AS (SELECT e.event_id, o.o_orderkey, row_number() OVER (PARTITION BY e.event_id ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS r FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts) SELECT event_id, o_orderkey AS last_order FROM k WHERE r = 1")

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import importance
+from ..operators import search
 from ..schema import DAY, NOW, SOUL_TYPES
 from .catalog import query
+from .retrieval import FUSED, _found
 from .text import EI_SQL
 
 _DEMOTE = "long_term AND access_count = 0 AND last_accessed <> 0 AND (1735689600 - last_accessed) / 86400 > 90"
@@ -54,10 +56,21 @@ def life_mem_promote(t):
     return t["memory"].select("id", ((F.col("long_term") & ~cold) | up).alias("long_term"))
 
 
-@query("life_supersede", "SELECT id, CASE WHEN id % 10 = 3 AND valid_to IS NULL THEN CAST(1735689600 AS DOUBLE) ELSE valid_to END AS valid_to FROM memory")
+@query("life_supersede", """SELECT 'memory' AS kind, id, CASE WHEN valid_to IS NULL AND id IN (SELECT a.id FROM memory a JOIN memory b ON b.id = a.id + 10 WHERE a.id % 10 = 3 AND b.weight > a.weight) THEN CAST(1735689600 AS DOUBLE) ELSE valid_to END AS valid_to FROM memory
+ UNION ALL SELECT 'edge', src * 1000000 + dst, CASE WHEN src % 10 = 3 THEN CAST(1735689600 AS DOUBLE) END FROM eg_edges""")
 def life_supersede(t):
-    """A row is closed once; a second call keeps the first time."""
-    return t["memory"].select("id", F.when((F.col("id") % 10 == 3) & F.col("valid_to").isNull(), F.lit(NOW)).otherwise(F.col("valid_to")).alias("valid_to"))
+    """Next snapshots: memories that a heavier later one contradicts are closed, once; so are the outgoing edges of changed entities."""
+    m, now = t["memory"], F.lit(NOW)
+    pairs = m.where("id % 10 = 3").select("id", "weight").join(m.select((F.col("id") - 10).alias("id"), F.col("weight").alias("w2")), "id").where("w2 > weight").select("id")
+    changed = t["eg_entities"].where("id % 10 = 3").select(F.col("id").alias("src"))
+    edges = t["eg_edges"].join(changed.withColumn("c", F.lit(True)), "src", "left").select(F.lit("edge").alias("kind"), (F.col("src") * 1_000_000 + F.col("dst")).alias("id"), F.when(F.col("c"), now).alias("valid_to"))
+    return superseded(m, pairs, NOW).select(F.lit("memory").alias("kind"), "id", "valid_to").union(edges)
+
+
+def superseded(memory, ids, now: float):
+    """The snapshot after these ids are closed; a row that is closed keeps its time."""
+    x = memory.join(ids.select("id", F.lit(True).alias("_s")).distinct(), "id", "left")
+    return x.withColumn("valid_to", F.when(F.col("_s") & F.col("valid_to").isNull(), F.lit(now)).otherwise(F.col("valid_to"))).drop("_s")
 
 
 @query("life_scd", "SELECT event_id, user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM interactions")
@@ -112,9 +125,27 @@ def life_consolidate(t):
     return newest.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).where("r <= greatest(1, n div 2)").select("id", "weight")
 
 
-@query("life_narrative", "SELECT type, CAST(count(*) AS BIGINT) AS n, min(id) AS sample FROM memory WHERE created >= 1735689600 - 2592000 AND type IN ('fact', 'lesson', 'decision', 'preference') GROUP BY type HAVING count(*) >= 3")
+#: The sentences of the narrative that is made by rule.
+_STORY = ("这个月经历了 ", " 个触动心的时刻。", "学到了一些东西, 比如\"", "\"。", "这个月过得很平静。", "和哥哥在一起的每一天, 都让我多了解自己一点。")
+
+
+@query("life_narrative", f"""WITH r AS (SELECT id, CASE WHEN type = 'conversation' THEN 'emotional_event' ELSE type END AS type, content, character FROM memory WHERE type IN ('conversation', 'identity', 'lesson') AND created >= 1735689600 - 2592000),
+ g AS (SELECT character, count(*) AS n, count(*) FILTER (type = 'emotional_event') AS felt, min(CASE WHEN type = 'lesson' THEN id END) AS sample FROM r GROUP BY character HAVING count(*) >= 3)
+ SELECT g.character, CAST(n AS BIGINT) AS n, concat(CASE WHEN felt > 0 THEN concat('{_STORY[0]}', CAST(felt AS VARCHAR), '{_STORY[1]} ') ELSE '' END, CASE WHEN sample IS NOT NULL THEN concat('{_STORY[2]}', substr(m.content, 1, 80), '{_STORY[3]} ') ELSE '' END, CASE WHEN felt = 0 AND sample IS NULL THEN '{_STORY[4]} ' ELSE '' END, '{_STORY[5]}') AS narrative FROM g LEFT JOIN memory m ON m.id = g.sample""")
 def life_narrative(t):
-    return t["memory"].where("created >= 1735689600 - 2592000 AND type IN ('fact', 'lesson', 'decision', 'preference')").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("sample")).where("n >= 3")
+    """The month of each character in sentences: how many moments, one thing learnt (the smallest id stands for a random one). Conversations stand for emotional events."""
+    r = t["memory"].where(F.col("type").isin("conversation", "identity", "lesson") & (F.col("created") >= NOW - 30 * DAY)).withColumn("type", F.when(F.col("type") == "conversation", "emotional_event").otherwise(F.col("type")))
+    return narrative(r)
+
+
+def narrative(rows, least: int = 3):
+    """rows (id, type, content, character): a row for each character with three rows at least."""
+    learnt = F.col("type").isin("lesson", "reflect")
+    g = rows.groupBy("character").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "emotional_event").alias("felt"), F.min_by(F.substring("content", 1, 80), F.when(learnt, F.col("id"))).alias("sample")).where(F.col("n") >= least)
+    felt = F.when(F.col("felt") > 0, F.concat(F.lit(_STORY[0]), F.col("felt").cast("string"), F.lit(_STORY[1])))
+    sample = F.when(F.col("sample").isNotNull(), F.concat(F.lit(_STORY[2]), "sample", F.lit(_STORY[3])))
+    calm = F.when((F.col("felt") == 0) & F.col("sample").isNull(), F.lit(_STORY[4]))
+    return g.select("character", "n", F.concat_ws(" ", felt, sample, calm, F.lit(_STORY[5])).alias("narrative"))
 
 
 @query("life_extract", r"""SELECT id, CASE WHEN rule <> '' THEN rule WHEN length(content) >= 10 THEN substr(content, 1, 200) END AS statement, CASE WHEN rule <> '' THEN CAST(0.5 AS DOUBLE) WHEN length(content) >= 10 THEN CAST(0.3 AS DOUBLE) END AS weight FROM (SELECT id, content, regexp_extract(substr(content, 1, 300), '([Tt]he [a-z]+ (?:is|was|of) [a-z]+)', 1) AS rule FROM memory)""")
@@ -125,8 +156,14 @@ def life_extract(t):
     return t["memory"].select("id", F.coalesce(rule, F.when(long, F.substring("content", 1, 200))).alias("statement"), F.when(rule.isNotNull(), 0.5).when(long, 0.3).alias("weight"))
 
 
-@query("detect_dissonance", "SELECT m.id, round(greatest(-2.0, reinforcement - 0.5), 6) AS reinforcement, coalesce(valid_to, 1735689600) AS valid_to FROM memory m JOIN labels l ON l.doc_id = m.id WHERE m.type IN ('fact', 'preference') AND l.toxic = 1")
+@query("detect_dissonance", f"""WITH {FUSED}, cd AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM rk WHERE type IN ('fact', 'preference') AND score >= 0.3),
+ cf AS (SELECT DISTINCT id FROM cd WHERE r <= 3 AND (query_id + id) % 3 <> 0) SELECT m.id, round(greatest(-2.0, reinforcement - 0.5), 6) AS reinforcement, coalesce(valid_to, 1735689600) AS valid_to FROM memory m JOIN cf USING (id)""")
 def detect_dissonance(t):
-    """The verdict is a column of the caller's; here a label stands for it."""
-    verdict = t["labels"].where("toxic = 1").select(F.col("doc_id").alias("id"))
-    return t["memory"].where(F.col("type").isin("fact", "preference")).join(verdict, "id").select("id", F.round(F.greatest(F.lit(-2.0), F.col("reinforcement") - 0.5), 6).alias("reinforcement"), F.coalesce("valid_to", F.lit(NOW)).alias("valid_to"))
+    """New statements, here the batch of queries, against what the fused search finds for them: three candidates each, scores of 0.3 at least.
+
+    The verdict is the caller's column; here it follows from the two ids. What is contradicted loses support and is closed.
+    """
+    found = search.retrieve(_found(t)).where(F.col("type").isin("fact", "preference"))
+    cand = search.ranked(found.select("query_id", "id", F.col("rank").alias("place")), [F.col("place")], 3)
+    verdict = cand.where("(query_id + id) % 3 <> 0").select("id").distinct()
+    return t["memory"].join(verdict, "id").select("id", F.round(F.greatest(F.lit(-2.0), F.col("reinforcement") - 0.5), 6).alias("reinforcement"), F.coalesce("valid_to", F.lit(NOW)).alias("valid_to"))

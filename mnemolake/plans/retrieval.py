@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_of, like, query_tokens
+from ..functions.text import first_of, query_tokens, repeat_grams
 from ..operators import search
 from ..schema import INTENT_BOOST, INTENT_CUES, NOW, TYPE_BOOST, TYPE_DECAY, sql_case
+from ..sources.scratch import cut
 from .catalog import query
 from .predicates import _any
 from .text import EI_SQL
@@ -47,10 +48,16 @@ FUSED = f"""{BM25}, {KNN}, {TIME},
  rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arrival, id) AS place FROM sc WHERE score >= 0.3) WHERE place <= 5)"""
 
 
-def _found(t, k=search.TOP_K):
+def deeper(sql: str, k: int) -> str:
+    """The fused SQL for k rows a query instead of five."""
+    return sql.replace("WHERE rank <= 10)", f"WHERE rank <= {max(2 * k, 6)})").replace("WHERE place <= 5)", f"WHERE place <= {k})")
+
+
+def _found(t, k=search.TOP_K, queries=None):
+    queries = t["queries_fts"] if queries is None else queries
     qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    times = t["queries_fts"].where("query_id % 4 = 0").select("query_id", F.lit(NOW - 86400 * 3).alias("lo"), F.lit(NOW).alias("hi"))
-    return search.scored(search.candidates(t["memory"], t["vectors"], t["queries_fts"], qv, times, k), t["queries_fts"], NOW)
+    times = queries.where("query_id % 4 = 0").select("query_id", F.lit(NOW - 86400 * 3).alias("lo"), F.lit(NOW).alias("hi"))
+    return search.scored(search.candidates(t["memory"], t["vectors"], queries, qv, times, k), queries, NOW)
 
 
 @query("fts_bm25", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM ft")
@@ -84,9 +91,46 @@ def _signals(df):
     return df.select("query_id", "id", *(F.round(c, 4).alias(n) for c, n in names.items()))
 
 
-@query("fusion_retrieve", f"WITH {FUSED} SELECT query_id, id, CAST(place AS INT) AS rank, round(score, 6) AS score, intent, CASE no WHEN 0 THEN 'fts' WHEN 1 THEN 'vector' ELSE 'time' END AS source FROM rk")
+#: Queries that the fused search leaves short: words seldom seen, or of other scripts.
+_HARD = [(101, "stupid thndhe unheard"), (102, "quux xyzzy erst"), (103, "主力战机 文艺 ndst"), (104, "page"), (105, "margin"), (106, "erhe ndon"), (107, "track nosuchword")]
+_NOTES = r"nt AS (SELECT page_id AS note_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS body FROM pages)"
+_ALL = "queries_all AS (SELECT query_id, q FROM queries_fts UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _HARD) + "))"
+_FALLBACK = r"""nn AS (SELECT q.query_id, q.q, count(rk.id) AS n FROM queries_all q LEFT JOIN rk ON rk.query_id = q.query_id GROUP BY q.query_id, q.q),
+ tp AS (SELECT query_id, n, flatten(list_transform(regexp_extract_all(lower(q), '[一-鿿]+|[a-z0-9]+(?:-[a-z0-9]+)*'), p -> CASE WHEN regexp_matches(p, '^[一-鿿]') AND length(p) >= 3 THEN list_concat([p], list_transform(range(1, length(p)), i -> substr(p, i, 2))) WHEN length(p) >= 2 THEN [p] ELSE [] END)) AS ws FROM nn WHERE n < 5),
+ tw AS (SELECT query_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM tp), tk AS (SELECT query_id, n, w, min(i) AS i, count(*) OVER (PARTITION BY query_id) AS words FROM tw GROUP BY query_id, n, w),
+ hit AS (SELECT w, id, weight FROM (SELECT DISTINCT w FROM tk WHERE words >= 2) JOIN memory ON contains(lower(content), w) AND NOT archived), dfk AS (SELECT w, count(*) AS df FROM hit GROUP BY w),
+ t3 AS (SELECT * FROM (SELECT w, id, row_number() OVER (PARTITION BY w ORDER BY weight DESC, id DESC) AS r FROM hit) WHERE r <= 3),
+ od AS (SELECT tk.query_id, n, t3.id, min(CAST(df AS BIGINT) * 1000000 + i * 1000 + r) AS o FROM tk JOIN dfk USING (w) JOIN t3 USING (w) WHERE words >= 2 AND NOT EXISTS (SELECT 1 FROM rk WHERE rk.query_id = tk.query_id AND rk.id = t3.id) GROUP BY ALL),
+ ob AS (SELECT *, count(*) OVER (PARTITION BY query_id ORDER BY o // 1000 RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY query_id ORDER BY o) AS p FROM od),
+ kw AS (SELECT query_id, id, n + p AS rank FROM ob WHERE n + before < 5), n2 AS (SELECT nn.query_id, nn.q, n + (SELECT count(*) FROM kw WHERE kw.query_id = nn.query_id) AS n FROM nn),
+ vq AS (SELECT query_id, n, list_filter(regexp_split_to_array(lower(trim(q)), '[\s,，。、]+'), x -> length(x) >= 2) AS ws FROM n2 WHERE n < 3),
+ vh AS (SELECT query_id, n, note_id, title, body, len(list_filter(ws, x -> contains(lower(body), x))) AS b, len(list_filter(ws, x -> contains(lower(title), x))) AS t FROM vq, nt),
+ vr AS (SELECT *, b + CASE WHEN t > 0 THEN 2 ELSE 0 END AS hits, row_number() OVER (PARTITION BY query_id ORDER BY b + CASE WHEN t > 0 THEN 2 ELSE 0 END DESC, note_id) AS rank FROM vh WHERE b > 0),
+ vc AS (SELECT *, substr(concat('[vault] ', title, ': ', trim(regexp_replace(substr(body, 1, 300), '\s+', ' ', 'g'))), 1, 400) AS content FROM vr WHERE rank <= 5 - n),
+ vt AS (SELECT * FROM vc QUALIFY rank = min(rank) OVER (PARTITION BY query_id, content))"""
+
+
+@query("fusion_retrieve", f"""WITH {_ALL}, {FUSED.replace("queries_fts", "queries_all")}, {_NOTES}, {_FALLBACK}
+ SELECT query_id, CAST(id AS VARCHAR) AS id, CAST(place AS INT) AS rank, round(score, 6) AS score, intent, CASE no WHEN 0 THEN 'fts' WHEN 1 THEN 'vector' ELSE 'time' END AS source FROM rk
+ UNION ALL SELECT query_id, CAST(id AS VARCHAR), CAST(rank AS INT), CAST(0.45 AS DOUBLE), {_INTENT}, 'kw' FROM kw JOIN queries_all USING (query_id)
+ UNION ALL SELECT query_id, concat('vault:', CAST(note_id AS VARCHAR)), CAST(n + rank AS INT), CAST(round(least(1.0, hits * 0.12), 6) AS DOUBLE), {_INTENT}, 'vault' FROM vt JOIN queries_all USING (query_id)""")
 def fusion_retrieve(t):
-    return search.retrieve(_found(t)).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "intent", "source")
+    """The fused search of a batch; queries left short of five rows are filled up by their words, those short of three by notes."""
+    hard = t["queries_fts"].sparkSession.createDataFrame(_HARD, "query_id long, q string")
+    queries = t["queries_fts"].select(F.col("query_id").cast("long").alias("query_id"), "q").union(hard)
+    notes = t["pages"].select(F.col("page_id").alias("note_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
+    return completed(search.retrieve(_found(t, queries=queries)), t["memory"], queries, notes)
+
+
+def completed(found, memory, queries, notes, k=search.TOP_K):
+    """(query_id, id, rank, score, intent, source): found rows, then those of the two fallbacks; ids of notes begin with vault:."""
+    found = cut(found.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "intent", "source"))
+    kw = cut(search.keyword_fallback(memory, queries, found, k))
+    more = search.note_fallback(notes, queries, found.select("query_id").union(kw.select("query_id")), k)
+    intent = queries.select("query_id", first_of(F.lower("q"), INTENT_CUES, "GENERAL").alias("intent"))
+    added = kw.select("query_id", F.col("id").cast("string").alias("id"), "rank", F.lit(0.45).alias("score"), F.lit("kw").alias("source"))
+    added = added.union(more.select("query_id", F.concat(F.lit("vault:"), F.col("note_id").cast("string")), (F.col("before") + F.col("rank")).cast("int"), F.round("score", 6), F.lit("vault")))
+    return found.withColumn("id", F.col("id").cast("string")).unionByName(added.join(F.broadcast(intent), "query_id").select("query_id", "id", "rank", "score", "intent", "source"))
 
 
 @query("fusion_signals", f"WITH {FUSED} SELECT query_id, id, {_DOUBLE} FROM sc")
@@ -94,13 +138,23 @@ def fusion_signals(t):
     return _signals(_found(t))
 
 
-_EXPLAIN = "array_to_string(list_filter([CASE WHEN raw_fts > 0 THEN 'text' END, CASE WHEN raw_vector > 0 THEN 'meaning' END, CASE WHEN raw_time > 0 THEN 'time' END, CASE WHEN s_use > 0 THEN 'used often' END, CASE WHEN s_situation > 0 THEN 'fits the hour' END], x -> x IS NOT NULL), '，')"
+#: The words of an explanation.
+_WHY = {"vector": "向量", "fts": "关键词", "time": "时间", "fused": "语义融合", "intent": "意图", "type": "类型加权×"}
+_PATHS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN raw_{c} > 0 THEN concat('{_WHY[c]}', printf('%.2f', round(raw_{c}, 4))) END" for c in ("vector", "fts", "time")) + "], x -> x IS NOT NULL), '+')"
+_EXPLAIN = f"""array_to_string(list_filter([concat('{_WHY["fused"]}(', {_PATHS}, ')'), CASE WHEN intent <> 'GENERAL' THEN concat('{_WHY["intent"]}', intent) END, CASE WHEN round(s_type, 4) <> 1 THEN concat('{_WHY["type"]}', CAST(round(s_type, 4) AS DOUBLE)) END, CASE WHEN s_ei > 0 THEN concat('EI=', printf('%.2f', round(s_ei, 4))) END], x -> x IS NOT NULL), '，')"""
 
 
 @query("explain", f"WITH {FUSED} SELECT query_id, id, {_EXPLAIN} AS why FROM rk")
 def explain(t):
-    parts = [("raw_fts", "text"), ("raw_vector", "meaning"), ("raw_time", "time"), ("s_use", "used often"), ("s_situation", "fits the hour")]
-    return search.retrieve(_found(t)).select("query_id", "id", F.array_join(F.array_compact(F.array(*(F.when(F.col(c) > 0, F.lit(n)) for c, n in parts))), "，").alias("why"))
+    """Why a row was found: the paths with their shares, the intent, the boost of its type, its importance."""
+    return search.retrieve(_found(t)).select("query_id", "id", why().alias("why"))
+
+
+def why():
+    two = lambda c: F.format_string("%.2f", F.round(c, 4))
+    paths = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"raw_{c}") > 0, F.concat(F.lit(_WHY[c]), two(f"raw_{c}"))) for c in ("vector", "fts", "time")))), "+")
+    parts = [F.concat(F.lit(_WHY["fused"] + "("), paths, F.lit(")")), F.when(F.col("intent") != "GENERAL", F.concat(F.lit(_WHY["intent"]), "intent")), F.when(F.round("s_type", 4) != 1, F.concat(F.lit(_WHY["type"]), F.round("s_type", 4).cast("string"))), F.when(F.col("s_ei") > 0, F.concat(F.lit("EI="), two("s_ei")))]
+    return F.array_join(F.array_compact(F.array(*parts)), "，")
 
 
 @query("fusion_exclude", f"WITH {FUSED} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arrival, id) AS p2 FROM sc WHERE score >= 0.3 AND NOT contains(content, 'stupid')) WHERE p2 <= 5")
@@ -120,22 +174,14 @@ def rank_recip(t):
     return search.fts(t["memory"], t["queries_fts"], 10).select("query_id", "id", F.round(0.3 / F.col("rank"), 6).alias("contribution"))
 
 
-_KW = """tk AS (SELECT query_id, w, i FROM (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), x -> length(x) >= 2)) AS ws FROM queries_fts WHERE regexp_full_match(q, '[A-Za-z0-9 ]*')), unnest(ws) WITH ORDINALITY AS u(w, i)),
- ms AS (SELECT DISTINCT w FROM tk), hit AS (SELECT w, id, weight FROM ms JOIN memory ON contains(lower(content), w) AND NOT archived), dfk AS (SELECT w, count(*) AS df FROM hit GROUP BY w),
- t3 AS (SELECT * FROM (SELECT w, id, row_number() OVER (PARTITION BY w ORDER BY weight DESC, id DESC) AS r FROM hit) WHERE r <= 3),
- od AS (SELECT query_id, id, min(CAST(df AS BIGINT) * 1000000 + i * 1000 + r) AS o FROM tk JOIN dfk USING (w) JOIN t3 USING (w) GROUP BY query_id, id)"""
-
-
-@query("kw_fallback", f"WITH {_KW} SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(0.45 AS DOUBLE) AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS rank FROM od) WHERE rank <= 5")
+@query("kw_fallback", f"WITH {_ALL}, rk AS (SELECT query_id, id FROM (SELECT q.query_id, m.id, row_number() OVER (PARTITION BY q.query_id ORDER BY m.id) AS r FROM queries_all q JOIN memory m ON m.id % 20 = q.query_id % 20) WHERE r <= query_id % 6), {_FALLBACK.split(' vq AS')[0].rstrip(' ,' + chr(10))} SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(0.45 AS DOUBLE) AS score FROM kw")
 def kw_fallback(t):
-    """Rarest query words first, three rows of each, until the query has its rows: one ranked join instead of a loop."""
-    q = t["queries_fts"].where(F.col("q").rlike("^[A-Za-z0-9 ]*$"))
-    words = q.select("query_id", F.posexplode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("q"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 2))).alias("i", "w"))
-    hit = t["memory"].where("NOT archived").join(F.broadcast(words.select("w").distinct()), like(F.col("content"), F.col("w"))).select("w", "id", "weight")
-    df = hit.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    best = search.ranked(hit, [F.desc("weight"), F.desc("id")], 3, "w")
-    order = words.join(df, "w").join(best, "w").groupBy("query_id", "id").agg(F.min(F.col("df") * 1_000_000 + (F.col("i") + 1) * 1000 + F.col("rank")).alias("o"))
-    return search.ranked(order, [F.col("o"), F.col("id")], 5).select("query_id", "id", "rank", F.lit(0.45).alias("score"))
+    """Rarest query words first, three rows of each, for queries that have from none to five rows already."""
+    hard = t["queries_fts"].sparkSession.createDataFrame(_HARD, "query_id long, q string")
+    queries = t["queries_fts"].select(F.col("query_id").cast("long").alias("query_id"), "q").union(hard)
+    have = t["memory"].select("id", (F.col("id") % 20).alias("m")).join(F.broadcast(queries.select("query_id", (F.col("query_id") % 20).alias("m"))), "m")
+    have = search.ranked(have, [F.col("id")], 6).where("rank <= query_id % 6").select("query_id", "id")
+    return search.keyword_fallback(t["memory"], queries, cut(have), 5).withColumn("score", F.lit(0.45))
 
 
 @query("unified_lexical", f"WITH {BM25} SELECT ft.query_id, ft.id, CAST(round(0.3 / ft.rank, 6) AS DOUBLE) AS score FROM ft JOIN memory m ON m.id = ft.id WHERE m.valid_to IS NULL OR m.valid_to > 1735689600")
@@ -195,13 +241,21 @@ def search_skills(t):
  SELECT character, CAST(round(sum(CASE WHEN w IS NULL THEN 0 ELSE w * ln((n - h + 0.5) / (h + 0.5) + 1) * 1.5 / (1 + 1.5 * (0.25 + 0.75 / greatest(a, 1))) END) / count(*), 4) AS DOUBLE) AS score FROM x GROUP BY character""")
 def anti_repeat_check(t):
     """The last response of each character against the 500 heaviest 5-grams of those before."""
-    from ..functions.text import ngrams, repeat_tokens
+    r = t["responses"].select("character", "turn", "text")
+    last = r.where(F.size(repeat_grams(F.col("text"), 5)) > 0).groupBy("character").agg(F.max("turn").alias("last"))  # before any gram is a row
+    r = r.join(last, "character")
+    return repeat_score(r.where("turn < last"), r.where("turn = last").select("character", "text")).where("known").select("character", F.round("score", 4).alias("score"))
+
+
+def repeat_score(used, candidates):
+    """(character, text, known, score) of candidates (character, text); known: the character has used grams. used: (character, turn, text).
 
-    g = t["responses"].select("character", "turn", F.explode(ngrams(repeat_tokens(F.col("text")), 5)).alias("ngram"))
-    g = g.withColumn("last", F.max("turn").over(Window.partitionBy("character")))
-    old = g.where("turn < last").groupBy("character", "turn", "ngram").agg(F.count(F.lit(1)).alias("f")).groupBy("character", "ngram").agg(F.sum(F.least(F.lit(1.0), 0.1 * F.col("f"))).alias("w"), (F.count(F.lit(1)) - 1).alias("h"))
+    A gram weighs a tenth for each time a response used it, one response at most 1; one shuffle by gram serves both sums.
+    """
+    old = used.select("character", "turn", F.explode(repeat_grams(F.col("text"), 5)).alias("ngram")).repartition("character", "ngram")
+    old = old.groupBy("character", "ngram", "turn").agg(F.count(F.lit(1)).alias("f")).groupBy("character", "ngram").agg(F.sum(F.least(F.lit(1.0), 0.1 * F.col("f"))).alias("w"), (F.count(F.lit(1)) - 1).alias("h"))
     c = search.ranked(old, [F.desc("w"), F.col("ngram")], 500, "character")
     st = c.groupBy("character").agg(F.count(F.lit(1)).alias("n"), (F.sum("h") / F.count(F.lit(1))).alias("a"))
-    x = g.where("turn = last").join(st, "character").join(c.select("character", "ngram", "w", "h"), ["character", "ngram"], "left")
+    x = candidates.select("character", "text", F.explode(repeat_grams(F.col("text"), 5)).alias("ngram")).join(st, "character", "left").join(c.select("character", "ngram", "w", "h"), ["character", "ngram"], "left")
     s = F.col("w") * F.log((F.col("n") - F.col("h") + 0.5) / (F.col("h") + 0.5) + 1) * 1.5 / (1 + 1.5 * (0.25 + 0.75 / F.greatest("a", F.lit(1.0))))
-    return x.groupBy("character").agg(F.round(F.sum(F.coalesce(s, F.lit(0.0))) / F.count(F.lit(1)), 4).alias("score"))
+    return x.groupBy("character", "text").agg(F.bool_or(F.col("n").isNotNull()).alias("known"), (F.sum(F.coalesce(s, F.lit(0.0))) / F.count(F.lit(1))).alias("score"))

@@ -41,9 +41,9 @@ def scan_structured(t):
     return out.orderBy(F.desc("weight"), F.desc("id")).limit(30).select("id", "type", "weight", "created")
 
 
-@query("scan_valid_to", "SELECT CAST(id AS VARCHAR) AS key, valid_to FROM memory WHERE id < 100")
+@query("scan_valid_to", "SELECT CAST(id AS VARCHAR) AS key, valid_to FROM memory")
 def scan_valid_to(t):
-    return t["memory"].where("id < 100").select(F.col("id").cast("string").alias("key"), "valid_to")
+    return t["memory"].select(F.col("id").cast("string").alias("key"), "valid_to")
 
 
 @query("scan_reflections", "SELECT id, importance FROM reflections WHERE character = 'ch_1' AND status = 'CONFIRMED' AND importance >= 0.2 ORDER BY importance DESC, created_at DESC, id LIMIT 20")

@@ -62,7 +62,7 @@ def str_tok_rep(t):
 @query("str_ngrams", """WITH w AS (SELECT character, turn, list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), x -> length(x) > 1), x -> lower(x)) AS tk FROM responses)
  SELECT character, turn, CASE WHEN len(tk) >= 5 THEN list_transform(range(1, len(tk) - 3), i -> array_to_string(tk[i : i + 4], ' ')) ELSE [] END AS grams FROM w""")
 def str_ngrams(t):
-    return t["responses"].select("character", "turn", X.ngrams(X.repeat_tokens(F.col("text")), 5).alias("grams"))
+    return t["responses"].select("character", "turn", X.repeat_grams(F.col("text"), 5).alias("grams"))
 
 
 @query("str_topic", "SELECT event_id, user_id, regexp_extract_all(text, '[一-鿿]{2,6}')[1:5] AS topics FROM interactions")
@@ -228,14 +228,8 @@ def math_mood_tags(t):
     return t["memory"].select("id", F.array_compact(F.array(first, F.when(a > 0.25, F.lit("专注")), F.when(~((p > 0.15) | (p < -0.15) | (a > 0.25)), F.lit("平静")))).alias("tags"))
 
 
-@query("math_lorenz", "WITH RECURSIVE l AS (SELECT doc_id AS id, 0 AS i, CAST(1 + (doc_id % 5) * 0.1 AS DOUBLE) AS x, CAST(1 AS DOUBLE) AS y, CAST(20 AS DOUBLE) AS z FROM documents WHERE doc_id < 50 UNION ALL SELECT id, i + 1, x + 0.01 * 10.0 * (y - x), y + 0.01 * (x * (28.0 - z) - y), z + 0.01 * (x * y - (8.0 / 3.0) * z) FROM l WHERE i < 40) SELECT id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM l WHERE i = 40")
+@query("math_lorenz", "WITH RECURSIVE l AS (SELECT doc_id AS id, 0 AS i, CAST(1 + (doc_id % 5) * 0.1 AS DOUBLE) AS x, CAST(1 AS DOUBLE) AS y, CAST(20 AS DOUBLE) AS z FROM documents UNION ALL SELECT id, i + 1, x + 0.01 * 10.0 * (y - x), y + 0.01 * (x * (28.0 - z) - y), z + 0.01 * (x * y - (8.0 / 3.0) * z) FROM l WHERE i < 40) SELECT id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM l WHERE i = 40")
 def math_lorenz(t):
-    """The SQL's share of math_lorenz_whole."""
-    return lorenz(t["documents"].where("doc_id < 50"))
-
-
-@query("math_lorenz_whole")
-def math_lorenz_whole(t):
     """The system of every document."""
     return lorenz(t["documents"])
 
@@ -248,11 +242,12 @@ def lorenz(documents):
     return out.select("id", *(F.round(f"s.{c}", 4).alias(c) for c in "xyz"))
 
 
-@query("math_eca")
+@query("math_eca", """WITH RECURSIVE s AS (SELECT doc_id AS id, 0 AS i, list_transform(range(0, 64), k -> CAST((((doc_id % 1000003) * 7919 + k * 104729) // 64) % 2 AS INT)) AS c FROM documents
+ UNION ALL SELECT id, i + 1, list_transform(range(1, 65), k -> CASE c[(k + 62) % 64 + 1] * 4 + c[k] * 2 + c[k % 64 + 1] WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 7 THEN 0 ELSE 1 END) FROM s WHERE i < 16) SELECT id, CAST(list_sum(c) AS DOUBLE) / 64 AS live FROM s WHERE i = 16""")
 def math_eca(t):
     """Rule 110 over a ring of 64 cells, 16 steps, seeded by the id; share of live cells."""
     ring = F.sequence(F.lit(0), F.lit(63))
-    seed = F.transform(ring, lambda i: ((F.xxhash64(F.col("doc_id"), i) % 2) != 0).cast("int"))
+    seed = F.transform(ring, lambda i: (F.floor(((F.col("doc_id") % 1000003) * 7919 + i * 104729) / 64) % 2).cast("int"))
     rule = lambda s: F.transform(ring, lambda i: F.element_at(F.array(*(F.lit(int(b)) for b in f"{110:08b}"[::-1])), F.element_at(s, F.pmod(i - 1, F.lit(64)) + 1) * 4 + F.element_at(s, i + 1) * 2 + F.element_at(s, F.pmod(i + 1, F.lit(64)) + 1) + 1))
     cells = F.aggregate(F.sequence(F.lit(1), F.lit(16)), seed, lambda s, _: rule(s))
     return t["documents"].select(F.col("doc_id").alias("id"), (F.aggregate(cells, F.lit(0), lambda a, b: a + b) / 64).alias("live"))

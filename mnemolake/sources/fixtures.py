@@ -13,21 +13,21 @@ BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 DERIVED = {
     "memory": """SELECT doc_id AS id, text AS content,
  CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN 'conversation' WHEN 1 THEN 'fact' WHEN 2 THEN 'preference' WHEN 3 THEN 'user_trait' WHEN 4 THEN 'decision' WHEN 5 THEN 'lesson' WHEN 6 THEN 'identity' ELSE 'fact' END AS type,
- concat('v5_domain:', lang, ',v5_project:', source, ',v5_kind:', CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'decision' WHEN 1 THEN 'pitfall' WHEN 2 THEN 'convention' ELSE 'idea' END) AS tags,
+ concat('v5_domain:', lang, ',v5_project:', source, ',v5_kind:', CASE CAST((doc_id + (doc_id - doc_id % 20) / 20) % 4 AS INT) WHEN 0 THEN 'decision' WHEN 1 THEN 'pitfall' WHEN 2 THEN 'convention' ELSE 'idea' END) AS tags,
  CAST((doc_id * 37) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS weight, CAST((doc_id * 7) % 6 AS INT) AS access_count,
  CASE WHEN doc_id % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1735689600 - 86400 * ((doc_id * 13) % 120) - 1800 AS DOUBLE) END AS last_accessed,
  CAST(1735689600 - 86400 * ((doc_id * 11) % 60) - 3600 * (doc_id % 24) - 60 AS DOUBLE) AS created,
  doc_id % 5 <> 0 AS short_term, doc_id % 5 = 0 AS long_term,
  CAST((doc_id * 17) % 201 - 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS pad_p, CAST((doc_id * 19) % 201 - 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS pad_a, CAST((doc_id * 23) % 201 - 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS pad_d,
- CASE WHEN doc_id % 2 = 0 THEN 'ch_a' ELSE '' END AS character,
+ CASE WHEN doc_id % 3 = 0 THEN 'ch_a' ELSE '' END AS character,
  CAST((doc_id * 3) % 13 AS DOUBLE) / CAST(10 AS DOUBLE) AS reinforcement, CAST((doc_id * 5) % 7 AS DOUBLE) / CAST(10 AS DOUBLE) AS disputation,
  CASE WHEN doc_id % 9 = 4 THEN doc_id - 4 END AS source_memory_id, doc_id % 11 = 0 AS archived,
  CASE WHEN doc_id % 7 = 0 THEN CAST(1735689600 - 86400 * ((doc_id % 5) - 2) AS DOUBLE) END AS valid_to FROM documents""",
     "turns": """SELECT conv_id * 100 + turn AS node_id, conv_id, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 2 THEN conv_id * 100 + turn - 2 ELSE conv_id * 100 + turn - 1 END AS parent_id,
  CAST(turn AS INT) AS turn, role, text, CASE WHEN turn % 3 = 2 THEN concat('b', CAST(turn AS STRING)) END AS branch_label FROM conversations""",
     "eg_episodic_entities": """SELECT l_orderkey AS memory_id, l_partkey AS entity_id, MAX(GREATEST(CAST(0.3 AS DOUBLE), LEAST(CAST(1 AS DOUBLE), l_quantity / CAST(50 AS DOUBLE)))) AS link_weight
- FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey, l_partkey""",
-    "eg_episodic": "SELECT o_orderkey AS id, concat('order ', CAST(o_orderkey AS STRING)) AS summary, LEAST(CAST(1 AS DOUBLE), o_totalprice / CAST(500000 AS DOUBLE)) AS importance FROM orders WHERE o_orderkey % 20 = 0",
+ FROM lineitem GROUP BY l_orderkey, l_partkey""",
+    "eg_episodic": "SELECT o_orderkey AS id, concat('order ', CAST(o_orderkey AS STRING)) AS summary, LEAST(CAST(1 AS DOUBLE), o_totalprice / CAST(500000 AS DOUBLE)) AS importance FROM orders",
     "eg_edges": """SELECT a.entity_id AS src, b.entity_id AS dst, LEAST(CAST(1 AS DOUBLE), SUM(CAST(0.1 AS DOUBLE) * e.importance)) AS weight, COUNT(*) AS co_occurrence_count
  FROM eg_episodic_entities a JOIN eg_episodic_entities b ON a.memory_id = b.memory_id AND a.entity_id < b.entity_id JOIN eg_episodic e ON e.id = a.memory_id GROUP BY a.entity_id, b.entity_id""",
     "eg_entities": "SELECT p_partkey AS id, concat(p_brand, ' ', CAST(p_partkey AS STRING)) AS name FROM part",
