@@ -3,7 +3,7 @@
 1. language: texts without a letter, or without a language that the model is sure of, go; others keep their columns.
 2. near_dups: of each group of near-duplicate documents (5-word shingles, similarity 0.8) the smallest doc_id stays.
 3. suffix_dedup: passages of over 50 words, or of 400 bytes and more, that also occur elsewhere are cut from the texts,
-   every occurrence, whole characters only. A repeat is found from PASSAGE_BYTES bytes on: 50 words of three letters.
+   every occurrence unless KEEP_FIRST is set, whole characters only. A repeat is found from PASSAGE_BYTES bytes on: 50 words of three letters.
 4. decontaminate: documents that hold benchmark passages on 5 % of their words or more go.
 5. sentencepiece: each text is encoded, and decoded again as a check.
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from mnemolake.llm import common, decontaminate, language, near_dups, pieces, suffix_dedup
 
 PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 51, 200, 32
+#: Whether the first occurrence of a repeated passage stays in the corpus; else every one is cut, as op2's contract has it.
+KEEP_FIRST = False
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def stage_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages; n_chars follows the text."""
-    gone = suffix_dedup.repeated_spans(docs, span=PASSAGE_BYTES, gram=PASSAGE_GRAM, min_words=PASSAGE_WORDS)
+    gone = suffix_dedup.repeated_spans(docs, span=PASSAGE_BYTES, gram=PASSAGE_GRAM, min_words=PASSAGE_WORDS, keep_first=KEEP_FIRST)
     gone = gone.select(F.col("text_key").alias("_llm_key"), F.col("kept_text").alias("_llm_kept"))
     rows = docs.withColumn("_llm_key", suffix_dedup.text_key()).join(gone, "_llm_key", "left")
     text = F.coalesce("_llm_kept", "text")
