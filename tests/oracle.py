@@ -60,6 +60,8 @@ def compare(df, con, sql: str) -> str:
         return f"columns {sorted(df.columns)} against {sorted(names)}"
     if len(got) != len(want):
         return f"{len(got)} rows against {len(want)}"
+    if not got:
+        return "no rows on either side"
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
     return f"{len(bad)} rows differ, such as {bad[0]}"[:1500] if bad else ""
 

@@ -21,7 +21,7 @@ def test_snapshots(spark, sf):
     assert e.t["memory"].count() == before + 1
     said = e.t["responses"].limit(1).collect()[0]
     used = spark.createDataFrame([(said["character"], said["text"])], "character long, text string")
-    assert e.anti_repeat_check(used).first()["score"] == 1.0
+    assert e.anti_repeat_check(used).first()["score"] > 0.1 and e.anti_repeat_penalty(used, over=0.1).count() == 1
     e.anti_repeat_clear(said["character"])
     assert e.anti_repeat_check(used).first()["score"] == 0.0
     e.skill_write(spark.createDataFrame([(1_000_000, "deploy-windows", "how to", "x"), (1_000_001, "Not Kebab", "d", "x")], "id long, name string, description string, body string"))
