@@ -7,6 +7,8 @@ title or a sensor takes its answer as an argument.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ class Engine:
         "project": ["project_note", "project_retrieve", "project_stats"],
     }
 
-    def __init__(self, tables: dict[str, DataFrame], now: float = NOW):
-        self.t, self.now = tables, now
+    def __init__(self, tables: dict[str, DataFrame], now: float = NOW, ttl: float = 20.0):
+        self.t, self.now, self.ttl = tables, now, ttl
+        self._cache: dict[str, tuple[float, DataFrame]] = {}
         self.rules = {"input": Rules(), "memory": Rules(), "query": Rules(), "entity": Rules()}
         self.maintenance = Maintenance()
         for op, every in lifecycle.INTERVALS.items():
@@ -54,6 +57,7 @@ class Engine:
         return [n for g in known or self.GROUPS for n in self.GROUPS[g]]
 
     def _replace(self, name: str, df: DataFrame) -> DataFrame:
+        self._cache.clear()
         self.t[name] = df
         return df
 
@@ -86,11 +90,24 @@ class Engine:
         self._append("memory", fresh)
         return merged.unionByName(fresh, allowMissingColumns=True)
 
-    def memory_search(self, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = 5) -> DataFrame:
-        """The fused search; queries left short are filled up by their words, then by notes (`notes`: note_id, title, body)."""
-        found = search.retrieve(search.scored(search.candidates(self.t["memory"], self.t["vectors"], queries, query_vectors, times, k), queries, self.now), k)
+    def memory_search(self, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = 5, *, index: search.TextIndex | None = None, key: str | None = None) -> DataFrame:
+        """The fused search; queries left short are filled up by their words, then by notes (`notes`: note_id, title, body).
+
+        With an index of the snapshot the texts are not tokenised again. Under a key the batch's result is written and
+        answered from there for `ttl` seconds, or until a table changes; of over 200 results the 50 oldest go.
+        """
+        if key in self._cache and time.monotonic() - self._cache[key][0] < self.ttl:
+            return self._cache[key][1]
+        found = search.retrieve(search.scored(search.candidates(self.t["memory"], self.t["vectors"], queries, query_vectors, times, k, index), queries, self.now), k)
         notes = self.t["notes"] if "notes" in self.t else queries.sparkSession.createDataFrame([], "note_id long, title string, body string")
-        return completed(found, self.t["memory"], queries, notes, k)
+        out = completed(found, self.t["memory"], queries, notes, k)
+        if key is not None:
+            out = cut(out)
+            if len(self._cache) >= 200:
+                for old in sorted(self._cache, key=lambda x: self._cache[x][0])[:50]:
+                    del self._cache[old]
+            self._cache[key] = time.monotonic(), out
+        return out
 
     def memory_get(self, ids: DataFrame) -> DataFrame:
         return self.t["memory"].join(ids, "id", "left_semi")
@@ -258,7 +275,7 @@ class Engine:
 
     def skill_search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """queries (query_id, q): name over description over body."""
-        s = self.t["skills"].join(F.broadcast(queries.withColumn("_ws", X.query_tokens(F.col("q")))))
+        s = self.t["skills"].join(search.small(queries.withColumn("_ws", X.query_tokens(F.col("q")))))
         point = lambda x: F.when(F.col("name").contains(x), 3).otherwise(0) + F.when(F.lower("description").contains(x), 2).otherwise(0) + F.when(F.lower("body").contains(x), 1).otherwise(0)
         total = F.when(F.col("name").contains(F.lower("q")), 6).otherwise(0) + F.aggregate(F.transform("_ws", point), F.lit(0), lambda a, b: a + b)
         s = s.withColumn("score", F.least(6 + 2 * F.size("_ws") + 3, total)).where("score > 0").drop("_ws")

@@ -11,30 +11,76 @@ from ..schema import BASE_WEIGHT_FACTOR, DAY, FREQUENCY, FRESHNESS, FTS_WEIGHT,
 K1, B = 1.2, 0.75
 
 
+#: A batch of queries is sent to every task if the planner's size for it is within BATCH_BYTES or, where it has none, its rows are within BATCH_ROWS.
+BATCH_BYTES, BATCH_ROWS = 32 << 20, 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is known to be small; a larger batch is left to the planner, which deals it out."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= BATCH_BYTES or df.limit(BATCH_ROWS + 1).count() <= BATCH_ROWS else df
+
+
 def postings(memory: DataFrame) -> DataFrame:
-    """(id, field, pos, token) of content, type and tags."""
-    fields = F.posexplode(F.array("content", "type", "tags")).alias("field", "text")
-    return memory.select("id", fields).select("id", "field", F.posexplode(fts_tokens(F.col("text"))).alias("pos", "token"))
+    """(id, d, field, pos, token) of content, type and tags; d is the number of tokens of the row."""
+    fields = memory.select("id", F.array(*(fts_tokens(F.col(c)) for c in ("content", "type", "tags"))).alias("fields"))
+    sized = fields.select("id", F.aggregate("fields", F.lit(0), lambda n, f: n + F.greatest(F.size(f), F.lit(0))).alias("d"), F.posexplode("fields").alias("field", "tokens"))
+    return sized.select("id", "d", "field", F.posexplode("tokens").alias("pos", "token"))
+
+
+class TextIndex:
+    """Postings and statistics of a memory table, written once: (token, id, d, field, pos) in folders by the token's hash, sorted.
+
+    A batch of queries reads the folders of its own tokens, and of these the row groups that can hold them.
+    """
+
+    BUCKETS = 128
+
+    def __init__(self, memory: DataFrame, path: str):
+        self.spark, self.path = memory.sparkSession, path.rstrip("/")
+        rows = postings(memory).withColumn("bucket", self._bucket())
+        self.schema = rows.schema
+        # a frequent token is one value of the bucket's hash: its rows are dealt out by id as well
+        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        statistics(memory).write.parquet(f"{self.path}/corpus")
+
+    @classmethod
+    def _bucket(cls) -> Column:
+        return F.pmod(F.xxhash64("token"), F.lit(cls.BUCKETS)).cast("int")
+
+    def postings(self, tokens: DataFrame) -> DataFrame:
+        """The postings that tokens (token) may need."""
+        touched = [r[0] for r in tokens.select(self._bucket()).distinct().collect()]  # BUCKETS numbers at most
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/postings").where(F.col("bucket").isin(touched)).drop("bucket")
+
+    def corpus(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/corpus")
+
+
+def statistics(memory: DataFrame) -> DataFrame:
+    """One row: total and mean number of tokens."""
+    d = sum((F.coalesce(F.size(fts_tokens(F.col(c))), F.lit(0)) for c in ("content", "type", "tags")), F.lit(0))
+    return memory.select(F.greatest(d, F.lit(0)).alias("d")).agg(F.count(F.lit(1)).alias("total"), F.avg("d").alias("mean"))
 
 
-def bm25(memory: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(memory: DataFrame, queries: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """(query_id, id, bm25) of every row with a phrase of the query; negative, smaller is better.
 
     A query is an OR of its white-space tokens, each a phrase of letter-digit runs. The elements of all phrases meet the
-    postings in one join; a phrase stands where all its elements agree on the start. Statistics count every row.
+    postings in one join; a phrase stands where all its elements agree on the start. Statistics count every row. With an
+    index the texts are not read.
     """
     terms = queries.select("query_id", F.explode(F.split("q", r"\s+")).alias("w")).select("query_id", fts_tokens(F.col("w")).alias("phrase")).where(F.size("phrase") > 0)
     terms = terms.groupBy("query_id", F.array_join("phrase", " ").alias("name"), F.size("phrase").alias("len")).agg(F.count(F.lit(1)).alias("times"), F.first("phrase").alias("phrase"))
     elements = terms.select("name", "len", F.posexplode("phrase").alias("j", "token")).distinct()
-    all_postings = postings(memory)
-    starts = all_postings.join(elements, "token").groupBy("name", "len", "id", "field", (F.col("pos") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = len")
-    freq = starts.groupBy("name", "id").agg(F.count(F.lit(1)).alias("f"))
-    size = memory.select("id", sum((F.size(fts_tokens(F.col(c))) for c in ("content", "type", "tags")), F.lit(0)).alias("d"))
-    corpus = size.agg(F.count(F.lit(1)).alias("total"), F.avg("d").alias("mean"))
+    found = index.postings(elements) if index else postings(memory)
+    starts = found.join(elements, "token").groupBy("name", "len", "id", "d", "field", (F.col("pos") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = len")
+    freq = starts.groupBy("name", "id", "d").agg(F.count(F.lit(1)).alias("f"))
+    corpus = index.corpus() if index else statistics(memory)
     df = freq.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
-    scored = freq.join(df, "name").join(size, "id").join(F.broadcast(corpus)).select("name", "id", weight.alias("w"))
+    scored = freq.join(df, "name").join(F.broadcast(corpus)).select("name", "id", weight.alias("w"))  # one row of statistics
     return scored.join(terms.select("query_id", "name", "times"), "name").groupBy("query_id", "id").agg((-F.sum(F.col("w") * F.col("times"))).alias("bm25"))
 
 
@@ -43,9 +89,9 @@ def ranked(df: DataFrame, order: list[Column], k: int, by: str = "query_id") ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def fts(memory: DataFrame, queries: DataFrame, k: int, min_weight: float = 0.0) -> DataFrame:
+def fts(memory: DataFrame, queries: DataFrame, k: int, min_weight: float = 0.0, index: TextIndex | None = None) -> DataFrame:
     live = memory.where(~F.col("archived") & (F.col("weight") >= min_weight)).select("id")
-    return ranked(bm25(memory, queries).join(live, "id", "left_semi"), [F.round("bm25", 9), F.col("id")], k)
+    return ranked(bm25(memory, queries, index).join(live, "id", "left_semi"), [F.round("bm25", 9), F.col("id")], k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,14 +103,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, min_weight: float = 0.0)
     v = vectors.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
     q = queries.withColumn("qnorm", F.sqrt(dot(F.col("qv"), F.col("qv"))))
     cos = F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("qv")) / (F.col("norm") * F.col("qnorm"))))
-    hits = v.where(F.col("weight") >= min_weight).join(F.broadcast(q)).select("query_id", "id", "type", "weight", cos.alias("score"))
+    hits = v.where(F.col("weight") >= min_weight).join(small(q)).select("query_id", "id", "type", "weight", cos.alias("score"))
     return ranked(hits, [F.desc(F.round("score", 9)), F.col("id")], k)
 
 
 _ATTRIBUTES = ["type", "weight", "created", "tags", "access_count", "reinforcement", "last_accessed", "long_term", "content"]
 
 
-def candidates(memory: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = TOP_K) -> DataFrame:
+def candidates(memory: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = TOP_K, index: TextIndex | None = None) -> DataFrame:
     """The three paths merged by (query, id): raw scores add up, attributes come from the path that arrives first.
 
     A row that only the vector index knows has no dates, tags or counts, so it neither decays nor gains by them.
@@ -72,9 +118,9 @@ def candidates(memory: DataFrame, vectors: DataFrame, queries: DataFrame, query_
     n = max(2 * k, 6)
     rows = memory.select("id", *_ATTRIBUTES)
     path = lambda df, no, raw: df.select("query_id", "id", F.struct(F.lit(no).alias("no"), "rank").alias("arrival"), F.lit(raw[0]).alias("path"), raw[1].alias("raw"))
-    a = path(fts(memory, queries, n), 0, ("fts", FTS_WEIGHT / F.col("rank")))
+    a = path(fts(memory, queries, n, index=index), 0, ("fts", FTS_WEIGHT / F.col("rank")))
     b = path(knn(vectors, query_vectors, n), 1, ("vector", VECTOR_WEIGHT * F.col("score")))
-    in_range = memory.join(F.broadcast(times), F.col("created").between(F.col("lo"), F.col("hi"))).select("query_id", "id", "weight", "last_accessed")
+    in_range = memory.join(small(times), F.col("created").between(F.col("lo"), F.col("hi"))).select("query_id", "id", "weight", "last_accessed")
     c = path(ranked(in_range, [F.desc("weight"), F.desc("last_accessed"), F.col("id")], n), 2, ("time", F.lit(1.0)))
     merged = a.union(b).union(c).groupBy("query_id", "id").agg(
         F.min_by("path", "arrival").alias("source"), F.min("arrival").alias("arrival"), F.sum("raw").alias("raw"), *(F.sum(F.when(F.col("path") == p, F.col("raw")).otherwise(0.0)).alias(f"raw_{p}") for p in ("fts", "vector", "time"))
@@ -89,7 +135,7 @@ def candidates(memory: DataFrame, vectors: DataFrame, queries: DataFrame, query_
 def scored(found: DataFrame, queries: DataFrame, now: float, *, coding: bool = False, situational: bool = True, intents: bool = True) -> DataFrame:
     """Multiply the raw score by weight, decay, type, use and situation; each factor is a signal column."""
     intent = first_of(F.lower("q"), INTENT_CUES, "GENERAL") if intents else F.lit("GENERAL")
-    df = found.join(F.broadcast(queries.select("query_id", intent.alias("intent"))), "query_id")
+    df = found.join(small(queries.select("query_id", intent.alias("intent"))), "query_id")
     per_day = lookup({k: v[0] for k, v in TYPE_DECAY.items()}, F.col("type"), TYPE_DECAY["default"][0])
     floor = lookup({k: v[1] for k, v in TYPE_DECAY.items()}, F.col("type"), TYPE_DECAY["default"][1])
     days = (F.lit(now) - F.col("created")) / DAY
@@ -124,7 +170,7 @@ def keyword_fallback(memory: DataFrame, queries: DataFrame, found: DataFrame, k:
     n = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = queries.join(n, "query_id", "left").select("query_id", "q", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
     words = short.withColumn("ws", query_tokens(F.col("q"))).where(F.size("ws") >= 2).select("query_id", "n", F.posexplode("ws").alias("i", "w"))
-    hit = memory.where("NOT archived").select("id", "weight", ascii_lower(F.col("content")).alias("low")).join(F.broadcast(words.select("w").distinct()), F.col("low").contains(F.col("w"))).select("w", "id", "weight")
+    hit = memory.where("NOT archived").select("id", "weight", ascii_lower(F.col("content")).alias("low")).join(small(words.select("w").distinct()), F.col("low").contains(F.col("w"))).select("w", "id", "weight")
     df = hit.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     best = ranked(hit, [F.desc("weight"), F.desc("id")], 3, "w").withColumnRenamed("rank", "r")
     rows = words.join(df, "w").join(best, "w").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
@@ -142,7 +188,7 @@ def note_fallback(notes: DataFrame, queries: DataFrame, have: DataFrame, k: int,
     n = have.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     words = F.filter(F.split(F.lower(F.trim("q")), r"[\s,，。、]+"), lambda w: F.length(w) >= 2)
     short = queries.join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"), words.alias("ws")).where((F.col("n") < least) & (F.size("ws") > 0))
-    x = notes.select("note_id", "title", F.trim("body").alias("body")).join(F.broadcast(short))  # the few queries left, each against all notes
+    x = notes.select("note_id", "title", F.trim("body").alias("body")).join(small(short))  # the few queries left, each against all notes
     low = F.lower("body")
     hits = F.size(F.filter("ws", lambda w: low.contains(w))) + F.when(F.exists("ws", lambda w: F.lower("title").contains(w)) & F.exists("ws", lambda w: low.contains(w)), 2).otherwise(0)
     x = x.withColumn("hits", hits).where("hits > 0")

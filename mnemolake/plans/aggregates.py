@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_of, repeat_grams
+from ..operators.search import small
 from .catalog import query
 
 #: Categories of a trait and their words; the first category with a word wins.
@@ -92,12 +93,11 @@ def agg_votes(t):
 @query("agg_token_rarity", """WITH tk AS (SELECT DISTINCT query_id, unnest(list_distinct(string_split(lower(q), ' '))) AS token FROM queries_fts), d AS (SELECT DISTINCT token FROM tk WHERE length(token) >= 2)
  SELECT token, CAST(count(m.id) AS BIGINT) AS df FROM d LEFT JOIN memory m ON contains(lower(m.content), token) AND NOT m.archived GROUP BY token""")
 def agg_token_rarity(t):
-    """In how many live memories each query token stands as a substring: one scan that tests a bounded list of tokens."""
-    tokens = [r[0] for r in t["queries_fts"].select(F.explode(F.array_distinct(F.split(F.lower("q"), " "))).alias("w")).where(F.length("w") >= 2).distinct().collect()]  # words of the query batch
-    text = F.lower(F.col("content"))
-    hits = t["memory"].where("NOT archived").select(F.explode(F.array_compact(F.array(*(F.when(text.contains(w), F.lit(w)) for w in tokens)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    names = t["memory"].sparkSession.createDataFrame([(w,) for w in tokens], "token string")
-    return names.join(hits, "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
+    """In how many live memories each query token stands as a substring: the tokens of the batch against all rows."""
+    tokens = t["queries_fts"].select(F.explode(F.array_distinct(F.split(F.lower("q"), " "))).alias("token")).where(F.length("token") >= 2).distinct()
+    low = t["memory"].where("NOT archived").select(F.lower("content").alias("low"))
+    hits = low.join(small(tokens), F.col("low").contains(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return tokens.join(hits, "token", "left").select("token", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 @query("agg_ngram_counts", """WITH w AS (SELECT character, turn, list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), x -> length(x) > 1), x -> lower(x)) AS tk FROM responses),

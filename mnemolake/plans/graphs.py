@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators.search import ranked
+from ..operators.search import ranked, small
 from ..schema import KIND_RULES, lookup
 from .catalog import query
 
@@ -93,7 +93,7 @@ def join_contains(t):
     """A stated set of surfaces against all names: containment either way, score by length, five each."""
     s = t["part"].sparkSession.createDataFrame(_SURFACE, "query_id int, surface string")
     a, b = F.lower("name"), F.lower("surface")
-    c = t["eg_entities"].join(F.broadcast(s), a.contains(b) | b.contains(a))
+    c = t["eg_entities"].join(small(s), a.contains(b) | b.contains(a))
     c = c.select("query_id", "id", (F.least(F.length("name"), F.length("surface")) / F.greatest(F.length("name"), F.length("surface"))).alias("sim"))
     return ranked(c, [F.desc("sim"), F.col("id")], 5).select("query_id", "id", F.round("sim", 6).alias("sim"))
 
@@ -103,7 +103,7 @@ def entity_candidates(t):
     """Exact name or alias as two equi-joins."""
     s = t["part"].sparkSession.createDataFrame([(1, "alias 30"), (2, "nobody")], "query_id int, surface string")
     names = t["eg_entities"].select("id", F.col("name").alias("surface")).union(t["eg_aliases"].select("entity_id", "alias"))
-    return names.join(F.broadcast(s), "surface").select("query_id", "id", F.lit(1.0).alias("sim")).distinct()
+    return names.join(small(s), "surface").select("query_id", "id", F.lit(1.0).alias("sim")).distinct()
 
 
 @query("project_auto_link", """WITH m AS (SELECT id, content, weight, regexp_extract(tags, 'v5_project:([^,]*)', 1) AS project, regexp_extract(tags, 'v5_kind:([^,]*)', 1) AS kind, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), x -> length(x) >= 2)) AS tk FROM memory WHERE NOT archived),

@@ -130,7 +130,7 @@ def completed(found, memory, queries, notes, k=search.TOP_K):
     intent = queries.select("query_id", first_of(F.lower("q"), INTENT_CUES, "GENERAL").alias("intent"))
     added = kw.select("query_id", F.col("id").cast("string").alias("id"), "rank", F.lit(0.45).alias("score"), F.lit("kw").alias("source"))
     added = added.union(more.select("query_id", F.concat(F.lit("vault:"), F.col("note_id").cast("string")), (F.col("before") + F.col("rank")).cast("int"), F.round("score", 6), F.lit("vault")))
-    return found.withColumn("id", F.col("id").cast("string")).unionByName(added.join(F.broadcast(intent), "query_id").select("query_id", "id", "rank", "score", "intent", "source"))
+    return found.withColumn("id", F.col("id").cast("string")).unionByName(added.join(search.small(intent), "query_id").select("query_id", "id", "rank", "score", "intent", "source"))
 
 
 @query("fusion_signals", f"WITH {FUSED} SELECT query_id, id, {_DOUBLE} FROM sc")
@@ -179,7 +179,7 @@ def kw_fallback(t):
     """Rarest query words first, three rows of each, for queries that have from none to five rows already."""
     hard = t["queries_fts"].sparkSession.createDataFrame(_HARD, "query_id long, q string")
     queries = t["queries_fts"].select(F.col("query_id").cast("long").alias("query_id"), "q").union(hard)
-    have = t["memory"].select("id", (F.col("id") % 20).alias("m")).join(F.broadcast(queries.select("query_id", (F.col("query_id") % 20).alias("m"))), "m")
+    have = t["memory"].select("id", (F.col("id") % 20).alias("m")).join(search.small(queries.select("query_id", (F.col("query_id") % 20).alias("m"))), "m")
     have = search.ranked(have, [F.col("id")], 6).where("rank <= query_id % 6").select("query_id", "id")
     return search.keyword_fallback(t["memory"], queries, cut(have), 5).withColumn("score", F.lit(0.45))
 
@@ -209,7 +209,7 @@ def unified_auto(t):
     se = search.retrieve(_found(t)).select("query_id", "id", "score")
     q = t["queries_fts"]
     need = q.join(se.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < 3) | (first_of(F.lower("q"), INTENT_CUES, "GENERAL") == "ENTITY")).select("query_id")
-    e = t["project_edges"].withColumn("query_id", F.col("source") % 20).join(F.broadcast(q.select("query_id")), "query_id", "left_semi").select("query_id", F.col("target").alias("id"), F.col("weight").alias("score"))
+    e = t["project_edges"].withColumn("query_id", F.col("source") % 20).join(search.small(q.select("query_id")), "query_id", "left_semi").select("query_id", F.col("target").alias("id"), F.col("weight").alias("score"))
     gr = search.ranked(e, [F.desc("score"), F.col("id")], 5).where("score >= 0.2").join(need, "query_id", "left_semi").select("query_id", "id", "score")
     best = se.union(gr).groupBy("query_id", "id").agg(F.max("score").alias("score")).where("score > 0")
     live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
@@ -227,7 +227,7 @@ def join_merge_paths(t):
 def search_skills(t):
     """Name over description over body, capped."""
     q = t["skills"].sparkSession.createDataFrame([(1, "brand-12"), (2, "steel"), (3, "size 7 copper")], "query_id int, q string").withColumn("ws", query_tokens(F.col("q")))
-    s = t["skills"].join(F.broadcast(q))
+    s = t["skills"].join(search.small(q))
     point = lambda x: F.when(F.col("name").contains(x), 3).otherwise(0) + F.when(F.lower("description").contains(x), 2).otherwise(0) + F.when(F.lower("body").contains(x), 1).otherwise(0)
     total = F.when(F.col("name").contains(F.col("q")), 6).otherwise(0) + F.aggregate(F.transform("ws", point), F.lit(0), lambda a, b: a + b)
     return s.select("query_id", "id", total.alias("s"), F.size("ws").alias("n")).where("s > 0").select("query_id", "id", F.least(6 + 2 * F.col("n") + 3, F.col("s")).cast("int").alias("score"))

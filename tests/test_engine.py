@@ -32,6 +32,24 @@ def test_snapshots(spark, sf):
         assert getattr(e, name)().limit(1).count() >= 0
 
 
+def test_search_falls_back_and_is_kept(spark, sf, tmp_path):
+    from mnemolake.operators.search import TextIndex
+
+    t = tables(spark, sf)
+    memory = t["memory"].where("id < 40").withColumn("created", F.lit(1.0)).withColumn("access_count", F.lit(0)).withColumn("weight", F.lit(0.1)).withColumn("archived", F.lit(False)).withColumn("content", F.when(F.col("id") == 7, "the 主力战机 takes off").otherwise(F.col("content")))
+    e = Engine({"memory": memory, "vectors": t["vectors"].where("false"), "notes": spark.createDataFrame([(1, "Harbour", "ships come in"), (2, "Hills", "no such thing")], "note_id long, title string, body string")})
+    queries = spark.createDataFrame([(1, "战机 文艺"), (2, "ships ahoy"), (3, "qqq")], "query_id long, q string")
+    none = spark.createDataFrame([], "query_id long, qv array<float>"), spark.createDataFrame([], "query_id long, lo double, hi double")
+    got = {(r["query_id"], r["id"], r["rank"], r["source"]) for r in e.memory_search(queries, *none, key="a").collect()}
+    assert (1, "7", 1, "kw") in got and (2, "vault:1", 1, "vault") in got and not [g for g in got if g[0] == 3]
+    kept = e.memory_search(queries.where("false"), *none, key="a")
+    assert {(r["query_id"], r["id"], r["rank"], r["source"]) for r in kept.collect()} == got
+    index = TextIndex(e.t["memory"], f"file://{tmp_path}/i")
+    assert {(r["query_id"], r["id"], r["rank"], r["source"]) for r in e.memory_search(queries, *none, index=index).collect()} == got
+    e.memory_delete(spark.createDataFrame([(7,)], "id long"))
+    assert (1, "7", 1, "kw") not in {(r["query_id"], r["id"], r["rank"], r["source"]) for r in e.memory_search(queries, *none, key="a").collect()}
+
+
 def test_store_merges_what_repeats(spark):
     schema = "id long, content string, type string, tags string, weight double, access_count int, last_accessed double, created double, reinforcement double, archived boolean"
     text = "the release goes out on friday evening"

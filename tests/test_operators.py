@@ -47,6 +47,33 @@ def test_bm25_formula(spark):
     assert r["id"] == 9 and abs(r["bm25"] - want) < 1e-12
 
 
+def test_text_index_reads_its_buckets(spark, sf, tmp_path):
+    t = tables(spark, sf)
+    q = t["queries_fts"].where("query_id < 2")
+    index = search.TextIndex(t["memory"], f"file://{tmp_path}/i")
+    rounded = lambda df: {(r["query_id"], r["id"], round(r["bm25"], 9)) for r in df.collect()}
+    want = rounded(search.bm25(t["memory"], q))
+    assert rounded(search.bm25(t["memory"], q, index)) == want and want
+    terms = q.select(F.explode(F.split(F.lower("q"), " ")).alias("token")).distinct()
+    touched = {r[0] for r in terms.select(search.TextIndex._bucket()).collect()}
+    for f in tmp_path.glob("i/postings/bucket=*/*.parquet"):
+        if int(f.parent.name[7:]) not in touched:
+            f.write_bytes(b"must not be read")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert rounded(search.bm25(t["memory"], q, index)) == want and len(touched) < search.TextIndex.BUCKETS // 2
+
+
+def test_large_batches_are_not_broadcast(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().toString()
+    batch = spark.createDataFrame([(1, "x")], "query_id long, q string")
+    rows = spark.range(10)
+    assert "broadcast" in plan(rows.join(search.small(batch), F.col("id") > F.col("query_id")))
+    monkeypatch.setattr(search, "BATCH_BYTES", 0)
+    assert search.small(batch) is not batch
+    monkeypatch.setattr(search, "BATCH_ROWS", 0)
+    assert search.small(batch) is batch
+
+
 def test_knn_ties_and_clamp(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], "t", 0.5), (2, [2.0, 0.0], "t", 0.5), (3, [-1.0, 0.0], "t", 0.5), (4, [1.0, 1.0], "t", 0.1)], "id long, embedding array<float>, type string, weight double")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, qv array<float>")
