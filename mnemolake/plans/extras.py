@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search, tree_edits
-from ..schema import NOW
+from ..sources.scratch import cut
 from .aggregates import PROFILE, agg_profile
 from .catalog import query
 from .retrieval import BM25, FUSED, _found
-from .trees import _DUCK_ANC, _MERGED, _SN, _insights, _merged, ancestors
+from .trees import _DUCK_ANC, _MERGED, _SN, TREE_SCOPED, _insights, _merged, tree_scoped
 
 
 @query("sink_episodic", "SELECT id, summary, round(importance, 9) AS importance FROM eg_episodic WHERE id % 3 <> 0 UNION ALL SELECT o_orderkey, concat('order ', CAST(o_orderkey AS VARCHAR)), round(least(1.0, o_totalprice / 500000), 9) FROM orders WHERE o_orderkey NOT IN (SELECT id FROM eg_episodic WHERE id % 3 <> 0)")
@@ -149,20 +149,29 @@ def unified_semantic(t):
     return search.retrieve(_found(t)).join(live, "id", "left_semi").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("unified_graph", f"WITH g AS (SELECT source % 20 AS query_id, target AS id, max(weight) AS score FROM project_edges GROUP BY 1, 2), r AS (SELECT g.query_id, g.id, g.score, row_number() OVER (PARTITION BY g.query_id ORDER BY g.score DESC, g.id) AS p FROM g JOIN memory m ON m.id = g.id WHERE g.score > 0 AND {_LIVE}) SELECT query_id, id, score FROM r WHERE p <= 5")
+@query("unified_graph", f"""WITH {FUSED}, gh AS (SELECT query_id, id FROM (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, m.id DESC) AS r FROM queries_fts JOIN memory m ON contains(lower(content), lower(q)) AND NOT archived) WHERE r <= 5),
+ gn AS (SELECT query_id, target AS id FROM gh JOIN project_edges ON source = gh.id UNION SELECT query_id, source FROM gh JOIN project_edges ON target = gh.id),
+ ga AS (SELECT query_id, id, max(s) AS score FROM (SELECT query_id, id, 0.8 AS s FROM gh UNION ALL SELECT query_id, id, 0.5 FROM gn) GROUP BY query_id, id),
+ gl AS (SELECT query_id, ga.id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ga.id) AS r FROM ga JOIN memory m ON m.id = ga.id WHERE {_LIVE})
+ SELECT query_id, id, score, 'graph' AS scope FROM gl WHERE r <= 5 UNION ALL SELECT query_id, id, round(score, 6), 'semantic' FROM rk WHERE {_LIVE} AND query_id NOT IN (SELECT query_id FROM gl)""")
 def unified_graph(t):
-    """Typed edges from the entities of each query; the first id wins."""
-    g = t["project_edges"].groupBy((F.col("source") % 20).alias("query_id"), F.col("target").alias("id")).agg(F.max("weight").alias("score")).where("score > 0")
-    live = t["memory"].where(_LIVE).select("id")
-    return search.ranked(g.join(live, "id", "left_semi"), [F.desc("score"), F.col("id")], 5).select("query_id", "id", "score")
-
-
-@query("unified_tree", f"WITH RECURSIVE {_DUCK_ANC}, {FUSED}, p AS (SELECT ancestor_id AS id FROM anc WHERE node_id IN (105, 205, 305)) SELECT query_id, id, round(score + CASE WHEN id IN (SELECT id FROM p) THEN 0.4 ELSE 0 END, 6) AS tree_score FROM rk WHERE {_LIVE}")
+    """Notes that hold the query and their neighbours over typed edges; a query that the graph knows nothing of is searched by meaning."""
+    q, e, live = t["queries_fts"], t["project_edges"], t["memory"].where(_LIVE).select("id")
+    low = t["memory"].where("NOT archived").select("id", "weight", F.lower("content").alias("low"))
+    hits = low.join(search.small(q.select("query_id", F.lower("q").alias("q"))), F.col("low").contains(F.col("q"))).select("query_id", "id", "weight")
+    hits = cut(search.ranked(hits, [F.desc("weight"), F.desc("id")], 5).select("query_id", "id"))
+    ends = e.select(F.col("source").alias("id"), F.col("target").alias("near")).union(e.select("target", "source"))
+    near = ends.join(hits, "id").select("query_id", F.col("near").alias("id"), F.lit(0.5).alias("score"))
+    best = hits.withColumn("score", F.lit(0.8)).union(near).groupBy("query_id", "id").agg(F.max("score").alias("score")).join(live, "id", "left_semi")
+    found = cut(search.ranked(best, [F.desc("score"), F.col("id")], 5).select("query_id", "id", "score", F.lit("graph").alias("scope")))
+    other = search.retrieve(_found(t)).join(live, "id", "left_semi").join(found.select("query_id"), "query_id", "left_anti")
+    return found.union(other.select("query_id", "id", F.round("score", 6), F.lit("semantic")))
+
+
+@query("unified_tree", f"SELECT query_id, id, tree_score FROM ({TREE_SCOPED})")
 def unified_tree(t):
-    """Semantic rows raised where they stand on the active paths."""
-    p = ancestors(t).where("node_id IN (105, 205, 305)").select(F.col("ancestor_id").alias("id"), F.lit(0.4).alias("more")).distinct()
-    live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
-    return search.retrieve(_found(t)).join(live, "id", "left_semi").join(p, "id", "left").select("query_id", "id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 6).alias("tree_score"))
+    """The tree's scope in the shape of the others."""
+    return tree_scoped(t).select("query_id", "id", "tree_score")
 
 
 @query("fusion_score", f"WITH {FUSED} SELECT query_id, id, round(score, 6) AS score FROM sc")

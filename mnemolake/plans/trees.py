@@ -243,11 +243,14 @@ def _asks(t):
     return last.join(t["queries_fts"].select(F.col("query_id").alias("conv_id")), "conv_id").select(F.col("conv_id").alias("query_id"), "node_id")
 
 
-@query("tree_scoped", f"""WITH RECURSIVE {_DUCK_ANC}, {deeper(FUSED, 15)}, {_ASKS},
+TREE_SCOPED = f"""WITH RECURSIVE {_DUCK_ANC}, {deeper(FUSED, 15)}, {_ASKS},
  sx AS (SELECT rk.query_id, rk.id, rk.score, rk.arrival, CASE WHEN pt.id IS NOT NULL THEN 'path' WHEN lb.branch_label IS NOT NULL THEN 'branch' ELSE 'global' END AS tree_scope FROM rk JOIN ak ON ak.query_id = rk.query_id LEFT JOIN turns t ON t.node_id = rk.id
   LEFT JOIN pt ON pt.query_id = rk.query_id AND pt.id = rk.id LEFT JOIN lb ON lb.query_id = rk.query_id AND lb.branch_label = t.branch_label WHERE (valid_to IS NULL OR valid_to > 1735689600) AND (t.conv_id IS NULL OR t.conv_id = rk.query_id)),
  sy AS (SELECT *, score + CASE tree_scope WHEN 'path' THEN 0.4 WHEN 'branch' THEN 0.2 ELSE 0 END AS s FROM sx)
- SELECT query_id, id, tree_scope, CAST(round(s, 4) AS DOUBLE) AS tree_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, round(score, 9) DESC, arrival, id) AS r FROM sy) WHERE r <= 5""")
+ SELECT query_id, id, tree_scope, CAST(round(s, 4) AS DOUBLE) AS tree_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, round(score, 9) DESC, arrival, id) AS r FROM sy) WHERE r <= 5"""
+
+
+@query("tree_scoped", TREE_SCOPED)
 def tree_scoped(t):
     """The fused retrieval of each query, 15 rows deep, from the last turn of the conversation of its number; five stay."""
     asks = _asks(t)
