@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop, flat_batches, map_batches, texts, tune, written
+from .common import documents, drop, map_batches, texts, tune, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SALT, LIMIT, CACHE = 4, 80, 24, 4, 2000, 4000, 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop, flat_batches, map_batches, remove, scratch, tune, written
+from .common import documents, drop, flat_batches, remove, scratch, tune, written
 from .decontaminate import _window_min
 
 SPAN, GRAM, LIMIT, STRINGS, BLOCK, BUCKET_BYTES = 400, 64, 20_000, 8192, 1 << 16, 128 << 20
