@@ -72,9 +72,13 @@ def risk(w: np.ndarray, rows: list[np.ndarray], positive: np.ndarray, prior: flo
 
     Where the unlabelled part is negative the risk leaves it out, and the gradient is that of going back up it.
     """
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    held = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-    s = 1 / (1 + np.exp(-(w[-1] + np.bincount(of, w[held], len(rows)))))
+    return _risk(w, np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), positive, prior)
+
+
+def _risk(w: np.ndarray, held: np.ndarray, of: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """held: features of all texts; of: the text of each."""
+    n = len(positive)
+    s = 1 / (1 + np.exp(-(w[-1] + np.bincount(of, w[held], n))))
     plus, minus = -np.log(np.maximum(s, 1e-300)), -np.log(np.maximum(1 - s, 1e-300))
     n_p, n_u = positive.sum(), (~positive).sum()
     loss_p, rest = prior * plus[positive].mean(), minus[~positive].mean() - prior * minus[positive].mean()
@@ -90,13 +94,18 @@ def train(names: np.ndarray, rows: list[np.ndarray], positive: np.ndarray, prior
         return Linear({}, 0.0, True)
     w = np.zeros(len(names) + 1)
     m, v, t, rng = np.zeros_like(w), np.zeros_like(w), 0, np.random.default_rng(seed)
+    size = np.array([len(r) for r in rows])
+    first, flat = np.cumsum(size) - size, np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     batches = max(1, len(rows) // BATCH)
     for _ in range(-(-steps // batches)):
         for pb, ub in zip(np.array_split(rng.permutation(p), batches), np.array_split(rng.permutation(u), batches), strict=True):
             if not len(pb) or not len(ub):
                 continue
             batch = np.concatenate([pb, ub])
-            grad = risk(w, [rows[i] for i in batch.tolist()], positive[batch], prior)[1] + L2 * np.append(w[:-1], 0)
+            n = size[batch]
+            of = np.repeat(np.arange(len(batch)), n)
+            held = flat[np.arange(len(of)) + np.repeat(first[batch] - (np.cumsum(n) - n), n)]
+            grad = _risk(w, held, of, positive[batch], prior)[1] + L2 * np.append(w[:-1], 0)
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
