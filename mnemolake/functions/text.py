@@ -15,7 +15,8 @@ PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased, nothing else; for ASCII alone the faster built-in does the same."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def like(content: Column, needle: Column) -> Column:
@@ -47,7 +48,9 @@ def normal(c: Column) -> Column:
 
 def fts_tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED.lower(), PLAIN.lower()), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    low = F.lower(text)
+    plain = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, MARKED.lower(), PLAIN.lower()))  # ASCII has no marks
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
 def probe(content: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, bit_length, collapse, first_of, fts_tokens, importance, query_tokens
+from ..sources.scratch import cut
 from ..schema import BASE_WEIGHT_FACTOR, DAY, FREQUENCY, FRESHNESS, FTS_WEIGHT, HOUR_BOOST, INTENT_BOOST, INTENT_CUES, LONG_TERM, MIN_FUSED, PROJECT_BOOST, REINFORCEMENT, TOP_K, TYPE_BOOST, TYPE_DECAY, VECTOR_WEIGHT, lookup
 
 K1, B = 1.2, 0.75
@@ -23,9 +24,10 @@ def small(df: DataFrame) -> DataFrame:
 
 def postings(memory: DataFrame) -> DataFrame:
     """(id, d, field, pos, token) of content, type and tags; d is the number of tokens of the row."""
-    fields = memory.select("id", F.array(*(fts_tokens(F.col(c)) for c in ("content", "type", "tags"))).alias("fields"))
-    sized = fields.select("id", F.aggregate("fields", F.lit(0), lambda n, f: n + F.greatest(F.size(f), F.lit(0))).alias("d"), F.posexplode("fields").alias("field", "tokens"))
-    return sized.select("id", "d", "field", F.posexplode("tokens").alias("pos", "token"))
+    fields = ("content", "type", "tags")
+    tokens = memory.select("id", *(F.coalesce(fts_tokens(F.col(c)), F.array().cast("array<string>")).alias(f"_{c}") for c in fields))
+    sized = tokens.select("id", sum((F.size(f"_{c}") for c in fields), F.lit(0)).alias("d"), F.array(*(f"_{c}" for c in fields)).alias("fields"))  # before any row is multiplied; outer, or the planner tests each array twice
+    return sized.select("id", "d", F.posexplode_outer("fields").alias("field", "tokens")).select("id", "d", "field", F.posexplode("tokens").alias("pos", "token"))
 
 
 class TextIndex:
@@ -72,10 +74,12 @@ def bm25(memory: DataFrame, queries: DataFrame, index: TextIndex | None = None)
     """
     terms = queries.select("query_id", F.explode(F.split("q", r"\s+")).alias("w")).select("query_id", fts_tokens(F.col("w")).alias("phrase")).where(F.size("phrase") > 0)
     terms = terms.groupBy("query_id", F.array_join("phrase", " ").alias("name"), F.size("phrase").alias("len")).agg(F.count(F.lit(1)).alias("times"), F.first("phrase").alias("phrase"))
-    elements = terms.select("name", "len", F.posexplode("phrase").alias("j", "token")).distinct()
+    elements = small(terms.select("name", "len", F.posexplode("phrase").alias("j", "token")).distinct())
     found = index.postings(elements) if index else postings(memory)
-    starts = found.join(elements, "token").groupBy("name", "len", "id", "d", "field", (F.col("pos") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = len")
-    freq = starts.groupBy("name", "id", "d").agg(F.count(F.lit(1)).alias("f"))
+    # a phrase of one token stands wherever that token does, so its places need not be told apart
+    alone = F.col("len") == 1
+    starts = found.join(elements, "token").groupBy("name", "len", "id", "d", F.when(~alone, F.col("field")).alias("field"), F.when(~alone, F.col("pos") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    freq = starts.where("len = 1 OR n = len").groupBy("name", "id", "d").agg(F.sum(F.when(alone, F.col("n")).otherwise(1)).alias("f"))
     corpus = index.corpus() if index else statistics(memory)
     df = freq.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -170,7 +174,7 @@ def keyword_fallback(memory: DataFrame, queries: DataFrame, found: DataFrame, k:
     n = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = queries.join(n, "query_id", "left").select("query_id", "q", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
     words = short.withColumn("ws", query_tokens(F.col("q"))).where(F.size("ws") >= 2).select("query_id", "n", F.posexplode("ws").alias("i", "w"))
-    hit = memory.where("NOT archived").select("id", "weight", ascii_lower(F.col("content")).alias("low")).join(small(words.select("w").distinct()), F.col("low").contains(F.col("w"))).select("w", "id", "weight")
+    hit = cut(memory.where("NOT archived").select("id", "weight", ascii_lower(F.col("content")).alias("low")).join(small(words.select("w").distinct()), F.col("low").contains(F.col("w"))).select("w", "id", "weight"))
     df = hit.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     best = ranked(hit, [F.desc("weight"), F.desc("id")], 3, "w").withColumnRenamed("rank", "r")
     rows = words.join(df, "w").join(best, "w").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
