@@ -155,7 +155,8 @@ base AS (SELECT r, i - 1 AS pos, label FROM dw, ph, unnest(range(1, len(w) - len
 b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
 te AS (SELECT list_distinct(string_split(p, ' ')) AS p, label FROM (VALUES {", ".join(f"('{p}', '{x}')" for p, x in TEMPLATES)}) v(p, label)),
 ln AS (SELECT r, {_WORDS.format("line")} AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-bl AS (SELECT r, list_distinct(w[i + 1 : i + {BLOCK}]) AS w FROM ln, unnest(range(0, greatest(len(w) - {BLOCK - STRIDE}, 1), {STRIDE})) AS u(i) WHERE len(w) > 0),
+pc AS (SELECT r, w FROM ln UNION ALL SELECT r, w FROM dw),
+bl AS (SELECT r, list_distinct(w[i + 1 : i + {BLOCK}]) AS w FROM pc, unnest(range(0, greatest(len(w) - {BLOCK - STRIDE}, 1), {STRIDE})) AS u(i) WHERE len(w) > 0),
 m AS (SELECT r, label, len(list_intersect(p, w)) AS c, len(p) AS n FROM bl, te),
 hits AS (SELECT r, label, max(c / n) AS s FROM m WHERE c >= ceil({THETA} * n - 1e-9) GROUP BY r, label),
 al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION ALL SELECT r, label FROM base) GROUP BY r),

@@ -91,6 +91,8 @@ def test_licenses_across_lines(spark):
                 rows.append((len(rows), wrapped))
                 want[len(rows) - 1] = label
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = licenses.scan(docs, keep=["doc_id"]).withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+    assert oracle.compare(usual, sql(docs), licenses.ORACLE) == ""  # the SQL finds wrapped templates too
     got = licenses.scan(docs, keep=["doc_id"], templates=templates).collect()
     assert len(got) == len(rows)
     assert [r["doc_id"] for r in got if want[r["doc_id"]] not in r["labels"] or r["score"] != 1.0] == []
