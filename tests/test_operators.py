@@ -20,7 +20,7 @@ def column(spark, expr, values, name="x"):
 
 
 def test_intents(spark):
-    got = column(spark, X.first_of(F.lower("x"), INTENT_CUES, "GENERAL"), ["为什么选了 SQLite", "上次什么时候改的配置", "什么是 Hermes gateway", ""])
+    got = column(spark, X.first_of(F.lower("x"), INTENT_CUES, "GENERAL"), ["为什么选了 SQLite", "上次什么时候改的配置", "什么是 nginx gateway", ""])
     assert got == ["WHY", "WHEN", "ENTITY", "GENERAL"]
 
 
