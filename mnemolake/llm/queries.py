@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, near_dups, pieces, suffix_dedup, token_counts, token_file, toxicity, vectors
+from . import collocations, decontaminate, language, licenses, near_dups, ngram_join, pieces, spelling, suffix_dedup, token_counts, token_file, toxicity, vectors
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_near_duplicates": near_dups.op8_near_duplicates,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_language": language.op10_language,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_ngram_join": ngram_join.op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op4_token_counts": token_counts.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_near_duplicates": near_dups.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_token_counts": token_counts.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_near_duplicates": near_dups.ORACLE, "op12_collocations": collocations.ORACLE, "op13_ngram_join": ngram_join.ORACLE}
