@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as X
-from mnemolake.operators import folds, graph, search, similar
+from mnemolake.operators import folds, graph, search, similar, string_join
 from mnemolake.plans import lifecycle, predicates
 from mnemolake.schema import INTENT_CUES, NOW
 from mnemolake.sources.fixtures import tables
@@ -141,7 +141,7 @@ def test_greedy_dedup_against_brute_force(spark):
         t[rng.randrange(len(t))] = rng.choice("xyz")
         rows.append((100 + i, "g", "".join(t) + ("tail" if i % 9 == 0 else "")))
     rows.append((999, "g", base[0] + base[1] + base[2]))
-    got = {r["id"]: r["duplicate"] for r in similar.greedy_duplicates(spark.createDataFrame(rows, "id long, g string, x string"), "g", "x", [F.col("id")]).collect()}
+    got = {r["id"]: r["duplicate"] for r in string_join.greedy_duplicates(spark.createDataFrame(rows, "id long, g string, x string"), "g", "x", [F.col("id")]).collect()}
     kept, want = [], {}
     for i, _, t in sorted(rows):
         want[i] = any((min(len(k), len(t)) >= 8 and (k in t or t in k)) or SequenceMatcher(None, k, t).ratio() >= 0.92 for k in kept)
@@ -190,11 +190,10 @@ def test_whole_texts_dedup_against_brute_force(spark):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
-@pytest.mark.parametrize("cell", [250, 3])
-def test_long_duplicates_against_brute_force(spark, monkeypatch, cell):
+@pytest.mark.parametrize("slots", [string_join.SLOTS, 64])
+def test_long_duplicates_against_brute_force(spark, slots):
     import random
 
-    monkeypatch.setattr(similar, "CELL", cell)
     rng = random.Random(6)
     base = ["".join(rng.choice("eeeeaaatttnnnooosss  rhilQzxq") for _ in range(rng.choice([199, 200, 260, 900]))) for _ in range(10)]
     rows = [(i, "g", t) for i, t in enumerate(base)]
@@ -203,7 +202,7 @@ def test_long_duplicates_against_brute_force(spark, monkeypatch, cell):
         for _ in range(rng.choice([1, 5, len(t) // 20, len(t) // 10])):
             t[rng.randrange(len(t))] = rng.choice(["", "e", "Z", "zz"])
         rows.append((100 + i, "g", "".join(t)))
-    got = {(r["old"], r["id"]) for r in similar.close_pairs(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "id long, g string, x string, n int"), 0.92).collect()}
+    got = {(r["old"], r["id"]) for r in string_join.close_pairs(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "id long, g string, x string, n long"), 0.92, slots).collect()}
     want = {(a[0], b[0]) for k, b in enumerate(rows) for a in rows[:k] if SequenceMatcher(None, a[2], b[2]).ratio() >= 0.92}
     assert got == want and want
 
