@@ -63,7 +63,7 @@ def test_trie_join_gives_each_pair_once():
     assert not [1 for a, _ in spelling.near_words([]) if len(a)]
 
 
-@pytest.mark.parametrize("limit", [spelling.LIMIT, 7, 1])
+@pytest.mark.parametrize("limit", [spelling.LIMIT, 7])
 def test_variants(spark, limit):
     rng = random.Random(7)
     base = ["".join(rng.choice(["ta", "ri", "ke", "no", "sé", "ß"]) for _ in range(rng.randint(3, 5))) for _ in range(40)]
@@ -111,14 +111,14 @@ def brute_phrases(rows, least, top=2000, held=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bound", [collocations.BOUND, 0, 60])
+@pytest.mark.parametrize("bound", [collocations.BOUND, 0])
 def test_collocations(spark, rows, bound):
     rng = random.Random(11)
     phrases = ["new york city", "de la", "x\x00y z", "ab ab ab ab", "café au lait", "\U0001f600 ok", "a\x85b c"]
     extra = [(rng.choice(["en", "fr", None, "und"]), " ".join(rng.choice([*phrases, "the", "of.", "tail,", "one\tTwo", "z;w"]) for _ in range(80))) for _ in range(25)]
     all_rows = [("en" if (d or 0) % 2 else None, t) for d, t in rows] + extra + [(None, None), ("empty", ""), ("dots", "...")]
     df = spark.createDataFrame([(lang, t, 1, "s") for lang, t in all_rows], "lang string, text string, n long, words string").repartition(3)
-    for least, top in ((3, 2000), (3, 5)):
+    for least, top in ((3, 2000), (3, 5))[: 2 if bound else 1]:
         got = collocations.collocations(df, least=least, top=top, bound=bound)
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
         assert sorted(map(tuple, got.collect())) == brute_phrases(all_rows, least, top)
@@ -145,7 +145,7 @@ def test_counted_slots(spark):
     assert {r["slot"]: r["n"] for r in counters.slot_rows(got).collect()} == {int(i): int(want[i]) for i in np.flatnonzero(want)}
 
 
-@pytest.mark.parametrize("options", [{}, {"rounds": 0, "salt": 1}, {"longest": 1, "slots": 4}, {"longest": 30, "rounds": 1}, {"shingle": 3, "threshold": 50}, {"threshold": 95}])
+@pytest.mark.parametrize("options", [{}, {"rounds": 0, "salt": 1, "longest": 30}, {"shingle": 3, "threshold": 50, "slots": 4, "longest": 1}])
 def test_ngram_join(spark, docs, no_docs, rows, options):
     got = [tuple(r) for r in ngram_join.ngram_join(docs, **options).collect()]
     assert sorted(got, key=key) == sorted([r[:3] for r in brute_components(rows, options.get("shingle", 5), options.get("threshold", 80))], key=key)
@@ -166,5 +166,5 @@ def test_ngram_join_of_edited_copies(spark):
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
     want = sorted(r[:3] for r in brute_components(made, 5))
     assert len({r[2] for r in want}) < 240
-    for options in ({}, {"rounds": 0}, {"longest": 12, "rounds": 1}):
+    for options in ({}, {"longest": 12, "rounds": 0}):
         assert sorted(map(tuple, ngram_join.ngram_join(df, **options).collect())) == want
