@@ -37,10 +37,10 @@ def ancestors(nodes: DataFrame, of: DataFrame | None = None, within: int | None
     raise ValueError("the parents form a cycle")
 
 
-def nearest(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+def nearest(nodes: DataFrame, marked: DataFrame, cycles: bool = False) -> DataFrame:
     """(node_id, ancestor_id, dist) of the nearest ancestor in `marked` (node_id), the node itself included; others are left out.
 
-    One row a node in every round, whatever the depth.
+    One row a node in every round, whatever the depth. With `cycles`, nodes that lead into a cycle without a marked node are left out, too.
     """
     state = nodes.select("node_id", F.col("parent_id").alias("to")).join(marked.select("node_id", F.col("node_id").alias("hit")).distinct(), "node_id", "left")
     state = cut(state.select("node_id", F.when(F.col("hit").isNull(), F.col("to")).alias("to"), "hit", F.when(F.col("hit").isNotNull(), 0).alias("dist")))
@@ -49,4 +49,18 @@ def nearest(nodes: DataFrame, marked: DataFrame) -> DataFrame:
             return state.where("hit IS NOT NULL").select("node_id", F.col("hit").alias("ancestor_id"), "dist")
         there = state.select(F.col("node_id").alias("to"), F.col("to").alias("next"), F.col("hit").alias("its"), F.col("dist").alias("more"))
         state = cut(state.join(there, "to", "left").select("node_id", F.col("next").alias("to"), F.coalesce("hit", "its").alias("hit"), F.coalesce("dist", F.col("more") + (1 << i)).alias("dist")))
+    if cycles:
+        return state.where("hit IS NOT NULL").select("node_id", F.col("hit").alias("ancestor_id"), "dist")
     raise ValueError("the parents form a cycle")
+
+
+def inherited(messages: DataFrame, links: DataFrame) -> DataFrame:
+    """(card, dist, message) that each card inherits along its chain of sources, the oldest link first.
+
+    messages: (card, place, message), places count from 1 in each card. links: (card, source, upto): a card goes on from the
+    first `upto` messages of its source, of none for 0, of all for null. The chains of all cards come from pointer jumping;
+    each link then adds the prefix of its source, so a chain of a thousand cards takes ten rounds.
+    """
+    chains = ancestors(links.select(F.col("card").alias("node_id"), F.col("source").alias("parent_id")))
+    part = links.join(messages.withColumnRenamed("card", "source"), "source").where(F.col("upto").isNull() | (F.col("place") <= F.col("upto"))).select(F.col("card").alias("ancestor_id"), "place", "message")
+    return chains.join(part, "ancestor_id").select(F.col("node_id").alias("card"), "dist", "place", "message")

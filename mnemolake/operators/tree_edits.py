@@ -66,3 +66,36 @@ def abandon(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (node_id): the whole subtree of each is no longer valid; no node goes."""
     below = forest.nearest(nodes.select("node_id", "parent_id"), requests).select("node_id", F.lit(False).alias("_v"))
     return nodes.join(below, "node_id", "left").withColumn("is_valid", F.coalesce("_v", "is_valid")).drop("_v")
+
+
+def set_trunk(nodes: DataFrame, ends: DataFrame, requests: DataFrame, cascade: bool = False) -> tuple[DataFrame, DataFrame]:
+    """requests (node_id): the node becomes the end of its conversation's trunk, ends (conv_id, node_id); with `cascade` its path becomes trunk. Abandoned nodes are refused; roots keep their kind."""
+    asked = nodes.join(requests, "node_id", "left_semi").where("is_valid").select("conv_id", "node_id")
+    mark = asked.select("node_id")
+    if cascade:
+        mark = forest.ancestors(nodes.select("node_id", "parent_id"), mark).select(F.col("ancestor_id").alias("node_id"))
+    out = nodes.join(mark.distinct().withColumn("_m", F.lit(True)), "node_id", "left")
+    out = out.withColumn("node_type", F.when(F.col("_m") & F.col("parent_id").isNotNull(), "trunk").otherwise(F.col("node_type"))).drop("_m")
+    return out, ends.join(asked.select("conv_id"), "conv_id", "left_anti").unionByName(asked)
+
+
+def valid(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node_id, valid): a node counts if its way, over merge targets and else parents, comes to a trunk node or trunk end before an abandoned one; a cycle does not."""
+    end = ends.select("node_id", F.lit(True).alias("_end")).distinct()
+    good = (F.col("node_type") == "trunk") & F.col("parent_id").isNotNull() | F.col("_end").isNotNull()
+    known = nodes.select(F.col("node_id").alias("_next"), F.lit(True).alias("_known"))
+    way = nodes.join(end, "node_id", "left").select("node_id", F.coalesce("merge_target", "parent_id").alias("_next"), "is_valid", (F.col("is_valid") & good).alias("good"))
+    way = way.join(known, "_next", "left").select("node_id", F.when(F.col("_known"), F.col("_next")).alias("parent_id"), "is_valid", "good")
+    first = forest.nearest(way.select("node_id", "parent_id"), way.where("good OR NOT is_valid").select("node_id"), cycles=True)
+    hit = first.join(way.where("good").select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("node_id", F.lit(True).alias("_ok"))
+    return nodes.select("node_id").join(hit, "node_id", "left").select("node_id", F.coalesce("_ok", F.lit(False)).alias("valid"))
+
+
+def prune(nodes: DataFrame, insights: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """requests (node_id): their subtrees go, roots are refused; what points to them no longer does, and conclusions that were merged from them go."""
+    asked = requests.join(nodes.where("parent_id IS NOT NULL").select("node_id"), "node_id", "left_semi")
+    gone = forest.nearest(nodes.select("node_id", "parent_id"), asked).select("node_id")
+    out = nodes.join(gone, "node_id", "left_anti").join(gone.select(F.col("node_id").alias("merge_target"), F.lit(True).alias("_g")), "merge_target", "left")
+    out = out.withColumn("merge_target", F.when(F.col("_g").isNull(), F.col("merge_target"))).select(*nodes.columns)
+    lost = insights.where(F.startswith("text", F.lit("[merged from"))).withColumn("_s", F.explode("source_ids")).join(gone.select(F.col("node_id").alias("_s")), "_s", "left_semi").drop("_s").distinct()
+    return out, insights.join(gone, "node_id", "left_anti").join(lost, insights.columns, "left_anti")

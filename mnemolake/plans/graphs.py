@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..operators.search import ranked, small
 from ..schema import KIND_RULES, lookup
+from ..sources.scratch import cut
 from .catalog import query
 
 SEEDS = 5
@@ -43,7 +44,7 @@ def spread_activation(t):
 
 
 def _lpa_sql(rounds: int = 50) -> str:
-    out = ["ge AS MATERIALIZED (SELECT src, dst FROM eg_edges WHERE co_occurrence_count > 1), bo AS MATERIALIZED (SELECT src AS id, dst AS other FROM ge UNION SELECT dst, src FROM ge UNION SELECT src, src FROM ge UNION SELECT dst, dst FROM ge), l0 AS MATERIALIZED (SELECT DISTINCT id, id AS label FROM bo)"]
+    out = ["ge AS MATERIALIZED (SELECT src, dst FROM eg_edges), bo AS MATERIALIZED (SELECT src AS id, dst AS other FROM ge UNION SELECT dst, src FROM ge UNION SELECT src, src FROM ge UNION SELECT dst, dst FROM ge), l0 AS MATERIALIZED (SELECT DISTINCT id, id AS label FROM bo)"]
     for i in range(rounds):
         out.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT bo.id, label, row_number() OVER (PARTITION BY bo.id ORDER BY count(*) DESC, label) AS r FROM bo JOIN l{i} ON l{i}.id = bo.other GROUP BY bo.id, label) WHERE r = 1)")
     return ", ".join(out)
@@ -51,18 +52,18 @@ def _lpa_sql(rounds: int = 50) -> str:
 
 @query("label_prop", f"WITH {_lpa_sql()} SELECT id, label FROM l50")
 def label_prop(t):
-    """Communities of the entities that occur together more than once."""
-    return graph.label_propagation(t["eg_edges"].where("co_occurrence_count > 1"))
+    """Communities of the entities that occur together."""
+    return graph.label_propagation(t["eg_edges"])
 
 
-@query("episodic_consolidation", "SELECT src, dst, round(weight, 9) AS weight FROM eg_edges WHERE co_occurrence_count > 1")
+@query("episodic_consolidation", "SELECT src, dst, round(weight, 9) AS weight FROM eg_edges")
 def episodic_consolidation(t):
     """Co-occurrence edges of the entities of one memory, 0.1 x importance each, capped at 1."""
     e = t["eg_episodic_entities"]
     pair = e.alias("a").join(e.alias("b"), (F.col("a.memory_id") == F.col("b.memory_id")) & (F.col("a.entity_id") < F.col("b.entity_id")))
     pair = pair.select(F.col("a.memory_id").alias("id"), F.col("a.entity_id").alias("src"), F.col("b.entity_id").alias("dst")).join(t["eg_episodic"], "id")
-    out = pair.groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum(0.1 * F.col("importance"))).alias("weight"), F.count(F.lit(1)).alias("n"))
-    return out.where("n > 1").select("src", "dst", F.round("weight", 9).alias("weight"))
+    out = pair.groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum(0.1 * F.col("importance"))).alias("weight"))
+    return out.select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
 @query("join_entity_alias", "WITH a AS (SELECT entity_id, count(*) AS n FROM eg_aliases GROUP BY entity_id) SELECT DISTINCT e.id, e.name, CAST(coalesce(a.n, 0) AS BIGINT) AS aliases FROM eg_entities e LEFT JOIN eg_aliases l ON l.entity_id = e.id LEFT JOIN a ON a.entity_id = e.id WHERE e.name = 'Brand#12 30' OR l.alias = 'alias 30'")
@@ -107,21 +108,29 @@ def entity_candidates(t):
 
 
 @query("project_auto_link", """WITH m AS (SELECT id, content, weight, regexp_extract(tags, 'v5_project:([^,]*)', 1) AS project, regexp_extract(tags, 'v5_kind:([^,]*)', 1) AS kind, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), x -> length(x) >= 2)) AS tk FROM memory WHERE NOT archived),
- n AS (SELECT * FROM m WHERE id % 100 = 1), o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY weight DESC, id DESC) AS r FROM m),
+ n AS (SELECT * FROM m), o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY weight DESC, id DESC) AS r FROM m),
  c AS (SELECT n.id AS source, o.id AS target, n.kind, o.kind AS other, o.weight AS w, CAST(len(list_intersect(n.tk, o.tk)) AS INT) AS overlap FROM n JOIN o ON o.project = n.project AND o.id <> n.id AND o.kind <> n.kind WHERE o.r <= 200),
  k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, target DESC) AS rn FROM c WHERE overlap >= 2)
  SELECT source, target, CASE WHEN kind IN ('decision', 'idea') AND other = 'pitfall' THEN 'SOLVES' WHEN kind = 'convention' AND other = 'pitfall' THEN 'PREVENTS' WHEN kind = 'pitfall' AND other = 'decision' THEN 'CAUSED_BY' ELSE 'RELATES_TO' END AS relation, CAST(round(least(0.9, 0.4 + 0.1 * overlap), 6) AS DOUBLE) AS weight FROM k WHERE rn <= 5""")
 def project_auto_link(t):
-    return project_links(t["memory"], t["memory"].where("id % 100 = 1").select("id"))
+    """The links of every note, as when it is written into the store that holds all others."""
+    return project_links(t["memory"], t["memory"].select("id"))
 
 
-def project_links(memory, ids):
-    """New notes against the 200 heaviest of their project, other kinds, two shared tokens at least, first five."""
+def project_links(memory, ids, soon: int = 20):
+    """New notes against the 200 heaviest of their project, other kinds, two shared tokens at least, first five.
+
+    Most notes find their five among the `soon` heaviest; only the others are held against the rest of the 200.
+    """
     tokens = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 2))
     m = memory.where("NOT archived").select("id", "weight", F.regexp_extract("tags", "v5_project:([^,]*)", 1).alias("project"), F.regexp_extract("tags", "v5_kind:([^,]*)", 1).alias("kind"), tokens.alias("tk"))
     new = m.join(ids, "id", "left_semi").select(F.col("id").alias("source"), "project", F.col("kind").alias("k1"), F.col("tk").alias("t1"))
     old = ranked(m, [F.desc("weight"), F.desc("id")], 200, "project")
-    c = new.join(old, "project").where("id <> source AND kind <> k1").withColumn("overlap", F.size(F.array_intersect("t1", "tk"))).where("overlap >= 2").drop("rank")
+    shared = lambda some, more: some.join(more, "project").where("id <> source AND kind <> k1").withColumn("overlap", F.size(F.array_intersect("t1", "tk"))).where("overlap >= 2").select("source", "id", "k1", "kind", "weight", "overlap")
+    new, old = cut(new), cut(old)
+    near = cut(shared(new, old.where(F.col("rank") <= soon)))
+    full = near.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("source")
+    c = near.union(shared(new.join(full, "source", "left_anti"), old.where(F.col("rank") > soon)))
     relation = lookup({"|".join(k): v for k, v in KIND_RULES.items()}, F.concat_ws("|", "k1", "kind"), "RELATES_TO")
     return ranked(c, [F.desc("weight"), F.desc("id")], 5, "source").select("source", F.col("id").alias("target"), relation.alias("relation"), F.round(F.least(F.lit(0.9), 0.4 + 0.1 * F.col("overlap")), 6).alias("weight"))
 
