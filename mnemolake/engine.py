@@ -16,6 +16,7 @@ from .functions import text as X
 from .maintenance import Maintenance
 from .operators import folds, search, similar
 from .operators.numbering import numbered
+from .operators.text_index import SegmentedIndex
 from .operators.upsert import merged_into
 from .plans import lifecycle
 from .plans.aggregates import agg_profile
@@ -43,8 +44,9 @@ class Engine:
         "project": ["project_note", "project_retrieve", "project_stats"],
     }
 
-    def __init__(self, tables: dict[str, DataFrame], now: float = NOW, ttl: float = 20.0):
-        self.t, self.now, self.ttl = tables, now, ttl
+    def __init__(self, tables: dict[str, DataFrame], now: float = NOW, ttl: float = 20.0, index: SegmentedIndex | None = None):
+        """With an index of the memory table, every write to the table goes to the index as well, and searches read it."""
+        self.t, self.now, self.ttl, self.index = tables, now, ttl, index
         self._cache: dict[str, tuple[float, DataFrame]] = {}
         self.rules = {"input": Rules(), "memory": Rules(), "query": Rules(), "entity": Rules()}
         self.maintenance = Maintenance()
@@ -88,17 +90,21 @@ class Engine:
         merged = x.where("_hit").drop("_hit")
         self._replace("memory", x.drop("_hit"))
         self._append("memory", fresh)
-        return merged.unionByName(fresh, allowMissingColumns=True)
+        stored = merged.unionByName(fresh, allowMissingColumns=True)
+        if self.index is not None:
+            stored = cut(stored)
+            self.index.upsert(stored)
+        return stored
 
-    def memory_search(self, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = 5, *, index: search.TextIndex | None = None, key: str | None = None) -> DataFrame:
+    def memory_search(self, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = 5, *, key: str | None = None) -> DataFrame:
         """The fused search; queries left short are filled up by their words, then by notes (`notes`: note_id, title, body).
 
-        With an index of the snapshot the texts are not tokenised again. Under a key the batch's result is written and
+        Under a key the batch's result is written and
         answered from there for `ttl` seconds, or until a table changes; of over 200 results the 50 oldest go.
         """
         if key in self._cache and time.monotonic() - self._cache[key][0] < self.ttl:
             return self._cache[key][1]
-        found = search.retrieve(search.scored(search.candidates(self.t["memory"], self.t["vectors"], queries, query_vectors, times, k, index), queries, self.now), k)
+        found = search.retrieve(search.scored(search.candidates(self.t["memory"], self.t["vectors"], queries, query_vectors, times, k, self.index), queries, self.now), k)
         notes = self.t["notes"] if "notes" in self.t else queries.sparkSession.createDataFrame([], "note_id long, title string, body string")
         out = completed(found, self.t["memory"], queries, notes, k)
         if key is not None:
@@ -113,6 +119,8 @@ class Engine:
         return self.t["memory"].join(ids, "id", "left_semi")
 
     def memory_delete(self, ids: DataFrame) -> DataFrame:
+        if self.index is not None:
+            self.index.delete(ids)
         return self._drop("memory", ids)
 
     def memory_stats(self) -> DataFrame:
@@ -264,8 +272,11 @@ class Engine:
 
     # skills and projects
     def skill_write(self, rows: DataFrame) -> DataFrame:
-        """Kebab-case names with a description; others are refused."""
-        return self._append("skills", rows.where(F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$") & (F.col("description") != "")))
+        """Kebab-case names with a description replace the skill of that name, the largest id of a call wins; others are refused."""
+        rows = rows.where(F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$") & (F.col("description") != ""))
+        rows = cut(rows.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("id")))).where("_n = 1").drop("_n"))
+        self._replace("skills", self.t["skills"].join(rows.select("name"), "name", "left_anti").select(*self.t["skills"].columns))
+        return self._append("skills", rows)
 
     def skill_list(self) -> DataFrame:
         return self.t["skills"].select("id", "name", "description")

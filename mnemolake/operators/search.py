@@ -30,57 +30,30 @@ def postings(memory: DataFrame) -> DataFrame:
     return sized.select("id", "d", F.posexplode_outer("fields").alias("field", "tokens")).select("id", "d", "field", F.posexplode("tokens").alias("pos", "token"))
 
 
-class TextIndex:
-    """Postings and statistics of a memory table, written once: (token, id, d, field, pos) in folders by the token's hash, sorted.
-
-    A batch of queries reads the folders of its own tokens, and of these the row groups that can hold them.
-    """
-
-    BUCKETS = 128
-
-    def __init__(self, memory: DataFrame, path: str):
-        self.spark, self.path = memory.sparkSession, path.rstrip("/")
-        rows = postings(memory).withColumn("bucket", self._bucket())
-        self.schema = rows.schema
-        # a frequent token is one value of the bucket's hash: its rows are dealt out by id as well
-        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings")
-        statistics(memory).write.parquet(f"{self.path}/corpus")
-
-    @classmethod
-    def _bucket(cls) -> Column:
-        return F.pmod(F.xxhash64("token"), F.lit(cls.BUCKETS)).cast("int")
-
-    def postings(self, tokens: DataFrame) -> DataFrame:
-        """The postings that tokens (token) may need."""
-        touched = [r[0] for r in tokens.select(self._bucket()).distinct().collect()]  # BUCKETS numbers at most
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/postings").where(F.col("bucket").isin(touched)).drop("bucket")
-
-    def corpus(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/corpus")
-
-
 def statistics(memory: DataFrame) -> DataFrame:
     """One row: total and mean number of tokens."""
     d = sum((F.coalesce(F.size(fts_tokens(F.col(c))), F.lit(0)) for c in ("content", "type", "tags")), F.lit(0))
     return memory.select(F.greatest(d, F.lit(0)).alias("d")).agg(F.count(F.lit(1)).alias("total"), F.avg("d").alias("mean"))
 
 
-def bm25(memory: DataFrame, queries: DataFrame, index: TextIndex | None = None) -> DataFrame:
+def bm25(memory: DataFrame, queries: DataFrame, index=None) -> DataFrame:
     """(query_id, id, bm25) of every row with a phrase of the query; negative, smaller is better.
 
     A query is an OR of its white-space tokens, each a phrase of letter-digit runs. The elements of all phrases meet the
     postings in one join; a phrase stands where all its elements agree on the start. Statistics count every row. With an
-    index the texts are not read.
+    index (text_index.SegmentedIndex) the texts are not read.
     """
+    if index is not None:
+        return index.all(queries)
     terms = queries.select("query_id", F.explode(F.split("q", r"\s+")).alias("w")).select("query_id", fts_tokens(F.col("w")).alias("phrase")).where(F.size("phrase") > 0)
     terms = terms.groupBy("query_id", F.array_join("phrase", " ").alias("name"), F.size("phrase").alias("len")).agg(F.count(F.lit(1)).alias("times"), F.first("phrase").alias("phrase"))
     elements = small(terms.select("name", "len", F.posexplode("phrase").alias("j", "token")).distinct())
-    found = index.postings(elements) if index else postings(memory)
+    found = postings(memory)
     # a phrase of one token stands wherever that token does, so its places need not be told apart
     alone = F.col("len") == 1
     starts = found.join(elements, "token").groupBy("name", "len", "id", "d", F.when(~alone, F.col("field")).alias("field"), F.when(~alone, F.col("pos") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
     freq = starts.where("len = 1 OR n = len").groupBy("name", "id", "d").agg(F.sum(F.when(alone, F.col("n")).otherwise(1)).alias("f"))
-    corpus = index.corpus() if index else statistics(memory)
+    corpus = statistics(memory)
     df = freq.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
@@ -93,8 +66,10 @@ def ranked(df: DataFrame, order: list[Column], k: int, by: str = "query_id") ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def fts(memory: DataFrame, queries: DataFrame, k: int, min_weight: float = 0.0, index: TextIndex | None = None) -> DataFrame:
+def fts(memory: DataFrame, queries: DataFrame, k: int, min_weight: float = 0.0, index=None) -> DataFrame:
     live = memory.where(~F.col("archived") & (F.col("weight") >= min_weight)).select("id")
+    if index is not None:
+        return index.top(queries, k, live)
     return ranked(bm25(memory, queries, index).join(live, "id", "left_semi"), [F.round("bm25", 9), F.col("id")], k)
 
 
@@ -114,7 +89,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, min_weight: float = 0.0)
 _ATTRIBUTES = ["type", "weight", "created", "tags", "access_count", "reinforcement", "last_accessed", "long_term", "content"]
 
 
-def candidates(memory: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = TOP_K, index: TextIndex | None = None) -> DataFrame:
+def candidates(memory: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, times: DataFrame, k: int = TOP_K, index=None) -> DataFrame:
     """The three paths merged by (query, id): raw scores add up, attributes come from the path that arrives first.
 
     A row that only the vector index knows has no dates, tags or counts, so it neither decays nor gains by them.

@@ -9,7 +9,7 @@ from ..operators import search, tree_edits
 from ..sources.scratch import cut
 from .aggregates import PROFILE, agg_profile
 from .catalog import query
-from .retrieval import BM25, FUSED, _found
+from .retrieval import BM25, FUSED, _found, text_index
 from .trees import _DUCK_ANC, _MERGED, _SN, TREE_SCOPED, _insights, _merged, tree_scoped
 
 
@@ -56,7 +56,7 @@ def sink_summary(t):
 
 @query("join_fts", f"WITH {BM25} SELECT ft.query_id, m.id, m.type, m.weight FROM ft JOIN memory m ON m.id = ft.id WHERE m.weight >= 0.3")
 def join_fts(t):
-    return search.fts(t["memory"], t["queries_fts"], 10).join(t["memory"].where("weight >= 0.3").select("id", "type", "weight"), "id").select("query_id", "id", "type", "weight")
+    return search.fts(t["memory"], t["queries_fts"], 10, index=text_index(t)).join(t["memory"].where("weight >= 0.3").select("id", "type", "weight"), "id").select("query_id", "id", "type", "weight")
 
 
 @query("join_cross_memory_node", "SELECT t.node_id, m.id AS memory_id FROM turns t JOIN memory m ON m.id = t.node_id")

@@ -25,7 +25,7 @@ def _ppr_sql(steps: int = graph.ITERATIONS) -> str:
 
 
 def _seeds(t):
-    return t["eg_edges"].where(f"src <= {SEEDS}").select(F.col("src").alias("id")).distinct()
+    return t["eg_edges"].where(f"src <= {SEEDS}").select(F.lit(1).alias("query_id"), F.col("src").alias("id")).distinct()
 
 
 @query("ppr", f"WITH {_ppr_sql()} SELECT id AS entity_id, round(p, 6) AS score FROM p20 WHERE p > 1e-9")
@@ -37,9 +37,7 @@ def ppr(t):
  rw AS (SELECT memory_id, sum(a * link_weight) AS g FROM eg_episodic_entities l JOIN ac ON ac.id = l.entity_id GROUP BY memory_id), fs AS (SELECT memory_id AS id, g, g + 0.15 * importance + 0.1 * greatest(0, n - 1) AS f, n FROM rw JOIN cc USING (memory_id) JOIN eg_episodic e ON e.id = memory_id)
  SELECT id, round(g, 5) AS graph_score, round(f, 5) AS final_score, CAST(n AS BIGINT) AS entity_count FROM fs""")
 def spread_activation(t):
-    seeds = _seeds(t).withColumn("seed", F.lit(1.0))
-    p = graph.personalized_pagerank(t["eg_edges"], seeds).where("p > 1e-9")
-    act = p.join(seeds, "id", "left").select("id", F.greatest(F.coalesce("seed", F.lit(0.0)), F.least(F.lit(1.0), "p")).alias("activation"))
+    act = graph.activation(t["eg_edges"], _seeds(t))
     return graph.spread(act, t["eg_episodic_entities"], t["eg_episodic"]).select("id", F.round("graph_score", 5).alias("graph_score"), F.round("final_score", 5).alias("final_score"), "entity_count")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_of, query_tokens, repeat_grams
 from ..operators import search
+from ..operators.text_index import SegmentedIndex
 from ..schema import INTENT_BOOST, INTENT_CUES, NOW, TYPE_BOOST, TYPE_DECAY, sql_case
-from ..sources.scratch import cut
+from ..sources.scratch import cut, new_path, state_of
 from .catalog import query
 from .predicates import _any
 from .text import EI_SQL
@@ -52,21 +53,38 @@ def deeper(sql: str, k: int) -> str:
     return sql.replace("WHERE rank <= 10)", f"WHERE rank <= {max(2 * k, 6)})").replace("WHERE place <= 5)", f"WHERE place <= {k})")
 
 
+_INDEXES: dict[tuple, SegmentedIndex] = {}
+
+
+def text_index(t) -> SegmentedIndex:
+    """The full-text index of the memory table. That of a folder is kept while the session lasts and its documents are the same."""
+    spark = t["memory"].sparkSession
+    key = (spark.sparkContext.applicationId, t.sf_dir, state_of(spark, f"{t.sf_dir}/documents.parquet")) if hasattr(t, "sf_dir") else None
+    if key not in _INDEXES:
+        index = SegmentedIndex(spark, new_path(spark, "text-index"))
+        index.upsert(t["memory"])
+        if key is None:
+            return index
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def _found(t, k=search.TOP_K, queries=None):
     queries = t["queries_fts"] if queries is None else queries
     qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     times = queries.where("query_id % 4 = 0").select("query_id", F.lit(NOW - 86400 * 3).alias("lo"), F.lit(NOW).alias("hi"))
-    return search.scored(search.candidates(t["memory"], t["vectors"], queries, qv, times, k), queries, NOW)
+    return search.scored(search.candidates(t["memory"], t["vectors"], queries, qv, times, k, text_index(t)), queries, NOW)
 
 
 @query("fts_bm25", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM ft")
 def fts_bm25(t):
-    return search.fts(t["memory"], t["queries_fts"], 10).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
+    """The first ten live rows of each query, from the index."""
+    return search.fts(t["memory"], t["queries_fts"], 10, index=text_index(t)).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query("bm25_all", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_all(t):
-    return search.bm25(t["memory"], t["queries_fts"]).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+    return search.bm25(t["memory"], t["queries_fts"], text_index(t)).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("knn_cosine", f"WITH {KNN} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM kn")
@@ -170,7 +188,7 @@ def topk_score(t):
 
 @query("rank_recip", f"WITH {BM25} SELECT query_id, id, CAST(round(0.3 / rank, 6) AS DOUBLE) AS contribution FROM ft")
 def rank_recip(t):
-    return search.fts(t["memory"], t["queries_fts"], 10).select("query_id", "id", F.round(0.3 / F.col("rank"), 6).alias("contribution"))
+    return search.fts(t["memory"], t["queries_fts"], 10, index=text_index(t)).select("query_id", "id", F.round(0.3 / F.col("rank"), 6).alias("contribution"))
 
 
 @query("kw_fallback", f"WITH {_ALL}, rk AS (SELECT query_id, id FROM (SELECT q.query_id, m.id, row_number() OVER (PARTITION BY q.query_id ORDER BY m.id) AS r FROM queries_all q JOIN memory m ON m.id % 20 = q.query_id % 20) WHERE r <= query_id % 6), {_FALLBACK.split(' vq AS')[0].rstrip(' ,' + chr(10))} SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(0.45 AS DOUBLE) AS score FROM kw")
@@ -186,7 +204,7 @@ def kw_fallback(t):
 @query("unified_lexical", f"WITH {BM25} SELECT ft.query_id, ft.id, CAST(round(0.3 / ft.rank, 6) AS DOUBLE) AS score FROM ft JOIN memory m ON m.id = ft.id WHERE m.valid_to IS NULL OR m.valid_to > 1735689600")
 def unified_lexical(t):
     live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
-    return search.fts(t["memory"], t["queries_fts"], 10).join(live, "id", "left_semi").select("query_id", "id", F.round(0.3 / F.col("rank"), 6).alias("score"))
+    return search.fts(t["memory"], t["queries_fts"], 10, index=text_index(t)).join(live, "id", "left_semi").select("query_id", "id", F.round(0.3 / F.col("rank"), 6).alias("score"))
 
 
 @query("unified_temporal", f"WITH {FUSED}, r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arrival, id) AS p2 FROM sc WHERE score >= 0.3) WHERE p2 <= 10), lv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p2) AS p3 FROM r2 WHERE valid_to IS NULL OR valid_to > 1735689600) SELECT query_id, id, CAST(p3 AS INT) AS rank, round(score, 6) AS score FROM lv WHERE p3 <= 5")

@@ -23,13 +23,34 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver ends."""
+    path = f"{folder(spark)}/mnemolake/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """The files of a path with their lengths and times: another tuple when the table has changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: no lineage, and sizes that the planner knows instead of estimates of estimates."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/mnemolake/cut-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = new_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `cut` made and that nothing lazy reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

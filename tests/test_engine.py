@@ -25,7 +25,8 @@ def test_snapshots(spark, sf):
     e.anti_repeat_clear(said["character"])
     assert e.anti_repeat_check(used).first()["score"] == 0.0
     e.skill_write(spark.createDataFrame([(1_000_000, "deploy-windows", "how to", "x"), (1_000_001, "Not Kebab", "d", "x")], "id long, name string, description string, body string"))
-    assert e.skill_get("deploy-windows").count() == 1 and e.skill_get("Not Kebab").count() == 0
+    e.skill_write(spark.createDataFrame([(1_000_002, "deploy-windows", "how to, again", "x")], "id long, name string, description string, body string"))
+    assert [r["description"] for r in e.skill_get("deploy-windows").collect()] == ["how to, again"] and e.skill_get("Not Kebab").count() == 0
     assert e.skill_search(spark.createDataFrame([(1, "deploy-windows")], "query_id int, q string")).first()["name"] == "deploy-windows"
     e.reflect_run_op("retention")
     for name in ("memory_stats", "directive_stats", "reflection_stats", "emotion_label", "self_discover", "latest_thought", "proactive_check", "activity_status", "project_stats", "care_status", "vitality", "relationship", "curiosity_check", "subconscious", "narrative_generate", "context_compression_stats", "skill_list", "self_model", "anti_repeat_stats"):
@@ -33,7 +34,7 @@ def test_snapshots(spark, sf):
 
 
 def test_search_falls_back_and_is_kept(spark, sf, tmp_path):
-    from mnemolake.operators.search import TextIndex
+    from mnemolake.operators.text_index import SegmentedIndex
 
     t = tables(spark, sf)
     memory = t["memory"].where("id < 40").withColumn("created", F.lit(1.0)).withColumn("access_count", F.lit(0)).withColumn("weight", F.lit(0.1)).withColumn("archived", F.lit(False)).withColumn("content", F.when(F.col("id") == 7, "the 主力战机 takes off").otherwise(F.col("content")))
@@ -44,8 +45,9 @@ def test_search_falls_back_and_is_kept(spark, sf, tmp_path):
     assert (1, "7", 1, "kw") in got and (2, "vault:1", 1, "vault") in got and not [g for g in got if g[0] == 3]
     kept = e.memory_search(queries.where("false"), *none, key="a")
     assert {(r["query_id"], r["id"], r["rank"], r["source"]) for r in kept.collect()} == got
-    index = TextIndex(e.t["memory"], f"file://{tmp_path}/i")
-    assert {(r["query_id"], r["id"], r["rank"], r["source"]) for r in e.memory_search(queries, *none, index=index).collect()} == got
+    e.index = SegmentedIndex(spark, f"file://{tmp_path}/i")
+    e.index.upsert(memory)
+    assert {(r["query_id"], r["id"], r["rank"], r["source"]) for r in e.memory_search(queries, *none).collect()} == got
     e.memory_delete(spark.createDataFrame([(7,)], "id long"))
     assert (1, "7", 1, "kw") not in {(r["query_id"], r["id"], r["rank"], r["source"]) for r in e.memory_search(queries, *none, key="a").collect()}
 
