@@ -2,15 +2,15 @@
 
 A phrase of LEAST occurrences holds only words and shorter phrases of as many (Apriori), so candidates are found level by
 level: words that are frequent; pairs of neighbours that both are; triples of which both pairs are. At each level tasks
-send the distinct keys of their texts with partial counts, and those whose sum reaches LEAST become candidates. A word is
-keyed by its bytes and language, a pair by the slots of its two words, a triple by the slots of its first pair and of its
-last word: keys are exact at every level, and slots tell the languages apart.
+send the distinct keys of their texts with partial counts, and those whose sum reaches LEAST become candidates. A frequent
+word has a number for each language, a pair is keyed by the numbers of its two words, a triple by the slot of its first
+pair and the number of its last word: keys are exact at every level, and numbers tell the languages apart.
 
-The candidates of each level make a minimal perfect hash that stores its keys; what it does not hold is told apart by
-them. One more pass counts: each task looks all its words, pairs and triples up, adds them up in one numpy array over all
+The candidate phrases of each level make a minimal perfect hash that stores its keys; what it does not hold is told apart
+by them. One more pass counts: each task looks all its words, pairs and triples up, adds them up in one numpy array over all
 slots, and the arrays are summed as a tree. The score of a cut reads the counts of its two parts by their slots.
 
-The hashes are made on the driver and broadcast while the candidates of a level are at most BOUND; they grow with the
+The numbers and hashes are made on the driver and broadcast while the candidates of a level are at most BOUND; they grow with the
 corpus, so beyond that bound `shuffled` takes over, which counts the n-grams of the same levels as rows of strings, each
 level behind semi-joins with the one below. Both give the same counts (the tests run both).
 
@@ -24,6 +24,7 @@ empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,7 +41,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else 0x2E if c in _MARKS else 32 if c == 9
 
 def tokens(text: bytes) -> list[bytes]:
     """The words of the text, with b"." where a piece ends."""
-    return text.translate(_FOLD).replace(b".", b" . ").split(b" ")
+    return text.translate(_FOLD).replace(b".", b" . ").split()
 
 
 def _langs(batch) -> list[str]:
@@ -54,7 +55,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         total: dict[str, Counter] = {}
 
         def flush():
-            rows = [(lang, w, n) for lang, c in total.items() for w, n in c.items() if w and w != b"."]
+            rows = [(lang, w, n) for lang, c in total.items() for w, n in c.items() if w != b"."]
             total.clear()
             return [[r[0] for r in rows], [r[1].decode() for r in rows], [r[2] for r in rows]]
 
@@ -71,53 +72,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return part.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-class Words:
-    """Slots of (language, word): a perfect hash of 64-bit hashes and, by slot, the words themselves."""
-
-    def __init__(self, langs: list[str], words: list[bytes]):
-        import xxhash
-
-        self.hash = xxhash.xxh3_64_intdigest
-        names = [lang.encode() + b"\n" + w for lang, w in zip(langs, words, strict=True)]
-        self.seed = 0
-        while True:
-            keys = np.fromiter((self.hash(x, self.seed) for x in names), np.uint64, len(names))
-            if len(np.unique(keys)) == len(keys):
-                break
-            self.seed += 1
-        self.slots = PerfectHash(keys)
-        at = self.slots.slots(keys)
-        self.names = np.empty(len(names), object)
-        self.names[at] = names
-
-    def of(self, names: list[bytes]) -> list[int]:
-        """The slot of each name, -1 for those that are none of ours."""
-        at = self.slots.slots(np.fromiter((self.hash(x, self.seed) for x in names), np.uint64, len(names))).tolist()
-        return [s if s >= 0 and self.names[s] == x else -1 for x, s in zip(names, at, strict=True)]
-
-
-def _reader(words: Words):
+def _reader(slots: dict[str, dict[bytes, int]]):
     """A task's function from a batch to the slots of its words, -1 between pieces and texts and for other words."""
-    known: dict[str, dict[bytes, int]] = {}
 
     def read(batch) -> np.ndarray:
-        out = []
+        out = [np.zeros(0, np.int64)]
         for lang, t in zip(_langs(batch), texts(batch), strict=True):
-            mine = known.setdefault(lang, {b".": -1})
-            if len(mine) > FLUSH:
-                mine.clear()
-                mine[b"."] = -1
-            ws = [w for w in tokens(t) if w]
-            try:
-                ids = list(map(mine.__getitem__, ws))
-            except KeyError:
-                head = lang.encode() + b"\n"
-                new = [w for w in set(ws) if w not in mine]
-                mine.update(zip(new, words.of([head + w for w in new]), strict=True))
-                ids = list(map(mine.__getitem__, ws))
-            ids.append(-1)
-            out.append(np.array(ids, np.int64))
-        return np.concatenate([np.zeros(0, np.int64), *out])
+            ws = tokens(t)
+            ws.append(b".")
+            out.append(np.fromiter(map(slots.get(lang, {}).get, ws, repeat(-1)), np.int64, len(ws)))
+        return np.concatenate(out)
 
     return read
 
@@ -189,9 +153,11 @@ def by_slots(docs: DataFrame, frequent: DataFrame, least: int, bound: int):
     spark = docs.sparkSession
     if frequent.count() > bound:
         return None
+    slots: dict[str, dict[bytes, int]] = {}
     table = frequent.toArrow()
-    words = Words(table.column("lang").to_pylist(), [w.encode() for w in table.column("word").to_pylist()])
-    w = spark.sparkContext.broadcast(words)
+    for i, (name, word) in enumerate(zip(table.column("lang").to_pylist(), table.column("word").cast("binary").to_pylist(), strict=True)):
+        slots.setdefault(name, {})[word] = i
+    w = spark.sparkContext.broadcast(slots)
 
     def pair_keys():
         read = _reader(w.value)
@@ -221,7 +187,7 @@ def by_slots(docs: DataFrame, frequent: DataFrame, least: int, bound: int):
     if triples.count() > bound:
         return None
     t = spark.sparkContext.broadcast(PerfectHash(_keys(triples)))
-    n1, n2, n3 = words.slots.size, p.value.size, t.value.size
+    n1, n2, n3 = table.num_rows, p.value.size, t.value.size
 
     def count():
         read, two, three = _reader(w.value), p.value, t.value
@@ -237,7 +203,7 @@ def by_slots(docs: DataFrame, frequent: DataFrame, least: int, bound: int):
 
     counts = written(slot_rows(counted_slots(docs, count, n1 + n2 + n3)), "slots")
     of = lambda low, high, slot, n: counts.where((F.col("slot") >= low) & (F.col("slot") < high)).select((F.col("slot") - low).alias(slot), F.col("n").alias(n))
-    word_slots = lambda: lambda batch: w.value.of([x.encode() + b"\n" + y for x, y in zip(_langs(batch), texts(batch, "word"), strict=True)])
+    word_slots = lambda: lambda batch: [w.value[x][y] for x, y in zip(_langs(batch), texts(batch, "word"), strict=True)]
     key_slots = lambda hashed: lambda: lambda batch: hashed.value.slots(batch.column(0).to_numpy())
     named = _with_slots(frequent, word_slots, ["lang", "word"])
     one = lambda k: named.join(of(0, n1, "slot", "n"), "slot").select(F.col("slot").alias(f"s{k}"), F.col("lang").alias(f"lang{k}"), F.col("word").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
