@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, bit_length, collapse, first_of, fts_tokens, importance, query_tokens
 from ..sources.scratch import cut
+from .string_join import holders
 from ..schema import BASE_WEIGHT_FACTOR, DAY, FREQUENCY, FRESHNESS, FTS_WEIGHT, HOUR_BOOST, INTENT_BOOST, INTENT_CUES, LONG_TERM, MIN_FUSED, PROJECT_BOOST, REINFORCEMENT, TOP_K, TYPE_BOOST, TYPE_DECAY, VECTOR_WEIGHT, lookup
 
 K1, B = 1.2, 0.75
@@ -144,12 +145,13 @@ def keyword_fallback(memory: DataFrame, queries: DataFrame, found: DataFrame, k:
     """Rows (query_id, id, rank) that fill up queries with fewer than k rows of `found` (query_id, id, ...) and two words at least.
 
     The rarest word comes first; each adds its three heaviest rows that are not there yet, as long as fewer than k rows
-    were there before it. Words are looked for as substrings, so the words of these queries, a stated batch, meet all rows.
+    were there before it. Words are looked for as substrings, all of them in one walk over the texts.
     """
     n = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = queries.join(n, "query_id", "left").select("query_id", "q", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
     words = short.withColumn("ws", query_tokens(F.col("q"))).where(F.size("ws") >= 2).select("query_id", "n", F.posexplode("ws").alias("i", "w"))
-    hit = cut(memory.where("NOT archived").select("id", "weight", ascii_lower(F.col("content")).alias("low")).join(small(words.select("w").distinct()), F.col("low").contains(F.col("w"))).select("w", "id", "weight"))
+    live = memory.where("NOT archived").select("id", "weight", ascii_lower(F.col("content")).alias("x"))
+    hit = cut(holders(words.select(F.col("w").alias("needle")).distinct(), live.where("x IS NOT NULL").select("id", "x")).join(live.select("id", "weight"), "id").select(F.col("needle").alias("w"), "id", "weight"))
     df = hit.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     best = ranked(hit, [F.desc("weight"), F.desc("id")], 3, "w").withColumnRenamed("rank", "r")
     rows = words.join(df, "w").join(best, "w").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")

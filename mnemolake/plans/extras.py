@@ -9,7 +9,7 @@ from ..operators import search, tree_edits
 from ..sources.scratch import cut
 from .aggregates import PROFILE, agg_profile
 from .catalog import query
-from .retrieval import BM25, FUSED, _found, text_index
+from .retrieval import _GRAPH, BM25, FUSED, _found, graph_queries, graph_rows, text_index
 from .trees import _DUCK_ANC, _MERGED, _SN, TREE_SCOPED, _insights, _merged, tree_scoped
 
 
@@ -149,22 +149,13 @@ def unified_semantic(t):
     return search.retrieve(_found(t)).join(live, "id", "left_semi").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("unified_graph", f"""WITH {FUSED}, gh AS (SELECT query_id, id FROM (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, m.id DESC) AS r FROM queries_fts JOIN memory m ON contains(lower(content), lower(q)) AND NOT archived) WHERE r <= 5),
- gn AS (SELECT query_id, target AS id FROM gh JOIN project_edges ON source = gh.id UNION SELECT query_id, source FROM gh JOIN project_edges ON target = gh.id),
- ga AS (SELECT query_id, id, max(s) AS score FROM (SELECT query_id, id, 0.8 AS s FROM gh UNION ALL SELECT query_id, id, 0.5 FROM gn) GROUP BY query_id, id),
- gl AS (SELECT query_id, ga.id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ga.id) AS r FROM ga JOIN memory m ON m.id = ga.id WHERE {_LIVE})
- SELECT query_id, id, score, 'graph' AS scope FROM gl WHERE r <= 5 UNION ALL SELECT query_id, id, round(score, 6), 'semantic' FROM rk WHERE {_LIVE} AND query_id NOT IN (SELECT query_id FROM gl)""")
+@query("unified_graph", f"""WITH {_GRAPH}, {FUSED.replace("queries_fts", "queries_graph")}, gl AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM gr)
+ SELECT query_id, id, round(score, 6) AS score, 'graph' AS scope FROM gl WHERE r <= 5 UNION ALL SELECT query_id, id, round(score, 6), 'semantic' FROM rk WHERE {_LIVE} AND query_id NOT IN (SELECT query_id FROM gl)""")
 def unified_graph(t):
-    """Notes that hold the query and their neighbours over typed edges; a query that the graph knows nothing of is searched by meaning."""
-    q, e, live = t["queries_fts"], t["project_edges"], t["memory"].where(_LIVE).select("id")
-    low = t["memory"].where("NOT archived").select("id", "weight", F.lower("content").alias("low"))
-    hits = low.join(search.small(q.select("query_id", F.lower("q").alias("q"))), F.col("low").contains(F.col("q"))).select("query_id", "id", "weight")
-    hits = cut(search.ranked(hits, [F.desc("weight"), F.desc("id")], 5).select("query_id", "id"))
-    ends = e.select(F.col("source").alias("id"), F.col("target").alias("near")).union(e.select("target", "source"))
-    near = ends.join(hits, "id").select("query_id", F.col("near").alias("id"), F.lit(0.5).alias("score"))
-    best = hits.withColumn("score", F.lit(0.8)).union(near).groupBy("query_id", "id").agg(F.max("score").alias("score")).join(live, "id", "left_semi")
-    found = cut(search.ranked(best, [F.desc("score"), F.col("id")], 5).select("query_id", "id", "score", F.lit("graph").alias("scope")))
-    other = search.retrieve(_found(t)).join(live, "id", "left_semi").join(found.select("query_id"), "query_id", "left_anti")
+    """What the entities of a query activate and the notes that hold it, with their neighbours over typed edges; a query that the graph knows nothing of is searched by meaning."""
+    q, live = graph_queries(t), t["memory"].where(_LIVE).select("id")
+    found = cut(search.ranked(graph_rows(t, q), [F.desc("score"), F.col("id")], 5).select("query_id", "id", F.round("score", 6).alias("score"), F.lit("graph").alias("scope")))
+    other = search.retrieve(_found(t, queries=q)).join(live, "id", "left_semi").join(found.select("query_id").distinct(), "query_id", "left_anti")
     return found.union(other.select("query_id", "id", F.round("score", 6), F.lit("semantic")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.search import ranked, small
+from ..operators.string_join import holders
 from ..schema import KIND_RULES, lookup
 from ..sources.scratch import cut
 from .catalog import query
@@ -91,10 +92,49 @@ _SURFACE = [(1, "brand#12"), (2, "Brand#34 17"), (3, "the Brand#22 1 of old")]
 def join_contains(t):
     """A stated set of surfaces against all names: containment either way, score by length, five each."""
     s = t["part"].sparkSession.createDataFrame(_SURFACE, "query_id int, surface string")
-    a, b = F.lower("name"), F.lower("surface")
-    c = t["eg_entities"].join(small(s), a.contains(b) | b.contains(a))
-    c = c.select("query_id", "id", (F.least(F.length("name"), F.length("surface")) / F.greatest(F.length("name"), F.length("surface"))).alias("sim"))
-    return ranked(c, [F.desc("sim"), F.col("id")], 5).select("query_id", "id", F.round("sim", 6).alias("sim"))
+    return ranked(contained(t["eg_entities"], s), [F.desc("sim"), F.col("id")], 5).select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
+def contained(names, surfaces):
+    """(query_id, id, sim) of names (id, name) that stand in a surface (query_id, surface) or hold it, in any case; sim is the shorter length by the longer.
+
+    Both ways are one walk over the texts each, whatever the number of names and surfaces.
+    """
+    a = cut(names.select("id", "name", F.lower("name").alias("x")).where("x <> ''"))
+    b = cut(surfaces.select("query_id", "surface", F.lower("surface").alias("y")).where("y <> ''"))
+    over = holders(b.select(F.col("y").alias("needle")).distinct(), a.select("id", "x")).select("id", F.col("needle").alias("y")).join(b.select("query_id", "y"), "y").select("query_id", "id")
+    under = holders(a.select(F.col("x").alias("needle")).distinct(), b.select(F.col("query_id").alias("id"), F.col("y").alias("x"))).select(F.col("id").alias("query_id"), F.col("needle").alias("x")).join(a.select("id", "x"), "x").select("query_id", "id")
+    both = over.union(under).distinct().join(a.select("id", "name"), "id").join(b.select("query_id", "surface"), "query_id")
+    return both.select("query_id", "id", (F.least(F.length("name"), F.length("surface")) / F.greatest(F.length("name"), F.length("surface"))).alias("sim"))
+
+
+def linked(t, queries):
+    """(query_id, id): the entities whose name or alias stands in the text of a query (query_id, q), in any case."""
+    names = cut(t["eg_entities"].select("id", F.lower("name").alias("x")).union(t["eg_aliases"].select("entity_id", F.lower("alias"))).where("x <> ''").distinct())
+    texts = queries.select(F.col("query_id").alias("id"), F.lower("q").alias("x"))
+    found = holders(names.select(F.col("x").alias("needle")).distinct(), texts.where("x IS NOT NULL"))
+    return found.select(F.col("id").alias("query_id"), F.col("needle").alias("x")).join(names, "x").select("query_id", "id").distinct()
+
+
+def entity_graph(t, queries, k: int, least: float):
+    """(query_id, id, score, rank): the k memories that the entities of each query activate most, of a score of `least` at least."""
+    act = graph.activation(t["eg_edges"], cut(linked(t, queries)))
+    rows = graph.spread(act, t["eg_episodic_entities"], t["eg_episodic"]).select("query_id", "id", F.round("final_score", 6).alias("score"))
+    return ranked(rows, [F.desc("score"), F.col("id")], k).where(F.col("score") >= least)
+
+
+def entity_graph_sql(queries: str, k: int, least: float, steps: int = graph.ITERATIONS) -> str:
+    """Tables up to eg (query_id, id, score, rank), as entity_graph has them, of the queries in a table of that name."""
+    out = [
+        f"nm AS (SELECT id, lower(name) AS x FROM eg_entities UNION SELECT entity_id, lower(alias) FROM eg_aliases), es AS MATERIALIZED (SELECT DISTINCT query_id, id FROM {queries}, nm WHERE x <> '' AND contains(lower(q), x)), eh AS (SELECT query_id, 1.0 / count(*) AS share FROM es GROUP BY query_id)",
+        "ee AS MATERIALIZED (SELECT src, dst, greatest(0.0, weight) AS w FROM eg_edges), et AS (SELECT src, sum(w) AS total FROM ee GROUP BY src), en AS MATERIALIZED (SELECT src, dst, CASE WHEN total > 0 THEN w / total ELSE w END AS w FROM ee JOIN et USING (src)), e0 AS MATERIALIZED (SELECT query_id, id, CAST(share AS DOUBLE) AS p FROM es JOIN eh USING (query_id))",
+    ]
+    for i in range(steps):
+        out.append(f"x{i} AS MATERIALIZED (SELECT query_id, sum(p) AS lost FROM e{i} WHERE id NOT IN (SELECT src FROM en) GROUP BY query_id), e{i + 1} AS MATERIALIZED (SELECT query_id, id, sum(p) AS p FROM (SELECT query_id, dst AS id, 0.85 * p * w AS p FROM e{i} JOIN en ON en.src = e{i}.id UNION ALL SELECT es.query_id, es.id, share * (0.15 + 0.85 * coalesce(lost, 0)) FROM es JOIN eh USING (query_id) LEFT JOIN x{i} USING (query_id)) GROUP BY query_id, id)")
+    out.append(f"""ea AS (SELECT e{steps}.query_id, e{steps}.id, greatest(CASE WHEN es.id IS NOT NULL THEN 1.0 ELSE 0 END, least(1.0, p)) AS a FROM e{steps} LEFT JOIN es ON es.query_id = e{steps}.query_id AND es.id = e{steps}.id WHERE p > 1e-9), ec AS (SELECT memory_id, count(DISTINCT entity_id) AS n FROM eg_episodic_entities GROUP BY memory_id),
+ ew AS (SELECT query_id, memory_id, sum(a * link_weight) AS g FROM eg_episodic_entities l JOIN ea ON ea.id = l.entity_id GROUP BY query_id, memory_id), ef AS (SELECT query_id, memory_id AS id, round(g + 0.15 * importance + 0.1 * greatest(0, n - 1), 6) AS score FROM ew JOIN ec USING (memory_id) JOIN eg_episodic e ON e.id = memory_id),
+ eg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ef) WHERE rank <= {k} AND score >= {least})""")
+    return ", ".join(out)
 
 
 @query("entity_candidates", "WITH s AS (SELECT * FROM (VALUES (1, 'alias 30'), (2, 'nobody')) v(query_id, surface)) SELECT DISTINCT query_id, e.id, CAST(1 AS DOUBLE) AS sim FROM s JOIN eg_entities e ON true LEFT JOIN eg_aliases l ON l.entity_id = e.id WHERE e.name = surface OR l.alias = surface")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_of, query_tokens, repeat_grams
 from ..operators import search
+from ..operators.string_join import holders
 from ..operators.text_index import SegmentedIndex
 from ..schema import INTENT_BOOST, INTENT_CUES, NOW, TYPE_BOOST, TYPE_DECAY, sql_case
 from ..sources.scratch import cut, new_path, state_of
 from .catalog import query
+from .graphs import entity_graph, entity_graph_sql
 from .predicates import _any
 from .text import EI_SQL
 
@@ -215,20 +217,46 @@ def unified_temporal(t):
 
 
 _SEM = "se AS (SELECT query_id, id, score FROM rk), cn AS (SELECT query_id, count(*) AS n FROM se GROUP BY query_id)"
-_GRAPH = "gr AS (SELECT query_id, id, CAST(weight AS DOUBLE) AS score FROM (SELECT q.query_id, e.target AS id, e.weight, row_number() OVER (PARTITION BY q.query_id ORDER BY e.weight DESC, e.target) AS r FROM queries_fts q JOIN project_edges e ON e.source % 20 = q.query_id) WHERE r <= 5 AND weight >= 0.2)"
+#: Queries that name entities, beside the given ones.
+_NAMED = [(201, "what came with alias 30"), (202, "alias 7, again"), (203, "erhe brand#"), (204, "who is alias 12 to alias 21")]
+_GRAPH_QUERIES = "queries_graph AS (SELECT query_id, q FROM queries_fts UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _NAMED) + "))"
+#: The graph's rows: memories that the query's entities activate, then notes that hold the query and their neighbours; the first one of an id counts.
+_PROJECT = """gh AS (SELECT query_id, id FROM (SELECT query_id, m.id, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, m.id DESC) AS r FROM queries_graph JOIN memory m ON contains(lower(content), lower(q)) AND NOT archived) WHERE r <= 5),
+ gn AS (SELECT query_id, target AS id FROM gh JOIN project_edges ON source = gh.id UNION SELECT query_id, source FROM gh JOIN project_edges ON target = gh.id),
+ ga AS (SELECT query_id, id, max(s) AS score FROM (SELECT query_id, id, 0.8 AS s FROM gh UNION ALL SELECT query_id, id, 0.5 FROM gn) GROUP BY query_id, id)"""
+_GRAPH = f"""{_GRAPH_QUERIES}, {entity_graph_sql("queries_graph", 10, 0.2)}, {_PROJECT}, gb AS (SELECT query_id, id, CAST(score AS DOUBLE) AS score FROM eg UNION ALL SELECT query_id, id, CAST(score AS DOUBLE) FROM ga WHERE NOT EXISTS (SELECT 1 FROM eg WHERE eg.query_id = ga.query_id AND eg.id = ga.id)),
+ gr AS (SELECT gb.* FROM gb JOIN memory m ON m.id = gb.id WHERE valid_to IS NULL OR valid_to > 1735689600)"""
 
 
-@query("unified_auto", f"""WITH {FUSED}, {_SEM}, {_GRAPH}, need AS (SELECT q.query_id FROM queries_fts q LEFT JOIN cn USING (query_id) WHERE coalesce(n, 0) < 3 OR {_INTENT} = 'ENTITY'),
+def graph_queries(t):
+    named = t["queries_fts"].sparkSession.createDataFrame(_NAMED, "query_id long, q string")
+    return t["queries_fts"].select(F.col("query_id").cast("long").alias("query_id"), "q").union(named)
+
+
+def graph_rows(t, queries):
+    """(query_id, id, score) of the graph search of a batch: the entity graph and the project graph together; an id that both know keeps the first one's score."""
+    entities = cut(entity_graph(t, queries, 10, 0.2).select("query_id", "id", "score"))
+    live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
+    low = t["memory"].where("NOT archived AND content IS NOT NULL").select("id", "weight", F.lower("content").alias("x"))
+    asked = queries.select("query_id", F.lower("q").alias("needle")).where("needle <> ''")
+    hits = holders(asked.select("needle").distinct(), low.select("id", "x")).join(asked, "needle").join(low.select("id", "weight"), "id")
+    hits = cut(search.ranked(hits, [F.desc("weight"), F.desc("id")], 5).select("query_id", "id"))
+    e = t["project_edges"]
+    ends = e.select(F.col("source").alias("id"), F.col("target").alias("near")).union(e.select("target", "source"))
+    near = ends.join(hits, "id").select("query_id", F.col("near").alias("id"), F.lit(0.5).alias("score"))
+    notes = hits.withColumn("score", F.lit(0.8)).union(near).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return entities.union(notes.join(entities, ["query_id", "id"], "left_anti").select("query_id", "id", "score")).join(live, "id", "left_semi").select("query_id", "id", "score")
+
+
+@query("unified_auto", f"""WITH {_GRAPH}, {FUSED.replace("queries_fts", "queries_graph")}, {_SEM}, need AS (SELECT q.query_id FROM queries_graph q LEFT JOIN cn USING (query_id) WHERE coalesce(n, 0) < 3 OR {_INTENT} = 'ENTITY'),
  u AS (SELECT query_id, id, score FROM se UNION ALL SELECT query_id, id, score FROM gr WHERE query_id IN (SELECT query_id FROM need)), b AS (SELECT query_id, id, max(score) AS score FROM u GROUP BY query_id, id),
  v AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, b.id) AS rank FROM b JOIN memory m ON m.id = b.id WHERE score > 0 AND (m.valid_to IS NULL OR m.valid_to > 1735689600)) SELECT query_id, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM v WHERE rank <= 5""")
 def unified_auto(t):
-    """Semantic rows; queries with fewer than three of them, or about an entity, also take graph rows. No driver round trip."""
-    se = search.retrieve(_found(t)).select("query_id", "id", "score")
-    q = t["queries_fts"]
-    need = q.join(se.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < 3) | (first_of(F.lower("q"), INTENT_CUES, "GENERAL") == "ENTITY")).select("query_id")
-    e = t["project_edges"].withColumn("query_id", F.col("source") % 20).join(search.small(q.select("query_id")), "query_id", "left_semi").select("query_id", F.col("target").alias("id"), F.col("weight").alias("score"))
-    gr = search.ranked(e, [F.desc("score"), F.col("id")], 5).where("score >= 0.2").join(need, "query_id", "left_semi").select("query_id", "id", "score")
-    best = se.union(gr).groupBy("query_id", "id").agg(F.max("score").alias("score")).where("score > 0")
+    """Semantic rows; queries with fewer than three of them, or about an entity, also take those of the graph search. No driver round trip."""
+    q = graph_queries(t)
+    se = cut(search.retrieve(_found(t, queries=q)).select("query_id", "id", "score"))
+    need = q.join(se.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < 3) | (first_of(F.lower("q"), INTENT_CUES, "GENERAL") == "ENTITY")).select("query_id", "q")
+    best = se.union(graph_rows(t, need)).groupBy("query_id", "id").agg(F.max("score").alias("score")).where("score > 0")
     live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
     return search.ranked(best.join(live, "id", "left_semi"), [F.desc(F.round("score", 9)), F.col("id")], 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 

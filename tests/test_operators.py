@@ -261,22 +261,28 @@ def test_entities_against_brute_force(spark):
     """The best entity by difflib's ratio, and the best three, of every name."""
     from mnemolake.plans.similar import _SURFACES, entity_fuzzy, join_fuzzy
 
-    names = [(i, n) for i, n in enumerate(["Brand#12 30", "brand 12 30", "Brand#34 1", "brand#34 11", "brand#341", "Brand_34-17 (old)", "Brand 34 17", "bananas", "Banana", "band", "brand#12 30 x" * 3, ""])]
-    t = {"eg_entities": spark.createDataFrame(names, "id long, name string"), "part": spark.range(1)}
     import re
 
-    norm = lambda s: re.sub(r"[\s_—-]+", "", re.sub(r"\([^)]*\)", "", s.lower()))
-    want = set()
-    for q, s in _SURFACES:
-        best = sorted((-SequenceMatcher(None, norm(n), norm(s)).ratio(), i) for i, n in names)[0]
-        if best[0] <= -0.82:
-            want.add((q, best[1], round(-best[0], 6)))
-    assert {tuple(r) for r in join_fuzzy(t).collect()} == want and want
+    names = [(i, n) for i, n in enumerate(["Brand#12 30", "brand 12 30", "Brand#34 1", "brand#34 11", "brand#341", "Brand_34-17 (old)", "Brand 34 17", "bananas", "Banana", "band", "brand#12 30 x" * 3, ""])]
+    aliases = [(9, "Alias 30"), (4, "alias 31"), (7, "brand#1230"), (0, "nana")]
+    t = {"eg_entities": spark.createDataFrame(names, "id long, name string"), "eg_aliases": spark.createDataFrame(aliases, "entity_id long, alias string"), "part": spark.range(1)}
+    norm = lambda s: re.sub(r"[\s_—-]+", "", re.sub(r"[（(].*?[)）]", "", s.lower()))
+
+    def aligned(s):
+        all_names = [(-SequenceMatcher(None, norm(s), norm(n)).ratio(), 0, i) for i, n in names] + [(-SequenceMatcher(None, norm(s), norm(n)).ratio(), 1, i) for i, n in aliases]
+        r, _, i = sorted(all_names)[0]
+        return [(i, round(-r, 6))] if r <= -0.82 else []
+
+    assert {tuple(r) for r in join_fuzzy(t).collect()} == {(q, i, r) for q, s in _SURFACES for i, r in aligned(s)}
     want = set()
-    for q, s in [(1, "Brand#12 30"), (2, "brand#34 1")]:
-        hits = sorted((-SequenceMatcher(None, n.lower(), s.lower()).ratio(), i) for i, n in names)
-        want |= {(q, i, round(-r, 6)) for r, i in hits[:3] if r <= -0.82}
-    assert {tuple(r) for r in entity_fuzzy(t).collect()} == want and len(want) > 2
+    for q, s in [(1, "Brand#12 30"), (2, "brand#34 1"), (3, "alias 3O")]:
+        hits = sorted({(i, 1.0) for i, n in [*names, *aliases] if n == s})
+        if not hits:
+            inside = [(i, min(len(n), len(s)) / max(len(n), len(s))) for i, n in names if n and (n.lower() in s.lower() or s.lower() in n.lower())]
+            hits = sorted(inside, key=lambda x: (-x[1], x[0]))
+        hits += [x for x in aligned(s) if x[0] not in [i for i, _ in hits]]
+        want |= {(q, i, round(r, 6)) for i, r in hits[:3]}
+    assert {tuple(r) for r in entity_fuzzy(t).collect()} == want and {q for q, _, _ in want} == {1, 2, 3}
 
 
 def test_rules_can_be_switched(spark):
