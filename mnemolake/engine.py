@@ -8,6 +8,7 @@ title or a sensor takes its answer as an argument.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from .plans.text import EMOTIONS
 from .rules import Rules
 from .schema import NOW, lookup
 from .sources.scratch import cut
+from .sources.snapshots import Snapshots
 
 #: The memory type of each kind of project note.
 NOTE_TYPES = {"decision": "decision", "pitfall": "lesson", "convention": "fact", "idea": "thought"}
@@ -44,9 +46,18 @@ class Engine:
         "project": ["project_note", "project_retrieve", "project_stats"],
     }
 
-    def __init__(self, tables: dict[str, DataFrame], now: float = NOW, ttl: float = 20.0, index: SegmentedIndex | None = None):
-        """With an index of the memory table, every write to the table goes to the index as well, and searches read it."""
-        self.t, self.now, self.ttl, self.index = tables, now, ttl, index
+    def __init__(self, tables: dict[str, DataFrame], now: float = NOW, ttl: float = 20.0, index: SegmentedIndex | None = None, stored: dict[str, Snapshots] | None = None):
+        """With an index of the memory table, every write to the table goes to the index as well, and searches read it.
+
+        Tables (with ids) that are `stored` are written there by each tool that changes them and read back, so a session of
+        any length reads one version; others stay lazy plans over what they were made of. A stored table that holds no
+        version yet takes the one given.
+        """
+        self.t, self.now, self.ttl, self.index, self.stored = tables, now, ttl, index, stored or {}
+        for name, store in self.stored.items():
+            if store.version()[1]["schema"] is None:
+                store.replace("first", self.t[name])
+            self.t[name] = store.read()
         self._cache: dict[str, tuple[float, DataFrame]] = {}
         self.rules = {"input": Rules(), "memory": Rules(), "query": Rules(), "entity": Rules()}
         self.maintenance = Maintenance()
@@ -60,14 +71,34 @@ class Engine:
 
     def _replace(self, name: str, df: DataFrame) -> DataFrame:
         self._cache.clear()
+        if name in self.stored:
+            self.stored[name].replace(uuid.uuid4().hex, df)
+            df = self.stored[name].read()
         self.t[name] = df
         return df
 
+    def _merged(self, name: str, rows: DataFrame) -> None:
+        """Rows in place of those of their ids, or beside the others."""
+        self._cache.clear()
+        if name in self.stored:
+            self.stored[name].merge(uuid.uuid4().hex, rows)
+            self.t[name] = self.stored[name].read()
+        else:
+            self.t[name] = self.t[name].join(rows.select("id"), "id", "left_anti").unionByName(rows, allowMissingColumns=True)
+
     def _append(self, name: str, rows: DataFrame) -> DataFrame:
+        if name in self.stored:
+            self._merged(name, rows)
+            return rows
         self._replace(name, self.t[name].unionByName(rows, allowMissingColumns=True))
         return rows
 
     def _drop(self, name: str, ids: DataFrame) -> DataFrame:
+        if name in self.stored:
+            self._cache.clear()
+            self.stored[name].merge(uuid.uuid4().hex, gone=ids)
+            self.t[name] = self.stored[name].read()
+            return self.t[name]
         return self._replace(name, self.t[name].join(ids, "id", "left_anti"))
 
     # memory
@@ -87,12 +118,9 @@ class Engine:
         fresh = numbered(new.join(into, "id", "left_anti"), [F.col("_n")], "_m").withColumn("id", F.col("_top") + F.col("_m")).drop("_top", "_n", "_m")
         fresh = fresh.withColumn("created", F.lit(self.now)).withColumn("archived", F.lit(False))
         x = merged_into(memory, new, into, self.now)
-        merged = x.where("_hit").drop("_hit")
-        self._replace("memory", x.drop("_hit"))
-        self._append("memory", fresh)
-        stored = merged.unionByName(fresh, allowMissingColumns=True)
+        stored = cut(x.where("_hit").drop("_hit").unionByName(fresh, allowMissingColumns=True))
+        self._merged("memory", stored)
         if self.index is not None:
-            stored = cut(stored)
             self.index.upsert(stored)
         return stored
 
