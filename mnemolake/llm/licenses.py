@@ -2,20 +2,22 @@
 
 A block is at most BLOCK words, every STRIDE words, of the whole text and of each of its lines. Stride and overlap are
 never under the longest template, so a template lies whole in some block wherever it stands, across line breaks too. A
-block matches a template when it holds at least THETA of the template's distinct words. (The SQL below has the blocks of
-lines only: what it finds is found here too; a template broken over lines is found here alone.)
+block matches a template when it holds at least THETA of the template's distinct words. (The SQL has the same blocks.)
 
 Template words are ordered by their frequency over the whole corpus, rarest first (one counting pass, summed by Spark;
 only template words are counted, so the table is bounded by the templates). A matching block must hold one of a
-template's first |T| - need + 1 words (prefix filter), have at least `need` distinct words (length filter), and when its
-first common word is at rank i of the template, |T| - i must still reach `need` (positional filter). The filters lose
-nothing; survivors are counted exactly. The templates are the fixed list below, so they travel with the closure.
+template's first |T| - need + 1 words (prefix filter) and at least `need` distinct words of templates (length filter; no
+others can be common). Where the first common word is at rank i of the template and at rank j of the block's B such words
+in the same order, no more than the smaller of |T| - i and B - j can be common, which must reach `need` (positional
+filter). The filters lose nothing; survivors are counted exactly. The templates are the fixed list below, so they travel with the closure.
 
-Defined cases: a null or empty text has no words and no labels (score 0); repeated rows are scanned each for itself.
+Defined cases: a null or empty text has no words and no labels (score 0); repeated rows are scanned each for itself; further
+columns pass through if they are kept, and those whose names the result takes are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from math import ceil
 
@@ -62,6 +64,8 @@ class Matcher:
         longest = max((len(text.split()) for text, _ in templates), default=0)
         self.stride, self.index = max(stride, longest), {}
         self.block = max(block, self.stride + longest)
+        vocabulary = sorted({w for text, _ in templates for w in text.split()}, key=lambda w: (frequency.get(w, 0), w))
+        self.rank = {w.encode(): i for i, w in enumerate(vocabulary)}
         for text, label in templates:
             ordered = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
             need = max(1, ceil(theta * len(ordered) - 1e-9))
@@ -69,20 +73,29 @@ class Matcher:
             for i, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.index.setdefault(w.encode(), []).append((i, entry))
 
+    def candidates(self, have: set[bytes]):
+        """(label, words, need) of the templates that pass the filters for the template words of a block."""
+        first = self.index.keys() & have
+        if not first:
+            return
+        ranks = sorted(self.rank[w] for w in have)
+        for w in first:
+            left = len(ranks) - bisect_left(ranks, self.rank[w])
+            for i, (label, ordered, whole, need) in self.index[w]:
+                if min(left, len(ordered) - i) >= need and not any(x in have for x in ordered[:i]):  # else found by a rarer word, if at all
+                    yield label, whole, need
+
     def match(self, text: bytes, ws: list[bytes]) -> tuple[set[str], float]:
         if self.index.keys().isdisjoint(ws):
             return set(), 0.0
         labels, best = set(), 0.0
         for b in text_blocks(text, ws, self.block, self.stride):
-            have = set(b)
-            for w in self.index.keys() & have:
-                for i, (label, ordered, whole, need) in self.index[w]:
-                    if len(have) < need or len(ordered) - i < need or any(x in have for x in ordered[:i]):
-                        continue  # too short, too late, or found already by a rarer word
-                    common = len(whole & have)
-                    if common >= need:
-                        labels.add(label)
-                        best = max(best, common / len(whole))
+            have = self.rank.keys() & set(b)
+            for label, whole, need in self.candidates(have):
+                common = len(whole & have)
+                if common >= need:
+                    labels.add(label)
+                    best = max(best, common / len(whole))
         return labels, best
 
 

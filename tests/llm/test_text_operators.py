@@ -104,6 +104,18 @@ def test_licenses_across_lines(spark):
 
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=2000))
 @settings(max_examples=30, deadline=None)
+def test_license_filters_reject_before_counting():
+    # words by frequency: a b c d e f g h i j (rarest first); 0.9 of ten are nine
+    letters = "abcdefghij"
+    m = licenses.Matcher([(" ".join(letters), "x"), ("a z", "y")], {w: i for i, w in enumerate(letters)} | {"z": 99}, 0.9, 64, 32)
+    words_of = lambda text: {w.encode() for w in text}
+    assert {c[0] for c in m.candidates(words_of(letters))} == {"x", "y"}
+    assert [c[0] for c in m.candidates(words_of("bcdefghij"))] == ["x"]
+    assert not list(m.candidates(words_of("bcdefghi")))  # nine words are needed from b on, eight are there
+    assert not list(m.candidates(words_of("cdefghij")))  # no word of a prefix
+    assert {c[0] for c in m.candidates(words_of("az"))} == {"y"}
+
+
 def test_blocks_round_trip(ids):
     assert token_file.decode_ids(token_file.encode_ids(np.array(ids, np.uint32))).tolist() == ids
 
