@@ -11,11 +11,14 @@ share at least that many elements, or they are not linked.
 1. Documents of equal sets form one class, a node; only classes go on. Elements that no other class has in its longest
    prefix are dropped before anything is joined.
 2. Stars: in a list of classes, each class is set against one of them, the list's hub, and takes the hub that it shares
-   most elements with. That is one verification a class; rounds with other hubs follow as long as they link anything.
+   most elements with. That is one verification a class. The first hubs are the classes whose prefixes others share most,
+   such as the text that a group was copied from; rounds with hubs by chance follow as long as they link anything.
    Large groups of near copies are settled so, in a time that grows with their size, not its square.
 3. The rest: classes of one list that are still in different components are paired by a join, without those that
-   the lengths or the places in the prefixes rule out; pairs that share fewer than l prefix elements go; the others are verified.
-   A pair within one component cannot change the result, so this loses nothing.
+   the lengths or the places in the prefixes rule out. A pair goes that shares fewer than l prefix elements, or so few
+   that it could not be linked if all that lies beyond the prefixes were shared: common elements up to the end of the
+   prefix that ends first are counted, so those of sizes n and m share at most the count and the larger of what is left
+   of n and m. The others are verified. A pair within one component cannot change the result, so this loses nothing.
 
 Every link is verified on the full sets. No list is capped. Classes are named by 64 bits of the 128-bit hash of their set.
 
@@ -27,14 +30,14 @@ repeat an id are one document, linked if any of their texts is; an empty table g
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop, map_batches, texts, tune, written
 from .counters import counted_slots, slot_array
 from .near_dups import _verify_stars, components, shingler_of
 
-SHINGLE, THRESHOLD, LONGEST, SLOTS, SALT, ROUNDS = 5, 80, 6, 1 << 20, 2000, 4
+SHINGLE, THRESHOLD, LONGEST, SLOTS, SALT, ROUNDS = 5, 80, 6, 1 << 20, 2000, 3
 
 
 def _slot(shingles: np.ndarray, slots: int) -> np.ndarray:
@@ -93,9 +96,9 @@ def chosen(shared: DataFrame, threshold: int, longest: int) -> DataFrame:
 
 
 def _close(a: str, b: str, threshold: int):
-    """Whether sets of n{a} and n{b} elements can be linked, by their sizes and by the places of a common prefix element."""
+    """Whether sets of n{a} and n{b} elements can be linked, by their sizes and by the places of a common prefix element: what comes before it is common only if others have it."""
     na, nb, pa, pb = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"pos{a}"), F.col(f"pos{b}")
-    common = F.least(pa, pb) + F.least(na - pa, nb - pb)
+    common = F.least(f"before{a}", f"before{b}") + F.least(na - pa, nb - pb)
     return (100 * F.least(na, nb) >= threshold * F.greatest(na, nb)) & ((100 + threshold) * common >= threshold * (na + nb))
 
 
@@ -117,7 +120,10 @@ def join_links(docs: DataFrame, sets: DataFrame, *, doc_id: str = "doc_id", text
     sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = written(entries.join(sizes, "token"), "shared")
     within = F.col("pos") < F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100) + F.col("l")
-    kept = written(shared.join(chosen(shared, threshold, longest), "cid").where(within).select("token", "cid", "n", "pos", "l"), "kept")
+    kept = shared.join(chosen(shared, threshold, longest), "cid").where(within)
+    central = kept.groupBy("cid").agg((F.sum("size") / F.first("n")).alias("central"))
+    before = F.row_number().over(Window.partitionBy("cid").orderBy("pos")) - 1  # elements before it that others have too
+    kept = written(kept.join(central, "cid").select("token", "cid", "n", "pos", "l", "central", before.alias("before")), "kept")
     reps = kept.select("cid").distinct().join(classes.select("cid", "id", "set_key"), "cid")
     live = written(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(reps, "id").select("cid", "set_key", "text"), "live")
     drop(classes, shared)
@@ -128,9 +134,10 @@ def join_links(docs: DataFrame, sets: DataFrame, *, doc_id: str = "doc_id", text
     labels = components(links)
     for k in range(rounds):
         now = kept.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        first = F.struct(F.xxhash64(F.col("cid"), F.lit(k)).alias("o"), F.col("cid").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("l").alias("l2"), F.col("label").alias("label2"))
+        order = F.xxhash64(F.col("cid"), F.lit(k)).cast("double") if k else -F.col("central")
+        first = F.struct(order.alias("o"), F.col("cid").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("before").alias("before2"), F.col("l").alias("l2"), F.col("label").alias("label2"))
         hubs = now.groupBy("token").agg(F.min(first).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "h.*")
-        met = now.withColumnsRenamed({"n": "n1", "pos": "pos1"}).join(hubs, "token").where((F.col("label") != F.col("label2")) & _close("1", "2", threshold))
+        met = now.withColumnsRenamed({"n": "n1", "pos": "pos1", "before": "before1"}).join(hubs, "token").where((F.col("label") != F.col("label2")) & _close("1", "2", threshold))
         met = met.groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("both"), F.min(F.least("l", "l2")).alias("l")).where("both >= l")
         best = met.groupBy("cid").agg(F.max(F.struct("both", "hub")).alias("b")).select("cid", "b.hub")
         more = written(_verified(written(best, "stars"), live, shingle, threshold, salt), "links")
@@ -140,9 +147,12 @@ def join_links(docs: DataFrame, sets: DataFrame, *, doc_id: str = "doc_id", text
     now = written(kept.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "rest")
     open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rest = now.join(open_, "token")
-    one, two = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "pos", "l", "label"))) for k in (1, 2))
+    one, two = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "pos", "before", "l", "label"))) for k in (1, 2))
     pairs = one.join(two, "token").where((F.col("cid1") < F.col("cid2")) & (F.col("label1") != F.col("label2")) & _close("1", "2", threshold))
-    pairs = pairs.groupBy(F.col("cid1").alias("hub"), F.col("cid2").alias("cid")).agg(F.count(F.lit(1)).alias("both"), F.min(F.least("l1", "l2")).alias("l")).where("both >= l").select("hub", "cid")
+    pairs = pairs.groupBy(F.col("cid1").alias("hub"), F.col("cid2").alias("cid")).agg(F.count(F.lit(1)).alias("both"), F.first(F.struct("n1", "l1", "n2", "l2")).alias("p")).select("hub", "cid", "both", "p.*")
+    beyond = lambda k: F.ceil(F.lit(threshold) * F.col(f"n{k}") / 100) - F.col(f"l{k}")  # what a prefix leaves of its set
+    enough = (100 + threshold) * (F.col("both") + F.greatest(beyond(1), beyond(2))) >= threshold * (F.col("n1") + F.col("n2"))
+    pairs = pairs.where((F.col("both") >= F.least("l1", "l2")) & enough).select("hub", "cid")
     more = written(_verified(written(pairs, "pairs"), live, shingle, threshold, salt), "links")
     if not more.isEmpty():
         labels = components(labels.select(F.col("id").alias("src"), F.col("label").alias("dst")).union(more))
