@@ -8,6 +8,7 @@ from ..functions.text import first_of, query_tokens, repeat_grams
 from ..operators import search
 from ..operators.string_join import holders
 from ..operators.text_index import SegmentedIndex
+from ..operators.vector_index import VectorIndex
 from ..schema import INTENT_BOOST, INTENT_CUES, NOW, TYPE_BOOST, TYPE_DECAY, sql_case
 from ..sources.scratch import cut, new_path, state_of
 from .catalog import query
@@ -95,6 +96,31 @@ def knn_cosine(t):
     return search.knn(t["vectors"], qv, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _indexed(t) -> VectorIndex:
+    v = t["vectors"].select("id", "embedding")
+    index = VectorIndex(v.sparkSession, new_path(v.sparkSession, "vectors"))
+    index.build("all", v)
+    return index
+
+
+@query("knn_index")
+def knn_index(t):
+    """The vectors of knn_cosine's queries against the index: its probed cells, reranked by the original vectors."""
+    qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return _indexed(t).search(qv, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("knn_updated", f"""WITH v AS (SELECT id, CASE WHEN id % 10 = 7 THEN list_transform(embedding, x -> -x) ELSE embedding END AS e FROM vectors WHERE id % 10 <> 3), q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+ s AS (SELECT query_id, id, {_dot("e", "qv")} / sqrt({_dot("e", "e")} * {_dot("qv", "qv")}) AS score FROM v, q) SELECT query_id, id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""")
+def knn_updated(t):
+    """The exact path of the index after a write: ids that end in 3 are gone, vectors of those that end in 7 are turned round."""
+    index, v = _indexed(t), t["vectors"]
+    turned = v.where("id % 10 = 7").select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    index.merge("write", turned, v.where("id % 10 = 3").select("id"))
+    qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return index.exact(qv, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("mean_pool", "SELECT CAST(label AS BIGINT) AS label, CAST(pos AS BIGINT) AS pos, round(avg(x), 5) AS mean FROM (SELECT label, unnest(range(0, 64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, pos")
 def mean_pool(t):
     e = t["embeddings"].select("label", F.posexplode("embedding").alias("pos", "x"))
