@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.folds import fold
+from ..operators.timed import fold_timed
 from .catalog import query
 
 
@@ -129,3 +130,15 @@ def st_sessions(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     g = t["interactions"].select("user_id", "ts", "event_id", F.when(F.col("ts") - F.lag("ts").over(w) > 1800, 1).otherwise(0).alias("cut"))
     return g.select("user_id", F.sum("cut").over(w).alias("session")).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st_activation", """WITH u AS (SELECT max(ts) + 1 AS until FROM interactions), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1200 THEN 1 ELSE 0 END AS cut, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM interactions),
+ s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), a AS (SELECT *, least(1.0, sum(intensity) OVER (PARTITION BY user_id, k ORDER BY ts, event_id)) AS activation, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS seen FROM s)
+ SELECT user_id, event_id, round(ts, 3) AS ts, 'event' AS kind, round(activation, 6) AS activation, CAST(seen AS BIGINT) AS seen FROM a
+ UNION ALL SELECT user_id, NULL, round(ts + 1200, 3), 'expired', NULL, NULL FROM a, u WHERE ts + 1200 < coalesce(next, until)""")
+def st_activation(t):
+    """Activation of each key, event by event, and its end after twenty silent minutes; the stream does the same by timers."""
+    x = t["interactions"]
+    until = x.agg(F.max("ts")).first()[0]
+    out = fold_timed(x, "activation", 0.0 if until is None else until + 1)
+    return out.select("user_id", "event_id", F.round("ts", 3).alias("ts"), "kind", F.round("activation", 6).alias("activation"), "seen")
