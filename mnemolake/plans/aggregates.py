@@ -19,13 +19,17 @@ TRAITS = {
 }
 
 
-@query("agg_stats", """SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(character) = 0 THEN 'character' ELSE 'all' END AS by, coalesce(type, character, '') AS key, CAST(count(*) AS BIGINT) AS n,
- CAST(count(*) FILTER (long_term) AS BIGINT) AS n_long, round(avg(weight), 3) AS avg_weight FROM memory GROUP BY GROUPING SETS ((type), (character), ())""")
+@query("agg_stats", """SELECT "by", key, n, n_long, avg_weight FROM (SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(character) = 0 THEN 'character' ELSE 'all' END AS "by", coalesce(type, character, '') AS key, CAST(count(*) AS BIGINT) AS n,
+ CAST(count(*) FILTER (long_term) AS BIGINT) AS n_long, round(avg(weight), 3) AS avg_weight FROM memory GROUP BY GROUPING SETS ((type), (character), ())) WHERE "by" <> 'character' OR key <> ''
+ UNION ALL SELECT 'table', 'reflections', CAST(count(*) AS BIGINT), NULL, NULL FROM reflections UNION ALL SELECT 'table', 'events', CAST(count(*) AS BIGINT), NULL, NULL FROM events UNION ALL SELECT 'table', 'active_directives', CAST(count(*) FILTER (is_active) AS BIGINT), NULL, NULL FROM directives""")
 def agg_stats(t):
-    """One scan for totals, types and characters."""
+    """One scan of the memories for totals, types and characters (but the empty one), and how many reflections, events and active directives there are."""
     g = t["memory"].groupingSets([["type"], ["character"], []], "type", "character").agg(F.count(F.lit(1)).alias("n"), F.count_if("long_term").alias("n_long"), F.round(F.avg("weight"), 3).alias("avg_weight"), F.grouping("type").alias("g_type"), F.grouping("character").alias("g_char"))
     by = F.when(F.col("g_type") == 0, "type").when(F.col("g_char") == 0, "character").otherwise("all")
-    return g.select(by.alias("by"), F.coalesce("type", "character", F.lit("")).alias("key"), "n", "n_long", "avg_weight")
+    out = g.select(by.alias("by"), F.coalesce("type", "character", F.lit("")).alias("key"), "n", "n_long", "avg_weight").where("by <> 'character' OR key <> ''")
+    for name, rows in (("reflections", t["reflections"]), ("events", t["events"]), ("active_directives", t["directives"].where("is_active"))):
+        out = out.union(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("table"), F.lit(name), "n", F.lit(None).cast("long"), F.lit(None).cast("double")))
+    return out
 
 
 @query("agg_refl_stats", "SELECT status, CAST(count(*) AS BIGINT) AS n, round(avg(importance), 6) AS importance FROM reflections GROUP BY status")

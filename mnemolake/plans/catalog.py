@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query registered before, for one that builds on it."""
+    return _SQL[name]
+
+
 def load() -> None:
     for m in MODULES:
         importlib.import_module(f"mnemolake.plans.{m}")

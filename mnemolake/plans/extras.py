@@ -170,12 +170,15 @@ def fusion_score(t):
     return _found(t).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("scan_bridge", "SELECT id, substr(content, 1, 80) AS content FROM memory WHERE contains(lower(content), 'the re') AND NOT archived ORDER BY weight DESC, id DESC LIMIT 20")
+@query("scan_bridge", f"WITH {FUSED} SELECT CAST(place AS INT) AS rank, rk.id, round(rk.score, 6) AS score, m.content FROM rk LEFT JOIN memory m ON m.id = rk.id WHERE query_id = 4")
 def scan_bridge(t):
-    """What the command-line bridge answers to a search."""
-    from ..bridge import answer
+    """What the command-line bridge answers to a search: the fused one, here with the words and the vector of query 4 and its three days."""
+    from ..bridge import found
+    from ..schema import NOW
 
-    return answer(t, {"action": "search", "query": "the re", "top_k": 50})
+    q = t["queries_fts"].where("query_id = 4").first()
+    v = t["embeddings"].where("vec_id = 4").first()
+    return found(t, {"query": q["q"], "vector": v["embedding"], "since": NOW - 86400 * 3, "until": NOW, "top_k": 5}).select("rank", "id", F.round("score", 6).alias("score"), "content")
 
 
 @query("last_turns", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")

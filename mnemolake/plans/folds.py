@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.folds import fold
+from ..operators.folds import AXES, fold
 from ..operators.timed import fold_timed
-from .catalog import query
+from .catalog import query, sql_of
 
 
 def _rounded(df, *fields):
@@ -112,12 +112,39 @@ def st_turn_context(t):
     return t["events"].select("event_id", "user_id", F.row_number().over(w).alias("turn"), F.last(topic, ignorenulls=True).over(w).alias("topic"))
 
 
-@query("st_proactive", "WITH s AS (SELECT user_id, max(ts) AS last, avg(intensity) AS i FROM interactions GROUP BY user_id), n AS (SELECT max(ts) AS now FROM interactions) SELECT user_id, now - last >= 300 AND i >= 0.1 AS speak, CASE WHEN now - last < 300 THEN 'just talked' WHEN i < 0.1 THEN 'not lonely' ELSE 'ok' END AS reason FROM s, n")
+#: Seconds of silence after a talk, after the last own words, and of activity until the user counts as away; least arousal, loneliness and curiosity.
+GATES = {"talk": 300, "spoke": 300, "away": 300, "arousal": -0.3, "loneliness": 0.2, "curiosity": 0.4}
+
+
+def gates(x):
+    """speak and the reason of rows (talk, spoke, idle: seconds since the last talk, own words, activity; pending; arousal, loneliness, curiosity): the first gate that closes decides.
+
+    Null seconds stand for never, which opens the first two gates and leaves the last one open; what is not known of the mood closes nothing.
+    """
+    g = {k: F.lit(v) for k, v in GATES.items()}
+    order = [(F.col("talk") < g["talk"], "just talked"), (F.col("spoke") < g["spoke"], "just spoke"), (F.col("pending"), "task pending"), (F.col("arousal") < g["arousal"], "sleepy"), (F.col("loneliness") < g["loneliness"], "not lonely"), (F.col("curiosity") < g["curiosity"], "not curious"), (F.col("idle") > g["away"], "away")]
+    reason = F.coalesce(*(F.when(closed, why) for closed, why in order), F.lit("ok"))
+    return x.withColumn("reason", reason).withColumn("speak", F.col("reason") == "ok")
+
+
+@query("st_proactive", f"""SELECT user_id, reason = 'ok' AS speak, reason FROM (SELECT user_id, CASE WHEN talk < 300 THEN 'just talked' WHEN spoke < 300 THEN 'just spoke' WHEN pending THEN 'task pending' WHEN arousal < -0.3 THEN 'sleepy' WHEN loneliness < 0.2 THEN 'not lonely' WHEN curiosity < 0.4 THEN 'not curious' WHEN idle > 300 THEN 'away' ELSE 'ok' END AS reason
+ FROM (SELECT user_id, now - talk AS talk, now - spoke AS spoke, now - last AS idle, pending, CASE WHEN now > last THEN arousal * pow(0.5, (now - last) / 60 / 60) ELSE arousal END AS arousal, CASE WHEN now > last THEN 0.1 + (loneliness - 0.1) * pow(0.5, (now - last) / 60 / 45) ELSE loneliness END AS loneliness, curiosity
+  FROM (SELECT user_id, max(ts) AS last, max(ts) + 60 * (user_id % 10) AS now, max(CASE WHEN event_type = 'purchase' THEN ts END) AS talk, max(CASE WHEN event_type = 'signup' THEN ts END) AS spoke, arg_max(event_type, [ts, event_id]) = 'error' AS pending FROM interactions GROUP BY user_id)
+  JOIN ({_affect_sql()}) USING (user_id) JOIN ({sql_of("st_curiosity")}) USING (user_id)))""")
 def st_proactive(t):
-    """Gates in order; the first that closes gives the reason."""
-    s = t["interactions"].groupBy("user_id").agg(F.max("ts").alias("last"), F.avg("intensity").alias("i")).join(F.broadcast(t["interactions"].agg(F.max("ts").alias("now"))))
-    idle = F.col("now") - F.col("last")
-    return s.select("user_id", ((idle >= 300) & (F.col("i") >= 0.1)).alias("speak"), F.when(idle < 300, "just talked").when(F.col("i") < 0.1, "not lonely").otherwise("ok").alias("reason"))
+    """The gates for each user, asked `user_id % 10` minutes after the last event, with the mood and the curiosity that the folds give.
+
+    Purchases stand for talks, signups for own words, an error at the end for a pending task.
+    """
+    x = t["interactions"]
+    at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    seen = x.groupBy("user_id").agg(F.max("ts").alias("last"), at("purchase").alias("talk"), at("signup").alias("spoke"), (F.max_by("event_type", F.struct("ts", "event_id")) == "error").alias("pending"))
+    now = F.col("last") + 60 * (F.col("user_id") % 10)
+    seen = seen.withColumn("idle", now - F.col("last")).withColumn("talk", now - F.col("talk")).withColumn("spoke", now - F.col("spoke")).join(st_affect(t), "user_id").join(st_curiosity(t), "user_id")
+    for name, rest, half in AXES:
+        if name in ("arousal", "loneliness"):
+            seen = seen.withColumn(name, F.when(F.col("idle") > 0, rest + (F.col(name) - rest) * F.pow(F.lit(0.5), F.col("idle") / 60 / half)).otherwise(F.col(name)))
+    return gates(seen).select("user_id", "speak", "reason")
 
 
 @query("st_windows", "SELECT event_type, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS hour, CAST(count(*) AS BIGINT) AS n FROM interactions GROUP BY 1, 2")

@@ -9,6 +9,7 @@ from ..functions.text import importance
 from ..operators import search
 from ..schema import DAY, NOW, SOUL_TYPES
 from .catalog import query
+from .extras import RULES, _said, rule_matches
 from .retrieval import FUSED, _found
 from .text import EI_SQL
 
@@ -81,15 +82,29 @@ def life_scd(t):
 _DECAYED = "CASE WHEN (1735689600 - created_at) / 86400 > 0 THEN (reinforcement - disputation) * pow(0.5, (1735689600 - created_at) / 86400 / 14) ELSE reinforcement - disputation END * importance * 10"
 
 
-@query("life_reflection", f"""SELECT id, CASE status WHEN 'PENDING' THEN CASE WHEN d >= 50 THEN 'PROMOTED' WHEN d >= 10 THEN 'CONFIRMED' ELSE status END WHEN 'CONFIRMED' THEN CASE WHEN d >= 50 THEN 'PROMOTED' WHEN d < 5 THEN 'ARCHIVED' ELSE status END WHEN 'PROMOTED' THEN CASE WHEN d < 10 THEN 'ARCHIVED' ELSE status END ELSE status END AS status, round(d, 5) AS evidence FROM (SELECT *, {_DECAYED} AS d FROM reflections)""")
+@query("life_reflection", f"""WITH r AS (SELECT *, {_DECAYED} AS d FROM (SELECT r.id, status, importance, created_at, sub_zero, reinforcement + coalesce(delta_rein, 0) AS reinforcement, disputation + coalesce(delta_disp, 0) AS disputation FROM reflections r LEFT JOIN evidence e ON e.id = r.id)),
+ z AS (SELECT *, CASE WHEN status = 'PENDING' AND d < 0 THEN sub_zero + 1 WHEN status = 'PENDING' AND d < 10 THEN 0 ELSE sub_zero END AS z FROM r)
+ SELECT id, CASE status WHEN 'PENDING' THEN CASE WHEN d >= 50 THEN 'PROMOTED' WHEN d >= 10 THEN 'CONFIRMED' WHEN d < 0 AND z >= 3 THEN 'DENIED' ELSE status END WHEN 'CONFIRMED' THEN CASE WHEN d >= 50 THEN 'PROMOTED' WHEN d < 5 THEN 'ARCHIVED' ELSE status END WHEN 'PROMOTED' THEN CASE WHEN d < 10 THEN 'ARCHIVED' ELSE status END ELSE status END AS status, round(d, 5) AS evidence, CAST(z AS INT) AS sub_zero FROM z""")
 def life_reflection(t):
-    """Status after one check of decayed evidence."""
-    days = (F.lit(NOW) - F.col("created_at")) / DAY
+    """The snapshot of all reflections after the evidence of the batch and one check."""
+    return checked(t["reflections"], t["evidence"]).select("id", "status", F.round("evidence", 5).alias("evidence"), "sub_zero")
+
+
+def checked(reflections, evidence, now: float = NOW):
+    """reflections with the sums of their evidence (id, delta_rein, delta_disp) and the status that follows from what is left of it.
+
+    A pending one is denied at the third check in a row below zero; from zero on, short of confirmation, the count starts anew.
+    """
+    delta = evidence.groupBy("id").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("delta_rein", "delta_disp")))
+    x = reflections.join(delta, "id", "left").fillna(0.0, ["delta_rein", "delta_disp"])
+    x = x.withColumn("reinforcement", F.col("reinforcement") + F.col("delta_rein")).withColumn("disputation", F.col("disputation") + F.col("delta_disp"))
+    days = (F.lit(now) - F.col("created_at")) / DAY
     net = F.col("reinforcement") - F.col("disputation")
-    d = F.when(days > 0, net * F.pow(F.lit(0.5), days / 14)).otherwise(net) * F.col("importance") * 10
-    s = F.col("status")
-    new = F.when((s == "PENDING") & (d >= 50) | (s == "CONFIRMED") & (d >= 50), "PROMOTED").when((s == "PENDING") & (d >= 10), "CONFIRMED").when((s == "CONFIRMED") & (d < 5) | (s == "PROMOTED") & (d < 10), "ARCHIVED").otherwise(s)
-    return t["reflections"].select("id", new.alias("status"), F.round(d, 5).alias("evidence"))
+    x = x.withColumn("evidence", F.when(days > 0, net * F.pow(F.lit(0.5), days / 14)).otherwise(net) * F.col("importance") * 10)
+    d, s, pending = F.col("evidence"), F.col("status"), F.col("status") == "PENDING"
+    x = x.withColumn("sub_zero", F.when(pending & (d < 0), F.coalesce("sub_zero", F.lit(0)) + 1).when(pending & (d < 10), 0).otherwise(F.col("sub_zero")))
+    up = F.when(s.isin("PENDING", "CONFIRMED") & (d >= 50), "PROMOTED").when(pending & (d >= 10), "CONFIRMED").when(pending & (d < 0) & (F.col("sub_zero") >= 3), "DENIED")
+    return x.withColumn("status", up.when((s == "CONFIRMED") & (d < 5) | (s == "PROMOTED") & (d < 10), "ARCHIVED").otherwise(s)).drop("delta_rein", "delta_disp")
 
 
 @query("life_reflection_block", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY character, status ORDER BY importance DESC, created_at DESC, id) AS r FROM reflections WHERE status IN ('CONFIRMED', 'PROMOTED')), b AS (SELECT *, row_number() OVER (PARTITION BY character ORDER BY importance * (reinforcement - disputation) DESC, id) AS p FROM c WHERE r <= 5)
@@ -148,12 +163,26 @@ def narrative(rows, least: int = 3):
     return g.select("character", "n", F.concat_ws(" ", felt, sample, calm, F.lit(_STORY[5])).alias("narrative"))
 
 
-@query("life_extract", r"""SELECT id, CASE WHEN rule <> '' THEN rule WHEN length(content) >= 10 THEN substr(content, 1, 200) END AS statement, CASE WHEN rule <> '' THEN CAST(0.5 AS DOUBLE) WHEN length(content) >= 10 THEN CAST(0.3 AS DOUBLE) END AS weight FROM (SELECT id, content, regexp_extract(substr(content, 1, 300), '([Tt]he [a-z]+ (?:is|was|of) [a-z]+)', 1) AS rule FROM memory)""")
+@query("life_extract", f"""WITH m AS (SELECT id, CASE WHEN id % 2 = 0 THEN {_said("content")} ELSE content END AS c FROM memory), f AS ("""
+ + " UNION ALL ".join(f"SELECT id, '{k}' AS type, unnest(regexp_extract_all(substr(c, 1, 300), '{p}')) AS statement FROM m" for p, k in RULES)
+ + """) SELECT id, type, statement, CAST(0.5 AS DOUBLE) AS weight, 'rule' AS source FROM f UNION ALL SELECT id, 'conversation', substr(c, 1, 200), CAST(0.3 AS DOUBLE), 'safe' FROM m WHERE length(c) >= 10 AND id NOT IN (SELECT id FROM f)""")
 def life_extract(t):
-    """Rules first, then the safe head, then nothing."""
-    rule = F.nullif(F.regexp_extract(F.substring("content", 1, 300), "([Tt]he [a-z]+ (?:is|was|of) [a-z]+)", 1), F.lit(""))
-    long = F.length("content") >= 10
-    return t["memory"].select("id", F.coalesce(rule, F.when(long, F.substring("content", 1, 200))).alias("statement"), F.when(rule.isNotNull(), 0.5).when(long, 0.3).alias("weight"))
+    """Facts of every memory; in those of even ids words of the given prose are put for the phrases that the rules look for, the same in both engines."""
+    return extracted(t["memory"].select("id", F.when(F.col("id") % 2 == 0, F.expr(_said("content"))).otherwise(F.col("content")).alias("content")))
+
+
+def extracted(rows, answers=None):
+    """(id, type, statement, weight, source) of rows (id, content): what an outside writer answered (id, type, statement), else all matches of the rules, else the head of the text, else nothing."""
+    kind = lambda w, source: [F.lit(w).alias("weight"), F.lit(source).alias("source")]
+    told = None
+    if answers is not None:
+        told = answers.where("type IS NOT NULL AND statement IS NOT NULL").select("id", F.trim("type").alias("type"), F.trim("statement").alias("statement"), *kind(0.6, "answer"))
+        rows = rows.join(told, "id", "left_anti")
+    head = F.array(F.struct(F.lit("conversation").alias("type"), F.substring("content", 1, 200).alias("statement")))
+    found = rows.select("id", "content", rule_matches(F.col("content")).alias("x")).withColumn("none", F.size("x") <= 0)
+    found = found.where(~F.col("none") | (F.length("content") >= 10)).select("id", "none", F.explode(F.when(F.col("none"), head).otherwise(F.col("x"))).alias("x"))
+    out = found.select("id", "x.type", "x.statement", F.when(F.col("none"), 0.3).otherwise(0.5).alias("weight"), F.when(F.col("none"), "safe").otherwise("rule").alias("source"))
+    return out if told is None else out.unionByName(told)
 
 
 @query("detect_dissonance", f"""WITH {FUSED}, cd AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM rk WHERE type IN ('fact', 'preference') AND score >= 0.3),

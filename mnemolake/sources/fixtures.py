@@ -40,7 +40,7 @@ DERIVED = {
     "queries_fts": "SELECT item_id AS query_id, regexp_extract(text, '^[^ ]* [^ ]* [^ ]*', 0) AS q FROM benchmark WHERE item_id < 20",
     "reflections": """SELECT doc_id AS id, text, concat('ch_', CAST(doc_id % 3 AS STRING)) AS character, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'PENDING' WHEN 1 THEN 'CONFIRMED' WHEN 2 THEN 'PROMOTED' ELSE 'DENIED' END AS status,
  CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'user' WHEN 1 THEN 'self' ELSE 'relationship' END AS entity, CAST((doc_id * 29) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS importance,
- CAST((doc_id * 7) % 60 AS DOUBLE) AS reinforcement, CAST((doc_id * 5) % 20 AS DOUBLE) AS disputation, CAST(1735689600 - 86400 * (doc_id % 90) AS DOUBLE) AS created_at, CAST(1735689600 - 86400 * (doc_id % 30) AS DOUBLE) AS updated_at FROM documents""",
+ CAST((doc_id * 7) % 60 AS DOUBLE) AS reinforcement, CAST((doc_id * 5) % 20 AS DOUBLE) AS disputation, CAST(1735689600 - 86400 * (doc_id % 90) AS DOUBLE) AS created_at, CAST(1735689600 - 86400 * (doc_id % 30) AS DOUBLE) AS updated_at, CAST((doc_id - doc_id % 4) / 4 % 3 AS INT) AS sub_zero FROM documents""",
     "directives": """SELECT c_custkey AS id, concat('ch_', CAST(c_custkey % 5 AS STRING)) AS character, c_mktsegment AS type, c_name AS content, CAST(1735689600 - 3600 * (c_custkey % 200) AS DOUBLE) AS created_at,
  CASE WHEN c_custkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1735689600 - 3600 * (c_custkey % 200) + 259200 AS DOUBLE) END AS expires_at, c_custkey % 13 <> 0 AS is_active FROM customer""",
     "project_edges": """SELECT doc_id AS source, doc_id + 1 AS target, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'SOLVES' WHEN 1 THEN 'PREVENTS' WHEN 2 THEN 'CAUSED_BY' ELSE 'RELATES_TO' END AS relation,
