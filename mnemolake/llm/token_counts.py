@@ -87,8 +87,8 @@ class Rollup:
         commits = self._commits()
         return sorted(commits.keys() - {n for _, folded in commits.values() for n in folded})
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        commits = self._commits()
+    def _read(self, kind: str, schema: str, commits: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
+        commits = self._commits() if commits is None else commits
         gone = {n for _, folded in commits.values() for n in folded}
         paths = [f"{self.path}/data/{folder}/{kind}" for name, (folder, _) in sorted(commits.items()) if name not in gone]
         if not paths:
@@ -153,9 +153,13 @@ class Rollup:
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, name: str) -> bool:
-        """Fold all commits that count into one of this name, then delete the data of all that no longer count."""
-        folded = self.batches()
-        done = self._publish(name, folder := self._write(self._read("entries", _ENTRY)), folded)
+        """Fold all commits that count into one of this name, then delete the data of all that no longer count.
+
+        What is read is what is folded: a commit that appears meanwhile is in neither and counts beside the result.
+        """
+        listed = self._commits()
+        folded = sorted(listed.keys() - {n for _, names in listed.values() for n in names})
+        done = self._publish(name, folder := self._write(self._read("entries", _ENTRY, listed)), folded)
         if not done:
             self._drop(folder)
         commits = self._commits()

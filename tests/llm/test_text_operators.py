@@ -252,6 +252,24 @@ def test_rollup_survives_a_stop(spark, docs, tmp_path):
     assert not late._publish("e", "another", []) and late.batches() == ["e"]
 
 
+def test_a_commit_during_compaction_counts_once(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/r", "doc_id long, text string, source string, lang string"
+    store, other = token_counts.Rollup(spark, path), token_counts.Rollup(spark, path)
+    docs = lambda rows: token_counts.counted(spark.createDataFrame(rows, schema), "words-1")
+    store.commit("a", docs([(1, "one two", "s", "en")]))
+    read = store._read
+
+    def late(kind, schema, *given):
+        other.commit("b", docs([(2, "three", "s", "en")]))
+        return read(kind, schema, *given)
+
+    store._read = late
+    assert store.compact("c")
+    want = [("s", "en", "words-1", 2, 3)]
+    assert [tuple(r) for r in other.totals().collect()] == want
+    assert other.compact("d") and [tuple(r) for r in other.totals().collect()] == want
+
+
 def test_rollup_reads_touched_buckets(spark, tmp_path):
     store = token_counts.Rollup(spark, f"file://{tmp_path}/r")
     docs = spark.range(2000).selectExpr("id AS doc_id", "'a b' AS text", "'s' AS source", "'en' AS lang")
