@@ -215,7 +215,7 @@ class Engine:
         return self._replace("reflections", r.drop("_r", "_d"))
 
     def reflection_promote(self) -> DataFrame:
-        return lifecycle.life_reflection(self.t)
+        return lifecycle.checked(self.t["reflections"])
 
     def reflection_stats(self) -> DataFrame:
         return self.t["reflections"].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -261,7 +261,7 @@ class Engine:
             return self._replace("memory", cut(self.t["memory"].join(dup, "id", "left").withColumn("archived", F.col("archived") | F.coalesce("_dup", F.lit(False))).drop("_dup")))
         if op == "expire_directives":
             return self._replace("directives", self.t["directives"].withColumn("is_active", F.col("is_active") & ((F.col("expires_at") == 0) | (F.col("expires_at") > self.now))))
-        ops = {"cleanup": lifecycle.life_cleanup, "vector_sync": lifecycle.life_vector_sync, "reflection_promote": lifecycle.life_reflection, "profile_sync": agg_profile, "temporal_extract": lambda t: lifecycle.extracted(t["memory"])}
+        ops = {"cleanup": lifecycle.life_cleanup, "vector_sync": lifecycle.life_vector_sync, "reflection_promote": lambda t: lifecycle.checked(t["reflections"]), "profile_sync": agg_profile, "temporal_extract": lambda t: lifecycle.extracted(t["memory"])}
         return ops[op](self.t)
 
     def narrative_generate(self) -> DataFrame:

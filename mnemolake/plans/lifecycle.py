@@ -90,11 +90,15 @@ def life_reflection(t):
     return checked(t["reflections"], t["evidence"]).select("id", "status", F.round("evidence", 5).alias("evidence"), "sub_zero")
 
 
-def checked(reflections, evidence, now: float = NOW):
+def checked(reflections, evidence=None, now: float = NOW):
     """reflections with the sums of their evidence (id, delta_rein, delta_disp) and the status that follows from what is left of it.
 
     A pending one is denied at the third check in a row below zero; from zero on, short of confirmation, the count starts anew.
     """
+    if evidence is None:
+        evidence = reflections.select("id", F.lit(0.0).alias("delta_rein"), F.lit(0.0).alias("delta_disp")).limit(0)
+    if "sub_zero" not in reflections.columns:
+        reflections = reflections.withColumn("sub_zero", F.lit(0))
     delta = evidence.groupBy("id").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("delta_rein", "delta_disp")))
     x = reflections.join(delta, "id", "left").fillna(0.0, ["delta_rein", "delta_disp"])
     x = x.withColumn("reinforcement", F.col("reinforcement") + F.col("delta_rein")).withColumn("disputation", F.col("disputation") + F.col("delta_disp"))
