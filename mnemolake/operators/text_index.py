@@ -2,7 +2,8 @@
 
 A write makes a segment: the postings of its rows, a block for each token and range of ids, with the number of rows, the
 largest frequency and the smallest length in it; and its documents with their lengths. Rows that are written again or
-deleted get a tombstone, which carries what the statistics lose. A version file lists segments and tombstones and is
+deleted get a tombstone, which carries what the statistics lose. The texts are dealt out by range of ids, once; a range's
+blocks are made and written where its texts lie, so that no posting is shuffled. A version file lists segments and tombstones and is
 published by a rename that fails where the number is taken, so readers see a whole version and a stopped writer leaves
 the one before. Merging rewrites the live rows of all segments as one.
 
@@ -18,19 +19,31 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_tokens
 from ..sources.scratch import cut
-from .search import K1, B, postings, ranked, small
+from .search import K1, B, ranked, small
 
 BUCKETS, SPAN, SEEDS, EPS = 64, 128, 3, 1e-8
-_BLOCK = "token string, range long, n long, max_f long, min_d long, entries array<struct<id: bigint, d: bigint, f: bigint, at: array<struct<field: int, pos: int>>>>, bucket int"
+#: Bytes of text that one task makes into blocks, and tokens that it holds beside the range in hand.
+TASK_BYTES, HOLD = 24 << 20, 1 << 19
+_FIELDS = ("content", "type", "tags")
+_BLOCK = "token string, range long, n long, max_f long, min_d long, entries array<struct<id: bigint, d: bigint, f: bigint, at: array<struct<field: int, pos: int>>>>"
 _DOC = "id long, d long, tokens array<string>"
+#: A segment is one table: blocks in their buckets, documents in bucket -1.
+_SEGMENT = f"{_BLOCK}, {_DOC}, bucket int"
 _HEAD = ["token", "range", "n", "max_f", "min_d"]
+_PLACE = pa.struct([("field", pa.int32()), ("pos", pa.int32())])
+_ENTRY = pa.struct([("id", pa.int64()), ("d", pa.int64()), ("f", pa.int64()), ("at", pa.list_(_PLACE))])
+_ARROW = pa.schema([("token", pa.string()), ("range", pa.int64()), ("n", pa.int64()), ("max_f", pa.int64()), ("min_d", pa.int64()), ("entries", pa.list_(_ENTRY)), ("id", pa.int64()), ("d", pa.int64()), ("tokens", pa.list_(pa.string()))])
 
 
 def _bucket(token: str = "token") -> Column:
@@ -41,6 +54,70 @@ def _weight(f: Column, d: Column, mean: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * d / mean))
 
 
+def _made(table: pa.Table, span: int) -> pa.RecordBatch:
+    """The blocks and documents of whole ranges: rows (id, content, type, tags) of tokens, ordered by id."""
+    table = table.combine_chunks()
+    ids, rows = table.column("id").to_numpy(), table.num_rows
+    lists = [table.column(c).chunk(0) for c in _FIELDS]
+    sizes = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    length = sum(sizes)
+    key, doc = np.unique(np.stack([ids, length], 1), axis=0, return_inverse=True)  # rows of one id and length count as one
+    doc, ids, length = doc.reshape(-1), key[:, 0], key[:, 1]
+    token = pa.concat_arrays([x.flatten().cast(pa.string()) for x in lists]).dictionary_encode()
+    code, names = token.indices.to_numpy().astype(np.int64), token.dictionary
+    field = np.repeat(np.arange(len(lists), dtype=np.int32), [n.sum() for n in sizes])
+    pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes]).astype(np.int32)
+    pair = code * len(ids) + doc[np.concatenate([np.repeat(np.arange(rows), n) for n in sizes])]
+    order = np.argsort(pair, kind="stable")
+    pair, starts = np.unique(pair[order], return_index=True)
+    code, doc, f = pair // len(ids), pair % len(ids), np.diff(np.append(starts, len(order)))
+    at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(field[order]), pa.array(pos[order])], ["field", "pos"]))
+    entries = pa.StructArray.from_arrays([pa.array(ids[doc]), pa.array(length[doc]), pa.array(f), at], ["id", "d", "f", "at"])
+    span_of = ids[doc] // span
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (span_of[1:] != span_of[:-1]))) if len(code) else np.zeros(0, np.int64)
+    ends = np.append(first, len(code))
+    blocks = [names.take(pa.array(code[first])), pa.array(span_of[first]), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(f, first) if len(first) else f), pa.array(np.minimum.reduceat(length[doc], first) if len(first) else f), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)]
+    whole, of = np.unique(ids, return_index=True)
+    number = np.cumsum(np.append(0, (ids[1:] != ids[:-1]).astype(np.int64)))[doc]
+    held = np.unique(number * max(len(names), 1) + code)
+    offsets = np.searchsorted(held // max(len(names), 1), np.arange(len(whole) + 1)).astype(np.int32)
+    docs = [pa.array(whole), pa.array(length[of]), pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(held % max(len(names), 1))))]
+    b, d = len(first), len(whole)
+    columns = [pa.concat_arrays([c, pa.nulls(d, c.type)]) for c in blocks] + [pa.concat_arrays([pa.nulls(b, c.type), c]) for c in docs]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+def _tokens(table: pa.Table) -> int:
+    return sum(pa.compute.sum(pa.compute.list_value_length(table.column(c))).as_py() or 0 for c in _FIELDS)
+
+
+def _blocks_of(span: int):
+    """A pass over token lists (id, content, type, tags), whole ranges in the order of their ids: what a segment holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        nameless = None
+        for b in batches:
+            part = pa.Table.from_batches([b])
+            if part.column("id").null_count:  # rows without an id are found by no query and count as one document
+                lost = part.filter(pa.compute.is_null(part.column("id")))
+                nameless = (nameless or 0) + _tokens(lost)
+                part = part.filter(pa.compute.is_valid(part.column("id")))
+            held = part if held is None else pa.concat_tables([held, part])
+            if _tokens(held) > HOLD:
+                ranges = held.column("id").to_numpy() // span
+                done = int(np.searchsorted(ranges, ranges[-1]))
+                if done:
+                    yield _made(held.slice(0, done), span)
+                    held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield _made(held, span)
+        if nameless is not None:
+            yield pa.RecordBatch.from_pylist([{"d": nameless, "tokens": []}], schema=_ARROW)
+
+    return run
+
+
 class SegmentedIndex:
     def __init__(self, spark: SparkSession, path: str, span: int = SPAN):
         self.spark, self.path, self.span, self.read = spark, path.rstrip("/"), span, None
@@ -79,23 +156,22 @@ class SegmentedIndex:
             return False
 
     # writes
-    def _segment(self, post: DataFrame, docs: DataFrame) -> dict[str, list[int]]:
-        """A new segment of postings (id, d, token, f, at) and documents (id, d, tokens), with its number of documents and tokens."""
+    def _segment(self, made: DataFrame) -> dict[str, list[int]]:
+        """A new segment of blocks and documents (without their buckets), with its number of documents and tokens."""
         name = uuid.uuid4().hex
-        entry = F.struct(F.col("id").cast("long").alias("id"), F.col("d").cast("long").alias("d"), F.col("f").cast("long").alias("f"), "at")
-        blocks = post.withColumn("range", F.floor(F.col("id") / self.span)).groupBy("token", "range").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("max_f"), F.min("d").cast("long").alias("min_d"), F.sort_array(F.collect_list(entry)).alias("entries"))
-        blocks = blocks.withColumn("bucket", _bucket())
-        # a frequent token is one value of the hash: its blocks are dealt out by range as well
-        blocks.repartition("bucket", F.pmod("range", F.lit(4))).sortWithinPartitions("bucket", "token", "range").write.partitionBy("bucket").parquet(f"{self.path}/{name}/blocks")
-        docs.write.parquet(f"{self.path}/{name}/docs")
-        n = self.spark.read.schema(_DOC).parquet(f"{self.path}/{name}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("d"), F.lit(0))).first()
+        made = made.withColumn("bucket", F.when(F.col("token").isNull(), -1).otherwise(_bucket()))
+        made.sortWithinPartitions("bucket", "token", "range").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        n = self._docs(name).agg(F.count(F.lit(1)), F.coalesce(F.sum("d"), F.lit(0))).first()
         return {name: [n[0], n[1]]}
 
+    def _docs(self, segment: str) -> DataFrame:
+        return self.spark.read.schema(_SEGMENT).parquet(f"{self.path}/{segment}").where("bucket = -1").select("id", "d", "tokens")
+
     def _documents(self, content: dict) -> DataFrame:
         """(segment, id, d, tokens) of all live documents."""
         out = None
         for s in content["segments"]:
-            one = self.spark.read.schema(_DOC).parquet(f"{self.path}/{s}/docs").withColumn("segment", F.lit(s))
+            one = self._docs(s).withColumn("segment", F.lit(s))
             out = one if out is None else out.union(one)
         if out is None:
             return self.spark.createDataFrame([], _DOC + ", segment string")
@@ -118,12 +194,11 @@ class SegmentedIndex:
 
     def upsert(self, rows: DataFrame) -> int:
         """Write rows (id, content, type, tags), in place of those of the same ids; the number of the version that has them."""
-        rows = rows.select(F.col("id").cast("long").alias("id"), "content", "type", "tags")
-        places = cut(postings(rows))
-        post = places.groupBy("id", "d", "token").agg(F.count(F.lit(1)).alias("f"), F.sort_array(F.collect_list(F.struct(F.col("field").cast("int").alias("field"), F.col("pos").cast("int").alias("pos")))).alias("at"))
-        held = places.groupBy("id").agg(F.first("d").cast("long").alias("d"), F.collect_set("token").alias("tokens"))
-        docs = rows.select("id").distinct().join(held, "id", "left").select("id", F.coalesce("d", F.lit(0).cast("long")).alias("d"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-        new = self._segment(post, docs)
+        rows = rows.select(F.col("id").cast("long").alias("id"), *_FIELDS)
+        size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in _FIELDS), F.lit(0)))).first()[0] or 0
+        dealt = rows.repartition(int(size // TASK_BYTES) + 1, F.floor(F.col("id") / self.span)).sortWithinPartitions("id")
+        tokens = dealt.select("id", *(F.coalesce(fts_tokens(F.col(c)), F.array().cast("array<string>")).alias(c) for c in _FIELDS))
+        new = self._segment(tokens.mapInArrow(_blocks_of(self.span), f"{_BLOCK}, {_DOC}"))
         while True:
             number, content = self.version()
             dead = self._tombstones(content, rows) if content["segments"] else {}
@@ -143,7 +218,10 @@ class SegmentedIndex:
         number, content = self.version()
         rows = self._blocks(content).select("segment", "token", F.explode("entries").alias("e")).select("segment", "token", "e.*")
         rows = rows.join(self._dead(content), ["segment", "id"], "left_anti") if content["dead"] else rows
-        new = self._segment(rows.select("id", "d", "token", "f", "at"), self._documents(content).select("id", "d", "tokens"))
+        blocks = rows.groupBy("token", F.floor(F.col("id") / self.span).alias("range")).agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("max_f"), F.min("d").alias("min_d"), F.sort_array(F.collect_list(F.struct("id", "d", "f", "at"))).alias("entries"))
+        # a frequent token is one value of the hash: its blocks are dealt out by range as well
+        blocks = blocks.repartition(_bucket(), F.pmod("range", F.lit(4)))
+        new = self._segment(blocks.unionByName(self._documents(content).select("id", "d", "tokens"), allowMissingColumns=True))
         return number + 1 if self._publish(number + 1, {"segments": new, "dead": {}}) else number
 
     def vacuum(self) -> list[str]:
@@ -159,10 +237,10 @@ class SegmentedIndex:
     def _blocks(self, content: dict, buckets: list[int] | None = None) -> DataFrame:
         out = None
         for s in content["segments"]:
-            one = self.spark.read.schema(_BLOCK).parquet(f"{self.path}/{s}/blocks").withColumn("segment", F.lit(s))
+            one = self.spark.read.schema(_SEGMENT).parquet(f"{self.path}/{s}").where("bucket >= 0").drop("id", "d", "tokens").withColumn("segment", F.lit(s))
             out = one if out is None else out.union(one)
         if out is None:
-            return self.spark.createDataFrame([], _BLOCK + ", segment string")
+            return self.spark.createDataFrame([], _BLOCK + ", bucket int, segment string")
         return out if buckets is None else out.where(F.col("bucket").isin(buckets))
 
     def _prepared(self, queries: DataFrame):

@@ -93,3 +93,23 @@ def test_given_tables(spark, sf):
     index = SegmentedIndex(spark, new_path(spark, "index"))
     index.upsert(t["memory"])
     assert rounded(index.top(t["queries_fts"], 10, t["memory"].where("NOT archived").select("id"))) == rounded(search.fts(t["memory"], t["queries_fts"], 10))
+
+
+def test_a_build_shuffles_texts_and_no_postings(spark, tmp_path):
+    rng = random.Random(34)
+    memory = spark.createDataFrame([*some_rows(rng, range(90), long=8), (None, "rain rain", "fact", "", 0.5, False)], SCHEMA)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    index = SegmentedIndex(spark, f"file://{tmp_path}/i", span=16)
+    index.upsert(memory)
+    assert shuffled() - before <= 91 + 40  # a row each, and the partial sums of two statistics
+    assert list(index.version()[1]["segments"].values())[0][0] == 91  # the row without an id counts
+    blocks = index._blocks(index.version()[1])
+    assert blocks.count() == blocks.select("token", "range").distinct().count()
+    q = spark.createDataFrame(QUERIES, "query_id long, q string")
+    assert {(a, b) for a, b, _ in rounded(index.all(q))} == {(a, b) for a, b, _ in rounded(search.bm25(memory.where("id IS NOT NULL"), q))}
