@@ -139,7 +139,7 @@ _LINES = f"list_filter(list_transform(string_split(content, chr(10)), x -> trim(
  SELECT id, CASE WHEN n >= 40 AND greatest(1, length(s)) > target THEN concat(substr(s, 1, half), ' … ', right(s, half)) ELSE s END AS short FROM h""")
 def str_compress(t):
     """Drop fillers and repeated lines, collapse spaces and runs of marks, then cut the middle to half the size."""
-    lines = F.filter(F.transform(F.split("content", "\n"), F.trim), lambda x: (F.length(x) >= 2) & ~x.isin(FILLERS))
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 2) & ~x.isin(FILLERS))
     k = t["memory"].select("id", F.length("content").alias("n"), lines.alias("l"))
     k = k.select("id", "n", F.filter("l", lambda x, i: (i == 0) | (x != F.get("l", i - 1))).alias("l"))
     s = F.regexp_replace(X.collapse(F.array_join("l", "\n")), r"(\s*[，。、；：,.!?])(?:\s*[，。、；：,.!?]+\s*)+", "$1")

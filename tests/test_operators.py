@@ -504,3 +504,11 @@ def test_tree_scope_against_brute_force(spark):
             rows.append((-round(score + {"path": 0.4, "branch": 0.2, "global": 0.0}[scope], 9), -score, k, i, scope))
         want |= {(q, i, scope, round(-s, 4)) for s, _, _, i, scope in sorted(rows)[:6]}
     assert {tuple(r) for r in got.collect()} == want and {w[2] for w in want} >= {"path", "branch"}
+
+
+def test_str_compress_trims_spaces_and_keeps_digits(spark):
+    """A line's place in the text is no argument of its trim: line 0 lost its zeros, line 1 its ones."""
+    from mnemolake.plans.text import str_compress
+
+    m = spark.createDataFrame([(1, "0 call 555-8630\n1 room 11\n  spaced  ")], "id long, content string")
+    assert str_compress({"memory": m}).collect()[0]["short"] == "0 call 555-8630 1 room 11 spaced"
