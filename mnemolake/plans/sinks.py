@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
+from ..sources.fixtures import pair_parts
 from .catalog import query
 
 
@@ -93,9 +94,10 @@ def sink_link(t):
 def sink_eg_edge(t):
     """Upsert of deltas into the edges: weights add up and are capped at 1, counts go up by one a delta. As deltas are not negative, their order does not matter."""
     deltas = t["lineitem"].select((F.col("l_partkey") % 300 + 1).alias("src"), (F.col("l_suppkey") % 40 + 400).alias("dst"), F.col("l_discount").cast("double").alias("weight"))
-    deltas = deltas.union(t["eg_edges"].where("co_occurrence_count > 1").select("src", "dst", F.lit(0.25)))
-    rows = t["eg_edges"].select("src", "dst", "weight", F.col("co_occurrence_count").alias("n")).union(deltas.withColumn("n", F.lit(1).cast("long")))
-    return rows.groupBy("src", "dst").agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 9).alias("weight"), F.sum("n").alias("n"))
+    deltas = deltas.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))  # few keys, so before the edges meet them
+    again = t["eg_edges"].where("co_occurrence_count > 1").select("src", "dst", F.lit(0.25), F.lit(1).cast("long"))
+    rows = t["eg_edges"].select("src", "dst", "weight", F.col("co_occurrence_count").alias("n")).union(deltas).union(again)
+    return rows.repartition(pair_parts(t), "src", "dst").groupBy("src", "dst").agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 9).alias("weight"), F.sum("n").alias("n"))
 
 
 @query("sink_activation", """SELECT user_id % 50 AS memory_id, round(max_by(value, event_id), 6) AS score, CAST(max(event_id) * 60 + 1200 AS BIGINT) AS expires_at FROM events GROUP BY 1""")

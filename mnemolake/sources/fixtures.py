@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables of the driver.
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -51,6 +52,40 @@ _SPARK = {"queries_fts": DERIVED["queries_fts"], "interactions": DERIVED["intera
 _DUCK = {"skills": DERIVED["skills"].replace("'-')", "'-', 'g')")}
 
 
+#: Order lines, and pairs of them, that one task holds in hash tables and sorts.
+LINES, PAIRS = 500_000, 1_000_000
+
+
+def parts(t: _Tables, of: int = LINES) -> int:
+    """How many tasks the order lines are dealt out to, so that a task's memory does not grow with them."""
+    return max(t.spark.sparkContext.defaultParallelism, t["lineitem"].count() // of + 1)
+
+
+def pair_parts(t: _Tables) -> int:
+    """The same for pairs, of which there are about two a line."""
+    return parts(t, PAIRS // 2)
+
+
+def _links(t: _Tables) -> DataFrame:
+    """eg_episodic_entities by one shuffle, which the joins by memory go on using."""
+    weight = F.greatest(F.lit(0.3), F.least(F.lit(1.0), F.col("l_quantity") / F.lit(50.0)))
+    lines = t["lineitem"].select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id"), weight.alias("link_weight"))
+    return lines.repartition(parts(t), "memory_id").groupBy("memory_id", "entity_id").agg(F.max("link_weight").alias("link_weight"))
+
+
+def _pairs(t: _Tables) -> DataFrame:
+    """eg_edges: pairs are made where a memory's links lie and are summed after the shuffle, as hardly two of a task are equal."""
+    a = t["eg_episodic_entities"].select("memory_id", F.col("entity_id").alias("src"))
+    b = t["eg_episodic_entities"].select("memory_id", F.col("entity_id").alias("dst"))
+    pairs = a.join(b, "memory_id").where("src < dst").join(t["eg_episodic"].select(F.col("id").alias("memory_id"), "importance"), "memory_id")
+    pairs = pairs.select("src", "dst", (F.lit(0.1) * F.col("importance")).alias("w")).repartition(pair_parts(t), "src", "dst")
+    return pairs.groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum("w")).alias("weight"), F.count(F.lit(1)).alias("co_occurrence_count"))
+
+
+#: Tables that Spark makes by a plan of its own, with the rows of their SQL.
+_PLANS = {"eg_episodic_entities": _links, "eg_edges": _pairs}
+
+
 def uses(sql: str, name: str) -> bool:
     return re.search(rf"\b{name}\b", sql) is not None
 
@@ -74,7 +109,9 @@ class _Tables(dict):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __missing__(self, name: str) -> DataFrame:
-        if name in DERIVED:
+        if name in _PLANS:
+            df = _PLANS[name](self)
+        elif name in DERIVED:
             sql = _SPARK.get(name, DERIVED[name])
             parts = [n for n in [*BASE, *DERIVED] if n != name and uses(sql, n)]
             df = self.spark.sql(re.sub(r"\b(" + "|".join(parts) + r")\b(?=[\s)]|$)", lambda m: "{" + m[1] + "}" if m[1] in parts else m[1], sql) if parts else sql, **{n: self[n] for n in parts})

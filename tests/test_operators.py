@@ -512,3 +512,33 @@ def test_str_compress_trims_spaces_and_keeps_digits(spark):
 
     m = spark.createDataFrame([(1, "0 call 555-8630\n1 room 11\n  spaced  ")], "id long, content string")
     assert str_compress({"memory": m}).collect()[0]["short"] == "0 call 555-8630 1 room 11 spaced"
+
+
+def test_tasks_of_pairs_grow_with_the_order_lines(spark, monkeypatch):
+    """A task holds so many lines and pairs at most, however many there are; the rows stay those of the SQL (test_queries)."""
+    from mnemolake.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "LINES", 100)
+    monkeypatch.setattr(fixtures, "PAIRS", 100)
+    monkeypatch.setattr(fixtures.parts, "__defaults__", (100,))
+    t = tables(spark, "/root/testdata/sf0.001")
+    lines = t["lineitem"].count()
+    assert t["eg_episodic_entities"].rdd.getNumPartitions() == lines // 100 + 1
+    assert t["eg_edges"].rdd.getNumPartitions() == lines // 50 + 1
+
+
+def test_pagerank_of_seeds_without_edges(spark):
+    """Mass of nodes without edges returns to the seeds of its own query, also where every node lacks edges."""
+    edges = spark.createDataFrame([(1, 2, 1.0), (1, 3, 3.0), (2, 3, 0.0)], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(1, 1), (1, 9), (2, 3), (2, 4)], "query_id int, id long")
+    got = {(r["query_id"], r["id"]): r["p"] for r in graph.personalized_pagerank(edges, seeds).collect()}
+    for q, s in ((1, [1, 9]), (2, [3, 4])):
+        p = dict.fromkeys(s, 1 / len(s))
+        for _ in range(graph.ITERATIONS):
+            new = {x: 0.15 / len(s) for x in s}
+            for x, m in p.items():
+                for y, w in {1: [(2, 0.25), (3, 0.75)], 2: [(3, 0.0)]}.get(x, [(y, 1 / len(s)) for y in s]):
+                    new[y] = new.get(y, 0.0) + 0.85 * m * w
+            p = new
+        assert {k[1] for k in got if k[0] == q} == set(p)
+        assert all(abs(got[q, x] - m) < 1e-12 for x, m in p.items())
