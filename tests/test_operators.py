@@ -285,6 +285,31 @@ def test_entities_against_brute_force(spark):
     assert {tuple(r) for r in entity_fuzzy(t).collect()} == want and {q for q, _, _ in want} == {1, 2, 3}
 
 
+def test_few_surfaces_are_held_against_names_as_they_are_read(spark, monkeypatch):
+    from mnemolake.plans import graphs, similar
+
+    names = spark.createDataFrame([(i, f"Brand#{i % 7}{i % 5} {i}") for i in range(400)] + [(400, "Élan 1"), (401, ""), (402, None)], "id long, name string")
+    surfaces = spark.createDataFrame([(1, "brand#12"), (2, "the BRAND#33 38 of old"), (3, "élan 1, again"), (4, ""), (5, None)], "query_id int, surface string")
+    want = {(q, i, min(len(n), len(s)) / max(len(n), len(s))) for i, n in names.collect() for q, s in surfaces.collect() if n and s and (n.lower() in s.lower() or s.lower() in n.lower())}
+    monkeypatch.setattr(graphs, "FEW", 0)
+    assert {tuple(r) for r in graphs.contained(names, surfaces).collect()} == want and {q for q, _, _ in want} == {1, 2, 3}
+    monkeypatch.setattr(graphs, "FEW", 64)
+    monkeypatch.setattr(graphs, "holders", None)  # no walk in Python
+    assert {tuple(r) for r in graphs.contained(names, surfaces).collect()} == want
+    # of the names, only those go to difflib that the edit distance lets through, equal ones once
+    seen = spark.sparkContext.accumulator(0)
+    counted = similar.ratio
+
+    def ratio(a, b, least):
+        tell = F.udf(lambda x: (seen.add(1), x)[1]).asNondeterministic()
+        return counted(tell(a), b, least)
+
+    monkeypatch.setattr(similar, "ratio", ratio)
+    t = {"eg_entities": names, "eg_aliases": spark.createDataFrame([(i, f"alias {i % 3}") for i in range(300)], "entity_id long, alias string")}
+    assert [tuple(r) for r in similar._aligned(t, spark.createDataFrame([(1, "alias 2"), (2, "Elan 1")], "query_id int, surface string")).collect()] == [(1, 2, 1.0)]
+    assert 0 < seen.value < 30
+
+
 def test_rules_can_be_switched(spark):
     from mnemolake.plans.predicates import memory_rules
 
