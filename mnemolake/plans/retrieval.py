@@ -318,15 +318,32 @@ def anti_repeat_check(t):
     return repeat_score(r.where("turn < last"), r.where("turn = last").select("character", "text")).where("known").select("character", F.round("score", 4).alias("score"))
 
 
+#: Responses of one character that are made into grams in one task, and of all characters of a task.
+MANY, TASK_RESPONSES = 2_000, 50_000
+
+
+def top_grams(grams):
+    """(character, top) of grams (character, turn, ngram): n and the mean a of the 500 heaviest grams, and these with their w and h. Where rows lie by character, nothing is shuffled."""
+    old = grams.groupBy("character", "ngram", "turn").agg(F.count(F.lit(1)).alias("f")).groupBy("character", "ngram").agg(F.sum(F.least(F.lit(1.0), 0.1 * F.col("f"))).alias("w"), (F.count(F.lit(1)) - 1).alias("h"))
+    c = search.ranked(old, [F.desc("w"), F.col("ngram")], 500, "character")
+    found = F.map_from_entries(F.collect_list(F.struct("ngram", F.struct("w", "h"))))
+    return c.groupBy("character").agg(F.struct(F.count(F.lit(1)).alias("n"), (F.sum("h") / F.count(F.lit(1))).alias("a"), found.alias("grams")).alias("top"))
+
+
 def repeat_score(used, candidates):
     """(character, text, known, score) of candidates (character, text); known: the character has used grams. used: (character, turn, text).
 
-    A gram weighs a tenth for each time a response used it, one response at most 1; one shuffle by gram serves both sums.
+    A gram weighs a tenth for each time a response used it, one response at most 1. Responses are dealt out by character as
+    texts and become grams where they lie; those of a character of more than MANY are dealt out as grams.
     """
-    old = used.select("character", "turn", F.explode(repeat_grams(F.col("text"), 5)).alias("ngram")).repartition("character", "ngram")
-    old = old.groupBy("character", "ngram", "turn").agg(F.count(F.lit(1)).alias("f")).groupBy("character", "ngram").agg(F.sum(F.least(F.lit(1.0), 0.1 * F.col("f"))).alias("w"), (F.count(F.lit(1)) - 1).alias("h"))
-    c = search.ranked(old, [F.desc("w"), F.col("ngram")], 500, "character")
-    st = c.groupBy("character").agg(F.count(F.lit(1)).alias("n"), (F.sum("h") / F.count(F.lit(1))).alias("a"))
-    x = candidates.select("character", "text", F.explode(repeat_grams(F.col("text"), 5)).alias("ngram")).join(st, "character", "left").join(c.select("character", "ngram", "w", "h"), ["character", "ngram"], "left")
+    grams = lambda df: df.select("character", "turn", F.explode(repeat_grams(F.col("text"), 5)).alias("ngram"))
+    sizes = used.groupBy("character").agg(F.count(F.lit(1)).alias("responses"))
+    busy = cut(sizes.where(F.col("responses") > MANY).select("character"))
+    tasks = max(used.sparkSession.sparkContext.defaultParallelism, used.count() // TASK_RESPONSES + 1)
+    here = top_grams(grams(used.join(busy, "character", "left_anti").repartition(tasks, "character")))
+    apart = top_grams(grams(used.join(busy, "character", "left_semi")).repartition("character", "ngram"))
+    x = candidates.select("character", "text").join(here.withColumnRenamed("top", "top1"), "character", "left").join(apart.withColumnRenamed("top", "top2"), "character", "left")
+    x = x.select("character", "text", F.coalesce("top1", "top2").alias("top"), repeat_grams(F.col("text"), 5).alias("grams"))
+    x = x.select("character", "text", "top.n", "top.a", F.explode(F.transform("grams", lambda g: F.element_at("top.grams", g))).alias("g")).select("*", "g.w", "g.h")
     s = F.col("w") * F.log((F.col("n") - F.col("h") + 0.5) / (F.col("h") + 0.5) + 1) * 1.5 / (1 + 1.5 * (0.25 + 0.75 / F.greatest("a", F.lit(1.0))))
     return x.groupBy("character", "text").agg(F.bool_or(F.col("n").isNotNull()).alias("known"), (F.sum(F.coalesce(s, F.lit(0.0))) / F.count(F.lit(1))).alias("score"))

@@ -310,6 +310,25 @@ def test_few_surfaces_are_held_against_names_as_they_are_read(spark, monkeypatch
     assert 0 < seen.value < 30
 
 
+def test_repeats_are_shuffled_as_texts(spark, monkeypatch):
+    import random
+
+    from mnemolake.plans import retrieval
+
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(n))
+    used = spark.createDataFrame([(c, k, say(40)) for c in range(6) for k in range(c)], "character long, turn int, text string").repartition(3)
+    asked = spark.createDataFrame([(c, say(12)) for c in range(8)] + [(2, "aa bb"), (3, None)], "character long, text string")
+    rows = lambda: sorted(tuple(r[:3]) + (round(r[3], 9),) for r in retrieval.repeat_score(used, asked).collect())
+    want = rows()
+    assert len(want) == 8 and sum(k for _, _, k, _ in want) == 5 and max(s for *_, s in want) > 0
+    monkeypatch.setattr(retrieval, "MANY", 2)  # three characters as grams
+    assert rows() == want
+    dealt = retrieval.top_grams(used.repartition(3, "character").select("character", "turn", F.explode(retrieval.repeat_grams(F.col("text"), 5)).alias("ngram")))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # the one by character
+
+
 def test_rules_can_be_switched(spark):
     from mnemolake.plans.predicates import memory_rules
 
