@@ -329,6 +329,18 @@ def test_repeats_are_shuffled_as_texts(spark, monkeypatch):
     assert plan.count("Exchange ") == 1  # the one by character
 
 
+def test_links_do_not_depend_on_where_the_search_stops(spark):
+    import random
+
+    from mnemolake.plans.graphs import project_links
+
+    rng, words = random.Random(10), ["aa", "bb", "cc", "dd", "ee", "ff", "gg"]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(1, 4))), rng.randint(0, 9) / 10, f"v5_project:p{i % 2},v5_kind:{rng.choice(['decision', 'pitfall', 'idea'])}", i % 13 == 0) for i in range(120)]
+    memory = spark.createDataFrame(rows, "id long, content string, weight double, tags string, archived boolean")
+    got = [sorted(map(tuple, project_links(memory, memory.select("id"), soon, first).collect())) for soon, first in ((20, 8), (9, 2), (200, 200))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 300
+
+
 def test_rules_can_be_switched(spark):
     from mnemolake.plans.predicates import memory_rules
 
