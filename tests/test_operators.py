@@ -108,6 +108,23 @@ def test_pagerank_of_a_batch_against_brute_force(spark):
     assert got == {q: _pagerank(edges, ss) for q, ss in seeds.items()}
 
 
+def test_pagerank_packs_edges_and_sums_mass_in_the_part_that_sends_it(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "TASK_EDGES", 3)  # many parts, several rows of edges a part
+    edges = [(s, d, float(1 + (s * d) % 4)) for s in range(12) for d in range(12) if s != d] + [(3, 20, 0.0)]
+    seeds = {"a": [0, 20], "b": [5]}
+    df = spark.createDataFrame([(q, s) for q, ss in seeds.items() for s in ss], "query_id string, id long")
+    got = {}
+    for r in graph.personalized_pagerank(spark.createDataFrame(edges, "src int, dst int, weight double"), df).collect():
+        got.setdefault(r["query_id"], {})[r["id"]] = round(r["p"], 9)
+    assert got == {q: _pagerank(edges, ss) for q, ss in seeds.items()}
+    # two sources of one part and one target: one row of mass goes on, not one an edge
+    packed = graph._packed(pa.table({"part": pa.array([0] * 4, pa.int32()), "src": [1, 1, 2, 3], "dst": [9, 8, 9, 9], "w": [1.0, 3.0, 2.0, 0.0]}))
+    out = graph._sent(pa.table({"query_id": ["q", "q", "q", "q"], "id": [1, 2, 2, 7], "p": [0.4, 0.1, 0.1, 0.3]}), packed).to_pylist()
+    assert [(r["id"], round(r["p"], 9)) for r in out] == [(8, 0.3), (9, 0.3), (None, 0.3)]
+
+
 def test_label_propagation_communities(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (7, 8)], "src long, dst long")
     got = {r["id"]: r["label"] for r in graph.label_propagation(e).collect()}
