@@ -143,6 +143,20 @@ def test_label_propagation_communities(spark):
     assert graph.label_propagation(e, most=0).where("label <> id").count() == 0
 
 
+def test_label_propagation_works_out_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (7, 8), (8, 7), (9, 9)], "src long, dst long").mapInArrow(counted, "src long, dst long")
+    out = graph.label_propagation(e)
+    assert {r["id"]: r["label"] for r in out.collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 9} and out.rounds == 1
+    assert read.value == 6
+
+
 def test_greedy_dedup_against_brute_force(spark):
     import random
 
