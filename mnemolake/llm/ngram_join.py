@@ -12,13 +12,14 @@ share at least that many elements, or they are not linked.
    prefix are dropped before anything is joined.
 2. Stars: in a list of classes, each class is set against one of them, the list's hub, and takes the hub that it shares
    most elements with. That is one verification a class. The first hubs are the classes whose prefixes others share most,
-   such as the text that a group was copied from; rounds with hubs by chance follow as long as they link anything.
+   such as the text that a group was copied from; rounds with hubs by chance follow as long as they link more than a few.
    Large groups of near copies are settled so, in a time that grows with their size, not its square.
 3. The rest: classes of one list that are still in different components are paired by a join, without those that
    the lengths or the places in the prefixes rule out. A pair goes that shares fewer than l prefix elements, or so few
    that it could not be linked if all that lies beyond the prefixes were shared: common elements up to the end of the
    prefix that ends first are counted, so those of sizes n and m share at most the count and the larger of what is left
    of n and m. The others are verified. A pair within one component cannot change the result, so this loses nothing.
+   Pairs of long lists are counted where they meet, from all their elements, and one row goes for each that is left.
 
 Every link is verified on the full sets. No list is capped. Classes are named by 64 bits of the 128-bit hash of their set.
 
@@ -29,15 +30,20 @@ repeat an id are one document, linked if any of their texts is; an empty table g
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, drop, map_batches, texts, tune, written
+from .common import documents, drop, map_batches, remove, scratch, texts, tune, written
 from .counters import counted_slots, slot_array
 from .near_dups import _verify_stars, components, shingler_of
 
-SHINGLE, THRESHOLD, LONGEST, SLOTS, SALT, ROUNDS = 5, 80, 6, 1 << 20, 2000, 3
+SHINGLE, THRESHOLD, LONGEST, SLOTS, SALT, ROUNDS, LISTS = 5, 80, 6, 1 << 20, 2000, 3, 16
+#: A round of stars is followed by another one if it links more than one class of FEW.
+FEW = 50
 
 
 def _slot(shingles: np.ndarray, slots: int) -> np.ndarray:
@@ -102,17 +108,53 @@ def _close(a: str, b: str, threshold: int):
     return (100 * F.least(na, nb) >= threshold * F.greatest(na, nb)) & ((100 + threshold) * common >= threshold * (na + nb))
 
 
-def _verified(pairs: DataFrame, live: DataFrame, shingle: int, threshold: int, salt: int) -> DataFrame:
+@contextlib.contextmanager
+def _bucketed(df: DataFrame, key: str):
+    """df as a table in the shared folder that lies dealt out by key, so that joins on it move the other side only."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    path = scratch(spark, "dealt")
+    try:
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, live: DataFrame, shingle: int, threshold: int, salt: int) -> DataFrame:
     """Links (src, dst) among pairs (hub, cid): a hub's text meets at most `salt` others in one task."""
     busy = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / salt).cast("int").alias("salts"))
-    hubs = busy.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("id"), F.lit(False).alias("is_member"))
-    members = pairs.join(busy, "hub").select("hub", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), F.col("cid").alias("id"), F.lit(True).alias("is_member"))
-    rows = hubs.union(members).join(live.withColumnRenamed("cid", "id"), "id")
+    hubs = busy.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("cid"), F.lit(False).alias("is_member"))
+    members = pairs.join(busy, "hub").select("hub", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), "cid", F.lit(True).alias("is_member"))
+    rows = hubs.union(members).join(reps, "cid").join(live, "id").select("hub", "salt", "is_member", F.col("cid").alias("id"), "set_key", "text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "is_member")
     return _verify_stars(rows, shingle, threshold)
 
 
-def join_links(docs: DataFrame, sets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, longest: int = LONGEST, salt: int = SALT, rounds: int = ROUNDS) -> DataFrame:
+def rest_pairs(rest: DataFrame, threshold: int, lists: int) -> DataFrame:
+    """Candidates (hub, cid) of different labels among rest (token, size, cid, n, pos, before, l, label); size is that of the token's list.
+
+    Lists of `lists` classes at most give a row for each pair and token, which are counted. In longer ones both classes
+    bring all their tokens, so that a pair is counted where it meets, and goes only if it is a candidate, from the first
+    long list that it shares.
+    """
+    beyond = lambda k: F.ceil(F.lit(threshold) * F.col(f"n{k}") / 100) - F.col(f"l{k}")  # what a prefix leaves of its set
+    enough = lambda both: (both >= F.least("l1", "l2")) & ((100 + threshold) * (both + F.greatest(beyond(1), beyond(2))) >= threshold * (F.col("n1") + F.col("n2")))
+    differ = (F.col("cid1") < F.col("cid2")) & (F.col("label1") != F.col("label2")) & _close("1", "2", threshold)
+    sides = lambda df: (df.select("token", *(F.col(c).alias(f"{c}{k}") for c in df.columns if c not in ("token", "size"))) for k in (1, 2))
+    one, two = sides(rest.where(F.col("size") <= lists))
+    few = one.join(two, "token").where(differ)
+    few = few.groupBy(F.col("cid1").alias("hub"), F.col("cid2").alias("cid")).agg(F.count(F.lit(1)).alias("both"), F.first(F.struct("n1", "l1", "n2", "l2")).alias("p")).select("hub", "cid", "both", "p.*")
+    few = few.where(enough(F.col("both"))).select("hub", "cid")
+    tokens = rest.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct((F.col("size") <= lists).alias("short"), "token"))).alias("t"), F.max("size").alias("most"))
+    tokens = tokens.where(F.col("most") > lists).select("cid", F.col("t.token").alias("tokens"))
+    one, two = sides(rest.where(F.col("size") > lists).join(tokens, "cid"))
+    both = F.array_intersect("tokens1", "tokens2")  # long lists come first, in one order for all classes
+    many = one.join(two, "token").where(differ & enough(F.size(both)) & (F.element_at(both, 1) == F.col("token"))).select(F.col("cid1").alias("hub"), F.col("cid2").alias("cid"))
+    return few.union(many).distinct()
+
+
+def join_links(docs: DataFrame, sets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, longest: int = LONGEST, salt: int = SALT, rounds: int = ROUNDS, lists: int = LISTS) -> DataFrame:
     """(id, label) of the classes that are linked with others: the smallest class of the component."""
     full = sets.where("cid IS NOT NULL AND id IS NOT NULL")
     classes = written(full.groupBy("cid").agg(F.min("id").alias("id"), F.first("set_key").alias("set_key"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")), "classes")
@@ -123,49 +165,53 @@ def join_links(docs: DataFrame, sets: DataFrame, *, doc_id: str = "doc_id", text
     kept = shared.join(chosen(shared, threshold, longest), "cid").where(within)
     central = kept.groupBy("cid").agg((F.sum("size") / F.first("n")).alias("central"))
     before = F.row_number().over(Window.partitionBy("cid").orderBy("pos")) - 1  # elements before it that others have too
-    kept = written(kept.join(central, "cid").select("token", "cid", "n", "pos", "l", "central", before.alias("before")), "kept")
-    reps = kept.select("cid").distinct().join(classes.select("cid", "id", "set_key"), "cid")
-    live = written(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(reps, "id").select("cid", "set_key", "text"), "live")
-    drop(classes, shared)
+    with _bucketed(kept.join(central, "cid").select("token", "cid", "n", "pos", "l", "central", before.alias("before")), "cid") as kept:
+        reps = written(kept.select("cid").distinct().join(classes.select("cid", "id", "set_key"), "cid"), "reps")
+        drop(classes, shared)
+        # texts are dealt out once, by id, whatever is verified; a repeated id brings several, told apart by set_key
+        # (a merge join, so that each task writes whole buckets whatever the size)
+        with _bucketed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(reps.select("id").distinct().hint("merge"), "id", "left_semi"), "id") as live:
+            labels = _linked(full, kept, reps, live, shingle, threshold, salt, rounds, lists)
+    drop(reps)
+    return labels
+
 
+def _linked(full: DataFrame, kept: DataFrame, reps: DataFrame, live: DataFrame, shingle: int, threshold: int, salt: int, rounds: int, lists: int) -> DataFrame:
     # an id that repeats with several sets is one document
     several = full.groupBy("id").agg(F.min("cid").alias("src"), F.max("cid").alias("hi")).where("src <> hi").select("id", "src")
     links = written(full.select("id", "cid").join(several, "id").select("src", F.col("cid").alias("dst")).where("src <> dst"), "links")
     labels = components(links)
+    labelled = lambda: kept.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     for k in range(rounds):
-        now = kept.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        now = labelled()
         order = F.xxhash64(F.col("cid"), F.lit(k)).cast("double") if k else -F.col("central")
         first = F.struct(order.alias("o"), F.col("cid").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("before").alias("before2"), F.col("l").alias("l2"), F.col("label").alias("label2"))
         hubs = now.groupBy("token").agg(F.min(first).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "h.*")
         met = now.withColumnsRenamed({"n": "n1", "pos": "pos1", "before": "before1"}).join(hubs, "token").where((F.col("label") != F.col("label2")) & _close("1", "2", threshold))
         met = met.groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("both"), F.min(F.least("l", "l2")).alias("l")).where("both >= l")
-        best = met.groupBy("cid").agg(F.max(F.struct("both", "hub")).alias("b")).select("cid", "b.hub")
-        more = written(_verified(written(best, "stars"), live, shingle, threshold, salt), "links")
-        if more.isEmpty():
+        stars = written(met.groupBy("cid").agg(F.max(F.struct("both", "hub")).alias("b")).select("cid", "b.hub"), "stars")
+        more = written(_verified(stars, reps, live, shingle, threshold, salt), "links")
+        if not (found := more.count()):
             break
         labels = components(labels.select(F.col("id").alias("src"), F.col("label").alias("dst")).union(more))
-    now = written(kept.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "rest")
-    open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest = now.join(open_, "token")
-    one, two = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "pos", "before", "l", "label"))) for k in (1, 2))
-    pairs = one.join(two, "token").where((F.col("cid1") < F.col("cid2")) & (F.col("label1") != F.col("label2")) & _close("1", "2", threshold))
-    pairs = pairs.groupBy(F.col("cid1").alias("hub"), F.col("cid2").alias("cid")).agg(F.count(F.lit(1)).alias("both"), F.first(F.struct("n1", "l1", "n2", "l2")).alias("p")).select("hub", "cid", "both", "p.*")
-    beyond = lambda k: F.ceil(F.lit(threshold) * F.col(f"n{k}") / 100) - F.col(f"l{k}")  # what a prefix leaves of its set
-    enough = (100 + threshold) * (F.col("both") + F.greatest(beyond(1), beyond(2))) >= threshold * (F.col("n1") + F.col("n2"))
-    pairs = pairs.where((F.col("both") >= F.least("l1", "l2")) & enough).select("hub", "cid")
-    more = written(_verified(written(pairs, "pairs"), live, shingle, threshold, salt), "links")
+        if found * FEW < stars.count():  # no large groups are left
+            break
+    now = labelled()
+    open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
+    rest = written(now.drop("central").join(open_, "token"), "rest")
+    more = written(_verified(written(rest_pairs(rest, threshold, lists), "pairs"), reps, live, shingle, threshold, salt), "links")
     if not more.isEmpty():
         labels = components(labels.select(F.col("id").alias("src"), F.col("label").alias("dst")).union(more))
-    drop(kept, live, now)
+    drop(rest)
     return labels
 
 
-def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, longest: int = LONGEST, slots: int = SLOTS, salt: int = SALT, rounds: int = ROUNDS) -> DataFrame:
+def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, longest: int = LONGEST, slots: int = SLOTS, salt: int = SALT, rounds: int = ROUNDS, lists: int = LISTS) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     spark = tune(docs.sparkSession)
     order = spark.sparkContext.broadcast(frequency_classes(docs, text, shingle, slots))  # `slots` bytes
     sets = written(ordered_sets(docs, doc_id, text, shingle, threshold, longest, order), "sets")
-    labels = join_links(docs, sets, doc_id=doc_id, text=text, shingle=shingle, threshold=threshold, longest=longest, salt=salt, rounds=rounds)
+    labels = join_links(docs, sets, doc_id=doc_id, text=text, shingle=shingle, threshold=threshold, longest=longest, salt=salt, rounds=rounds, lists=lists)
     named = sets.where("cid IS NOT NULL AND id IS NOT NULL").select("id", "cid").distinct().join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("id", F.coalesce("label", "cid").alias("label")).distinct()
     named = written(named, "named")
     least = named.groupBy("label").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select("label", "component_id")

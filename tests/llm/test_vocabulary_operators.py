@@ -168,3 +168,33 @@ def test_ngram_join_of_edited_copies(spark):
     assert len({r[2] for r in want}) < 240
     for options in ({}, {"longest": 12, "rounds": 0}):
         assert sorted(map(tuple, ngram_join.ngram_join(df, **options).collect())) == want
+
+
+def test_ngram_join_of_long_lists(spark):
+    # copies with two edits each of a text that is not there: hardly any are linked, all share most elements
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(100)]
+    made = []
+    for i in range(60):
+        ws = list(base)
+        for k in range(2 if i % 3 else 1):
+            ws[rng.randrange(10, 90)] = f"x{i}y{k}"
+        made.append((i, " ".join(ws)))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    want = sorted(r[:3] for r in brute_components(made, 5))
+    for options in ({"rounds": 0, "lists": 0}, {"rounds": 0, "lists": 5}, {"rounds": 1, "lists": 1}):
+        assert sorted(map(tuple, ngram_join.ngram_join(df, **options).collect())) == want
+
+
+def test_ngram_join_counts_pairs_of_long_lists_where_they_meet(spark):
+    # 40 sets of 100 share the same 12 elements of their prefixes, too few to be linked, but for two that share one more in a short list
+    need, rows = 80, []
+    for c in range(40):
+        rows += [(t, 40, c, 100, 13 + t, t + 1, 6, c) for t in range(12)]
+    rows += [(100, 2, c, 100, 0, 0, 6, c) for c in (3, 7)]
+    rest = spark.createDataFrame(rows, "token long, size long, cid long, n long, pos int, before int, l int, label long")
+    assert 180 * (13 + need - 6) < 80 * 200  # even these two fall short
+    out = ngram_join.rest_pairs(rest, 80, 16)
+    assert out.collect() == []
+    one = spark.createDataFrame([(t, 40, c, 100, t, t, 6, c) for c in range(40) for t in range(16)], rest.schema)
+    assert ngram_join.rest_pairs(one, 80, 16).count() == ngram_join.rest_pairs(one, 80, 99).count() == 40 * 39 // 2
