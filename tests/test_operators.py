@@ -629,3 +629,43 @@ def test_pagerank_of_seeds_without_edges(spark):
             p = new
         assert {k[1] for k in got if k[0] == q} == set(p)
         assert all(abs(got[q, x] - m) < 1e-12 for x, m in p.items())
+
+
+@pytest.mark.parametrize("asked", [True, False])
+def test_consolidation_writes_every_table(spark, asked):
+    """Entities, aliases, memories, links and edges of a batch, by the answers of a model or without any; links in their order, one entity named twice."""
+    from mnemolake.operators.consolidation import consolidated
+
+    drafts = [(1, "one", 0.8), (2, "two", None), (3, "three", 1.5), (4, "nobody", 0.5)]
+    links = [(1, 0, 20, 0.1), (1, 1, 10, 0.9), (1, 2, 30, None), (2, 0, 10, 5.0), (2, 1, 20, 0.4), (3, 0, 40, 0.5), (3, 1, 99, 0.5), (7, 0, 50, 0.5)]
+    local = [(i, f"s{i}", "object", f"h{i}") for i in (10, 20, 30, 40, 50)]
+    said = [(10, "merge", 5, 0.75, "ten", None), (20, "merge", 5, 0.9, "old", None), (30, "merge", 6, 0.74, "no", "thirty"), (40, "create_new", None, None, None, "forty"), (50, "create_new", None, None, None, None)]
+    edges = [(5, 5, 0.95, 3), (5, -30, 0.2, 1), (8, 9, 0.5, 1)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = consolidated(
+        frame(drafts, "memory_id long, summary string, importance double"), frame(links, "memory_id long, pos int, local_id long, weight double"), frame(local, "local_id long, surface string, type string, hint string"),
+        frame(said, "local_id long, action string, entity_id long, confidence double, alias_to_add string, canonical_name string") if asked else None, frame([(5, "old")], "entity_id long, alias string"), frame(edges, "src long, dst long, weight double, co_occurrence_count int"),
+    )
+    ids = {10: 5, 20: 5, 30: -30, 40: -40} if asked else {i: -i for i in (10, 20, 30, 40)}
+    want_links, want_memories, graph_ = {}, {}, {(a, b): (w, n) for a, b, w, n in edges}
+    touched, pairs = set(), 0
+    for m, summary, importance in drafts[:3]:
+        mine, weight = [ids[x] for k, _, x, _ in links if k == m and x in ids], max(0.0, min(1.0, 0.5 if importance is None else importance))
+        for k, _, x, w in links:
+            if k == m and x in ids:
+                want_links.setdefault((m, ids[x]), max(0.3, min(1.0, 0.5 if w is None else w)))
+        want_memories[m] = (summary, weight, ", ".join(map(str, mine)))
+        for i, a in enumerate(mine):
+            for b in mine[i + 1 :]:
+                w, n = graph_.get((a, b), (0.0, 0))
+                graph_[a, b] = (min(1.0, w + 0.1 * weight), n + 1)
+                touched.add((a, b))
+                pairs += 1
+    got = {k: [tuple(r) for r in df.collect()] for k, df in out.items()}
+    assert {x[:2]: x[2] for x in got["links"]} == want_links and len(got["links"]) == len(want_links)
+    assert {x[0]: x[1:] for x in got["memories"]} == want_memories
+    assert {x[:2]: (round(x[2], 9), x[3]) for x in got["edges"]} == {k: (round(graph_[k][0], 9), graph_[k][1]) for k in touched}
+    names = {-30: "thirty", -40: "forty"} if asked else {-i: f"s{i}" for i in ids}
+    assert set(got["entities"]) == {(i, "object", name, f"h{-i}") for i, name in names.items()}
+    assert set(got["aliases"]) == ({(5, "ten")} if asked else set())
+    assert dict(got["stats"]) == {"entities_created": len(names), "entities_merged": 4 - len(names), "aliases_added": 2 if asked else 0, "edges_updated": pairs, "episodic_created": 3}
