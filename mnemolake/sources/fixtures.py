@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.parts import part_of
+
 #: Tables of the driver.
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -73,17 +75,33 @@ def _links(t: _Tables) -> DataFrame:
     return lines.repartition(parts(t), "memory_id").groupBy("memory_id", "entity_id").agg(F.max("link_weight").alias("link_weight"))
 
 
+def _made(t: _Tables) -> DataFrame:
+    """Pairs (src, dst, w) of the entities of a memory, made where its links lie, from one row a memory."""
+    ids = t["eg_episodic_entities"].groupBy("memory_id").agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
+    ids = ids.where("size(ids) > 1").join(t["eg_episodic"].select(F.col("id").alias("memory_id"), "importance"), "memory_id")
+    one = ids.select("ids", (F.lit(0.1) * F.col("importance")).alias("w"), F.posexplode("ids").alias("i", "src"))
+    return one.select("src", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("dst"), "w")
+
+
 def _pairs(t: _Tables) -> DataFrame:
-    """eg_edges: pairs are made where a memory's links lie and are summed after the shuffle, as hardly two of a task are equal."""
-    a = t["eg_episodic_entities"].select("memory_id", F.col("entity_id").alias("src"))
-    b = t["eg_episodic_entities"].select("memory_id", F.col("entity_id").alias("dst"))
-    pairs = a.join(b, "memory_id").where("src < dst").join(t["eg_episodic"].select(F.col("id").alias("memory_id"), "importance"), "memory_id")
-    pairs = pairs.select("src", "dst", (F.lit(0.1) * F.col("importance")).alias("w")).repartition(pair_parts(t), "src", "dst")
-    return pairs.groupBy("src", "dst").agg(F.least(F.lit(1.0), F.sum("w")).alias("weight"), F.count(F.lit(1)).alias("co_occurrence_count"))
+    """eg_edges: pairs are summed after the shuffle, as hardly two of a task are equal."""
+    return _summed(_made(t).repartition(pair_parts(t), "src", "dst"))
+
+
+def _out(t: _Tables) -> DataFrame:
+    """The rows of eg_edges with a part, dealt out by it: all edges of a source lie in one of `.parts` parts."""
+    n = pair_parts(t)
+    out = _summed(_made(t).withColumn("part", part_of("src", n)).repartitionById(n, "part"), "part")
+    out.parts = n
+    return out
+
+
+def _summed(pairs: DataFrame, *more: str) -> DataFrame:
+    return pairs.groupBy(*more, "src", "dst").agg(F.least(F.lit(1.0), F.sum("w")).alias("weight"), F.count(F.lit(1)).alias("co_occurrence_count"))
 
 
 #: Tables that Spark makes by a plan of its own, with the rows of their SQL.
-_PLANS = {"eg_episodic_entities": _links, "eg_edges": _pairs}
+_PLANS = {"eg_episodic_entities": _links, "eg_edges": _pairs, "eg_out_edges": _out}
 
 
 def uses(sql: str, name: str) -> bool:

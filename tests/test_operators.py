@@ -4,6 +4,7 @@ import hashlib
 from difflib import SequenceMatcher
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -669,3 +670,33 @@ def test_consolidation_writes_every_table(spark, asked):
     assert set(got["entities"]) == {(i, "object", name, f"h{-i}") for i, name in names.items()}
     assert set(got["aliases"]) == ({(5, "ten")} if asked else set())
     assert dict(got["stats"]) == {"entities_created": len(names), "entities_merged": 4 - len(names), "aliases_added": 2 if asked else 0, "edges_updated": pairs, "episodic_created": 3}
+
+
+def test_edges_by_source_go_into_the_rank_as_they_lie(spark, sf, monkeypatch):
+    """They are those of eg_edges, all of a source in one part, and are not written before they are packed."""
+    from mnemolake.operators import parts
+
+    rows = [5, 5, 6, 1 << 40, -7, 3, 0]
+    assert parts.thick(parts.thin(np.array(rows))).tolist() == rows and parts.thick(parts.thin(np.zeros(0, np.int64))).tolist() == []
+    assert parts.parts_of(np.array(rows), 7).tolist() == [r[0] for r in spark.createDataFrame([(x,) for x in rows], "id long").select(parts.part_of("id", 7)).collect()]
+    t = tables(spark, sf)
+    out = t["eg_out_edges"]
+    key = lambda df: {(r["src"], r["dst"]): (round(r["weight"], 9), r["co_occurrence_count"]) for r in df.collect()}
+    assert key(out) == key(t["eg_edges"]) and out.select("src", "part").distinct().count() == out.select("src").distinct().count()
+    seeds, written = spark.createDataFrame([("a", 1), ("a", 77), ("b", 3)], "query_id string, id long"), []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df.columns) or real(df))
+    rank = lambda e: {(r["query_id"], r["id"]): round(r["p"], 9) for r in graph.personalized_pagerank(e, seeds).collect()}
+    got = rank(out)
+    assert not [c for c in written if "w" in c]
+    assert got == rank(t["eg_edges"])
+
+
+def test_one_batch_makes_no_index(spark, sf, monkeypatch):
+    """The queries of unified_graph that need the texts read them; the index of a session is used where it is there."""
+    from mnemolake.plans import catalog, retrieval
+
+    monkeypatch.setattr(retrieval, "_INDEXES", {})
+    monkeypatch.setattr(retrieval.SegmentedIndex, "upsert", lambda *_: pytest.fail("made an index"))
+    assert catalog.queries()["unified_graph"](spark, sf).count() > 0
+    assert retrieval.kept_index(tables(spark, sf)) is None
