@@ -9,7 +9,7 @@ from ..operators import search, tree_edits
 from ..sources.scratch import cut
 from .aggregates import PROFILE, agg_profile
 from .catalog import query
-from .retrieval import _GRAPH, BM25, FUSED, _found, graph_queries, graph_rows, text_index
+from .retrieval import _GRAPH, BM25, FUSED, _found, graph_queries, graph_rows, kept_index, text_index
 from .trees import _DUCK_ANC, _MERGED, _SN, TREE_SCOPED, _insights, _merged, tree_scoped
 
 
@@ -155,7 +155,8 @@ def unified_graph(t):
     """What the entities of a query activate and the notes that hold it, with their neighbours over typed edges; a query that the graph knows nothing of is searched by meaning."""
     q, live = graph_queries(t), t["memory"].where(_LIVE).select("id")
     found = cut(search.ranked(graph_rows(t, q), [F.desc("score"), F.col("id")], 5).select("query_id", "id", F.round("score", 6).alias("score"), F.lit("graph").alias("scope")))
-    other = search.retrieve(_found(t, queries=q)).join(live, "id", "left_semi").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    rest = cut(q.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+    other = search.retrieve(_found(t, queries=rest, index=kept_index)).join(live, "id", "left_semi")
     return found.union(other.select("query_id", "id", F.round("score", 6), F.lit("semantic")))
 
 

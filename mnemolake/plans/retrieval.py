@@ -61,8 +61,7 @@ _INDEXES: dict[tuple, SegmentedIndex] = {}
 
 def text_index(t) -> SegmentedIndex:
     """The full-text index of the memory table. That of a folder is kept while the session lasts and its documents are the same."""
-    spark = t["memory"].sparkSession
-    key = (spark.sparkContext.applicationId, t.sf_dir, state_of(spark, f"{t.sf_dir}/documents.parquet")) if hasattr(t, "sf_dir") else None
+    spark, key = t["memory"].sparkSession, _index_key(t)
     if key not in _INDEXES:
         index = SegmentedIndex(spark, new_path(spark, "text-index"))
         index.upsert(t["memory"])
@@ -72,11 +71,21 @@ def text_index(t) -> SegmentedIndex:
     return _INDEXES[key]
 
 
-def _found(t, k=search.TOP_K, queries=None):
+def _index_key(t) -> tuple | None:
+    spark = t["memory"].sparkSession
+    return (spark.sparkContext.applicationId, t.sf_dir, state_of(spark, f"{t.sf_dir}/documents.parquet")) if hasattr(t, "sf_dir") else None
+
+
+def kept_index(t) -> SegmentedIndex | None:
+    """The index if the session has it; one batch alone does not pay for making it, so its phrases are looked for in the texts."""
+    return _INDEXES.get(_index_key(t))
+
+
+def _found(t, k=search.TOP_K, queries=None, index=text_index):
     queries = t["queries_fts"] if queries is None else queries
     qv = t["embeddings"].where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     times = queries.where("query_id % 4 = 0").select("query_id", F.lit(NOW - 86400 * 3).alias("lo"), F.lit(NOW).alias("hi"))
-    return search.scored(search.candidates(t["memory"], t["vectors"], queries, qv, times, k, text_index(t)), queries, NOW)
+    return search.scored(search.candidates(t["memory"], t["vectors"], queries, qv, times, k, index(t)), queries, NOW)
 
 
 @query("fts_bm25", f"WITH {BM25} SELECT query_id, id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM ft")
@@ -280,7 +289,7 @@ def graph_rows(t, queries):
 def unified_auto(t):
     """Semantic rows; queries with fewer than three of them, or about an entity, also take those of the graph search. No driver round trip."""
     q = graph_queries(t)
-    se = cut(search.retrieve(_found(t, queries=q)).select("query_id", "id", "score"))
+    se = cut(search.retrieve(_found(t, queries=q, index=kept_index)).select("query_id", "id", "score"))
     need = q.join(se.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < 3) | (first_of(F.lower("q"), INTENT_CUES, "GENERAL") == "ENTITY")).select("query_id", "q")
     best = se.union(graph_rows(t, need)).groupBy("query_id", "id").agg(F.max("score").alias("score")).where("score > 0")
     live = t["memory"].where(f"valid_to IS NULL OR valid_to > {int(NOW)}").select("id")
