@@ -700,3 +700,14 @@ def test_one_batch_makes_no_index(spark, sf, monkeypatch):
     monkeypatch.setattr(retrieval.SegmentedIndex, "upsert", lambda *_: pytest.fail("made an index"))
     assert catalog.queries()["unified_graph"](spark, sf).count() > 0
     assert retrieval.kept_index(tables(spark, sf)) is None
+
+
+def test_label_rounds_move_nodes_not_edges(spark, monkeypatch):
+    """What rounds read is one row a node with its neighbours and itself; an edge that lacks an end still names its node."""
+    written, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(real(df)) or written[-1])
+    star = [(0, i) for i in range(1, 40)] + [(i, 0) for i in range(1, 5)] + [(50, None)]
+    out = graph.label_propagation(spark.createDataFrame(star, "src long, dst long"))
+    assert {r["id"]: r["label"] for r in out.collect()} == dict.fromkeys(range(40), 0) | {50: 50}
+    near = {r["other"]: sorted(r["ids"]) for r in written[0].collect()}
+    assert near == {0: list(range(40)), 50: [50]} | {i: [0, i] for i in range(1, 40)}
