@@ -11,8 +11,9 @@ by them. One more pass counts: each task looks all its words, pairs and triples
 slots, and the arrays are summed as a tree. The score of a cut reads the counts of its two parts by their slots.
 
 The numbers and hashes are made on the driver and broadcast while the candidates of a level are at most BOUND; they grow with the
-corpus, so beyond that bound `shuffled` takes over, which counts the n-grams of the same levels as rows of strings, each
-level behind semi-joins with the one below. Both give the same counts (the tests run both).
+corpus. Beyond that bound `_keyed` takes over, which counts the keys of pairs and of packed triples as rows of numbers, or,
+for more frequent words than numbers of PACKED bits, `shuffled`, which counts the n-grams of the same levels as rows of
+strings, each level behind semi-joins with the one below. All give the same counts (the tests run all).
 
 Scores are exact: products are decimals of up to 38 digits, for counts of up to 10^12.
 
@@ -34,6 +35,8 @@ from .common import documents, drop, flat_batches, map_batches, texts, tune, wri
 from .counters import PerfectHash, counted_slots, slot_rows
 
 LEAST, TOP, HELD, BOUND, FLUSH = 10, 2000, 50, 3_000_000, 300_000
+#: Bits of a word's number in a triple's key where the pairs are too many for a hash.
+PACKED = 21
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z lowered, each separator of pieces a full stop, tabs blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 0x2E if c in _MARKS else 32 if c == 9 else c for c in range(256))
@@ -72,18 +75,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return part.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _reader(slots: dict[str, dict[bytes, int]]):
-    """A task's function from a batch to the slots of its words, -1 between pieces and texts and for other words."""
+def _coded(docs: DataFrame, slots) -> DataFrame:
+    """(slots): for each text the numbers of its words, -1 between pieces, at the end and for other words; slots: a broadcast {lang: {word: number}}."""
 
-    def read(batch) -> np.ndarray:
-        out = [np.zeros(0, np.int64)]
-        for lang, t in zip(_langs(batch), texts(batch), strict=True):
-            ws = tokens(t)
-            ws.append(b".")
-            out.append(np.fromiter(map(slots.get(lang, {}).get, ws, repeat(-1)), np.int64, len(ws)))
-        return np.concatenate(out)
+    def make():
+        known = slots.value
+
+        def run(batch):
+            out = []
+            for lang, t in zip(_langs(batch), texts(batch), strict=True):
+                ws = tokens(t)
+                ws.append(b".")
+                out.append(np.fromiter(map(known.get(lang, {}).get, ws, repeat(-1)), np.int32, len(ws)).tobytes())
+            return [out]
+
+        return run
+
+    return map_batches(docs, make, [("slots", "binary")])
 
-    return read
+
+def _numbers(batch) -> np.ndarray:
+    """The numbers of a batch of coded texts, one after the other."""
+    return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32).astype(np.int64)
 
 
 def _pairs(s: np.ndarray) -> np.ndarray:
@@ -105,8 +118,14 @@ def _pair_slots(s: np.ndarray, hashed: PerfectHash) -> np.ndarray:
     return out
 
 
+def _packed_triples(s: np.ndarray) -> np.ndarray:
+    """The numbers of each three words as one, -1 where there is none; for numbers of up to PACKED."""
+    a, b, c = s[:-2], s[1:-1], s[2:]
+    return np.where((a >= 0) & (b >= 0) & (c >= 0), a << 2 * PACKED | b << PACKED | c, -1)
+
+
 def _frequent(docs: DataFrame, make_keys, least: int) -> DataFrame:
-    """Keys (key) of which make_keys()(batch) gives at least `least` over all texts. A task sends each distinct key of FLUSH times eight once."""
+    """Keys with their counts (key, n) of which make_keys()(batch) gives at least `least` over all texts. A task sends each distinct key of FLUSH times eight once."""
 
     def make():
         keys_of, held, size = make_keys(), [], [0]
@@ -138,11 +157,11 @@ def _frequent(docs: DataFrame, make_keys, least: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
 
     part = docs.mapInArrow(task, "key long, n long")
-    return part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    return part.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _keys(df: DataFrame) -> np.ndarray:
-    return df.toArrow().column("key").to_numpy()
+    return df.select("key").toArrow().column("key").to_numpy()
 
 
 def by_slots(docs: DataFrame, frequent: DataFrame, least: int, bound: int):
@@ -159,41 +178,45 @@ def by_slots(docs: DataFrame, frequent: DataFrame, least: int, bound: int):
         slots.setdefault(name, {})[word] = i
     w = spark.sparkContext.broadcast(slots)
 
-    def pair_keys():
-        read = _reader(w.value)
+    coded = written(_coded(docs, w), "coded")  # the texts are taken apart once
 
+    def pair_keys():
         def run(batch):
-            keys = _pairs(read(batch))
+            keys = _pairs(_numbers(batch))
             return keys[keys >= 0]
 
         return run
 
-    pairs = written(_frequent(docs, pair_keys, least), "pairs")
+    pairs = written(_frequent(coded, pair_keys, least), "pairs")
     if pairs.count() > bound:
-        return None
+        out = _keyed(coded, frequent, w, pairs, least) if table.num_rows < 1 << PACKED else None
+        drop(coded, pairs)
+        return out
     p = spark.sparkContext.broadcast(PerfectHash(_keys(pairs)))
 
     def triple_keys():
-        read, hashed = _reader(w.value), p.value
+        hashed = p.value
 
         def run(batch):
-            s = read(batch)
+            s = _numbers(batch)
             keys = _triples(s, _pair_slots(s, hashed))
             return keys[keys >= 0]
 
         return run
 
-    triples = written(_frequent(docs, triple_keys, least), "triples")
+    triples = written(_frequent(coded, triple_keys, least), "triples")
     if triples.count() > bound:
-        return None
+        out = _keyed(coded, frequent, w, pairs, least) if table.num_rows < 1 << PACKED else None
+        drop(coded, pairs, triples)
+        return out
     t = spark.sparkContext.broadcast(PerfectHash(_keys(triples)))
     n1, n2, n3 = table.num_rows, p.value.size, t.value.size
 
     def count():
-        read, two, three = _reader(w.value), p.value, t.value
+        two, three = p.value, t.value
 
         def run(batch):
-            s = read(batch)
+            s = _numbers(batch)
             ps = _pair_slots(s, two)
             ts = _triples(s, ps)
             ts = three.slots(ts[ts >= 0])
@@ -201,23 +224,51 @@ def by_slots(docs: DataFrame, frequent: DataFrame, least: int, bound: int):
 
         return run
 
-    counts = written(slot_rows(counted_slots(docs, count, n1 + n2 + n3)), "slots")
+    counts = written(slot_rows(counted_slots(coded, count, n1 + n2 + n3)), "slots")
     of = lambda low, high, slot, n: counts.where((F.col("slot") >= low) & (F.col("slot") < high)).select((F.col("slot") - low).alias(slot), F.col("n").alias(n))
-    word_slots = lambda: lambda batch: [w.value[x][y] for x, y in zip(_langs(batch), texts(batch, "word"), strict=True)]
     key_slots = lambda hashed: lambda: lambda batch: hashed.value.slots(batch.column(0).to_numpy())
-    named = _with_slots(frequent, word_slots, ["lang", "word"])
+    named = _with_slots(frequent.select("lang", "word"), _word_slots(w), ["lang", "word"])
     one = lambda k: named.join(of(0, n1, "slot", "n"), "slot").select(F.col("slot").alias(f"s{k}"), F.col("lang").alias(f"lang{k}"), F.col("word").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
-    two_ = of(n1, n1 + n2, "slot", "n2").join(_with_slots(pairs, key_slots(p), ["key"]), "slot").select("slot", F.shiftright("key", 32).alias("s1"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("s2"), F.col("n2").alias("n"))
+    two_ = of(n1, n1 + n2, "slot", "n2").join(_with_slots(pairs.select("key"), key_slots(p), ["key"]), "slot").select("slot", F.shiftright("key", 32).alias("s1"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("s2"), F.col("n2").alias("n"))
     two_ = written(two_, "two")
     as_pair = lambda k: two_.select(F.col("slot").alias(f"p{k}"), F.col("s1").alias(f"a{k}"), F.col("s2").alias(f"b{k}"), F.col("n").alias(f"m{k}"))
-    three_ = of(n1 + n2, n1 + n2 + n3, "slot", "n").join(_with_slots(triples, key_slots(t), ["key"]), "slot").select(F.shiftright("key", 32).alias("p1"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("s3"), "n")
+    three_ = of(n1 + n2, n1 + n2 + n3, "slot", "n").join(_with_slots(triples.select("key"), key_slots(t), ["key"]), "slot").select(F.shiftright("key", 32).alias("p1"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("s3"), "n")
     null = F.lit(None).cast("long")
     two_rows = two_.join(one(1), "s1").join(one(2), "s2").select(F.col("lang1").alias("lang"), F.array("w1", "w2").alias("words"), F.col("n").alias("a"), F.col("n1").alias("l1"), F.col("n2").alias("r1"), null.alias("l2"), null.alias("r2"))
     three_ = three_.join(as_pair(1), "p1").join(as_pair(2), (F.col("a2") == F.col("b1")) & (F.col("b2") == F.col("s3")))
     three_ = three_.select(F.col("a1").alias("s1"), F.col("b1").alias("s2"), "s3", "n", "m1", "m2")
     three_rows = three_.join(one(1), "s1").join(one(2), "s2").join(one(3), "s3").select(F.col("lang1").alias("lang"), F.array("w1", "w2", "w3").alias("words"), F.col("n").alias("a"), F.col("n1").alias("l1"), F.col("m2").alias("r1"), F.col("m1").alias("l2"), F.col("n3").alias("r2"))
     out = written(two_rows.union(three_rows), "phrases")
-    drop(pairs, triples, counts, two_)
+    drop(coded, pairs, triples, counts, two_)
+    return out
+
+
+def _word_slots(w):
+    return lambda: lambda batch: [w.value[x][y] for x, y in zip(_langs(batch), texts(batch, "word"), strict=True)]
+
+
+def _keyed(coded: DataFrame, frequent: DataFrame, w, pairs: DataFrame, least: int) -> DataFrame:
+    """What by_slots gives where a level has too many candidates for a hash: keys of numbers are counted as rows, those of pairs are there already."""
+
+    def triple_keys():
+        def run(batch):
+            keys = _packed_triples(_numbers(batch))
+            return keys[keys >= 0]
+
+        return run
+
+    triples = written(_frequent(coded, triple_keys, least), "triples")
+    named = written(_with_slots(frequent.select("lang", "word", "n"), _word_slots(w), ["lang", "word", "n"]), "named")
+    one = lambda k: named.select(F.col("slot").alias(f"s{k}"), F.col("lang").alias(f"lang{k}"), F.col("word").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
+    null, low = F.lit(None).cast("long"), (1 << PACKED) - 1
+    two = pairs.select(F.shiftright("key", 32).alias("s1"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("s2"), "n").join(one(1), "s1").join(one(2), "s2")
+    two = two.select(F.col("lang1").alias("lang"), F.array("w1", "w2").alias("words"), F.col("n").alias("a"), F.col("n1").alias("l1"), F.col("n2").alias("r1"), null.alias("l2"), null.alias("r2"))
+    three = triples.select(F.shiftright("key", 2 * PACKED).alias("s1"), F.shiftright("key", PACKED).bitwiseAND(low).alias("s2"), F.col("key").bitwiseAND(low).alias("s3"), "n")
+    pair = lambda a, b, n: pairs.select(F.shiftright("key", 32).alias(a), F.col("key").bitwiseAND(0xFFFFFFFF).alias(b), F.col("n").alias(n))
+    three = three.join(pair("s1", "s2", "m1"), ["s1", "s2"]).join(pair("s2", "s3", "m2"), ["s2", "s3"]).join(one(1), "s1").join(one(2), "s2").join(one(3), "s3")
+    three = three.select(F.col("lang1").alias("lang"), F.array("w1", "w2", "w3").alias("words"), F.col("n").alias("a"), F.col("n1").alias("l1"), F.col("m2").alias("r1"), F.col("m1").alias("l2"), F.col("n3").alias("r2"))
+    out = written(two.union(three), "phrases")
+    drop(triples, named)
     return out
 
 
@@ -265,7 +316,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     words = written(word_counts(docs), "words")
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
-    phrases = by_slots(docs, frequent.select("lang", "word"), least, bound)
+    phrases = by_slots(docs, frequent, least, bound)
     if phrases is None:
         phrases = written(shuffled(docs, frequent, least), "phrases")
     wide = lambda c: F.col(c).cast("decimal(12,0)")

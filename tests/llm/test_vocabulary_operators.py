@@ -198,3 +198,19 @@ def test_ngram_join_counts_pairs_of_long_lists_where_they_meet(spark):
     assert out.collect() == []
     one = spark.createDataFrame([(t, 40, c, 100, t, t, 6, c) for c in range(40) for t in range(16)], rest.schema)
     assert ngram_join.rest_pairs(one, 80, 16).count() == ngram_join.rest_pairs(one, 80, 99).count() == 40 * 39 // 2
+
+
+def test_too_many_pairs_are_counted_by_their_numbers(spark, monkeypatch):
+    """Beyond the bound of hashes no n-gram of strings is made; texts are taken apart once, whichever way is gone."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("en" if i % 3 else None, " ".join(rng.choice("a b c d e f".split()) + rng.choice([" ", " ", ", "]) for _ in range(40))) for i in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    monkeypatch.setattr(collocations, "shuffled", lambda *_: pytest.fail("n-grams of strings"))
+    ways, real = [], collocations._keyed
+    monkeypatch.setattr(collocations, "_keyed", lambda *a: ways.append("keyed") or real(*a))
+    want = brute_phrases(rows, 3, 2000)
+    for bound, keyed in ((12, 1), (80, 2), (10_000, 2)):  # 12 words, 72 pairs and more triples
+        assert sorted(map(tuple, collocations.collocations(df, least=3, bound=bound).collect())) == want
+        assert len(ways) == keyed
